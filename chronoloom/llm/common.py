@@ -164,7 +164,7 @@ TABLE = mix(np.arange(1, 257, dtype=_U) * _BASE)
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_pow[0]) < n:
-        size = max(n, 2 * len(_pow[0]))
+        size = (n + (1 << 18) - 1) >> 18 << 18
         for k, b in enumerate((_BASE, _INV)):
             p = np.full(size, b, _U)
             p[0] = 1
@@ -234,6 +234,21 @@ def groups_of(texts: list[bytes | None], limit: int = 1 << 22):
         yield first, len(texts)
 
 
+def batches_of(column, limit: int = 1 << 21):
+    """As groups_of, from an Arrow column, whose values are not made Python objects."""
+    import pyarrow.compute as pc
+
+    sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    first, size = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if size and size + n > limit:
+            yield first, i
+            first, size = i, 0
+        size += n
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
 def shingle_sets(texts: list[bytes], n: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's distinct n-word shingles, text by text and sorted, and where each text's begin.
 

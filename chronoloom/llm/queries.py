@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import substring, suffix
+from . import langid, mixing, packing, quality, substring, suffix, warc
 
 QUERIES = {
+    "op1_warc_revisit": warc.op1_warc_revisit,
     "op3_substring_dedup": substring.op3_substring_dedup,
+    "op6_packing": packing.op6_packing,
     "op7_suffix_array_dedup": suffix.op7_suffix_array_dedup,
+    "op8_quality_classifier": quality.op8_quality_classifier,
+    "op9_mixing": mixing.op9_mixing,
+    "op10_language_id": langid.op10_language_id,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_warc_revisit": warc.SQL, "op9_mixing": mixing.SQL}

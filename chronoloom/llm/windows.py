@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TABLE, WORD, grams, groups_of, mix, partitions_for, prefix, slices, word_hashes
+from .common import TABLE, WORD, grams, batches_of, mix, partitions_for, prefix, slices, word_hashes
 
 U = np.uint64
 TOP = U(1 << 63)
 BUCKET_SCHEMA = "bucket int, n int, text binary, meta binary, sure int"
 SPAN_SCHEMA = "doc_id bigint, tag int, spans binary"
 #: Bytes of text whose windows are cut at a time; bounds the memory of a task.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 
 
 @dataclass
@@ -179,12 +179,12 @@ def deal(batches, plan: Plan):
     squeeze = zstandard.ZstdCompressor(level=3)
     turn = 0
     for batch in batches:
-        ids, tags, texts = (batch.column(i).to_pylist() for i in range(3))
+        ids, tags = (batch.column(i).to_pylist() for i in range(2))
         rows: list[tuple] = []
-        for a, b in groups_of(texts, CHUNK):
+        for a, b in batches_of(batch.column(2), CHUNK):
             pieces, owner, base = [], [], []
-            for i in range(a, b):
-                for u, piece in segments(normal(texts[i], plan.words), plan.k, plan.words):
+            for i, t in enumerate(batch.column(2).slice(a, b - a).to_pylist(), a):
+                for u, piece in segments(normal(t, plan.words), plan.k, plan.words):
                     pieces.append(piece)
                     owner.append(i)
                     base.append(u)
@@ -218,7 +218,7 @@ def deal(batches, plan: Plan):
                     text = sep.join([buffer[f[i] : l[i]] for i in o.tolist()])
                     meta = pack([np.diff(doc[o], prepend=0), tag[o].astype(np.int32), narrow(start[o]), narrow(count[o]), many[o].astype(np.uint8)])
                     rows.append((k, len(o), squeeze.compress(text), meta, 0))
-            if len(rows) > 256:
+            if rows:
                 yield _batch(rows)
                 rows = []
         if rows:
@@ -506,7 +506,7 @@ def hot_grams(docs: DataFrame, plan: Plan, sample: int = 2000, share: float = 0.
     return np.sort(rows["g"].to_numpy(np.int64).astype(U))
 
 
-def repeated_windows(docs: DataFrame, k: int, m: int, words: bool, ordered_: bool, bucket_bytes: float = 16e6) -> DataFrame:
+def repeated_windows(docs: DataFrame, k: int, m: int, words: bool, ordered_: bool, bucket_bytes: float = 10e6) -> DataFrame:
     """docs(doc_id bigint, tag int, text binary) -> one or more rows a document with spans of windows that repeat:
     pairs of uint32 (first window, windows).  Documents without any have no row."""
     spark = docs.sparkSession
