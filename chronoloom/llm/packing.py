@@ -11,6 +11,7 @@ other documents; ties in rank are broken by doc_id and start; a null doc_id is p
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -18,72 +19,97 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, ranked
+from .common import batches_of, documents, ranked
 
 SIZE = 2048
 CLOSE = 1
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-#: Distinct words whose ids a task remembers; older ones are forgotten all at once.
-REMEMBER = 400_000
-#: Where a text may be cut at single blanks and line ends without changing its ids; others are encoded whole.
-_PLAIN = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z|<\|")
+#: Distinct words whose ids a task remembers: two generations of this size; words not used for a generation are forgotten.
+REMEMBER = 500_000
+#: Pieces of text that can't be encoded by themselves: odd white space, or a piece of a special token.
+_ODD = re.compile(r"\A \Z|\A\Z|\S\s|\s\s|[^\S \n]|<\|")
 
 
-def vocabulary() -> str:
+def vocabulary() -> tuple[str, str]:
+    """The tokenizer and its vocabulary as ranks."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes.  Byte-level BPE never merges across a blank before a word, so words are encoded once and remembered."""
+class Odd(Exception):
+    """A text that can't be cut into words that are encoded by themselves."""
 
-    def __init__(self, path: str):
+
+class Encoder(dict):
+    """Ids as little-endian unsigned 32-bit bytes, by the tokenizer file at `path`.
+
+    Byte-level BPE never merges across a single blank before a word or a single line end, so each word is encoded once and remembered.  With `ranks` (the same vocabulary
+    as a list of ranks) new words are encoded by the faster library that reads it; the ids are the same.  Texts with other white space or special tokens are encoded whole.
+    """
+
+    def __init__(self, path: str, ranks: str | None = None):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        whole, cut = [], []
-        for i, t in enumerate(texts):
-            if _PLAIN.search(t):
-                whole.append(i)
-            elif t:
-                # "a b\nc" -> "a", " b", "\n", "c"
-                cut.append((i, t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in t else [t]))
+        super().__init__()
+        self.model, self.old, self.quick = Tokenizer.from_file(path), {}, None
+        if ranks:
+            import base64
+
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.quick = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            if _ODD.search(word):
+                raise Odd
+            if self.quick is None:
+                found = self.whole(word)
+            elif (word[1:] if word[0] == " " else word).isalpha():
+                ids = self.quick._encode_single_piece(word)
+                found = struct.pack(f"<{len(ids)}I", *ids)
             else:
-                out[i] = b""
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        missing = list(set().union(*(words for _, words in cut)) - self.known.keys())
-        for a in range(0, len(missing), 20_000):
-            self.known.update(zip(missing[a : a + 20_000], self.encode(missing[a : a + 20_000]), strict=True))
-        get = self.known.__getitem__
-        for i, words in cut:
-            out[i] = b"".join(map(get, words))
-        for i in whole:
-            out[i] = self.encode([texts[i]])[0]
-        return out
-
-
-def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
+                ids = self.quick.encode_ordinary(word)
+                found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) >= REMEMBER:
+            self.old = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if "\0" in text:
+            return self.whole(text)
+        # "a b\nc" -> "a", " b", "\n", "c"
+        try:
+            return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
+        except Odd:
+            return self.whole(text)
+
+
+def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, ranks: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of every piece."""
-    path = path or vocabulary()
+    if path is None:
+        path, ranks = vocabulary()
 
     def run(batches):
         encoder = None
         for b in batches:
-            encoder = encoder or Encoder(path)
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            encoder = Encoder(path, ranks) if encoder is None else encoder
             rows = []
-            for a in range(0, len(texts), 500):
-                for d, raw in zip(ids[a : a + 500], encoder([t or "" for t in texts[a : a + 500]]), strict=True):
-                    raw += CLOSE.to_bytes(4, "little")
+            for a, z in batches_of(b.column(1)):
+                for d, text in zip(b.column(0).slice(a, z - a).to_pylist(), b.column(1).slice(a, z - a).to_pylist(), strict=True):
+                    raw = encoder.encode(text or "") + CLOSE.to_bytes(4, "little")
                     n = len(raw) // 4
                     rows += [(d, s, min(size, n - s), zlib.crc32(raw[4 * s : 4 * (s + size)]), n) for s in range(0, n, size)]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
