@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, quality, substring, suffix, warc
+from . import langid, minhash, mixing, packing, partenum, quality, substring, suffix, warc
 
 QUERIES = {
     "op1_warc_revisit": warc.op1_warc_revisit,
     "op3_substring_dedup": substring.op3_substring_dedup,
+    "op4_ngram_jaccard": partenum.op4_ngram_jaccard,
+    "op5_fingerprints": minhash.op5_fingerprints,
     "op6_packing": packing.op6_packing,
     "op7_suffix_array_dedup": suffix.op7_suffix_array_dedup,
     "op8_quality_classifier": quality.op8_quality_classifier,
