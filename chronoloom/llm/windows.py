@@ -98,8 +98,7 @@ def units(joined: np.ndarray, words: bool):
     """Value, first and last byte of each unit of bytes in which '\\n' ends every piece of words."""
     if words:
         return word_hashes(joined)
-    at = np.arange(len(joined), dtype=np.int64)
-    return TABLE[joined], at, at + 1
+    return TABLE[joined], None, None  # byte i is unit i
 
 
 def cut(pieces: list[bytes], plan: Plan, hot: Hot | None):
@@ -109,7 +108,9 @@ def cut(pieces: list[bytes], plan: Plan, hot: Hot | None):
     joined = np.frombuffer(buffer, np.uint8)
     ends = np.cumsum([len(p) + plan.words for p in pieces])
     value, start, end = units(joined, plan.words)
-    first = np.searchsorted(start, np.concatenate(([0], ends)))
+    first = np.concatenate(([0], ends))
+    if plan.words:
+        first = np.searchsorted(start, first)
     n = len(value) - k + 1
     if n <= 0:
         return buffer, None
@@ -120,6 +121,8 @@ def cut(pieces: list[bytes], plan: Plan, hot: Hot | None):
     least = sliding_min(g, k - m + 1)
     del g
     valid = piece[:n] == piece[k - 1 :]
+    if hot is None:
+        value = None
     all_hot = np.flatnonzero((least >= TOP) & valid)
     if len(all_hot):
         p = prefix(value)
@@ -133,7 +136,8 @@ def cut(pieces: list[bytes], plan: Plan, hot: Hot | None):
     stop[:-1] &= new[1:] | ~valid[1:]
     e = np.flatnonzero(stop)
     count = e - s + 1
-    return buffer, (least[s], piece[s], s - first[piece[s]], count, start[s], end[e + k - 1])
+    where = (start[s], end[e + k - 1]) if plan.words else (s, e + k)
+    return buffer, (least[s], piece[s], s - first[piece[s]], count, *where)
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
@@ -373,11 +377,11 @@ def _windows(buffer: bytes, count: np.ndarray, plan: Plan):
         within = np.repeat(total[at:to] - a, count[at:to]) + _ramp(count[at:to])
         hashes.append(g[within])
         u = within + a
-        begin.append(first[u] if plan.words else u)
-        end.append(last[u + k - 1] if plan.words else u + k)
+        begin.append((first[u] if plan.words else u).astype(np.int32))
+        end.append((last[u + k - 1] if plan.words else u + k).astype(np.int32))
         at = to
-    own = np.repeat(np.arange(n_strings), count)
-    return np.concatenate(hashes), own, _ramp(count), np.concatenate(begin), np.concatenate(end)
+    own = np.repeat(np.arange(n_strings, dtype=np.int32), count)
+    return np.concatenate(hashes), own, _ramp(count).astype(np.int32), np.concatenate(begin), np.concatenate(end)
 
 
 def _ramp(count: np.ndarray) -> np.ndarray:
@@ -439,38 +443,36 @@ def ordered(buffer: bytes, doc, count, many, plan: Plan):
     """
     h, own, off, begin, end = _windows(buffer, count, plan)
     hit = np.zeros(len(h), bool)
-    d = doc[own]
-    ranks = np.sort(doc)
-    cuts = np.unique(ranks[np.linspace(0, len(ranks) - 1, plan.batches + 1).astype(int)[1:-1]]) if len(ranks) else ranks
-    batch = np.searchsorted(cuts, d, side="left")
+    ids, place = np.unique(doc, return_inverse=True)
+    place = place.astype(np.int32)  # documents by number, in order
+    d = place[own]
+    per = np.cumsum(np.bincount(place, weights=count))
+    cuts = np.unique(np.searchsorted(per, per[-1] * np.arange(1, plan.batches) / plan.batches))
+    batch_of = np.searchsorted(cuts, np.arange(len(ids)), side="left").astype(np.int8)
+    batch = batch_of[d]
     family = Family()
     differ: list[int] = []
     for b in range(len(cuts) + 1):
         mine = np.flatnonzero(batch == b)
         if not len(mine):
             continue
-        o = mine[np.lexsort((d[mine], h[mine]))]
-        key = h[o]
-        new = np.ones(len(o), bool)
-        new[1:] = key[1:] != key[:-1]
-        head = o[np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))]
-        rep = np.empty(len(h), np.int64)
-        rep[o] = head
-        old = np.full(len(h), -1, np.int64)
-        heads = o[new]
-        place = family.find(key[new])
-        old[heads] = place
-        found = old[rep[mine]]
-        for whose, other0 in ((mine[found >= 0], None), (mine[(found < 0) & (d[rep[mine]] < d[mine])], rep)):
-            if other0 is None:
-                y0 = old[rep[whose]]
-                length = end[whose] - begin[whose]
-                ok = _same(buffer, begin[whose], end[whose], y0, y0 + length, own[whose])
-            else:
-                ok = _same(buffer, begin[whose], end[whose], begin[rep[whose]], end[rep[whose]], own[whose])
-            hit[whose[ok]] = True
-            differ += whose[~ok].tolist()
+        perm = np.lexsort((d[mine], h[mine]))
+        key = h[mine[perm]]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        heads = mine[perm[new]]
+        group = np.cumsum(new) - 1
+        rep, found = np.empty(len(mine), np.int32), np.empty(len(mine), np.int32)
+        rep[perm] = heads[group]
+        found[perm] = family.find(key[new])[group]
+        # Against the levels, all of smaller documents; then against the batch's own smallest document.
+        for those, y in ((np.flatnonzero(found >= 0), found), (np.flatnonzero((found < 0) & (d[rep] < d[mine])), None)):
+            w = mine[those]
+            y0 = found[those] if y is not None else begin[rep[those]]
+            ok = _same(buffer, begin[w], end[w], y0, y0 + (end[w] - begin[w]), own[w])
+            hit[w[ok]] = True
+            differ += w[~ok].tolist()
         family.add(Level(key[new], begin[heads], len(heads)))
+        del perm, rep, found, group
     if differ:  # strings of one hash that differ: settle such hashes by their bytes
         for value in np.unique(h[differ]):
             least: dict[bytes, int] = {}
