@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, minhash, mixing, packing, partenum, quality, substring, suffix, warc
+from . import ann, langid, minhash, mixing, packing, partenum, quality, substring, suffix, warc
 
 QUERIES = {
     "op1_warc_revisit": warc.op1_warc_revisit,
+    "op2_hnsw_search": ann.op2_hnsw_search,
     "op3_substring_dedup": substring.op3_substring_dedup,
     "op4_ngram_jaccard": partenum.op4_ngram_jaccard,
     "op5_fingerprints": minhash.op5_fingerprints,
