@@ -492,19 +492,17 @@ def hot_grams(docs: DataFrame, plan: Plan, sample: int = 2000, share: float = 0.
     some = docs.filter(F.pmod(F.xxhash64("doc_id", "tag"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(total, 1))))
 
     def count(batches):
+        out = []
         for b in batches:
-            out = []
             for t in b.column(2).to_pylist():
-                t = normal(t, plan.words)[: CHUNK]
-                v, _, _ = units(np.frombuffer(t, np.uint8), plan.words)
+                v, _, _ = units(np.frombuffer(normal(t, plan.words)[:CHUNK], np.uint8), plan.words)
                 out.append(np.unique(grams(v, plan.m) >> U(1)))
-            g, n = np.unique(np.concatenate(out), return_counts=True) if out else (np.zeros(0, U), np.zeros(0, np.int64))
-            more = n > 1  # seen once in a batch: too rare to be hot unless batches are tiny
-            g, n = (g[more], n[more]) if b.num_rows > 200 else (g, n)
-            yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], names=["g", "n"])
+        g, n = np.unique(np.concatenate(out), return_counts=True) if out else (np.zeros(0, U), np.zeros(0, np.int64))
+        more = n > min(2, len(out) // 50)  # too rare here to be hot
+        yield pa.RecordBatch.from_arrays([pa.array(g[more].astype(np.int64)), pa.array(n[more].astype(np.int64))], names=["g", "n"])
 
     seen = min(total, sample)
-    rows = some.mapInArrow(count, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") > max(8, share * seen)).select("g").toPandas()
+    rows = some.repartition(4).mapInArrow(count, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") > max(8, share * seen)).select("g").toPandas()
     return np.sort(rows["g"].to_numpy(np.int64).astype(U))
 
 
