@@ -26,12 +26,13 @@ SPAN = 1 << 48
 
 
 def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc_id, source key (null last), size and a random integer below 2**48 of every row."""
+    """doc_id, source key (null last), size, a random integer below 2**48 and a hash of the text of every row."""
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source"))).alias("skey"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size"),
         F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 12), 16, 10).cast("bigint").alias("u"),
+        F.hash(F.coalesce("text", F.lit(""))).alias("tag"),
     )
 
 
@@ -54,7 +55,7 @@ def targets(rows: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """doc_id, skey, size, source_size, target, copies of every row."""
+    """doc_id, tag, skey, size, source_size, target, copies of every row."""
     rows = stored(sized(docs, seed), "sizes")
     plan = targets(rows, weights, most)
     plan = plan.withColumn("sure", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
@@ -80,7 +81,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEED) ->
     other = rows.filter(~within).withColumn("extra", F.coalesce((F.col("bin") < F.col("cut")).cast("int"), F.lit(0)))
     done = tight.unionByName(other)
     copies = F.when(F.col("size") > 0, F.least(F.lit(most), F.col("sure") + F.col("extra"))).otherwise(F.lit(0)).cast("int")
-    return done.select("doc_id", "skey", "size", "source_size", "target", copies.alias("copies"))
+    return done.select("doc_id", "tag", "skey", "size", "source_size", "target", copies.alias("copies"))
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it (rows equal in doc_id and text alike)."""
+    taken = mix(docs, weights, most, seed).groupBy(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
+    rows = docs.withColumn("_tag", F.hash(F.coalesce("text", F.lit(""))))
+    rows = rows.join(taken, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_d")) & (F.col("_tag") == F.col("_t")))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,7 +82,7 @@ def signatures(values: np.ndarray, scheme: Scheme) -> np.ndarray:
 
 
 def described(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, key (64 bits of a digest of the set; null if empty), sketch (shingles in each 64th of the domain)."""
+    """doc_id, tag, n_shingles, key (64 bits of a digest of the set; null if empty), sketch (shingles in each 64th of the domain)."""
 
     def run(batches):
         for b in batches:
@@ -95,10 +95,11 @@ def described(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                     keys.append(int.from_bytes(hashlib.blake2b(v[x:y].tobytes(), digest_size=8).digest(), "little", signed=True) if y > x else None)
                     sketches.append(np.minimum(np.bincount(part[x:y], minlength=PARTS), 65535).astype(np.uint16).tobytes() if y > x else None)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(a, z - a), pa.array(np.diff(at).astype(np.int64)), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "key", "sketch"]
+                    [b.column(0).slice(a, z - a), b.column(2).slice(a, z - a), pa.array(np.diff(at).astype(np.int64)), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "tag", "n_shingles", "key", "sketch"]
                 )
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, key bigint, sketch binary")
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.hash("text").alias("tag"))
+    return rows.mapInArrow(run, "doc_id bigint, tag int, n_shingles bigint, key bigint, sketch binary")
 
 
 def dealt(docs: DataFrame, buckets: int, scheme: Scheme, n: int) -> DataFrame:
@@ -257,12 +258,12 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame, share: int
 
 
 def groups(docs: DataFrame, share: int = SIMILARITY, n: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs(doc_id, text, ...)."""
+    """doc_id, tag (hash of the text), n_shingles, component_id, first (whether it is the row to keep of its component) of every row of docs(doc_id, text, ...)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     scheme = Scheme(share)
     sets = stored(described(docs, n), "sets")
-    classes = stored(sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.count("*").alias("_n")), "classes")
+    classes = stored(sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("f"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.count("*").alias("_n")).withColumn("tag", F.col("f.tag")).drop("f"), "classes")
     volume = sets.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = partitions_for(spark, volume * 0.35, 1_500_000)
     grouped = stored(dealt(docs, buckets, scheme, n).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_grouped, "kind int, a bigint, b bigint"), "signatures")
@@ -278,15 +279,36 @@ def groups(docs: DataFrame, share: int = SIMILARITY, n: int = SHINGLE) -> DataFr
         links = stored(links.union(verified(more, docs, classes, share, n)), "all-links")
         found = stored(components(links.toDF("u", "v")), "all-components")
     named = classes.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    named = stored(named.select("key", "rep", "_n", "root"), "named")
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("_m"))
-    named = attach(named, stored(smallest, "smallest"), "root", "_m", named.count()).select("key", "component_id", "_n")
-    out = attach(sets.select("doc_id", "n_shingles", "key"), stored(named, "named-classes"), "key", "_n", sets.count())
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = stored(named.select("key", "rep", "tag", "_n", "root"), "named")
+    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.min(F.struct(F.col("rep").isNull(), "rep", "tag")).alias("f"), F.count("*").alias("_m"))
+    smallest = smallest.select("root", "component_id", F.col("f.rep").alias("first_id"), F.col("f.tag").alias("first_tag"), "_m")
+    named = attach(named.drop("rep", "tag"), stored(smallest, "smallest"), "root", "_m", named.count()).select("key", "component_id", "first_id", "first_tag", "_n")
+    out = attach(sets.select("doc_id", "tag", "n_shingles", "key"), stored(named, "named-classes"), "key", "_n", sets.count())
+    first = F.col("key").isNull() | (F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tag") == F.col("first_tag")))
+    return out.select("doc_id", "tag", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), first.alias("first"))
+
+
+def kept(docs: DataFrame, share: int = SIMILARITY, n: int = SHINGLE) -> DataFrame:
+    """The rows of docs of which one stays in each component: the smallest doc_id (then the least hash of its text; of rows equal in both, one)."""
+    names = docs.columns
+    found = stored(groups(docs, share, n), "groups")
+    gone = found.filter(~F.col("first")).select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")).distinct()
+    rows = docs.withColumn("_tag", F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    rows = rows.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_d")) & (F.col("_tag") == F.col("_t")), "left_anti")
+    # Repeated rows: few ids have more than one row left, and only those are looked at again.
+    twice = stored(found.filter("first and n_shingles > 0").groupBy("doc_id", "tag").count().filter("count > 1").select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")), "repeated")
+    if twice.limit(1).count():
+        same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_d")) & (F.col("_tag") == F.col("_t"))
+        rows = rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_tag"]))
+    return rows.select(*names)
+
+
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(documents(spark, sf_dir))
+    return groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 SQL = None
