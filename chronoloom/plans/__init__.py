@@ -20,7 +20,7 @@ def register(name: str, sql: str | None = None) -> Callable:
     return keep
 
 
-FAMILIES: list[str] = []
+FAMILIES: list[str] = ["transcripts"]
 
 
 def load() -> None:
