@@ -131,7 +131,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("session_id") * 5 + F.col("ord") * 3
     return t.select(
         "session_id", "ord", F.concat(F.lit("q"), F.col("ord").cast("string")).alias("question_id"),
-        F.when(F.col("ord") % 3 == 2, F.upper(F.substring(F.first("text").over(_by_session()), 1, 20))).otherwise(F.substring("text", 1, 20)).alias("issue"),
+        F.when(F.col("ord") % 3 == 2, F.lower(F.substring(F.first("text").over(_by_session()), 1, 20))).otherwise(F.substring("text", 1, 20)).alias("issue"),
         F.when(k % 2 == 0, F.substring("text", 5, 15)).alias("recommendation"), F.substring("text", 1, 30).alias("why_it_matters"), F.array("id").alias("turn_ids"),
         ((k % 10) / 10.0).alias("confidence"), F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), (k % 3 + 1).cast("int")).alias("consequence"),
         F.when(k % 4 == 0, F.lit("answered")).otherwise(F.lit("open")).alias("status"), "start_ms", "end_ms",
@@ -146,7 +146,7 @@ def _by_session():
 
 QUESTIONS = """questions AS (
   SELECT session_id, ord, 'q' || ord AS question_id,
-    CASE WHEN ord % 3 = 2 THEN upper(substr(first(text) OVER (PARTITION BY session_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 1, 20)) ELSE substr(text, 1, 20) END AS issue,
+    CASE WHEN ord % 3 = 2 THEN lower(substr(first(text) OVER (PARTITION BY session_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 1, 20)) ELSE substr(text, 1, 20) END AS issue,
     CASE WHEN (session_id * 5 + ord * 3) % 2 = 0 THEN substr(text, 5, 15) END AS recommendation, substr(text, 1, 30) AS why_it_matters, [id] AS turn_ids,
     ((session_id * 5 + ord * 3) % 10) / 10.0::DOUBLE AS confidence, ['low', 'medium', 'high'][((session_id * 5 + ord * 3) % 3 + 1)::INT] AS consequence,
     CASE WHEN (session_id * 5 + ord * 3) % 4 = 0 THEN 'answered' ELSE 'open' END AS status, start_ms, end_ms
