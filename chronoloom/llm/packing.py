@@ -11,23 +11,24 @@ other documents; ties in rank are broken by doc_id and start; a null doc_id is p
 from __future__ import annotations
 
 import re
-import struct
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, documents, ranked
+from .common import batches_of, documents, ranked, word_hashes
 
 SIZE = 2048
 CLOSE = 1
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-#: Distinct words whose ids a task remembers: two generations of this size; words not used for a generation are forgotten.
-REMEMBER = 500_000
-#: Pieces of text that can't be encoded by themselves: odd white space, or a piece of a special token.
-_ODD = re.compile(r"\A \Z|\A\Z|\S\s|\s\s|[^\S \n]|<\|")
+#: Distinct words whose ids a task remembers, at most; then those met in one group of texts only are forgotten.
+REMEMBER = 1_000_000
+#: A word that can't be encoded by itself holds other white space.
+_ODD = re.compile(r"\s")
+_AWKWARD = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"<|")
 
 
 def vocabulary() -> tuple[str, str]:
@@ -37,22 +38,18 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class Odd(Exception):
-    """A text that can't be cut into words that are encoded by themselves."""
-
-
-class Encoder(dict):
+class Encoder:
     """Ids as little-endian unsigned 32-bit bytes, by the tokenizer file at `path`.
 
-    Byte-level BPE never merges across a single blank before a word or a single line end, so each word is encoded once and remembered.  With `ranks` (the same vocabulary
-    as a list of ranks) new words are encoded by the faster library that reads it; the ids are the same.  Texts with other white space or special tokens are encoded whole.
+    Byte-level BPE never merges across a single blank before a word or a single line end, so each distinct word (with what is before it) is encoded once and remembered by its hash; a
+    group of texts is looked up and put together in numpy.  With `ranks` (the same vocabulary as a list of ranks) new words are encoded by the faster library that reads it; the
+    ids are the same.  Texts with other white space or special tokens are encoded whole.
     """
 
     def __init__(self, path: str, ranks: str | None = None):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.model, self.old, self.quick = Tokenizer.from_file(path), {}, None
+        self.model, self.quick = Tokenizer.from_file(path), None
         if ranks:
             import base64
 
@@ -62,39 +59,95 @@ class Encoder(dict):
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.quick = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.old.get(word)
-        if found is None:
-            if _ODD.search(word):
-                raise Odd
-            if self.quick is None:
-                found = self.whole(word)
-            elif (word[1:] if word[0] == " " else word).isalpha():
-                ids = self.quick._encode_single_piece(word)
-                found = struct.pack(f"<{len(ids)}I", *ids)
+        self.line = self.model.encode("\n", add_special_tokens=False).ids
+        self.known: dict[int, int] = {}  # hash of a word and what is before it -> its place below
+        self.pool, self.used, self.odd = np.zeros(1 << 16, np.uint32), 0, set()
+        # Of each word: where its ids are in the pool, how many, in how many groups of texts it was met, and its hash.
+        self.first, self.size, self.met, self.key = (np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.uint64))
+
+    def forget(self) -> None:
+        keep = np.flatnonzero(self.met > 1)
+        if len(keep) > REMEMBER // 2:
+            keep = keep[:0]
+        size = self.size[keep]
+        at = np.cumsum(size) - size
+        ids = self.pool[np.repeat(self.first[keep] - at, size) + np.arange(int(size.sum()))]
+        odd = {int(i) for i in np.flatnonzero(np.isin(keep, list(self.odd)))} if self.odd else set()
+        self.pool, self.used, self.odd = np.concatenate((ids, np.zeros(1 << 16, np.uint32))), len(ids), odd
+        self.first, self.size, self.met, self.key = at, size, np.ones(len(keep), np.int32), self.key[keep]
+        self.known = dict(zip(self.key.tolist(), range(len(keep)), strict=True))
+
+    def whole(self, text: bytes) -> bytes:
+        return np.array(self.model.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, keys: np.ndarray, words: list[bytes], before: list[int]) -> None:
+        """New words; before: 0 start of text, 1 a blank, 2 a line end."""
+        found, base = [], len(self.first)
+        single = self.quick._core_bpe.encode_single_piece if self.quick else None
+        for i, (word, b) in enumerate(zip(words, before, strict=True)):
+            text = word.decode("utf-8", "replace")
+            if single and text.isalpha():  # one piece for the model, so no need to split it
+                ids = single(b" " + word if b == 1 else word)
+            else:
+                if _ODD.search(text):
+                    self.odd.add(base + i)
+                text = " " + text if b == 1 else text
+                ids = self.quick.encode_ordinary(text) if self.quick else self.model.encode(text, add_special_tokens=False).ids
+            found.append(self.line + ids if b == 2 else ids)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        n = self.used + int(size.sum())
+        if n > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(max(n, len(self.pool)), np.uint32)))
+        self.pool[self.used : n] = np.fromiter(chain.from_iterable(found), np.uint32, n - self.used)
+        self.known.update(zip(keys.tolist(), range(base, base + len(found)), strict=True))
+        self.first = np.concatenate((self.first, self.used + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size))
+        self.met = np.concatenate((self.met, np.zeros(len(found), np.int32)))
+        self.key = np.concatenate((self.key, keys))
+        self.used = n
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        out: list = [b""] * len(texts)
+        plain = []
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if t[0] in b" \n" or t[-1] in b" \n" or any(x in t for x in _AWKWARD):
+                out[i] = self.whole(t)
             else:
-                ids = self.quick.encode_ordinary(word)
-                found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= REMEMBER:
-            self.old = dict(self)
-            self.clear()
-        self[word] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if "\0" in text:
-            return self.whole(text)
-        # "a b\nc" -> "a", " b", "\n", "c"
-        try:
-            return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
-        except Odd:
-            return self.whole(text)
+                plain.append(i)
+        if not plain:
+            return out
+        if len(self.known) > REMEMBER:
+            self.forget()
+        buffer = b"\n".join([texts[i] for i in plain]) + b"\n"
+        a = np.frombuffer(buffer, np.uint8)
+        h, start, end = word_hashes(a)
+        stops = np.cumsum([len(texts[i]) + 1 for i in plain])
+        of = np.searchsorted(start, np.concatenate(([0], stops)))
+        before = np.where(a[start - 1] == 32, 1, 2)
+        before[of[:-1]] = 0
+        key = h ^ (before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ ((end - start).astype(np.uint64) << np.uint64(40))
+        distinct, where, back = np.unique(key, return_index=True, return_inverse=True)
+        place = np.fromiter(map(self.known.get, distinct.tolist(), repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = np.arange(len(self.first), len(self.first) + len(new))
+            w = where[new]
+            self.learn(distinct[new], [buffer[x:y] for x, y in zip(start[w].tolist(), end[w].tolist(), strict=True)], before[w].tolist())
+        self.met[place] += 1
+        size, first = self.size[place][back], self.first[place][back]
+        at = np.concatenate(([0], np.cumsum(size)))
+        ids = self.pool[np.repeat(first - at[:-1], size) + np.arange(at[-1])].astype("<u4").tobytes()
+        cuts = (4 * at[of]).tolist()
+        for i, x, y in zip(plain, cuts, cuts[1:]):
+            out[i] = ids[x:y]
+        if self.odd:
+            bad = np.fromiter((p in self.odd for p in place.tolist()), bool, len(place))[back]
+            if bad.any():
+                for i in np.unique(np.searchsorted(of, np.flatnonzero(bad), side="right") - 1).tolist():
+                    out[plain[i]] = self.whole(texts[plain[i]])
+        return out
 
 
 def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, ranks: str | None = None) -> DataFrame:
@@ -108,14 +161,14 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, ranks: st
             encoder = Encoder(path, ranks) if encoder is None else encoder
             rows = []
             for a, z in batches_of(b.column(1)):
-                for d, text in zip(b.column(0).slice(a, z - a).to_pylist(), b.column(1).slice(a, z - a).to_pylist(), strict=True):
-                    raw = encoder.encode(text or "") + CLOSE.to_bytes(4, "little")
+                for d, raw in zip(b.column(0).slice(a, z - a).to_pylist(), encoder.encode(b.column(1).slice(a, z - a).to_pylist()), strict=True):
+                    raw += CLOSE.to_bytes(4, "little")
                     n = len(raw) // 4
                     rows += [(d, s, min(size, n - s), zlib.crc32(raw[4 * s : 4 * (s + size)]), n) for s in range(0, n, size)]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary")).mapInArrow(run, PIECES)
 
 
 def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
