@@ -20,7 +20,7 @@ def register(name: str, sql: str | None = None) -> Callable:
     return keep
 
 
-FAMILIES: list[str] = ["transcripts", "claims", "scoring", "notes"]
+FAMILIES: list[str] = ["transcripts", "claims", "scoring", "notes", "corrections", "checks", "files"]
 
 
 def load() -> None:

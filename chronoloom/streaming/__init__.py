@@ -1 +1,42 @@
-"""See README.md."""
+"""Structured Streaming jobs: each reads files as they come and may be stopped and started again."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import fold_surface
+
+APPROVAL = "kind string, canonical string, aliases array<string>, approver string, seq bigint"
+
+
+def contested_stream(spark: SparkSession, source: str, target: str, checkpoint: str) -> None:
+    """T-R7, A39: approvals arrive as Parquet below source; the last approval of each approver is kept as state, and every batch's changed names are appended to target.
+
+    The latest approval by its number is free of order, so late files are right too.  Runs until what is there is read; with its checkpoint it starts again where it stopped.
+    """
+    rows = spark.readStream.schema(APPROVAL).parquet(source)
+    last = rows.groupBy(fold_surface("kind").alias("kind"), fold_surface("canonical").alias("name"), "approver").agg(F.max("seq").alias("seq"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        # The batch number makes a repeated batch overwrite itself.
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    q = last.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def current_names(spark: SparkSession, target: str) -> DataFrame:
+    """What the stream knows: each approver's latest approval of a kind, and whether approvers differ."""
+    x = spark.read.parquet(target).groupBy("kind", "approver").agg(F.max_by("name", "seq").alias("name"))
+    return x.groupBy("kind").agg((F.count_distinct("name") > 1).alias("contested"), F.count("*").alias("approvers"))
+
+
+def staged_run(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, stage) -> None:
+    """T-R1: apply a stage (DataFrame -> DataFrame) to new files only; files that were done are skipped by the checkpoint."""
+    rows = spark.readStream.schema(schema).parquet(source)
+
+    def write(batch: DataFrame, number: int) -> None:
+        stage(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
