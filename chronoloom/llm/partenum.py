@@ -4,8 +4,8 @@ Sets are distinct four-word shingles.  Sizes fall in bands, each `similarity` of
 instances of its band.  In an instance, similar sets differ in at most k shingles.  The shingle domain is dealt by hash to n1 partitions of n2 parts each; of n1 partitions one
 differs in at most k2 = k // n1, so leaving out every k2 of its n2 parts leaves a subset of parts that is equal in both: one shared signature.
 
-Signatures travel packed to buckets.  Members of a signature are compared with the one of smallest doc_id; a 64-byte count of shingles per part of the domain gives an exact lower bound of
-the difference that drops most false candidates, and the rest is verified on the shingles.  Components follow; where a signature still holds members of several components, the
+Signatures travel packed to buckets.  Members of a signature are compared with the one of smallest doc_id; parities of the shingles in many parts of the domain (a bit each) differ in
+at most as many bits as the sets differ in shingles, an exact bound that drops nearly all false candidates, and the rest is verified on the shingles.  Components follow; where a signature still holds members of several components, the
 other pairs across components are compared by the same bound and verified too, in blocks.  Equal sets are one class throughout.
 
 Defined results: a null or empty text, or one without words, has an empty set and is its own component; a shorter text than four words is one shingle; rows that repeat a doc_id
@@ -31,7 +31,8 @@ from .windows import pack, unpack
 SHINGLE = 4
 #: Similarity in hundredths, so that no bound is rounded.
 SIMILARITY = 85
-PARTS = 64
+#: A sketch has at least so many bits, and a power of two of at least eight for each shingle.
+LEAST_BITS = 512
 BLOCK = 1024
 U = np.uint64
 
@@ -81,25 +82,48 @@ def signatures(values: np.ndarray, scheme: Scheme) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _key(values: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def described(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """doc_id, tag, n_shingles, key (64 bits of a digest of the set; null if empty), sketch (shingles in each 64th of the domain)."""
+    """doc_id, tag, n_shingles, key (64 bits of a digest of the set; null if empty)."""
 
     def run(batches):
         for b in batches:
             for a, z in batches_of(b.column(1)):
-                texts = [t or b"" for t in b.column(1).slice(a, z - a).to_pylist()]
-                v, at = shingle_sets(texts, n)
-                keys, sketches = [], []
-                part = (mix(v) >> U(58)).astype(np.int64)
-                for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    keys.append(int.from_bytes(hashlib.blake2b(v[x:y].tobytes(), digest_size=8).digest(), "little", signed=True) if y > x else None)
-                    sketches.append(np.minimum(np.bincount(part[x:y], minlength=PARTS), 65535).astype(np.uint16).tobytes() if y > x else None)
+                v, at = shingle_sets([t or b"" for t in b.column(1).slice(a, z - a).to_pylist()], n)
+                keys = [_key(v[x:y]) if y > x else None for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(a, z - a), b.column(2).slice(a, z - a), pa.array(np.diff(at).astype(np.int64)), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "tag", "n_shingles", "key", "sketch"]
+                    [b.column(0).slice(a, z - a), b.column(2).slice(a, z - a), pa.array(np.diff(at).astype(np.int64)), pa.array(keys, pa.int64())], names=["doc_id", "tag", "n_shingles", "key"]
                 )
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.hash("text").alias("tag"))
-    return rows.mapInArrow(run, "doc_id bigint, tag int, n_shingles bigint, key bigint, sketch binary")
+    return rows.mapInArrow(run, "doc_id bigint, tag int, n_shingles bigint, key bigint")
+
+
+def sketch(values: np.ndarray) -> bytes:
+    """Parities of the set's shingles in 2**m parts of the domain."""
+    bits = max(LEAST_BITS, 1 << int(8 * len(values) - 1).bit_length())
+    part = (mix(values ^ U(0xA5A5A5A5A5A5A5A5)) & U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(part, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(blobs: list[bytes]) -> np.ndarray:
+    """Sketches of one length: longer ones are folded by exclusive or, which parities allow."""
+    size = min(map(len, blobs))
+    out = np.empty((len(blobs), size // 8), U)
+    for i, x in enumerate(blobs):
+        x = np.frombuffer(x, U)
+        while len(x) * 8 > size:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[i] = x
+    return out
+
+
+def bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least number of shingles in which sets with these sketches differ."""
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
 
 
 def dealt(docs: DataFrame, buckets: int, scheme: Scheme, n: int) -> DataFrame:
@@ -116,7 +140,7 @@ def dealt(docs: DataFrame, buckets: int, scheme: Scheme, n: int) -> DataFrame:
                 for i, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                     if y == x:
                         continue
-                    key = int.from_bytes(hashlib.blake2b(v[x:y].tobytes(), digest_size=8).digest(), "little", signed=True)
+                    key = _key(v[x:y])
                     d = ids[i] if ids[i] is not None else (1 << 63) - 1
                     if key in seen:  # a copy in this batch: its signatures are there already
                         docs_[seen[key]] = min(docs_[seen[key]], d)
@@ -181,31 +205,43 @@ def _grouped(table: pa.Table) -> pa.Table:
     return pa.table({"kind": pa.array(np.repeat(np.array([0, 1], np.int32), [len(pairs), len(members)])), "a": pa.array(np.ascontiguousarray(both[:, 0])), "b": pa.array(np.ascontiguousarray(both[:, 1]))})
 
 
-def _bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.abs(x.astype(np.int32) - y.astype(np.int32)).sum(-1)
+def representatives(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, text of one document of each class in keys(key).  Only their texts travel, while the ids fit in a broadcast; beyond, both sides shuffle."""
+    reps = stored(classes.join(keys, "key", "left_semi").select("key", F.col("rep").alias("doc_id"), F.col("tag").alias("_tag")), "representatives")
+    rows = docs.withColumn("tag", F.hash("text"))
+    few = reps.count() <= BROADCAST_IDS
+    reps = reps.withColumnRenamed("doc_id", "_doc")
+    found = rows.join(F.broadcast(reps) if few else reps, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag"))).select("key", F.col("text").cast("binary").alias("text"))
+    return found.dropDuplicates(["key"])
 
 
-def possible(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
+def sketches(texts: DataFrame, n: int) -> DataFrame:
+    """key, n_shingles, sketch of classes' texts."""
+
+    def run(batches):
+        for b in batches:
+            for a, z in batches_of(b.column(1)):
+                v, at = shingle_sets(b.column(1).slice(a, z - a).to_pylist(), n)
+                done = [sketch(v[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(np.diff(at).astype(np.int64)), pa.array(done, pa.binary())], names=["key", "n_shingles", "sketch"])
+
+    return texts.mapInArrow(run, "key bigint, n_shingles bigint, sketch binary")
+
+
+def possible(pairs: DataFrame, drawn: DataFrame, share: int) -> DataFrame:
     """Pairs (a, b) whose sketches do not rule them out."""
 
     def test(frames: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y, n, m in frames:
-            sx, sy = (np.frombuffer(b"".join(s), np.uint16).reshape(-1, PARTS) for s in (x, y))
-            yield pd.Series(_bound(sx, sy) * (100 + share) <= (100 - share) * (n + m).to_numpy())
+            least = np.fromiter((int(bound(*folded([p, q]))) for p, q in zip(x, y, strict=True)), np.int64, len(x))
+            yield pd.Series(least * (100 + share) <= (100 - share) * (n + m).to_numpy())
 
-    left, right = (classes.select(F.col("key").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n_shingles").alias(f"n{c}")) for c in "ab")
+    left, right = (drawn.select(F.col("key").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n_shingles").alias(f"n{c}")) for c in "ab")
     return pairs.join(left, "a").join(right, "b").filter(F.pandas_udf(test, "boolean")("sa", "sb", "na", "nb")).select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, share: int, n: int) -> DataFrame:
-    """Pairs (a, b) of classes whose shingle sets are similar: the text of one document of each class that occurs is joined to its pairs."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    reps = stored(classes.join(wanted, "key", "left_semi").select("key", "rep", "n_shingles"), "representatives")
-    rows = docs.filter("doc_id is not null")
-    if reps.count() <= BROADCAST_IDS:
-        rows = rows.join(F.broadcast(reps.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    # A doc_id of several rows may have texts of other classes: the kernel checks each text's key.
-    texts = stored(rows.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id").select("key", F.col("text").cast("binary").alias("text")).dropDuplicates(["key", "text"]), "texts")
+def verified(pairs: DataFrame, texts: DataFrame, share: int, n: int) -> DataFrame:
+    """Pairs (a, b) of classes whose shingle sets are similar, from texts(key, text)."""
     left, right = (texts.select(F.col("key").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
 
     def run(batches):
@@ -228,18 +264,18 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, share: int,
     return joined.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def across(members: DataFrame, labels: DataFrame, classes: DataFrame, share: int) -> DataFrame:
+def across(members: DataFrame, labels: DataFrame, drawn: DataFrame, share: int) -> DataFrame:
     """Pairs of members of one group but of different components that their sketches don't rule out; large groups are compared block by block."""
-    rows = members.join(labels, "b").join(classes.select(F.col("key").alias("b"), "sketch", "n_shingles"), "b")
+    rows = members.join(labels, "b")
     mixed = rows.groupBy("a").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("_n")).filter("r <> s").drop("r", "s")
     mixed = stored(mixed.withColumn("blocks", F.ceil(F.col("_n") / BLOCK).cast("int")), "mixed")
-    rows = rows.join(mixed, "a").withColumn("own", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    rows = rows.join(mixed, "a").join(drawn.select(F.col("key").alias("b"), "sketch", "n_shingles"), "b").withColumn("own", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("other", other).select("a", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "b", "root", "sketch", "n_shingles")
 
     def compare(t: pa.Table) -> pa.Table:
         key, root, n, own = (t.column(c).to_numpy() for c in ("b", "root", "n_shingles", "own"))
-        s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, PARTS).astype(np.int32)
+        s = folded(t.column("sketch").to_pylist())
         x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
         order = np.argsort(n, kind="stable")
         key, root, n, own, s = key[order], root[order], n[order], own[order], s[order]
@@ -249,7 +285,7 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame, share: int
             j = np.arange(i + 1, stop)
             j = j[(root[j] != root[i]) & ((own[j] != own[i]) | (x == y))]
             if len(j):
-                j = j[np.abs(s[j] - s[i]).sum(1) * (100 + share) <= (100 - share) * (n[j] + n[i])]
+                j = j[bound(s[j], s[i]) * (100 + share) <= (100 - share) * (n[j] + n[i])]
                 out.append(np.stack([np.minimum(key[i], key[j]), np.maximum(key[i], key[j])], 1))
         both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(np.ascontiguousarray(both[:, 0])), "b": pa.array(np.ascontiguousarray(both[:, 1]))})
@@ -263,20 +299,23 @@ def groups(docs: DataFrame, share: int = SIMILARITY, n: int = SHINGLE) -> DataFr
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     scheme = Scheme(share)
     sets = stored(described(docs, n), "sets")
-    classes = stored(sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("f"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.count("*").alias("_n")).withColumn("tag", F.col("f.tag")).drop("f"), "classes")
+    classes = stored(sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("f"), F.count("*").alias("_n")).withColumn("tag", F.col("f.tag")).drop("f"), "classes")
     volume = sets.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = partitions_for(spark, volume * 0.35, 1_500_000)
     grouped = stored(dealt(docs, buckets, scheme, n).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_grouped, "kind int, a bigint, b bigint"), "signatures")
-    pairs = stored(possible(grouped.filter("kind = 0").select("a", "b").distinct(), classes, share), "candidates")
-    links = stored(verified(pairs, docs, classes, share, n), "links")
-    found = stored(components(links.toDF("u", "v")), "components")
     members = grouped.filter("kind = 1").select("a", "b").distinct()
-    labels = classes.select(F.col("key").alias("b")).join(found.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    met = grouped.filter("kind = 0").select(F.col("a").alias("key")).union(grouped.filter("kind = 0").select("b")).distinct()
+    texts = stored(representatives(docs, classes, met), "texts")
+    drawn = stored(sketches(texts, n), "sketches")
+    pairs = stored(possible(grouped.filter("kind = 0").select("a", "b").distinct(), drawn, share), "candidates")
+    links = stored(verified(pairs, texts, share, n), "links")
+    found = stored(components(links.toDF("u", "v")), "components")
+    labels = met.select(F.col("key").alias("b")).join(found.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
     # What the first members' comparisons have not joined: other pairs of one signature, those refused above left out.
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stored(across(members, labels, classes, share).join(tried, ["a", "b"], "left_anti"), "further-candidates")
+    more = stored(across(members, stored(labels, "labels"), drawn, share).join(tried, ["a", "b"], "left_anti"), "further-candidates")
     if more.limit(1).count():
-        links = stored(links.union(verified(more, docs, classes, share, n)), "all-links")
+        links = stored(links.union(verified(more, texts, share, n)), "all-links")
         found = stored(components(links.toDF("u", "v")), "all-components")
     named = classes.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = stored(named.select("key", "rep", "tag", "_n", "root"), "named")
