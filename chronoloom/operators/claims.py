@@ -24,9 +24,10 @@ def evidence(claims: DataFrame, claim: str, turns: DataFrame, key: str = "sessio
     found = x.groupBy(key, claim).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count_if(F.col("_id").isNull()).alias("unknown"))
     out = claims.select(key, claim, F.size("turn_ids").alias("cites")).join(found, [key, claim], "left")
     bad = (F.col("cites") < 1) | (F.coalesce("unknown", F.lit(1)) > 0)
+    start = F.when(~bad, F.col("start_ms"))
     if strict:
-        out = out.withColumn("start_ms", F.when(bad, F.raise_error(F.concat(F.lit("unsupported claim "), F.col(claim).cast("string"))).cast("bigint")).otherwise(F.col("start_ms")))
-    return out.select(key, claim, F.when(~bad, F.col("start_ms")).alias("start_ms"), F.when(~bad, F.col("end_ms")).alias("end_ms"), (~bad).alias("supported"))
+        start = start.otherwise(F.raise_error(F.concat(F.lit("unsupported claim "), F.col(claim).cast("string"))).cast("bigint"))
+    return out.select(key, claim, start.alias("start_ms"), F.when(~bad, F.col("end_ms")).alias("end_ms"), (~bad).alias("supported"))
 
 
 def resolved_ids(claims: DataFrame, claim: str, turns: DataFrame, key: str = "session_id") -> DataFrame:
