@@ -234,6 +234,16 @@ def groups_of(texts: list[bytes | None], limit: int = 1 << 22):
         yield first, len(texts)
 
 
+def tidy() -> None:
+    """Give freed memory back to the system, where its C library can."""
+    import ctypes
+
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def batches_of(column, limit: int = 1 << 21):
     """As groups_of, from an Arrow column, whose values are not made Python objects."""
     import pyarrow.compute as pc

@@ -29,7 +29,7 @@ GRAM = 8
 def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     base = keyed(docs)
-    spans = stored(repeated_windows(base, length, min(gram, length), False, True, 9e6), "byte-spans")
+    spans = stored(repeated_windows(base, length, min(gram, length), False, True, 7e6), "byte-spans")
     whole = base.select("doc_id", "tag", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.col("text"), 256).alias("sha"))
 
     def drop(batches):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TABLE, WORD, grams, batches_of, mix, partitions_for, prefix, slices, word_hashes
+from .common import TABLE, batches_of, grams, partitions_for, prefix, slices, tidy, word_hashes
 
 U = np.uint64
 TOP = U(1 << 63)
@@ -39,6 +39,11 @@ class Plan:
     hot: np.ndarray = field(default_factory=lambda: np.zeros(0, U))
     batches: int = 4
 
+    @property
+    def chunk(self) -> int:
+        """Bytes of text cut at a time: a byte as a unit needs more room than a word."""
+        return CHUNK if self.words else CHUNK // 2
+
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """The least of every w consecutive values, by doubling."""
@@ -185,15 +190,15 @@ def deal(batches, plan: Plan):
     for batch in batches:
         ids, tags = (batch.column(i).to_pylist() for i in range(2))
         rows: list[tuple] = []
-        for a, b in batches_of(batch.column(2), CHUNK):
+        for a, b in batches_of(batch.column(2), plan.chunk):
             pieces, owner, base = [], [], []
             for i, t in enumerate(batch.column(2).slice(a, b - a).to_pylist(), a):
-                for u, piece in segments(normal(t, plan.words), plan.k, plan.words):
+                for u, piece in segments(normal(t, plan.words), plan.k, plan.words, plan.chunk):
                     pieces.append(piece)
                     owner.append(i)
                     base.append(u)
             whole = sum(map(len, pieces))
-            step = max(1, len(pieces) if whole <= 2 * CHUNK else 1)
+            step = max(1, len(pieces) if whole <= 2 * plan.chunk else 1)
             for at in range(0, len(pieces), step):
                 part = pieces[at : at + step]
                 buffer, found = cut(part, plan, hot)
@@ -225,6 +230,8 @@ def deal(batches, plan: Plan):
             if rows:
                 yield _batch(rows)
                 rows = []
+                buffer = found = key = piece = start = count = first = last = own = doc = tag = order = None
+                tidy()
         if rows:
             yield _batch(rows)
 
@@ -350,6 +357,7 @@ def settle(table: pa.Table, plan: Plan):
     if not got[0]:
         return pa.table({"doc_id": pa.array([], pa.int64()), "tag": pa.array([], pa.int32()), "spans": pa.array([], pa.binary())})
     d, t, s = _spans(*(np.concatenate(x) for x in got))
+    tidy()
     return pa.table({"doc_id": pa.array(d, pa.int64()), "tag": pa.array(t, pa.int32()), "spans": pa.array(s, pa.binary())})
 
 
@@ -366,7 +374,7 @@ def _windows(buffer: bytes, count: np.ndarray, plan: Plan):
     hashes, begin, end = [], [], []
     at = 0
     while at < n_strings:
-        to = max(at + 1, int(np.searchsorted(total, total[at] + CHUNK // (6 if plan.words else 1), side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(total, total[at] + plan.chunk // (6 if plan.words else 1), side="right")) - 1)
         a, b = int(total[at]), int(total[to])
         if plan.words:
             x, y = int(first[a]), int(last[b - 1])
