@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TABLE, batches_of, grams, partitions_for, prefix, slices, tidy, word_hashes
+from .common import TABLE, batches_of, grams, mix, partitions_for, prefix, slices, tidy, word_hashes
 
 U = np.uint64
 TOP = U(1 << 63)
@@ -537,4 +537,3 @@ def covered(spans: list[bytes], n: int, k: int) -> np.ndarray:
     return np.cumsum(step)[:n] > 0
 
 
-__all__ = ["WORD", "repeated_windows", "covered"]
