@@ -20,7 +20,7 @@ from .windows import pack, unpack
 
 LINKS = 16
 BUILD = 96
-SEARCH = 128
+SEARCH = 200
 SHARD = 8192
 QUERIES = 2048
 K = 20

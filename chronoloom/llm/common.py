@@ -22,6 +22,15 @@ BROADCAST_IDS = 1_000_000
 _left: dict[str, SparkSession] = {}
 
 
+def lean(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Arrow batches of at most `most` bytes from now on (the session's own limit stays if it is lower), so that long texts bound no task's memory by their number."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "67108864b")
+    now = int(now[:-1]) if now.endswith("b") and now[:-1].lstrip("-").isdigit() else int(now) if now.lstrip("-").isdigit() else -1
+    if not 0 < now <= most:
+        spark.conf.set(name, str(most))
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

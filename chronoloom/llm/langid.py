@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TABLE, documents, groups_of, lower_ascii, mix, powers, prefix
+from .common import TABLE, documents, groups_of, lean, lower_ascii, mix, powers, prefix, tidy
 
 DIM = 1 << 13
 SIZES = (2, 3, 4)
@@ -70,9 +70,10 @@ def fit(x: np.ndarray, langs: list[str], epochs: int = 40, penalty: float = 1e-4
     for j, (a, b) in enumerate(pairs):
         y[:, len(families) + j] = (lang == a).astype(np.float32) - (lang == b)
     scale = 1 / np.sqrt(x.mean(0) + 1e-6)
-    z = x * scale
-    z /= np.sqrt((z**2).sum(1).mean()) + 1e-9
-    norm = np.sqrt(((x * scale) ** 2).sum(1).mean()) + 1e-9
+    x *= scale  # in place: there may be a hundred megabytes of it
+    norm = np.float32(np.sqrt(np.einsum("ij,ij->i", x, x).mean()) + 1e-9)
+    x /= norm
+    z = x
     w, bias = np.zeros((DIM, y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
     mean_w, mean_b, steps = np.zeros_like(w), np.zeros_like(bias), 0
     rng = np.random.default_rng(11)
@@ -122,6 +123,7 @@ def decide(model: dict, x: np.ndarray) -> tuple[list[str], np.ndarray]:
 
 def learn(docs: DataFrame, most: int = SAMPLE) -> bytes | None:
     """A trained model (about 0.3 MB), from a bounded sample of documents that are not held out."""
+    lean(docs.sparkSession)
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST))
     sample = known.select(F.col("text").cast("binary").alias("text"), "lang", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "lang").limit(most)
 
@@ -131,8 +133,13 @@ def learn(docs: DataFrame, most: int = SAMPLE) -> bytes | None:
             texts += f["text"].tolist()
             langs += f["lang"].tolist()
         if texts:
-            x = np.concatenate([features(texts[a:b]) for a, b in groups_of(texts, 1 << 20)])
-            yield pd.DataFrame({"model": [pickle.dumps(fit(x, langs))]})
+            x = np.empty((len(texts), DIM), np.float32)
+            for a, b in groups_of(texts, 1 << 20):
+                x[a:b] = features(texts[a:b])
+            model = pickle.dumps(fit(x, langs))
+            del x, texts
+            tidy()
+            yield pd.DataFrame({"model": [model]})
 
     rows = sample.drop("h").coalesce(1).mapInPandas(train, "model binary").collect()
     return rows[0]["model"] if rows else None
@@ -159,12 +166,13 @@ def identify(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
                     for i, lang, score in zip(them, *decide(model, features([texts[i] for i in them])), strict=True):
                         out[i] = (lang, float(score))
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
+        tidy()
 
     found = unknown
     if model is not None:
         found = F.pandas_udf(predict, "struct<lang_pred:string,score:double>")(F.col("text").cast("string"))
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*keep, found.alias("_found")).select(*keep, "_found.lang_pred", "_found.score")
+    return docs.select(*keep, found.alias("__cl_found")).select(*keep, "__cl_found.lang_pred", "__cl_found.score")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

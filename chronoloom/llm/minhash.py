@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, documents, groups_of, lower_ascii, mix, partitions_for, shingle_sets, slices, prefix, grams, stored, word_hashes
+from .common import batches_of, documents, groups_of, lean, lower_ascii, mix, partitions_for, shingle_sets, slices, prefix, grams, stored, word_hashes
 from .substring import NULL_ID
 
 PERMUTATIONS = 128
@@ -92,6 +92,7 @@ def edited_report(docs: DataFrame, bucket_bytes: float = 64e6) -> DataFrame:
     Texts are dealt once, by ranges of doc_id; the first document of each range (one row a range) is added to the range before it.
     """
     spark = docs.sparkSession
+    lean(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tag", F.hash("text"))
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = partitions_for(spark, volume, bucket_bytes)

@@ -86,10 +86,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEED) ->
 
 def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The rows of docs, each as often as the mix takes it (rows equal in doc_id and text alike)."""
-    taken = mix(docs, weights, most, seed).groupBy(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    rows = docs.withColumn("_tag", F.hash(F.coalesce("text", F.lit(""))))
-    rows = rows.join(taken, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_d")) & (F.col("_tag") == F.col("_t")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    taken = mix(docs, weights, most, seed).groupBy(F.col("doc_id").alias("__cl_d"), F.col("tag").alias("__cl_t")).agg(F.max("copies").alias("__cl_copies")).filter("__cl_copies > 0")
+    rows = docs.withColumn("__cl_tag", F.hash(F.coalesce("text", F.lit(""))))
+    rows = rows.join(taken, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__cl_d")) & (F.col("__cl_tag") == F.col("__cl_t")))
+    return rows.withColumn("__cl_copy", F.explode(F.sequence(F.lit(1), F.col("__cl_copies")))).select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

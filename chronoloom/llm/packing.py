@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, documents, ranked, word_hashes
+from .common import batches_of, documents, lean, ranked, tidy, word_hashes
 
 SIZE = 2048
 CLOSE = 1
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 #: Distinct words whose ids a task remembers, at most; then those met in one group of texts only are forgotten.
-REMEMBER = 1_000_000
+REMEMBER = 600_000
 #: A word that can't be encoded by itself holds other white space.
 _ODD = re.compile(r"\s")
 _AWKWARD = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"<|")
@@ -152,6 +152,7 @@ class Encoder:
 
 def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, ranks: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of every piece."""
+    lean(docs.sparkSession)
     if path is None:
         path, ranks = vocabulary()
 
@@ -167,6 +168,8 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, ranks: st
                     rows += [(d, s, min(size, n - s), zlib.crc32(raw[4 * s : 4 * (s + size)]), n) for s in range(0, n, size)]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        encoder = None
+        tidy()
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary")).mapInArrow(run, PIECES)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, attach, batches_of, documents, mix, partitions_for, shingle_sets, stored
+from .common import BROADCAST_IDS, attach, batches_of, documents, lean, mix, partitions_for, shingle_sets, stored, tidy
 from .components import components
 from .windows import pack, unpack
 
@@ -165,6 +165,7 @@ def dealt(docs: DataFrame, buckets: int, scheme: Scheme, n: int) -> DataFrame:
                     rows.append((k, pack([(h >> U(8)).astype(np.uint32), (h & U(255)).astype(np.uint8), index.astype(np.uint16 if len(who) < 65536 else np.uint32), keys[who], docs_[who]])))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary())], names=["bucket", "packed"])
+        tidy()
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "bucket int, packed binary")
 
@@ -296,12 +297,13 @@ def across(members: DataFrame, labels: DataFrame, drawn: DataFrame, share: int)
 def groups(docs: DataFrame, share: int = SIMILARITY, n: int = SHINGLE) -> DataFrame:
     """doc_id, tag (hash of the text), n_shingles, component_id, first (whether it is the row to keep of its component) of every row of docs(doc_id, text, ...)."""
     spark = docs.sparkSession
+    lean(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     scheme = Scheme(share)
     sets = stored(described(docs, n), "sets")
     classes = stored(sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("f"), F.count("*").alias("_n")).withColumn("tag", F.col("f.tag")).drop("f"), "classes")
     volume = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = partitions_for(spark, volume * 0.35, 1_500_000)
+    buckets = partitions_for(spark, volume * 0.35, 700_000)
     grouped = stored(dealt(docs, buckets, scheme, n).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_grouped, "kind int, a bigint, b bigint"), "signatures")
     members = grouped.filter("kind = 1").select("a", "b").distinct()
     met = grouped.filter("kind = 0").select(F.col("a").alias("key")).union(grouped.filter("kind = 0").select("b")).distinct()
@@ -331,16 +333,16 @@ def kept(docs: DataFrame, share: int = SIMILARITY, n: int = SHINGLE) -> DataFram
     """The rows of docs of which one stays in each component: the smallest doc_id (then the least hash of its text; of rows equal in both, one)."""
     names = docs.columns
     found = stored(groups(docs, share, n), "groups")
-    gone = found.filter(~F.col("first")).select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")).distinct()
-    rows = docs.withColumn("_tag", F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    gone = found.filter(~F.col("first")).select(F.col("doc_id").alias("__cl_d"), F.col("tag").alias("__cl_t")).distinct()
+    rows = docs.withColumn("__cl_tag", F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    rows = rows.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_d")) & (F.col("_tag") == F.col("_t")), "left_anti")
+    rows = rows.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__cl_d")) & (F.col("__cl_tag") == F.col("__cl_t")), "left_anti")
     # Repeated rows: few ids have more than one row left, and only those are looked at again.
-    twice = stored(found.filter("first and n_shingles > 0").groupBy("doc_id", "tag").count().filter("count > 1").select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")), "repeated")
+    twice = stored(found.filter("first and n_shingles > 0").groupBy("doc_id", "tag").count().filter("count > 1").select(F.col("doc_id").alias("__cl_d"), F.col("tag").alias("__cl_t")), "repeated")
     if twice.limit(1).count():
-        same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_d")) & (F.col("_tag") == F.col("_t"))
-        rows = rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_tag"]))
+        same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__cl_d")) & (F.col("__cl_tag") == F.col("__cl_t"))
+        rows = rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__cl_tag"]))
     return rows.select(*names)
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, documents, stored
+from .common import BROADCAST_IDS, documents, lean, stored
 from .windows import covered, normal, repeated_windows
 
 WINDOW = 35
@@ -24,6 +24,7 @@ NULL_ID = -(1 << 63)
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id (null: the least long), tag (part of the text's hash, tells apart rows with one id), text as bytes."""
+    lean(docs.sparkSession)
     text = F.col(text_col)
     return docs.select(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("doc_id"),
@@ -50,9 +51,9 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
     """docs(doc_id, text, ...) with text replaced by its kept words where some were removed; adds n_words, n_removed."""
     spans = spans_of(docs, window, gram)
     names = docs.columns
-    base = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID))).withColumn("_tag", F.hash(F.coalesce(F.col("text"), F.lit(""))))
-    lists = spans.groupBy("doc_id", "tag").agg(F.collect_list("spans").alias("_spans")).select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t"), "_spans")
-    joined = base.join(lists, (F.col("_id") == F.col("_d")) & (F.col("_tag") == F.col("_t")), "left")
+    base = docs.withColumn("__cl_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID))).withColumn("__cl_tag", F.hash(F.coalesce(F.col("text"), F.lit(""))))
+    lists = spans.groupBy("doc_id", "tag").agg(F.collect_list("spans").alias("__cl_spans")).select(F.col("doc_id").alias("__cl_d"), F.col("tag").alias("__cl_t"), "__cl_spans")
+    joined = base.join(lists, (F.col("__cl_id") == F.col("__cl_d")) & (F.col("__cl_tag") == F.col("__cl_t")), "left")
 
     @F.pandas_udf("struct<text:string,n_words:bigint,n_removed:bigint>")
     def apply(text, spans):
@@ -68,8 +69,8 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
             out.append((b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode("utf-8", "replace"), len(words), int(gone.sum())))
         return pd.DataFrame(out, columns=["text", "n_words", "n_removed"])
 
-    done = joined.withColumn("_new", apply("text", "_spans"))
-    return done.select(*[F.col("_new.text").alias("text") if c == "text" else F.col(c) for c in names], "_new.n_words", "_new.n_removed")
+    done = joined.withColumn("__cl_new", apply("text", "__cl_spans"))
+    return done.select(*[F.col("__cl_new.text").alias("text") if c == "text" else F.col(c) for c in names], "__cl_new.n_words", "__cl_new.n_removed")
 
 
 def report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, documents, scratch, stored
+from .common import attach, documents, lean, scratch, stored
 
 END = "\r\n\r\n"
 DATE = "2026-01-01T00:00:00Z"
@@ -96,6 +96,7 @@ def _parse(fragments, want_payload: bool):
 
 
 def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    lean(spark)
     text = spark.read.option("lineSep", END).text(path).select(F.col("value").cast("binary").alias("value"))
     return text.mapInArrow(lambda it: _parse(it, payload), RECORD)
 
@@ -112,7 +113,7 @@ def deduplicate(spark: SparkSession, source: str, target: str, least: int = 0) -
     found = stored(originals(read_archive(spark, source, False).drop("payload"), least), "headers")
     decided = found.select(
         F.col("record_id").alias("_id"), F.when(F.col("original") < F.coalesce("page_id", F.lit((1 << 63) - 1)), "revisit").otherwise("response").alias("_type"), "original"
-    ).withColumn("refers_to_id", F.when(F.col("_type") == "revisit", F.col("original").cast("string")))
+    ).dropDuplicates(["_id"])  # repeated rows have one record id, and one decision
     records = read_archive(spark, source).drop("record_type", "refers_to_id")
     joined = records.join(decided, F.col("record_id") == F.col("_id")).withColumnRenamed("_type", "record_type")
     joined = joined.withColumn("refers_to_id", F.when(F.col("original").isNotNull() & (F.col("record_type") == "revisit"), record_id(F.lit("page"), F.col("original").cast("string"), F.lit("response"), F.col("payload_digest"))))
