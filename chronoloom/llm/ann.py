@@ -166,7 +166,8 @@ class Graph:
             nodes = ids[active, pick]
             step = near[place[nodes]]
             bad = (step < 0) | seen[active[:, None], np.maximum(step, 0)]
-            seen[active[:, None], np.maximum(step, 0)] |= ~bad
+            r, c = np.nonzero(~bad)
+            seen[active[r], step[r, c]] = True
             step = np.where(bad, -1, step)
             ds = self._far(q[active], step)
             m = ids.shape[1]
