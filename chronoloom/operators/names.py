@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,7 +80,8 @@ def clusters(stems: DataFrame, pairs: DataFrame, key: str = "session_id") -> Dat
 
 def candidates(turns: DataFrame, words: DataFrame, floor: float = FLOOR, key: str = "session_id") -> DataFrame:
     """Name candidates of each session, the most contradictory first: id, forms, occurrences, distinct stems, grounds."""
-    f = forms(rare_tokens(surface_tokens(turns, key), words, floor), key)
+    # Used four times below; kept where it was made, and made again where an executor is lost.
+    f = forms(rare_tokens(surface_tokens(turns, key), words, floor), key).persist(StorageLevel.MEMORY_AND_DISK)
     stems = f.select(key, "stem").distinct()
     rooted = f.join(clusters(stems, near_pairs(stems, key), key), [key, "stem"])
     best = F.array_sort(F.collect_list(F.struct((-F.col("occurrences")).alias("neg"), F.col("token").alias("text"), "turn_ids", "zipf")))
