@@ -70,10 +70,6 @@ SPANS = """spans AS (
 )"""
 
 
-def _word(n: int):
-    return F.regexp_replace(F.element_at(F.split("text", " "), n), "[^A-Za-z]", "")
-
-
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proposed entities: three turns make a window; some cite a turn that is not there."""
     t = turns(spark, sf_dir)
