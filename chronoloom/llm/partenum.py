@@ -352,4 +352,15 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
-SQL = None
+SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT r, md5_number(array_to_string(w[i:i + 3], ' ')) AS s FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY 1),
+often AS (SELECT s FROM sh GROUP BY 1 HAVING count(*) > 1),
+few AS (SELECT r, s FROM sh SEMI JOIN often USING (s)),
+pairs AS (SELECT a.r AS x, b.r AS y, count(*) AS m FROM few a JOIN few b ON a.s = b.s AND a.r < b.r GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n p ON p.r = x JOIN n q ON q.r = y WHERE 100 * m >= 85 * (p.n + q.n - m)),
+both_ AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(r, o) AS (SELECT r, r FROM n UNION SELECT reach.r, y FROM reach JOIN both_ ON x = o)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.c, w.doc_id) AS component_id FROM w LEFT JOIN n USING (r) LEFT JOIN (SELECT reach.r, min(d.doc_id) AS c FROM reach JOIN w d ON d.r = o GROUP BY 1) m USING (r)
+"""

@@ -16,4 +16,10 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_language_id": langid.op10_language_id,
 }
-ORACLES: dict[str, str] = {"op1_warc_revisit": warc.SQL, "op9_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {
+    "op1_warc_revisit": warc.SQL,
+    "op3_substring_dedup": substring.SQL,
+    "op4_ngram_jaccard": partenum.SQL,
+    "op7_suffix_array_dedup": suffix.SQL,
+    "op9_mixing": mixing.SQL,
+}

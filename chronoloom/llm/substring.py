@@ -110,4 +110,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(documents(spark, sf_dir))
 
 
-SQL = None
+SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35)),
+rep AS (SELECT md5(s) AS h FROM win GROUP BY 1 HAVING count(*) > 1),
+hit AS (SELECT r, i FROM win JOIN rep ON md5(s) = h),
+cov AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM hit),
+g AS (SELECT r, list(j) AS js, count(*) AS n FROM cov GROUP BY 1),
+one AS (SELECT r, doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM w JOIN g USING (r)),
+kept AS (SELECT r, string_agg(w[o.j], ' ' ORDER BY o.j) AS k FROM one o LEFT JOIN cov c USING (r, j) WHERE c.j IS NULL GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(k, '') END) AS kept_sha256 FROM w LEFT JOIN g USING (r) LEFT JOIN kept USING (r)
+"""

@@ -57,4 +57,13 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(documents(spark, sf_dir))
 
 
-SQL = None
+SQL = r"""
+WITH b AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT r, doc_id, i, md5_number(substr(h, 2 * i - 1, 100)) AS s FROM (SELECT r, doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS i FROM b WHERE length(h) >= 100)),
+hit AS (SELECT r, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY s) AS f FROM win) WHERE f < doc_id),
+edge AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM hit),
+run AS (SELECT r, min(i) AS a, max(i) + 50 AS z FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM edge) GROUP BY r, g),
+gap AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 1) AS from_ FROM run),
+kept AS (SELECT g.r, string_agg(substr(h, 2 * from_ - 1, 2 * (a - from_)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) - 1) AS k, sum(z - a)::BIGINT AS n, count(*) AS spans FROM gap g JOIN b USING (r) GROUP BY g.r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM b LEFT JOIN kept USING (r)
+"""
