@@ -213,3 +213,71 @@ def f6(spark, d):
     return t.read(spark, d, "pages").select("page_id", F.array_join(F.array_sort(engine_tokens("url")), " ").alias("tokens"))
 
 
+
+
+@register("f4_mentions", f"WITH {t.TURNS}, {t.CONTROLS} SELECT session_id, id, term FROM turns, controls WHERE {t.sql_mentions('text', 'term')}")
+def f4(spark, d):
+    from ..functions.text import contains_run, tokens
+
+    c = F.broadcast(t.controls(spark, d).withColumn("needle", tokens("term")))
+    return t.turns(spark, d).withColumn("hay", tokens("text")).join(c, contains_run(F.col("hay"), F.col("needle"))).select("session_id", "id", "term")
+
+
+@register("f10_edit_distance", f"WITH {t.TURNS}, pw AS (SELECT DISTINCT lower(split_part(text, ' ', 1)) AS a, lower(split_part(text, ' ', 2)) AS b FROM turns WHERE regexp_full_match(text, '[ -~\\s]*')) SELECT a, b, CASE WHEN levenshtein(a, b) <= 4 THEN levenshtein(a, b) ELSE -1 END AS distance FROM pw")
+def f10(spark, d):
+    w = t.turns(spark, d).filter(F.col("text").rlike(r"^[ -~\s]*$")).select(F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("a"), F.lower(F.split_part("text", F.lit(" "), F.lit(2))).alias("b")).distinct()
+    return w.withColumn("distance", F.levenshtein("a", "b", 4).cast("bigint"))
+
+
+@register("f11_tolerance", f"WITH {t.TURNS}, pw AS (SELECT DISTINCT split_part(text, ' ', 1) AS a, split_part(text, ' ', 2) AS b FROM turns) SELECT a, b, CASE WHEN least(length(a), length(b)) < 6 THEN 1 ELSE 2 END AS allowed FROM pw")
+def f11(spark, d):
+    from ..functions.text import tolerance
+
+    w = t.turns(spark, d).select(F.split_part("text", F.lit(" "), F.lit(1)).alias("a"), F.split_part("text", F.lit(" "), F.lit(2)).alias("b")).distinct()
+    return w.withColumn("allowed", tolerance("a", "b"))
+
+
+@register("f13_name_tokens", f"WITH {t.TURNS} SELECT session_id, id, array_to_string(regexp_extract_all(text, '[A-Za-z][A-Za-z''’]*'), '|') AS tokens FROM turns")
+def f13(spark, d):
+    from ..functions.text import name_tokens
+
+    return t.turns(spark, d).select("session_id", "id", F.array_join(name_tokens("text"), "|").alias("tokens"))
+
+
+@register("o8_first_evidence", f"WITH {_ALL} SELECT session_id, entity_id, array_to_string(turn_ids[1:1], ',') AS shown FROM entities")
+def o8(spark, d):
+    return t.entities(spark, d).select("session_id", "entity_id", F.array_join(F.slice("turn_ids", 1, 1), ",").alias("shown"))
+
+
+@register("s15_vocabulary_table")
+def s15(spark, d):
+    """The vocabulary written as a table and read again."""
+    from ..operators import corrections
+
+    path = sessions.shared_folder(spark, "vocabulary")
+    corrections.vocabulary(approvals(spark, d)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@register("s18_cost_report", "SELECT user_id AS session_id, '{\"session_id\":' || user_id || ',\"requests\":' || count(*) || '}' AS document FROM events GROUP BY 1")
+def s18(spark, d):
+    return sinks.report_rows(t.read(spark, d, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.count("*").alias("requests")))
+
+
+@register("s19_score_reports")
+def s19(spark, d):
+    from .scoring import p9
+
+    return sinks.report_rows(p9(spark, d))
+
+
+@register("s20_survey_document", "SELECT count(*)::BIGINT AS notes FROM documents")
+def s20(spark, d):
+    document = sinks.survey_document(N.parse(note_files(spark, d)))
+    return spark.createDataFrame([(document["notes"],)], "notes bigint")
+
+
+@register("s21_text_report")
+def s21(spark, d):
+    totals = t.turns(spark, d).agg(F.count("*").alias("turns"), F.max("end_ms").alias("longest session, ms"), F.lit(None).cast("int").alias("memory")).first().asDict()
+    return spark.createDataFrame([(line,) for line in sinks.render("Sessions", totals).splitlines()], "line string")
