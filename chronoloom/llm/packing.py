@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, documents, lean, ranked, tidy, word_hashes
+from .common import batches_of, documents, lean, ranked, stored, tidy, word_hashes
 
 SIZE = 2048
 CLOSE = 1
@@ -161,7 +161,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, ranks: st
         for b in batches:
             encoder = Encoder(path, ranks) if encoder is None else encoder
             rows = []
-            for a, z in batches_of(b.column(1)):
+            for a, z in batches_of(b.column(1), 1 << 21):
                 for d, raw in zip(b.column(0).slice(a, z - a).to_pylist(), encoder.encode(b.column(1).slice(a, z - a).to_pylist()), strict=True):
                     raw += CLOSE.to_bytes(4, "little")
                     n = len(raw) // 4
@@ -224,8 +224,10 @@ def places(found: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 
 def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
     spark = docs.sparkSession
-    kept = ranked(pieces(docs, path, size), ["length", "doc_id", "start", "ids_crc32"], "pieces", within="length")
-    # One row for each length, `size` at most; the pieces are stored, so nothing is encoded again.
+    # Stored first: a range shuffle reads its input twice, and nothing should be encoded twice.
+    cut = stored(pieces(docs, path, size), "encoded")
+    kept = ranked(cut, ["length", "doc_id", "start", "ids_crc32"], "pieces", within="length")
+    # One row for each length, `size` at most.
     histogram = {r["length"]: r["n"] for r in kept.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = spark.sparkContext.broadcast(places(patterns(histogram, size)))
 
