@@ -20,7 +20,7 @@ BROADCAST_IDS = 1_000_000
 _left: dict[str, SparkSession] = {}
 
 
-def lean(spark: SparkSession, most: int = 8 << 20) -> None:
+def lean(spark: SparkSession, most: int = 4 << 20) -> None:
     """Arrow batches of at most `most` bytes from now on (the session's own limit stays if it is lower), so that long texts bound no task's memory by their number."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(name, "67108864b")
@@ -242,7 +242,7 @@ def tidy() -> None:
         pass
 
 
-def batches_of(column, limit: int = 1 << 21):
+def batches_of(column, limit: int = 1 << 20):
     """As groups_of, from an Arrow column, whose values are not made Python objects."""
     import pyarrow.compute as pc
 

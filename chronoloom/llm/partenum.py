@@ -97,6 +97,8 @@ def described(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(a, z - a), b.column(2).slice(a, z - a), pa.array(np.diff(at).astype(np.int64)), pa.array(keys, pa.int64())], names=["doc_id", "tag", "n_shingles", "key"]
                 )
+                del v, at, keys
+                tidy()
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.hash("text").alias("tag"))
     return rows.mapInArrow(run, "doc_id bigint, tag int, n_shingles bigint, key bigint")
@@ -165,7 +167,8 @@ def dealt(docs: DataFrame, buckets: int, scheme: Scheme, n: int) -> DataFrame:
                     rows.append((k, pack([(h >> U(8)).astype(np.uint32), (h & U(255)).astype(np.uint8), index.astype(np.uint16 if len(who) < 65536 else np.uint32), keys[who], docs_[who]])))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary())], names=["bucket", "packed"])
-        tidy()
+                del v, at, sig, own, keys, docs_, bucket, order, rows, cols
+                tidy()
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "bucket int, packed binary")
 
@@ -225,6 +228,7 @@ def sketches(texts: DataFrame, n: int) -> DataFrame:
                 v, at = shingle_sets(b.column(1).slice(a, z - a).to_pylist(), n)
                 done = [sketch(v[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(np.diff(at).astype(np.int64)), pa.array(done, pa.binary())], names=["key", "n_shingles", "sketch"])
+                tidy()
 
     return texts.mapInArrow(run, "key bigint, n_shingles bigint, sketch binary")
 
