@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TABLE, documents, groups_of, lean, lower_ascii, mix, powers, prefix, tidy
+from .common import TABLE, documents, groups_of, lean, lower_ascii, mix, powers, prefix, smallest_hashes, tidy
 
 DIM = 1 << 13
 SIZES = (2, 3, 4)
@@ -125,7 +125,7 @@ def learn(docs: DataFrame, most: int = SAMPLE) -> bytes | None:
     """A trained model (about 0.3 MB), from a bounded sample of documents that are not held out."""
     lean(docs.sparkSession)
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST))
-    sample = known.select(F.col("text").cast("binary").alias("text"), "lang", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "lang").limit(most)
+    sample = smallest_hashes(known.select("doc_id", "text", "lang"), most, "doc_id", "text", "lang").select(F.col("text").cast("binary").alias("text"), "lang")
 
     def train(frames):
         texts, langs = [], []
@@ -141,7 +141,7 @@ def learn(docs: DataFrame, most: int = SAMPLE) -> bytes | None:
             tidy()
             yield pd.DataFrame({"model": [model]})
 
-    rows = sample.drop("h").coalesce(1).mapInPandas(train, "model binary").collect()
+    rows = sample.coalesce(1).mapInPandas(train, "model binary").collect()
     return rows[0]["model"] if rows else None
 
 

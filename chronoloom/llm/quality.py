@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, groups_of, lean, word_hashes
+from .common import documents, groups_of, lean, smallest_hashes, word_hashes
 from .langid import held_out
 
 DIM = 1 << 15
@@ -137,7 +137,7 @@ def scores(p: dict, texts: list[bytes], n_chars: list) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> bytes | None:
     lean(docs.sparkSession)
     chosen = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)  # `most` rows at most: small enough to broadcast
+    chosen = smallest_hashes(chosen, most, "doc_id", "quality")  # `most` rows at most: small enough to broadcast
     texts = docs.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).select("doc_id", F.col("text").cast("binary").alias("text"), "n_chars")
 
     def train(frames):
