@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, documents, groups_of, lean, lower_ascii, mix, partitions_for, shingle_sets, slices, prefix, grams, stored, word_hashes
+from .common import attach, batches_of, documents, groups_of, lean, lower_ascii, mix, partitions_for, shingle_sets, slices, prefix, grams, stored, word_hashes
+from .partenum import BLOCK, bound, folded, sketch
 from .substring import NULL_ID
 
 PERMUTATIONS = 128
@@ -141,38 +142,73 @@ def edited_report(docs: DataFrame, bucket_bytes: float = 64e6) -> DataFrame:
     return both.select("doc_id", "text", "tag", "part", "ghost").mapInArrow(run, REPORT)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE, bands: int = BANDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, jaccard) between distinct texts, and members (doc_id of each text's representative): (links, members).
 
-    Equal texts are one class, represented by their smallest doc_id.  Documents that share a band are joined to the band's smallest representative, so a group of g
-    documents gives g - 1 candidates a band and never all pairs; those candidates are verified on their shingle sets.
+    Equal texts are one class, represented by their smallest doc_id.  All classes that share a band are compared with each other, many of them in blocks: a pair once, in the first
+    band that it shares, by the parity sketches of partenum, an exact bound; what that leaves is verified on the shingle sets.  Links of a group grow with its square, as there are so many.
     """
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.sha2(F.col("text").cast("binary"), 256))
+    lean(docs.sparkSession)
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     classes = stored(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("text").alias("text")), "classes")
 
-    def cut(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for t in text:
-            s = signatures([x or b"" for x in t], n).reshape(len(t), bands, -1)
-            h = mix((s * _A[: s.shape[2]]).sum(2, dtype=U) + np.arange(bands, dtype=U))
-            yield pd.Series([r.astype(np.int64) for r in h])
-
-    banded = classes.filter(F.length("text") > 0).select("rep", F.explode(F.pandas_udf(cut, "array<bigint>")(F.col("text").cast("binary"))).alias("band"))
-    banded = stored(banded, "bands")
-    heads = banded.groupBy("band").agg(F.min("rep").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    pairs = banded.join(heads, "band").filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    left, right = (classes.select(F.col("rep").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-
-    def jaccard(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, y in frames:
-            out = []
-            for p, q in zip(x, y, strict=True):
-                v, at = shingle_sets([p, q], n)
-                both = np.intersect1d(v[: at[1]], v[at[1] :], assume_unique=True).size
-                out.append(both / max(1, len(v) - both))
-            yield pd.Series(out, dtype=float)
-
-    checked = pairs.join(left, "a").join(right, "b").select("a", "b", F.pandas_udf(jaccard, "double")(F.col("ta").cast("binary"), F.col("tb").cast("binary")).alias("jaccard"))
-    return checked.filter(F.col("jaccard") >= similarity), keyed.join(classes.select("key", "rep"), "key").select("doc_id", "rep")
+    def cut(batches):
+        for b in batches:
+            for a, z in batches_of(b.column(1)):
+                texts = b.column(1).slice(a, z - a).to_pylist()
+                s = signatures(texts, n).reshape(len(texts), bands, -1)
+                h = mix((s * _A[: s.shape[2]]).sum(2, dtype=U) + np.arange(bands, dtype=U)).astype(np.int64)
+                v, at = shingle_sets(texts, n)
+                drawn = [sketch(v[x:y]) if y > x else b"" for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(a, z - a), pa.array(list(h), pa.list_(pa.int64())), pa.array(np.diff(at).astype(np.int64)), pa.array(drawn, pa.binary())], names=["key", "bands", "n_shingles", "sketch"]
+                )
+
+    drawn = classes.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(cut, "key binary, bands array<bigint>, n_shingles bigint, sketch binary")
+    drawn = stored(drawn.filter("n_shingles > 0"), "bands")
+    banded = drawn.select("key", F.posexplode("bands").alias("at", "band"))
+    sizes = stored(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "sizes")
+    met = stored(attach(banded, sizes, "band", "n", drawn.count() * bands).filter("n > 1"), "met")
+    rows = met.join(drawn, "key").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("at", "band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "key", "bands", "n_shingles", "sketch")
+    most = (1 - similarity) / (1 + similarity)  # of the sizes together, shingles in which similar sets differ
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.sort_by("n_shingles")
+        size, own = (t.column(c).to_numpy() for c in ("n_shingles", "own"))
+        k, within, keys = t.column("at")[0].as_py(), t.column("x")[0].as_py() == t.column("y")[0].as_py(), t.column("key").to_pylist()
+        before = np.array(t.column("bands").to_pylist(), np.int64)[:, :k]
+        s = folded(t.column("sketch").to_pylist())
+        left, right = [], []
+        for i in range(len(keys)):
+            j = np.arange(i + 1, np.searchsorted(size, size[i] / similarity + 1e-6, side="right"))
+            j = j[(own[j] != own[i]) | within]
+            j = j[~(before[j] == before[i]).any(1)]
+            j = j[bound(s[j], s[i]) <= most * (size[j] + size[i]) + 1e-6]
+            left += [keys[i]] * len(j)
+            right += [keys[m] for m in j.tolist()]
+        return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
+
+    pairs = stored(rows.groupBy("at", "band", "x", "y").applyInArrow(compare, "a binary, b binary"), "candidates")
+    left, right = (classes.select(F.col("key").alias(c), F.col("rep").alias(f"r{c}"), F.col("text").cast("binary").alias(f"t{c}")) for c in "ab")
+
+    def verify(batches):
+        for b in batches:
+            for u, z in batches_of(b.column(2)):
+                ra, rb, x, y = (b.column(i).slice(u, z - u).to_pylist() for i in range(4))
+                index = {t: i for i, t in enumerate(dict.fromkeys([*x, *y]))}
+                v, at = shingle_sets(list(index), n)
+                out = []
+                for p, q, f, g in zip(ra, rb, x, y, strict=True):
+                    one, two = (v[at[index[t]] : at[index[t] + 1]] for t in (f, g))
+                    both = np.intersect1d(one, two, assume_unique=True).size
+                    share = both / (len(one) + len(two) - both)
+                    if share >= similarity:
+                        out.append((*((p, q) if q is None or (p is not None and p <= q) else (q, p)), share))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "jaccard"])
+
+    joined = pairs.join(left, "a").join(right, "b").select(F.col("ra").cast("bigint"), F.col("rb").cast("bigint"), "ta", "tb")
+    return joined.mapInArrow(verify, "a bigint, b bigint, jaccard double"), keyed.join(classes.select("key", "rep"), "key").select("doc_id", "rep")
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

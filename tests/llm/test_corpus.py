@@ -200,6 +200,28 @@ def test_banded_pairs_are_verified(spark, docs):
     assert members.count() == docs.count()
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_no_link_of_a_group_is_lost(spark, monkeypatch, block):
+    """Near copies of one text, each with its own edit, against all pairs; repeated and null ids and texts without words among them."""
+    monkeypatch.setattr(minhash, "BLOCK", block, raising=False)
+    rng, base = random.Random(5), passage(30, 120).split()
+    rows = [(4, ""), (5, " \n"), (6, "\t"), (7, None), (1, " ".join(base)), (2, " ".join(base)), (9, passage(31, 90)), (9, passage(31, 91)), (None, passage(31, 92))]
+    for i in range(60):
+        words = list(base)
+        words[rng.randrange(120)] = f"w{i}"
+        rows.append((100 + i, " ".join(words)))
+    links, members = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    reps = {}
+    for d, t in rows:
+        reps[t or ""] = min((r for r in (reps.get(t or ""), d) if r is not None), default=None)
+    sets = [(reps[t], brute.shingles(t, 5)) for t in reps]
+    key = lambda d: (d is None, d or 0)
+    want = [(*sorted((a, b), key=key), len(s & t) / len(s | t)) for i, (a, s) in enumerate(sets) for b, t in sets[:i] if s | t and len(s & t) / len(s | t) >= 0.8]
+    order = lambda r: (key(r[0]), key(r[1]), r[2])
+    assert len(want) > 60 and sorted(map(tuple, links.collect()), key=order) == sorted(want, key=order)
+    assert members.count() == len(rows)
+
+
 @pytest.mark.parametrize("which", ["docs", "odd", "none"])
 def test_packing(request, which):
     from tokenizers import Tokenizer
