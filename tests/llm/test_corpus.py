@@ -441,6 +441,32 @@ def test_pipeline_stages(spark, docs, odd, tmp_path):
     assert max(copies.values()) <= 3
 
 
+def test_pipeline_drops_near_copies_from_eight_tenths(spark):
+    """A block added, or scattered edits, with a five-word Jaccard between 0.80 and what four words and 0.85 ask for."""
+    p = importlib.import_module("corpus_pipeline")
+    edited = passage(42, 300).split()
+    for i in range(20, 290, 45):
+        edited[i] = f"w{i}"
+    rows = [(1, passage(41, 100)), (2, passage(41, 100) + " " + passage(43, 20)), (3, passage(42, 300)), (4, " ".join(edited)), (5, passage(44, 100)), (6, passage(44, 100) + " " + passage(45, 30)), (7, "a b c d"), (8, "a b c d"), (9, ""), (10, None)]
+    df = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], SCHEMA).repartition(3)
+    kept = {r.doc_id for r in dict(p.STAGES)["ngram_jaccard"](spark, df, DATA).collect()}
+    assert kept == {r[2] for r in brute.components(rows, 5, 80)} and 2 not in kept and 6 in kept
+    assert 2 in {r[2] for r in brute.components(rows)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_sets_of_eight_tenths_share_a_signature(seed):
+    rng = np.random.default_rng(seed)
+    scheme = partenum.Scheme(80)
+    for _ in range(150):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 400)), dtype=np.uint64))
+        worst = int(scheme.differ(2 * len(a)))
+        b = np.unique(np.concatenate((a[int(rng.integers(0, worst + 1)) :], rng.integers(0, 1 << 63, int(rng.integers(0, worst + 1)), dtype=np.uint64))))
+        both = len(np.intersect1d(a, b))
+        if len(b) and 100 * both >= 80 * (len(a) + len(b) - both):
+            assert np.intersect1d(partenum.signatures(a, scheme), partenum.signatures(b, scheme)).size
+
+
 def test_queries_are_registered():
     q = importlib.import_module("chronoloom.llm.queries")
     assert [k.split("_")[0] for k in q.QUERIES] == [f"op{i}" for i in range(1, 11)]
