@@ -2,7 +2,8 @@
 
 Features are counts of hashed 2-, 3- and 4-byte grams of the whole text (ASCII lower-cased), as shares of their number.  One machine for each family against the
 others picks the family; within a family one machine for each pair of its languages votes.  All are trained together by averaged stochastic
-subgradients of the hinge loss, in one task, on at most `most` documents chosen by hash among those that are not held out.
+subgradients of the hinge loss, in one task, on documents chosen by hash among those that are not held out: at most `most` of all, and of each language FEW (or all it
+has), so that rare languages are learned too; these are `most` together at most, the first of every language before the second of any.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is everything where nothing could be learned; a null lang is never learned
 from; a null doc_id is not held out; repeated rows get equal results; an empty table gives an empty result; other columns are not read.
@@ -14,16 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import TABLE, documents, groups_of, lean, lower_ascii, mix, powers, prefix, smallest_hashes, tidy
+from .common import BROADCAST_IDS, TABLE, documents, groups_of, lean, lower_ascii, mix, powers, prefix, smallest_hashes, stored, tidy
 
 DIM = 1 << 13
 SIZES = (2, 3, 4)
-#: Documents learned from, at most, and bytes of each sampled text; longer texts are not sampled (all are scored whole).
+#: Documents learned from, at most, whatever their language, and bytes of each sampled text (all are scored whole); longer texts are sampled, by their beginning, only where a language has fewer
+#: than FEW others.
 SAMPLE = 4000
 LONGEST = 40_000
+FEW = 50
 # Families of languages by ISO 639-1 code; a code that is not listed is a family of its own.
 FAMILIES = {
     "germanic": "af da de en fo is lb nb nl nn no sv yi",
@@ -121,11 +124,28 @@ def decide(model: dict, x: np.ndarray) -> tuple[list[str], np.ndarray]:
     return [names[i] for i in lang], np.clip(sure * share, 0, 1)
 
 
+def rare(known: DataFrame, first: DataFrame, most: int) -> DataFrame:
+    """text, lang of the documents with each language's FEW smallest hashes that are not in first (the smallest hashes of all); longer texts come last, and cut."""
+    h = F.pmod(F.xxhash64("doc_id", "text", "lang"), F.lit(1 << 40))
+    last = first.agg(F.max(h)).first()[0]
+    long = F.octet_length("text") > LONGEST
+    counts = stored(known.groupBy("lang").agg(F.count_if(~long).alias("short"), F.count_if(long).alias("long")), "languages")
+    rows = known.select(h.alias("h"), F.substring(F.col("text").cast("binary"), 1, LONGEST).alias("text"), F.col("lang"), long.alias("is_long"))
+    counts = counts.withColumnRenamed("lang", "_lang")
+    rows = rows.join(F.broadcast(counts) if counts.count() <= BROADCAST_IDS else counts, F.col("lang") == F.col("_lang"))
+    # A threshold leaves a few hundred rows of each language, so that no task sorts a language whole.
+    below = lambda n: F.col("h") < F.lit(float(1 << 40)) * F.least(F.lit(1.0), F.lit(4.0 * FEW) / n)
+    rows = rows.filter(F.when(F.col("is_long"), (F.col("short") < FEW) & below(F.col("long"))).otherwise(below(F.col("short"))))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("is_long", "h", "text"))).filter(F.col("rank") <= FEW)
+    return rows.filter(F.col("is_long") | (F.col("h") > F.lit(-1 if last is None else last))).orderBy("rank", "h", "text", "lang").limit(most).select("text", "lang")
+
+
 def learn(docs: DataFrame, most: int = SAMPLE) -> bytes | None:
     """A trained model (about 0.3 MB), from a bounded sample of documents that are not held out."""
     lean(docs.sparkSession)
-    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST))
-    sample = smallest_hashes(known.select("doc_id", "text", "lang"), most, "doc_id", "text", "lang").select(F.col("text").cast("binary").alias("text"), "lang")
+    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    first = stored(smallest_hashes(known.filter(F.octet_length("text") <= LONGEST), most, "doc_id", "text", "lang"), "sample")
+    sample = first.select(F.col("text").cast("binary").alias("text"), "lang").unionByName(rare(known, first, most))
 
     def train(frames):
         texts, langs = [], []

@@ -467,6 +467,15 @@ def test_near_sets_of_eight_tenths_share_a_signature(seed):
             assert np.intersect1d(partenum.signatures(a, scheme), partenum.signatures(b, scheme)).size
 
 
+def test_rare_languages_are_learned(spark):
+    """A language with few documents among many, and one with long texts only, from a sample that is smaller than the table."""
+    rng = random.Random(6)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [(i, text("abcdefgh", 40), "en") for i in range(1500)] + [(2000 + i, text("pqrstuvw", 40), "xx") for i in range(8)] + [(3000 + i, text("ijklmno", 8000), "yy") for i in range(8)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), most=60).collect()
+    assert len(got) == len(rows) and all(r.lang_pred == r.lang for r in got)
+
+
 def test_queries_are_registered():
     q = importlib.import_module("chronoloom.llm.queries")
     assert [k.split("_")[0] for k in q.QUERIES] == [f"op{i}" for i in range(1, 11)]
