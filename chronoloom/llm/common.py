@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key is hot when it holds more than one row in HOT_SHARE, so there are at most HOT_SHARE hot keys: a proven bound.
 HOT_SHARE = 1000
-#: Ids (16 bytes each) that may be broadcast to thin out a scan; beyond it the same join shuffles.
-BROADCAST_IDS = 1_000_000
+#: 64-bit words of the bitmap of ids by which a scan is thinned out: a proven bound of what is broadcast.
+BITMAP_WORDS = 1 << 18
 
 _left: dict[str, SparkSession] = {}
 
@@ -93,6 +93,29 @@ def attach(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -
     return out.select(*left.columns, *[F.coalesce(F.col(f"_hot.{n}"), F.col(f"_cold.{n}")).alias(n) for n in names])
 
 
+def thinned(rows: DataFrame, ids: DataFrame, on: list[str], mark: str | None = None) -> DataFrame:
+    """rows whose columns `on` may be those of a row of ids (same names and types); with `mark`, all rows and whether they may be.
+
+    A bitmap of the ids' hashes, of 2**24 bits whatever their number, is broadcast (4 MB as rows); none of ids is missed, and a join afterwards drops what passes by chance.
+    """
+    h = F.xxhash64(*on)
+    bit = F.expr("shiftleft(1L, cast(pmod(shiftrightunsigned(__cl_h, 20), 64) as int))")
+    words = ids.select(h.alias("__cl_h")).groupBy(F.pmod("__cl_h", F.lit(BITMAP_WORDS)).alias("__cl_w")).agg(F.bit_or(bit).alias("__cl_bits"))
+    out = rows.withColumn("__cl_h", h).join(F.broadcast(words), F.pmod("__cl_h", F.lit(BITMAP_WORDS)) == F.col("__cl_w"), "left" if mark else "inner")
+    found = F.coalesce(F.col("__cl_bits").bitwiseAND(bit) != 0, F.lit(False))
+    out = out.withColumn(mark, found) if mark else out.filter(found)
+    return out.drop("__cl_h", "__cl_w", "__cl_bits")
+
+
+def salted(left: DataFrame, right: DataFrame, key: str, each: int = 2048) -> DataFrame:
+    """left joined with right (one row a key).  A key with more than `each` rows of left is dealt to several tasks, each with a copy of right's row: a copy for `each` rows at most."""
+    hot = stored(left.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > each).select(key, F.ceil(F.col("_n") / each).cast("int").alias("_ways")), "hot-keys")
+    ways = F.coalesce("_ways", F.lit(1))
+    one = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), ways).cast("int")).drop("_ways")
+    two = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), ways - 1))).drop("_ways")
+    return one.join(two, [key, "_salt"]).drop("_salt")
+
+
 def ranked(df: DataFrame, order: list[str], what: str, within: str | None = None, partitions: int | None = None) -> DataFrame:
     """Adds _rank from 0 in `order`: over all rows, or among the rows with the same `within` (the first of `order`).
 

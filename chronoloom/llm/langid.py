@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, TABLE, documents, groups_of, lean, lower_ascii, mix, powers, prefix, smallest_hashes, stored, tidy
+from .common import TABLE, documents, groups_of, lean, lower_ascii, mix, powers, prefix, smallest_hashes, stored, tidy
 
 DIM = 1 << 13
 SIZES = (2, 3, 4)
@@ -26,6 +26,8 @@ SIZES = (2, 3, 4)
 #: than FEW others.
 SAMPLE = 4000
 LONGEST = 40_000
+#: Values of lang (a row each) that may be broadcast; more are shuffled.
+MANY = 100_000
 FEW = 50
 # Families of languages by ISO 639-1 code; a code that is not listed is a family of its own.
 FAMILIES = {
@@ -132,7 +134,7 @@ def rare(known: DataFrame, first: DataFrame, most: int) -> DataFrame:
     counts = stored(known.groupBy("lang").agg(F.count_if(~long).alias("short"), F.count_if(long).alias("long")), "languages")
     rows = known.select(h.alias("h"), F.substring(F.col("text").cast("binary"), 1, LONGEST).alias("text"), F.col("lang"), long.alias("is_long"))
     counts = counts.withColumnRenamed("lang", "_lang")
-    rows = rows.join(F.broadcast(counts) if counts.count() <= BROADCAST_IDS else counts, F.col("lang") == F.col("_lang"))
+    rows = rows.join(F.broadcast(counts) if counts.count() <= MANY else counts, F.col("lang") == F.col("_lang"))
     # A threshold leaves a few hundred rows of each language, so that no task sorts a language whole.
     below = lambda n: F.col("h") < F.lit(float(1 << 40)) * F.least(F.lit(1.0), F.lit(4.0 * FEW) / n)
     rows = rows.filter(F.when(F.col("is_long"), (F.col("short") < FEW) & below(F.col("long"))).otherwise(below(F.col("short"))))

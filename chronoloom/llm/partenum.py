@@ -1,11 +1,15 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-Sets are distinct four-word shingles.  Sizes fall in bands, each `similarity` of the next; similar sets are in one band or in neighbours, so every set takes part in the two
-instances of its band.  In an instance, similar sets differ in at most k shingles.  The shingle domain is dealt by hash to n1 partitions of n2 parts each; of n1 partitions one
-differs in at most k2 = k // n1, so leaving out every k2 of its n2 parts leaves a subset of parts that is equal in both: one shared signature.
+The shingle domain is partitioned by hash into two parts, and a part again as long as it holds more of a set's shingles than `capacity`.  Of two parts of a partition one is in at
+least the same proportion alike in both sets (differences over sizes, summed over the parts, cannot all be above the whole's), and two parts so alike with at most `capacity` shingles
+are equal, as one difference would be too many: so enumerating the subsets that fill such parts gives every pair of similar sets a signature in common, and never one of an empty part.
 
-Signatures travel packed to buckets.  Members of a signature are compared with the one of smallest doc_id; parities of the shingles in many parts of the domain (a bit each) differ in
-at most as many bits as the sets differ in shingles, an exact bound that drops nearly all false candidates, and the rest is verified on the shingles.  Components follow; where a signature still holds members of several components, the
+Similar sets share more than one: those of their intersection's parts into which no difference falls.  Of the intersection's c shingles there are c / capacity parts at least and
+c (1 / similarity - 1) differences at most, so a set may leave out one signature less than that difference, those of the fewest shingles first (both sets order them alike).
+
+Signatures travel packed to buckets, with the sets' sizes; within a signature only sizes in one band (each at least `similarity` of the other) meet.  Members are compared with the one
+of smallest doc_id; parities of the shingles in many parts of the domain (a bit each) differ in at most as many bits as the sets differ in shingles, an exact bound that drops nearly
+all false candidates, and the rest is verified on the shingles.  Components follow; where a signature still holds members of several components, the
 other pairs across components are compared by the same bound and verified too, in blocks.  Equal sets are one class throughout.
 
 Defined results: a null or empty text, or one without words, has an empty set and is its own component; a shorter text than four words is one shingle; rows that repeat a doc_id
@@ -16,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -24,62 +27,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, attach, batches_of, documents, lean, mix, partitions_for, shingle_sets, stored, tidy
+from .common import attach, batches_of, documents, lean, mix, partitions_for, salted, shingle_sets, stored, thinned, tidy
 from .components import components
 from .windows import pack, unpack
 
 SHINGLE = 4
 #: Similarity in hundredths, so that no bound is rounded.
 SIMILARITY = 85
-#: A sketch has at least so many bits, and a power of two of at least eight for each shingle.
-LEAST_BITS = 512
+#: A sketch has at least so many bits, and a power of two of at least two for each shingle.
+LEAST_BITS = 128
 BLOCK = 1024
 U = np.uint64
 
 
-class Scheme:
-    """Bands and signature parameters for a similarity of `share` hundredths."""
-
-    def __init__(self, share: int = SIMILARITY, longest: int = 1 << 31):
-        self.share, self.low = share, [1]
-        while self.low[-1] <= longest:
-            self.low.append(self.low[-1] * 100 // share + 1)
-        self.lows = np.array(self.low)
-
-    def band(self, size) -> np.ndarray:
-        return np.searchsorted(self.lows, size, side="right") - 1
-
-    def differ(self, sizes):
-        """The most shingles in which similar sets of these sizes together can differ."""
-        return (100 - self.share) * sizes // (100 + self.share)
-
-    def parameters(self, instance: int) -> tuple[int, int, int]:
-        """n1, n2, k2 of an instance, which holds bands instance and instance + 1."""
-        k = int(self.differ(self.low[instance + 1] - 1 + self.low[instance + 2] - 1))
-        if k == 0:
-            return 1, 1, 0
-        n1 = k // 2 + 1  # so one partition has at most one difference
-        return n1, 3 if k < 12 else 2, 1
-
-
-def signatures(values: np.ndarray, scheme: Scheme) -> np.ndarray:
-    """All signatures of one set (sorted distinct hashes)."""
-    out = []
-    band = int(scheme.band(len(values)))
-    for instance in (band - 1, band):
-        if instance < 0:
-            continue
-        n1, n2, k2 = scheme.parameters(instance)
-        seed = U((instance + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        h = mix(values ^ seed)
-        part = ((h >> U(32)) % U(n1 * n2)).astype(np.int64)
-        # A part's image is the sum of its shingles' hashes: sets are equal as their sums are.
-        image = np.zeros(n1 * n2, U)
-        np.add.at(image, part, mix(h))
-        image = mix(image.reshape(n1, n2) + np.arange(1, n1 * n2 + 1, dtype=U).reshape(n1, n2) * U(0xD1342543DE82EF95))
-        for c, keep in enumerate(combinations(range(n2), n2 - k2)):
-            out.append(mix(image[:, keep].sum(1, dtype=U) ^ seed ^ U(c + 1)))
-    return np.concatenate(out)
+def capacity(share: int) -> int:
+    """The most shingles that sets can hold for a similarity of `share` hundredths to make them equal."""
+    if not 50 < share < 100:
+        raise ValueError("similarity must be above 50 and below 100 hundredths")
+    return (share - 1) // (100 - share)
+
+
+def shared_at_least(sizes: np.ndarray, share: int) -> np.ndarray:
+    """The fewest signatures that a set has in common with any set similar to it, by its size."""
+    cap = capacity(share)
+    return np.maximum(1, -(-sizes * (share - cap * (100 - share)) // (100 * cap)))
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Leading bits that two words have in common (of their first 53)."""
+    return 53 - np.frexp(((x ^ y) >> U(11)).astype(np.float64))[1]
+
+
+def signatures(values: np.ndarray, at: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets (distinct hashes, sorted within each; `at`: where sets begin), and each one's set.
+
+    A part is a prefix of the hash.  A shingle's part is the first prefix that at most `capacity` of its set's shingles have: one bit longer than the longest that any
+    capacity + 1 neighbours around it in order have in common.
+    """
+    cap, n = capacity(share), len(values)
+    own = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
+    if not n:
+        return np.zeros(0, U), own
+    depth = np.zeros(n, np.int32)
+    if n > cap:
+        both = np.where(own[: n - cap] == own[cap:], _common(values[: n - cap], values[cap:]) + 1, 0)
+        for j in range(cap + 1):
+            np.maximum(depth[j : j + n - cap], both, out=depth[j : j + n - cap])
+    new = np.ones(n, bool)
+    new[1:] = (own[1:] != own[:-1]) | (depth[1:] != depth[:-1]) | (_common(values[1:], values[:-1]) < depth[1:])
+    first = np.flatnonzero(new)
+    size, own = np.diff(np.append(first, n)), own[first]
+    sig = mix(np.add.reduceat(mix(values + U(0x5851F42D4C957F2D)), first) ^ mix(depth[first].astype(U)))
+    order = np.lexsort((sig, size, own))
+    sig, own = sig[order], own[order]
+    place = np.arange(len(sig)) - np.searchsorted(own, own)
+    keep = place >= shared_at_least(np.diff(at), share)[own] - 1
+    return sig[keep], own[keep]
 
 
 def _key(values: np.ndarray) -> int:
@@ -106,7 +109,7 @@ def described(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
 
 def sketch(values: np.ndarray) -> bytes:
     """Parities of the set's shingles in 2**m parts of the domain."""
-    bits = max(LEAST_BITS, 1 << int(8 * len(values) - 1).bit_length())
+    bits = max(LEAST_BITS, 1 << int(2 * len(values) - 1).bit_length())
     part = (mix(values ^ U(0xA5A5A5A5A5A5A5A5)) & U(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(part, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -128,17 +131,16 @@ def bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
 
 
-def dealt(docs: DataFrame, buckets: int, scheme: Scheme, n: int) -> DataFrame:
+def dealt(docs: DataFrame, buckets: int, share: int, n: int) -> DataFrame:
     """Signatures, packed by bucket."""
 
     def run(batches):
         for b in batches:
             for a, z in batches_of(b.column(1)):
                 ids = b.column(0).slice(a, z - a).to_pylist()
-                texts = [t or b"" for t in b.column(1).slice(a, z - a).to_pylist()]
-                v, at = shingle_sets(texts, n)
+                v, at = shingle_sets([t or b"" for t in b.column(1).slice(a, z - a).to_pylist()], n)
                 seen: dict[int, int] = {}
-                sig, own, keys, docs_ = [], [], [], []
+                chosen, keys, docs_ = [], [], []
                 for i, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                     if y == x:
                         continue
@@ -147,16 +149,18 @@ def dealt(docs: DataFrame, buckets: int, scheme: Scheme, n: int) -> DataFrame:
                     if key in seen:  # a copy in this batch: its signatures are there already
                         docs_[seen[key]] = min(docs_[seen[key]], d)
                         continue
-                    s = signatures(v[x:y], scheme)
                     seen[key] = len(keys)
-                    sig.append(s)
-                    own.append(np.full(len(s), len(keys), np.int32))
+                    chosen.append(i)
                     keys.append(key)
                     docs_.append(d)
                 if not keys:
                     continue
-                sig, own, keys, docs_ = np.concatenate(sig), np.concatenate(own), np.array(keys, np.int64), np.array(docs_, np.int64)
-                bucket = (sig % U(buckets)).astype(np.int64)
+                if len(chosen) < len(ids):
+                    v = np.concatenate([v[at[i] : at[i + 1]] for i in chosen])
+                    at = np.concatenate(([0], np.cumsum(np.diff(at)[chosen])))
+                sig, own = signatures(v, at, share)
+                keys, docs_, sizes = np.array(keys, np.int64), np.array(docs_, np.int64), np.diff(at).astype(np.uint32)
+                bucket = (sig % U(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 rows = []
@@ -164,7 +168,7 @@ def dealt(docs: DataFrame, buckets: int, scheme: Scheme, n: int) -> DataFrame:
                     o = order[bounds[k] : bounds[k + 1]]
                     who, index = np.unique(own[o], return_inverse=True)
                     h = sig[o] >> U(24)
-                    rows.append((k, pack([(h >> U(8)).astype(np.uint32), (h & U(255)).astype(np.uint8), index.astype(np.uint16 if len(who) < 65536 else np.uint32), keys[who], docs_[who]])))
+                    rows.append((k, pack([(h >> U(8)).astype(np.uint32), (h & U(255)).astype(np.uint8), index.astype(np.uint16 if len(who) < 65536 else np.uint32), keys[who], docs_[who], sizes[who]])))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary())], names=["bucket", "packed"])
                 del v, at, sig, own, keys, docs_, bucket, order, rows, cols
@@ -173,49 +177,56 @@ def dealt(docs: DataFrame, buckets: int, scheme: Scheme, n: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "bucket int, packed binary")
 
 
-def _grouped(table: pa.Table) -> pa.Table:
-    """A bucket -> candidates (0, pivot, member), and members of signatures with three or more (1, group, member)."""
-    sig, key, doc = [], [], []
+def _grouped(table: pa.Table, share: int) -> pa.Table:
+    """A bucket -> candidates (0, pivot, member) whose sizes allow it, and the members but the pivot of signatures with three or more (1, group, member) that some other's size allows."""
+    sig, key, doc, n = [], [], [], []
     for blob in table.column("packed").to_pylist():
-        hi, lo, index, keys, docs = unpack(blob)
+        hi, lo, index, keys, docs, sizes = unpack(blob)
         sig.append((hi.astype(U) << U(8)) | lo.astype(U))
         key.append(keys[index])
         doc.append(docs[index])
-    sig, key, doc = np.concatenate(sig), np.concatenate(key), np.concatenate(doc)
+        n.append(sizes[index])
+    sig = np.concatenate(sig)
+    order = np.argsort(sig, kind="stable")
+    sig = sig[order]
+    again = sig[1:] == sig[:-1]
+    alone = ~(np.concatenate((again, [False])) | np.concatenate(([False], again)))
+    order, sig = order[~alone], sig[~alone]  # most signatures are one set's alone
+    key, doc, n = (np.concatenate(x)[order] for x in (key, doc, n))
     order = np.lexsort((doc, key, sig))
-    sig, key, doc = sig[order], key[order], doc[order]
+    sig, key, doc, n = sig[order], key[order], doc[order], n[order].astype(np.int64)
     keep = np.ones(len(sig), bool)
     keep[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])  # the smallest doc_id of each class
-    sig, key, doc = sig[keep], key[keep], doc[keep]
-    start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-    size = np.diff(np.concatenate((start, [len(sig)])))
-    group = np.repeat(np.arange(len(start)), size)
-    many = size[group] > 1
-    key, doc, group = key[many], doc[many], group[many]
+    sig, key, doc, n = sig[keep], key[keep], doc[keep], n[keep]
+    order = np.lexsort((key, doc, sig))
+    sig, key, n = sig[order], key[order], n[order]
     if not len(key):
         return pa.table({"kind": pa.array([], pa.int32()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    order = np.lexsort((key, doc, group))
-    key, doc, group = key[order], doc[order], group[order]
-    first = np.concatenate(([True], group[1:] != group[:-1]))
-    head = key[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-    pairs = np.unique(np.stack([head[~first], key[~first]], 1), axis=0)
-    # Groups with the same members are one: its number is the sum of their images.
-    at = np.flatnonzero(first)
-    number = np.add.reduceat(mix(key.astype(U)), at).astype(np.int64)
-    size = np.diff(np.concatenate((at, [len(key)])))
-    big = np.repeat(size >= 3, size)
-    members = np.unique(np.stack([np.repeat(number, size)[big], key[big]], 1), axis=0) if big.any() else np.zeros((0, 2), np.int64)
+    first = np.concatenate(([True], sig[1:] != sig[:-1]))
+    at = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+    near = ~first & (100 * np.minimum(n, n[at]) >= share * np.maximum(n, n[at]))
+    pairs = np.unique(np.stack([key[at[near]], key[near]], 1), axis=0)
+    sig, key, n = sig[~first], key[~first], n[~first]
+    order = np.lexsort((key, n, sig))
+    sig, key, n = sig[order], key[order], n[order]
+    band = (sig[1:] == sig[:-1]) & (100 * n[:-1] >= share * n[1:])  # in one band with the next larger
+    start = np.flatnonzero(np.concatenate(([True], ~band))) if len(key) else np.zeros(0, np.int64)
+    members = np.zeros((0, 2), np.int64)
+    if len(start):
+        # Runs of sizes in which each is in one band with the next; runs with the same members are one group, whose number is the sum of their images.
+        size = np.diff(np.append(start, len(key)))
+        number = np.add.reduceat(mix(key.astype(U)), start).astype(np.int64)
+        big = np.repeat(size >= 2, size)
+        members = np.unique(np.stack([np.repeat(number, size)[big], key[big]], 1), axis=0)
     both = np.concatenate((pairs, members))
     return pa.table({"kind": pa.array(np.repeat(np.array([0, 1], np.int32), [len(pairs), len(members)])), "a": pa.array(np.ascontiguousarray(both[:, 0])), "b": pa.array(np.ascontiguousarray(both[:, 1]))})
 
 
 def representatives(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
-    """key, text of one document of each class in keys(key).  Only their texts travel, while the ids fit in a broadcast; beyond, both sides shuffle."""
-    reps = stored(classes.join(keys, "key", "left_semi").select("key", F.col("rep").alias("doc_id"), F.col("tag").alias("_tag")), "representatives")
-    rows = docs.withColumn("tag", F.hash("text"))
-    few = reps.count() <= BROADCAST_IDS
-    reps = reps.withColumnRenamed("doc_id", "_doc")
-    found = rows.join(F.broadcast(reps) if few else reps, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag"))).select("key", F.col("text").cast("binary").alias("text"))
+    """key, text of one document of each class in keys(key).  Few other texts travel: a bitmap of the ids thins them out first."""
+    reps = stored(classes.join(keys, "key", "left_semi").select("key", F.col("rep").alias("doc_id"), F.col("tag").alias("tag")), "representatives")
+    rows = thinned(docs.withColumn("tag", F.hash("text")), reps, ["doc_id", "tag"]).withColumnRenamed("doc_id", "_doc").withColumnRenamed("tag", "_tag")
+    found = rows.dropDuplicates(["_doc", "_tag"]).join(reps, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag"))).select("key", F.col("text").cast("binary").alias("text"))
     return found.dropDuplicates(["key"])
 
 
@@ -242,7 +253,7 @@ def possible(pairs: DataFrame, drawn: DataFrame, share: int) -> DataFrame:
             yield pd.Series(least * (100 + share) <= (100 - share) * (n + m).to_numpy())
 
     left, right = (drawn.select(F.col("key").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n_shingles").alias(f"n{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").filter(F.pandas_udf(test, "boolean")("sa", "sb", "na", "nb")).select("a", "b")
+    return salted(salted(pairs, left, "a"), right, "b").filter(F.pandas_udf(test, "boolean")("sa", "sb", "na", "nb")).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, share: int, n: int) -> DataFrame:
@@ -265,7 +276,7 @@ def verified(pairs: DataFrame, texts: DataFrame, share: int, n: int) -> DataFram
                 keep = np.flatnonzero(ok).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array([pa_[i] for i in keep], pa.int64()), pa.array([pb[i] for i in keep], pa.int64())], names=["a", "b"])
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    joined = salted(salted(pairs, left, "a"), right, "b").select("a", "b", "ta", "tb")
     return joined.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -303,14 +314,13 @@ def groups(docs: DataFrame, share: int = SIMILARITY, n: int = SHINGLE) -> DataFr
     spark = docs.sparkSession
     lean(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    scheme = Scheme(share)
     sets = stored(described(docs, n), "sets")
     classes = stored(sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("f"), F.count("*").alias("_n")).withColumn("tag", F.col("f.tag")).drop("f"), "classes")
     volume = sets.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = partitions_for(spark, volume * 0.35, 700_000)
-    grouped = stored(dealt(docs, buckets, scheme, n).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_grouped, "kind int, a bigint, b bigint"), "signatures")
+    grouped = stored(dealt(docs, buckets, share, n).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _grouped(t, share), "kind int, a bigint, b bigint"), "signatures")
     members = grouped.filter("kind = 1").select("a", "b").distinct()
-    met = grouped.filter("kind = 0").select(F.col("a").alias("key")).union(grouped.filter("kind = 0").select("b")).distinct()
+    met = grouped.filter("kind = 0").select(F.col("a").alias("key")).union(grouped.select("b").filter("b is not null")).distinct()
     texts = stored(representatives(docs, classes, met), "texts")
     drawn = stored(sketches(texts, n), "sketches")
     pairs = stored(possible(grouped.filter("kind = 0").select("a", "b").distinct(), drawn, share), "candidates")
@@ -337,16 +347,18 @@ def kept(docs: DataFrame, share: int = SIMILARITY, n: int = SHINGLE) -> DataFram
     """The rows of docs of which one stays in each component: the smallest doc_id (then the least hash of its text; of rows equal in both, one)."""
     names = docs.columns
     found = stored(groups(docs, share, n), "groups")
-    gone = found.filter(~F.col("first")).select(F.col("doc_id").alias("__cl_d"), F.col("tag").alias("__cl_t")).distinct()
-    rows = docs.withColumn("__cl_tag", F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    rows = rows.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__cl_d")) & (F.col("__cl_tag") == F.col("__cl_t")), "left_anti")
+    gone = stored(found.filter(~F.col("first")).select(F.col("doc_id").alias("__cl_d"), F.col("tag").alias("__cl_t")).distinct(), "gone")
+    tag = F.hash(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.withColumn("__cl_d", F.col("doc_id").cast("bigint")).withColumn("__cl_t", tag)
+    marked = thinned(rows, gone, ["__cl_d", "__cl_t"], mark="__cl_maybe")
+    gone = gone.withColumnRenamed("__cl_d", "__cl_gd").withColumnRenamed("__cl_t", "__cl_gt")
+    left = marked.filter("__cl_maybe").join(gone, F.col("__cl_d").eqNullSafe(F.col("__cl_gd")) & (F.col("__cl_t") == F.col("__cl_gt")), "left_anti")
+    rows = marked.filter("not __cl_maybe").unionByName(left)
     # Repeated rows: few ids have more than one row left, and only those are looked at again.
-    twice = stored(found.filter("first and n_shingles > 0").groupBy("doc_id", "tag").count().filter("count > 1").select(F.col("doc_id").alias("__cl_d"), F.col("tag").alias("__cl_t")), "repeated")
+    twice = stored(found.filter("first and n_shingles > 0").groupBy("doc_id", "tag").count().filter("count > 1").select(F.col("doc_id").alias("__cl_gd"), F.col("tag").alias("__cl_gt")), "repeated")
     if twice.limit(1).count():
-        same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__cl_d")) & (F.col("__cl_tag") == F.col("__cl_t"))
-        rows = rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__cl_tag"]))
+        same = F.col("__cl_d").eqNullSafe(F.col("__cl_gd")) & (F.col("__cl_t") == F.col("__cl_gt"))
+        rows = rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["__cl_d", "__cl_t"]))
     return rows.select(*names)
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, documents, lean, stored
+from .common import documents, lean, stored, thinned
 from .windows import covered, normal, repeated_windows
 
 WINDOW = 35
@@ -34,12 +34,10 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def touched(docs: DataFrame, spans: DataFrame, columns: list[str]) -> DataFrame:
-    """docs that have spans, joined with them.  The texts of other documents don't travel while the ids fit in a broadcast; beyond, both sides shuffle."""
+    """docs that have spans, joined with them.  Few texts of other documents travel: a bitmap of the ids thins them out first."""
     by = ["doc_id", "tag"]
-    lists = spans.groupBy(*by).agg(F.collect_list("spans").alias("spans"))
-    ids = lists.select(*by)
-    if ids.count() <= BROADCAST_IDS:
-        docs = docs.join(F.broadcast(ids), by, "left_semi")
+    lists = stored(spans.groupBy(*by).agg(F.collect_list("spans").alias("spans")), "span-lists")
+    docs = thinned(docs, lists, by)
     return docs.join(lists.withColumnRenamed("doc_id", "_d").withColumnRenamed("tag", "_t"), (F.col("doc_id") == F.col("_d")) & (F.col("tag") == F.col("_t"))).select(*columns, "spans")
 
 

@@ -137,22 +137,59 @@ def test_jaccard_keeps_one_of_each(odd):
     assert max(texts.values()) == 1 and passage(1, 120).upper() not in texts
 
 
+@pytest.mark.parametrize("share", [80, 85])
 @pytest.mark.parametrize("seed", range(3))
-def test_near_sets_share_a_signature(seed):
+def test_near_sets_share_a_signature(seed, share):
     rng = np.random.default_rng(seed)
-    scheme = partenum.Scheme()
-    for _ in range(150):
-        n = int(rng.integers(1, 400))
-        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-        worst = int(scheme.differ(2 * len(a)))
-        drop = int(rng.integers(0, worst + 1))
-        b = np.unique(np.concatenate((a[drop:], rng.integers(0, 1 << 63, int(rng.integers(0, worst + 1)), dtype=np.uint64))))
+    near = 0
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, rng.choice([8, 400]))), dtype=np.uint64))
+        worst = (100 - share) * 2 * len(a) // (100 + share)
+        b = np.unique(np.concatenate((a[int(rng.integers(0, worst + 1)) :], rng.integers(0, 1 << 63, int(rng.integers(0, worst + 1)), dtype=np.uint64))))
         both = len(np.intersect1d(a, b))
-        if len(b) and 100 * both >= 85 * (len(a) + len(b) - both):
-            assert np.intersect1d(partenum.signatures(a, scheme), partenum.signatures(b, scheme)).size
-        if len(b):
-            x, y = partenum.folded([partenum.sketch(a), partenum.sketch(b)])
-            assert partenum.bound(x, y) <= len(a) + len(b) - 2 * both
+        if not len(b):
+            continue
+        sig, own = partenum.signatures(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), share)
+        if 100 * both >= share * (len(a) + len(b) - both):
+            near += 1
+            assert np.intersect1d(sig[own == 0], sig[own == 1]).size
+        x, y = partenum.folded([partenum.sketch(a), partenum.sketch(b)])
+        assert partenum.bound(x, y) <= len(a) + len(b) - 2 * both
+    assert near > 50
+
+
+@pytest.mark.parametrize("size", [5, 20, 74, 300, 2000])
+def test_unlike_sets_share_no_signature(size):
+    """Sets without a shingle in common have none, and candidates grow with the sets where each has shingles that many have."""
+    rng = np.random.default_rng(size)
+    line = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    met = []
+    for many in (500, 1000):
+        own_part = [rng.integers(0, 1 << 63, size, dtype=np.uint64) for _ in range(many)]
+        sets = [np.unique(x) for x in own_part]
+        sig, own = partenum.signatures(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets]))), 80)
+        assert len(np.unique(sig)) == len(sig)
+        sets = [np.unique(np.concatenate((x, line))) for x in own_part]
+        sig, own = partenum.signatures(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets]))), 80)
+        met.append((len(sig) - len(np.unique(sig))) / many)
+    assert met[1] < 1.5 * met[0] + 0.5 and met[1] < 4
+
+
+def test_salted_joins_lose_nothing(spark):
+    left = spark.createDataFrame([(i, 0 if i < 300 else i) for i in range(400)], "v long, k long")
+    right = spark.createDataFrame([(i, f"t{i}") for i in range(0, 390)], "k long, t string")
+    got = common.salted(left, right, "k", 10)
+    assert sort([(r.v, r.k, r.t) for r in got.collect()]) == sort([(r.v, r.k, r.t) for r in left.join(right, "k").select("v", "k", "t").collect()])
+
+
+def test_thinning_misses_no_id(spark):
+    rows = spark.range(5000).withColumn("x", F.when(F.col("id") % 7 > 0, F.col("id")))
+    ids = rows.filter("id % 10 = 0").select("id", "x")
+    got = common.thinned(rows, ids, ["id", "x"])
+    assert {r.id for r in ids.collect()} <= {r.id for r in got.collect()} and got.count() < 700 and got.columns == rows.columns
+    marked = common.thinned(rows, ids, ["id", "x"], "m")
+    assert marked.count() == 5000 and marked.filter("m").count() == got.count()
+    assert common.thinned(rows, ids.limit(0), ["id", "x"]).count() == 0
 
 
 def test_components_of_chains_and_stars(spark):
@@ -454,19 +491,6 @@ def test_pipeline_drops_near_copies_from_eight_tenths(spark):
     assert 2 in {r[2] for r in brute.components(rows)}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_near_sets_of_eight_tenths_share_a_signature(seed):
-    rng = np.random.default_rng(seed)
-    scheme = partenum.Scheme(80)
-    for _ in range(150):
-        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 400)), dtype=np.uint64))
-        worst = int(scheme.differ(2 * len(a)))
-        b = np.unique(np.concatenate((a[int(rng.integers(0, worst + 1)) :], rng.integers(0, 1 << 63, int(rng.integers(0, worst + 1)), dtype=np.uint64))))
-        both = len(np.intersect1d(a, b))
-        if len(b) and 100 * both >= 80 * (len(a) + len(b) - both):
-            assert np.intersect1d(partenum.signatures(a, scheme), partenum.signatures(b, scheme)).size
-
-
 def test_rare_languages_are_learned(spark):
     """A language with few documents among many, and one with long texts only, from a sample that is smaller than the table."""
     rng = random.Random(6)
