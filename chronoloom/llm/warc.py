@@ -1,123 +1,233 @@
 """WARC archives: written, read back, and deduplicated by revisit records.
 
-Archives are gzip files of WARC/1.1 records, written by Spark's text writer, whose line separator is the blank line that ends a record, so any
-file system that Spark reaches will do and lost tasks leave nothing behind.  They are read as a stream by Content-Length, so payloads may hold anything.
+An archive holds at most `each` WARC/1.1 records, each a gzip member of its own, so that a record can be read from where it begins.  A task writes an archive under a passing name and
+then moves it to a name that follows from its partition and number, so a task that runs again replaces what it left.  Archives are read as a stream by Content-Length, so payloads
+may hold anything; one record and a megabyte are held at a time.  They may lie wherever both Spark and pyarrow's file systems reach.
 
-Revisit resolution: headers alone are shuffled by payload digest; the smallest page_id of a digest is the original response; the others become revisit
-records with fresh headers and no payload, and revisits are joined to their responses.
+Revisit resolution: headers alone are shuffled by payload digest; the smallest page_id of a digest is the original response.  The decisions, without payloads, go to the task that
+streams their archive again and writes it with fresh headers: the others become revisit records without payload, which name the response that they refer to.
 
 Defined results: a null payload is empty; equal payloads under `least` bytes stay responses; rows that repeat the original's page_id and payload are responses
-too; a null page_id sorts last; a null url is written as an empty one; an empty table gives an empty result; other columns are not written.
+too; a null page_id sorts last; a null url is written as an empty one; an empty table gives an empty result; other columns are not written; records of other types are copied as they are.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
+import uuid
+import zlib
+from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, documents, lean, scratch, stored
+from .common import attach, documents, lean, scratch, stored, tidy
 
-END = "\r\n\r\n"
-DATE = "2026-01-01T00:00:00Z"
+END = b"\r\n\r\n"
+LEVEL = 3
+RECORDS = 20_000
 # Fixed values of the WARC 1.1 standard.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = "record_id string, record_type string, uri string, page_id bigint, payload_digest string, payload_bytes bigint, refers_to_id string, payload binary"
-
-
-def digest(payload: Column) -> Column:
-    """Bare upper-case base32 of SHA-1: each five hex digits are four base32 digits."""
-    hexed = F.sha1(payload)
-    parts = [F.lpad(F.conv(F.substring(hexed, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]
-    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-
-
-def record_id(*of: Column) -> Column:
-    h = F.md5(F.concat_ws("|", *of).cast("binary"))
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
-
-
-def write_archive(records: DataFrame, path: str, each: int = 20_000) -> None:
-    """records(page_id, uri, payload binary, record_type, payload_digest, payload_bytes[, refers_to_id, refers_to_uri]) -> gzip archives below path."""
-    line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise(F.lit(""))
-    revisit = F.col("record_type") == "revisit"
-    none = F.lit(None).cast("string")
-    own = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
-    body = F.when(revisit, F.lit(b"")).otherwise(F.col("payload"))
-    head = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", record_id(F.lit("page"), own, F.col("record_type"), F.col("payload_digest"))),
-        F.lit(f"WARC-Date: {DATE}\r\n"), line("WARC-Target-URI", F.regexp_replace(F.coalesce("uri", F.lit("")), "[\r\n]+", " ")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), line("X-Page-Id", F.col("page_id").cast("string")),
-        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {REVISIT_PROFILE}\r\n"), line("WARC-Refers-To", F.col("refers_to_id") if "refers_to_id" in records.columns else none), F.lit(f"WARC-Refers-To-Date: {DATE}\r\n"))).otherwise(F.lit("")),
-        F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), (F.octet_length(http) + F.octet_length(body)).cast("string"), F.lit(END),
-    )
-    out = records.select(F.concat(head.cast("binary"), http.cast("binary"), body).cast("string").alias("value"))
-    out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
-
-
-def _parse(fragments, want_payload: bool):
-    """Fragments of archives between blank lines, in order -> records; at most one record and one batch are held."""
-    sep, rest = END.encode(), b""
-    names = [f.split()[0] for f in RECORD.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-    for batch in fragments:
-        data = rest + sep.join(batch.column(0).to_pylist()) + sep if batch.num_rows else rest
-        at, rows = 0, []
+RECORD = "file string, at bigint, record_id string, record_type string, uri string, date string, page_id bigint, payload_digest string, payload_bytes bigint, refers_to_id string, payload binary"
+_KINDS = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+
+
+def digest(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
+def record_id(*of: str) -> str:
+    return f"<urn:uuid:{uuid.UUID(hashlib.md5('|'.join(of).encode()).hexdigest())}>"
+
+
+def now() -> str:
+    return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def record(rid: str, kind: str, uri: str, date: str, page: int | None, sha: str, payload: bytes, refers: tuple[str, str, str] | None = None) -> bytes:
+    """A response record, or a revisit of the response `refers` (record id, uri, date)."""
+    body = b"" if refers else payload
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    head = [("WARC-Type", kind), ("WARC-Record-ID", rid), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{sha}")]
+    if page is not None:
+        head.append(("X-Page-Id", str(page)))
+    if refers:
+        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", refers[0]), ("WARC-Refers-To-Target-URI", refers[1]), ("WARC-Refers-To-Date", refers[2])]
+    head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(http) + len(body)))]
+    lines = "\r\n".join(["WARC/1.1", *(f"{k}: {' '.join(v.splitlines())}" for k, v in head)])
+    return b"".join((lines.encode("utf-8", "replace"), END, http, body, END))
+
+
+class Archive:
+    """Writes records, a gzip member each; the file has its name once it is closed."""
+
+    def __init__(self, folder: str, name: str):
+        from pyarrow.fs import FileSystem
+
+        self.fs, at = FileSystem.from_uri(folder)
+        self.passing, self.final = f"{at}/_{uuid.uuid4().hex}", f"{at}/{name}.warc.gz"
+        self.out = self.fs.open_output_stream(self.passing, compression=None)
+
+    def add(self, data: bytes) -> None:
+        z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+        self.out.write(z.compress(data) + z.flush())
+
+    def close(self) -> None:
+        self.out.close()
+        self.fs.move(self.passing, self.final)
+
+
+def located(spark: SparkSession, path: str) -> str:
+    """path as a URI with its scheme."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def folder(spark: SparkSession, path: str) -> str:
+    """The URI of a folder, made if it was not there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+    return located(spark, path)
+
+
+def _inflated(uri: str) -> Iterator[bytes]:
+    """What the gzip members of an archive hold, some at a time."""
+    from pyarrow.fs import FileSystem
+
+    fs, at = FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+    with fs.open_input_stream(at, compression=None) as source:
+        z, out, size = zlib.decompressobj(31), [], 0
+        while data := source.read(1 << 18):
+            while data:
+                if z.eof:
+                    z = zlib.decompressobj(31)
+                out.append(z.decompress(data, 1 << 20))
+                size += len(out[-1])
+                data = z.unused_data if z.eof else z.unconsumed_tail
+                if size >= 1 << 20:
+                    yield b"".join(out)
+                    out, size = [], 0
+        yield b"".join(out)
+        if not z.eof:
+            raise ValueError(f"{uri} ends within a gzip member")
+
+
+def _records(uri: str) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
+    """Fields (by lower-case name), head and block of each record of an archive."""
+    data, need = bytearray(), 0
+    for chunk in _inflated(uri):
+        data += chunk
+        if len(data) < need:
+            continue
+        at = 0
         while True:
             while data.startswith(b"\r\n", at):
                 at += 2
-            stop = data.find(sep, at)
+            stop = data.find(END, at)
             if stop < 0:
+                need = len(data) - at + 1
                 break
-            head = dict(x.split(": ", 1) for x in data[at:stop].decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-            block = stop + len(sep)
-            end = block + int(head["Content-Length"])
-            if len(data) < end + len(sep):
+            head = bytes(data[at:stop])
+            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
+            end = stop + len(END) + int(fields["content-length"])
+            if len(data) < end:
+                need = end - at
                 break
-            start = data.find(sep, block, end) + len(sep)
-            payload = data[start:end]
-            kind, page = head["WARC-Type"], head.get("X-Page-Id")
-            whole = kind == "response"
-            said = head["WARC-Payload-Digest"].removeprefix("sha1:")
-            sha = base64.b32encode(hashlib.sha1(payload).digest()).decode() if whole else said
-            if sha != said:
-                raise ValueError(f"record {head['WARC-Record-ID']}: its payload does not have the digest in its header")
-            rows.append((head["WARC-Record-ID"], kind, head.get("WARC-Target-URI", ""), int(page) if page else None, sha, len(payload) if whole else None, head.get("WARC-Refers-To"), payload if want_payload and whole else None))
-            at = end + len(sep)
-        rest = data[at:]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-    if rest.strip(b"\r\n"):
-        raise ValueError("an archive ends within a record")
+            yield fields, head, bytes(data[stop + len(END) : end])
+            at = end
+        del data[:at]
+    if data.strip(b"\r\n"):
+        raise ValueError(f"{uri} ends within a record")
+
+
+def _payload(fields: dict[str, str], block: bytes) -> tuple[bytes, str]:
+    """A response's payload and its digest, held against the one in its head."""
+    start = block.find(END)
+    payload = block[start + len(END) :] if start >= 0 else b""
+    sha, said = digest(payload), fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    if said and sha != said:
+        raise ValueError(f"record {fields['warc-record-id']}: its payload does not have the digest in its head")
+    return payload, sha
+
+
+def archives(spark: SparkSession, path: str) -> DataFrame:
+    """file: the archives below path, dealt to tasks one by one."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"))
+    return found.repartition(max(1, found.count()))
 
 
 def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """The response and revisit records of the archives below path; `at` numbers the records of a file."""
     lean(spark)
-    text = spark.read.option("lineSep", END).text(path).select(F.col("value").cast("binary").alias("value"))
-    return text.mapInArrow(lambda it: _parse(it, payload), RECORD)
+
+    def run(batches):
+        names = [f.split()[0] for f in RECORD.split(", ")]
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=names)
+        for b in batches:
+            for uri in b.column(0).to_pylist():
+                rows, size = [], 0
+                for at, (f, _, block) in enumerate(_records(uri)):
+                    kind = f.get("warc-type")
+                    if kind not in ("response", "revisit"):
+                        continue
+                    page = f.get("x-page-id")
+                    if kind == "response":
+                        body, sha = _payload(f, block)
+                        n = len(body)
+                    else:
+                        body, sha, n = None, f.get("warc-payload-digest", "").removeprefix("sha1:"), None
+                    rows.append((uri, at, f["warc-record-id"], kind, f.get("warc-target-uri", ""), f.get("warc-date"), int(page) if page else None, sha, n, f.get("warc-refers-to"), body if payload else None))
+                    size += 500 + (n or 0) * payload
+                    if size > 1 << 20:
+                        yield pack(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield pack(rows)
+        tidy()
+
+    return archives(spark, path).mapInArrow(run, RECORD)
 
 
 def originals(headers: DataFrame, least: int = 0) -> DataFrame:
-    """Adds `original`, the smallest page_id with the row's digest (its own where payloads under `least` bytes are not merged)."""
+    """Adds `original`, the smallest page_id with the row's digest, and the `first` record that has it (both null where payloads under `least` bytes are not merged)."""
     total = headers.count()
-    groups = headers.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("original"), F.count("*").alias("_n"))
+    merged = headers.filter((F.col("payload_bytes") >= least) & (F.col("record_type") == "response"))
+    groups = merged.groupBy("payload_digest").agg(F.min("page_id").alias("original"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id", "uri", "date"))).alias("first"), F.count("*").alias("_n"))
     return attach(headers, stored(groups, "digests"), "payload_digest", "_n", total).drop("_n")
 
 
 def deduplicate(spark: SparkSession, source: str, target: str, least: int = 0) -> None:
     """Write the archives below source again below target, with revisit records for repeated payloads."""
     found = stored(originals(read_archive(spark, source, False).drop("payload"), least), "headers")
-    decided = found.select(
-        F.col("record_id").alias("_id"), F.when(F.col("original") < F.coalesce("page_id", F.lit((1 << 63) - 1)), "revisit").otherwise("response").alias("_type"), "original"
-    ).dropDuplicates(["_id"])  # repeated rows have one record id, and one decision
-    records = read_archive(spark, source).drop("record_type", "refers_to_id")
-    joined = records.join(decided, F.col("record_id") == F.col("_id")).withColumnRenamed("_type", "record_type")
-    joined = joined.withColumn("refers_to_id", F.when(F.col("original").isNotNull() & (F.col("record_type") == "revisit"), record_id(F.lit("page"), F.col("original").cast("string"), F.lit("response"), F.col("payload_digest"))))
-    write_archive(joined, target)
+    again = (F.col("record_type") == "response") & (F.col("original") < F.coalesce("page_id", F.lit((1 << 63) - 1)))
+    decided = found.select("file", F.when(again, F.col("at")).alias("at"), *[F.when(again, F.col(f"first.{c}")).alias(c) for c in ("record_id", "uri", "date")])
+    to, date = folder(spark, target), now()
+
+    def rewrite(t: pa.Table) -> pa.Table:
+        uri = t.column("file")[0].as_py()
+        at, *first = (t.column(c).to_pylist() for c in ("at", "record_id", "uri", "date"))
+        refers = {i: r for i, *r in zip(at, *first, strict=True) if i is not None}
+        out = Archive(to, f"{hashlib.md5(uri.encode()).hexdigest()[:8]}-{os.path.basename(uri).split('.')[0]}")
+        n = 0
+        for n, (f, head, block) in enumerate(_records(uri), 1):
+            if f.get("warc-type") != "response":
+                out.add(head + END + block + END)
+                continue
+            payload, sha = _payload(f, block)
+            page, to_first = f.get("x-page-id"), refers.get(n - 1)
+            kind = "revisit" if to_first else "response"
+            ref = (record_id(to_first[0], "response"), to_first[1], to_first[2]) if to_first else None
+            out.add(record(record_id(f["warc-record-id"], kind), kind, f.get("warc-target-uri", ""), date, int(page) if page else None, sha, payload, ref))
+        out.close()
+        tidy()
+        return pa.table({"file": [uri], "n": [n]})
+
+    decided.groupBy("file").applyInArrow(rewrite, "file string, n bigint").agg(F.sum("n")).first()  # one number
 
 
 def resolve(records: DataFrame) -> DataFrame:
@@ -134,10 +244,31 @@ def resolve(records: DataFrame) -> DataFrame:
     )
 
 
-def archive_pages(pages: DataFrame, path: str) -> None:
-    payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("uri"), payload.alias("payload"), F.lit("response").alias("record_type"))
-    write_archive(rows.withColumn("payload_digest", digest(F.col("payload"))).withColumn("payload_bytes", F.octet_length("payload").cast("bigint")), path)
+def archive_pages(pages: DataFrame, path: str, each: int = RECORDS) -> None:
+    """A response record per row of pages(page_id, url, html) in archives below path."""
+    spark = pages.sparkSession
+    lean(spark)
+    to, date, run_id = folder(spark, path), now(), uuid.uuid4().hex
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        part, out, n = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            for page, url, html in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if n % each == 0:
+                    if out:
+                        out.close()
+                    out = Archive(to, f"pages-{part:06d}-{n // each:06d}")
+                html = html or b""
+                out.add(record(record_id(run_id, str(part), str(n)), "response", url or "", date, page, digest(html), html))
+                n += 1
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html"))
+    rows.mapInArrow(write, "n bigint").agg(F.sum("n")).first()  # one number
 
 
 def op1_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -323,14 +323,52 @@ def test_warc(spark, tmp_path):
         first = least[match[0]]
         assert (r.record_type, r.refers_to) == (("response", None) if r.page_id == first else ("revisit", first))
     assert len(got) == len(rows)
-    assert warc.originals(back_frame(spark, back), least=9).filter("original is null").count() == sum(len((h or "").encode()) < 9 for _, _, h in rows)
-    empty = str(tmp_path / "empty")
-    warc.archive_pages(pages.limit(0), empty)
-    assert warc.read_archive(spark, empty).count() == 0
-
-
-def back_frame(spark, rows):
-    return spark.createDataFrame([(r.record_id, r.page_id, r.payload_digest, r.payload_bytes) for r in rows], "record_id string, page_id long, payload_digest string, payload_bytes long")
+    assert warc.originals(warc.read_archive(spark, raw), least=9).filter("original is null").count() == sum(len((h or "").encode()) < 9 for _, _, h in rows)
+    records = warc.read_archive(spark, kept).collect()
+    by = {r.record_id: r for r in records}
+    assert len(by) == len(rows) and {r.record_type for r in records} == {"response", "revisit"}
+    assert all(by[r.refers_to_id].record_type == "response" and by[r.refers_to_id].payload_digest == r.payload_digest for r in records if r.record_type == "revisit")
+    fixed = str(tmp_path / "again")
+    warc.deduplicate(spark, kept, fixed)  # revisits stay what they are
+    assert collections.Counter(r.record_type for r in warc.read_archive(spark, fixed).collect()) == collections.Counter(r.record_type for r in records)
+
+
+def test_a_record_is_a_gzip_member(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u\r\nv", "é" * i) for i in range(7)], "page_id long, url string, html string").coalesce(1)
+    warc.archive_pages(pages, str(tmp_path / "a"), each=3)
+    files = sorted((tmp_path / "a").glob("*.warc.gz"))
+    assert len(files) == 3 and not list((tmp_path / "a").glob("_*"))
+    members = 0
+    for f in files:
+        data = f.read_bytes()
+        while data:
+            z = zlib.decompressobj(31)
+            one = z.decompress(data)
+            assert one.startswith(b"WARC/1.1\r\n") and one.count(b"WARC-Record-ID") == 1 and one.endswith(b"\r\n\r\n")
+            members, data = members + 1, z.unused_data
+    assert members == 7
+    whole = tmp_path / "one" / "x.warc.gz"  # a foreign archive: one gzip member, other records among them
+    whole.parent.mkdir()
+    other = b"WARC/1.0\r\nwarc-type: warcinfo\r\nWARC-Record-ID: <i>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    whole.write_bytes(z.compress(other + b"".join(warc.record(f"<{i}>", "response", "u", "d", i, warc.digest(b"p"), b"p") for i in range(3)) + other) + z.flush())
+    assert [(r.page_id, r.at, r.payload) for r in warc.read_archive(spark, str(whole.parent)).collect()] == [(0, 1, b"p"), (1, 2, b"p"), (2, 3, b"p")]
+    warc.deduplicate(spark, str(whole.parent), str(tmp_path / "two"))
+    got = warc.resolve(warc.read_archive(spark, str(tmp_path / "two"))).collect()
+    assert sort((r.page_id, r.record_type, r.refers_to) for r in got) == [(0, "response", None), (1, "revisit", 0), (2, "revisit", 0)]
+    cut = tmp_path / "cut" / "x.warc.gz"
+    cut.parent.mkdir()
+    cut.write_bytes(whole.read_bytes()[:-9])
+    with pytest.raises(Exception, match="ends within"):
+        warc.read_archive(spark, str(cut.parent)).collect()
+
+
+def test_warc_of_an_empty_table(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    raw, kept = str(tmp_path / "raw"), str(tmp_path / "kept")
+    warc.archive_pages(pages, raw)
+    warc.deduplicate(spark, raw, kept)
+    assert warc.read_archive(spark, raw).count() == 0 and warc.resolve(warc.read_archive(spark, kept)).count() == 0
 
 
 @pytest.mark.parametrize("which", ["docs", "odd", "none"])
