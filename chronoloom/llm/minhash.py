@@ -1,12 +1,15 @@
 """Document fingerprints: MinHash with multiply-shift permutations over word shingles.
 
-A fingerprint is the least image of the text's hashed five-word shingles under each of PERMUTATIONS hash functions h -> (a h + b) mod 2**64 with odd a (high bits
-of such functions are universal), of which 16 bits are kept.  `near_duplicates` joins documents on bands of the full signature and verifies Jaccard
-similarity on the shingles themselves; the query reports how alike a document is to an edited copy and to its neighbour.
+A signature is the least image of the text's hashed five-word shingles under each of PERMUTATIONS hash functions h -> (a h + b) mod 2**64 with odd a (high bits
+of such functions are universal).  Of each least image 16 bits are printed, after a bijection has spread all of its bits (the high bits of a least image alone say how long the text is).
+
+`near_duplicates` joins documents on bands of the signature and verifies Jaccard similarity on the shingles themselves: the members of a band meet in one bucket, each is compared with
+the first, and what that leaves between components is compared in blocks (partenum.groups).  The query reports how alike a document is to an edited copy and to its neighbour, and
+the group of near duplicates that it is in.
 
 Defined results: words are lower-cased in ASCII; a null text is an empty one; a text of fewer than five words has its whole sequence as one shingle; a text
-without words has the fingerprint of the empty set, which is like only itself; rows that repeat a doc_id are ordered by a hash of their text; a null doc_id is the last; an empty table gives an
-empty result; other columns are ignored.
+without words has the fingerprint of the empty set, which is like only itself, and is a group of its own; rows that repeat a doc_id are ordered by a hash of their text; a null doc_id is
+the last; an empty table gives an empty result; other columns are ignored.
 """
 
 import base64
@@ -18,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, batches_of, documents, groups_of, lean, lower_ascii, mix, partitions_for, shingle_sets, slices, prefix, grams, stored, word_hashes
-from .partenum import BLOCK, bound, folded, sketch
+from .common import batches_of, documents, grams, groups_of, lean, lower_ascii, mix, partitions_for, prefix, slices, stored, word_hashes
+from .partenum import groups
 from .substring import NULL_ID
 
 PERMUTATIONS = 128
 BANDS = 32  # of four values each: pairs of similarity 0.8 are missed with probability (1 - 0.8**4)**32 < 1e-7
 SHINGLE = 5
-SIMILARITY = 0.8
+SIMILARITY = 80  # hundredths
 U = np.uint64
 _A = mix(np.arange(1, PERMUTATIONS + 1, dtype=U)) | U(1)
 _B = mix(np.arange(1, PERMUTATIONS + 1, dtype=U) + U(1 << 32))
@@ -64,13 +67,13 @@ def _sign(texts: list[bytes], n: int, out: np.ndarray) -> None:
 
 
 def printed(sig: np.ndarray) -> list[str]:
-    low = (sig >> U(48)).astype(">u2")
+    low = (mix(sig) & U(0xFFFF)).astype(">u2")
     return [base64.b64encode(r.tobytes()).decode() for r in low]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Share of equal 16-bit values, less the share expected of unlike ones."""
-    same = ((a >> U(48)) == (b >> U(48))).mean(-1)
+    same = ((mix(a) ^ mix(b)) & U(0xFFFF) == 0).mean(-1)
     return np.clip((same - 2.0**-16) / (1 - 2.0**-16), 0.0, 1.0)
 
 
@@ -84,25 +87,40 @@ def fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", F.pandas_udf(sign, "string")(F.col("text").cast("binary")).alias("fingerprint"))
 
 
-REPORT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+REPORT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, group_id bigint"
+
+
+def _order(ids, tags) -> np.ndarray:
+    """Descending doc_id, then ascending tag, as bytes that sort so."""
+    ids, tags = np.asarray(ids, np.int64), np.asarray(tags, np.int64)
+    out = np.empty((len(ids), 12), np.uint8)
+    out[:, :8] = (~(ids.astype(U) ^ U(1 << 63))).astype(">u8").view(np.uint8).reshape(-1, 8)
+    out[:, 8:] = (tags + (1 << 31)).astype(">u4").view(np.uint8).reshape(-1, 4)
+    return out.view("S12").ravel()
 
 
 def edited_report(docs: DataFrame, bucket_bytes: float = 64e6) -> DataFrame:
-    """Each document against itself with its end replaced by the next one's beginning, and against the next one.
+    """Each document against itself with its end replaced by the next one's beginning, and against the next one, and its group of near duplicates.
 
-    Texts are dealt once, by ranges of doc_id; the first document of each range (one row a range) is added to the range before it.
+    Texts are dealt once, by ranges of doc_id and tag, so rows without an id spread too; the first document of each range (one row a range) is added to the range before it.
+    Groups travel as small rows that come just before the text that they tell of.
     """
     spark = docs.sparkSession
     lean(spark)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tag", F.hash("text"))
-    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = partitions_for(spark, volume, bucket_bytes)
-    bounds = np.array(sorted(set(rows.stat.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else [], float).astype(np.int64)
-
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(-bounds[::-1], -ids.to_numpy(np.int64), side="right").astype(np.int32))
-
-    rows = rows.withColumn("part", F.pandas_udf(place, "int")("doc_id"))  # 0 has the largest ids
+    found = near_duplicates(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "tag", "component_id").distinct()
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tag", F.hash("text"))
+    total, volume = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    ranges = partitions_for(spark, volume or 0, bucket_bytes)
+    # About a hundred rows a range, by hash, give the bounds.
+    some = rows.select("doc_id", "tag").filter(F.pmod(F.xxhash64("doc_id", "tag"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, 100 * ranges / max(total, 1)))).toPandas()
+    keys = np.sort(_order(some["doc_id"], some["tag"]))
+    bounds = np.unique(keys[len(keys) * np.arange(1, ranges) // ranges]) if len(keys) else keys
+
+    def place(ids: pd.Series, tags: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, _order(ids, tags), side="right").astype(np.int32))
+
+    part = F.pandas_udf(place, "int")("doc_id", "tag")  # 0 has the largest ids
+    rows, found = rows.withColumn("part", part), found.withColumn("part", part)
     firsts = rows.groupBy("part").agg(F.max(F.struct("doc_id", -F.col("tag").cast("bigint"))).alias("f")).collect()  # one row a range
     order = sorted((r["part"], r["f"][0], -r["f"][1]) for r in firsts)
     if not order:
@@ -110,21 +128,27 @@ def edited_report(docs: DataFrame, bucket_bytes: float = 64e6) -> DataFrame:
     added = [(*first[1:], before[0]) for before, first in zip(order, [*order[1:], order[0]], strict=True)]
     ghosts = spark.createDataFrame(added, "g_id bigint, g_tag int, g_part int")
     more = rows.join(F.broadcast(ghosts), (F.col("doc_id") == F.col("g_id")) & (F.col("tag") == F.col("g_tag")))
-    both = rows.withColumn("ghost", F.lit(0)).unionByName(more.select("doc_id", "text", "tag", F.col("g_part").alias("part"), F.lit(1).alias("ghost")))
-    both = both.repartition(ranges, "part").sortWithinPartitions("part", "ghost", F.desc("doc_id"), "tag")
+    none = F.lit(None).cast("bigint")
+    both = rows.select("doc_id", "text", "tag", "part", F.lit(1).alias("kind"), none.alias("group_id")).unionByName(more.select("doc_id", "text", "tag", F.col("g_part").alias("part"), F.lit(2).alias("kind"), none.alias("group_id")))
+    both = both.unionByName(found.select("doc_id", F.lit("").alias("text"), "tag", "part", F.lit(0).alias("kind"), F.col("component_id").alias("group_id")))
+    both = both.withColumn("ghost", F.col("kind") == 2).repartition(ranges, "part").sortWithinPartitions("part", "ghost", F.desc("doc_id"), "tag", "kind")
 
     def run(batches):
         import hashlib
 
-        held = None  # doc_id, part, ghost, text, signature of the row before
+        held, told = None, None  # doc_id, part, ghost, text, signature, group of the row before; the group told last
         for b in batches:
             for a, z in batches_of(b.column(1)):
-                ids, texts, _, parts, ghosts = (b.column(i).slice(a, z - a).to_pylist() for i in range(5))
-                sig = signatures([t.encode("utf-8", "surrogatepass") for t in texts])
-                them = list(zip(ids, parts, ghosts, texts, sig, strict=True))
-                if held is not None:
-                    them.insert(0, held)
-                held = them[-1]
+                them = [] if held is None else [held]
+                mine = []
+                for d, t, tag, at, kind, group in zip(*(b.column(i).slice(a, z - a).to_pylist() for i in range(6)), strict=True):
+                    if kind == 0:
+                        told = ((d, tag), group)
+                    else:
+                        mine.append((d, at, kind == 2, t, told[1] if told is not None and told[0] == (d, tag) else None))
+                sig = signatures([x[3].encode("utf-8", "surrogatepass") for x in mine])
+                them += [(*x[:4], s, x[4]) for x, s in zip(mine, sig, strict=True)]
+                held = them[-1] if them else None
                 pairs = [(x, y) for x, y in zip(them, them[1:]) if not x[2] and x[1] == y[1]]
                 if not pairs:
                     continue
@@ -135,80 +159,31 @@ def edited_report(docs: DataFrame, bucket_bytes: float = 64e6) -> DataFrame:
                 es, own, after = signatures(edited), np.stack([x[4] for x, _ in pairs]), np.stack([y[4] for _, y in pairs])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([None if x[0] == NULL_ID else x[0] for x, _ in pairs], pa.int64()), pa.array([len(x[3]) for x, _ in pairs], pa.int64()),
-                     pa.array([hashlib.sha256(t).hexdigest() for t in edited]), pa.array(printed(own)), pa.array(printed(es)), pa.array(likeness(own, es)), pa.array(likeness(own, after))],
-                    names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                     pa.array([hashlib.sha256(t).hexdigest() for t in edited]), pa.array(printed(own)), pa.array(printed(es)), pa.array(likeness(own, es)), pa.array(likeness(own, after)),
+                     pa.array([x[5] for x, _ in pairs], pa.int64())],
+                    names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id"],
                 )
 
-    return both.select("doc_id", "text", "tag", "part", "ghost").mapInArrow(run, REPORT)
+    return both.select("doc_id", "text", "tag", "part", "kind", "group_id").mapInArrow(run, REPORT)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b, jaccard) between distinct texts, and members (doc_id of each text's representative): (links, members).
+def bands(values: np.ndarray, at: np.ndarray, share: int = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes of sets of shingles (`at`: where sets begin), and each one's set."""
+    full = np.flatnonzero(np.diff(at))
+    least = np.empty((PERMUTATIONS, len(full)), U)
+    t = np.empty(len(values), U)
+    for p in range(PERMUTATIONS if len(full) else 0):
+        np.multiply(values, _A[p], out=t)
+        t += _B[p]
+        least[p] = np.minimum.reduceat(t, at[full])
+    rows = PERMUTATIONS // BANDS
+    h = mix((least.reshape(BANDS, rows, -1) * _A[:rows, None]).sum(1, dtype=U) + np.arange(BANDS, dtype=U)[:, None])
+    return h.T.ravel(), np.repeat(full, BANDS)
 
-    Equal texts are one class, represented by their smallest doc_id.  All classes that share a band are compared with each other, many of them in blocks: a pair once, in the first
-    band that it shares, by the parity sketches of partenum, an exact bound; what that leaves is verified on the shingle sets.  Links of a group grow with its square, as there are so many.
-    """
-    lean(docs.sparkSession)
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    classes = stored(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("text").alias("text")), "classes")
 
-    def cut(batches):
-        for b in batches:
-            for a, z in batches_of(b.column(1)):
-                texts = b.column(1).slice(a, z - a).to_pylist()
-                s = signatures(texts, n).reshape(len(texts), bands, -1)
-                h = mix((s * _A[: s.shape[2]]).sum(2, dtype=U) + np.arange(bands, dtype=U)).astype(np.int64)
-                v, at = shingle_sets(texts, n)
-                drawn = [sketch(v[x:y]) if y > x else b"" for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(a, z - a), pa.array(list(h), pa.list_(pa.int64())), pa.array(np.diff(at).astype(np.int64)), pa.array(drawn, pa.binary())], names=["key", "bands", "n_shingles", "sketch"]
-                )
-
-    drawn = classes.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(cut, "key binary, bands array<bigint>, n_shingles bigint, sketch binary")
-    drawn = stored(drawn.filter("n_shingles > 0"), "bands")
-    banded = drawn.select("key", F.posexplode("bands").alias("at", "band"))
-    sizes = stored(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "sizes")
-    met = stored(attach(banded, sizes, "band", "n", drawn.count() * bands).filter("n > 1"), "met")
-    rows = met.join(drawn, "key").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("at", "band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "key", "bands", "n_shingles", "sketch")
-    most = (1 - similarity) / (1 + similarity)  # of the sizes together, shingles in which similar sets differ
-
-    def compare(t: pa.Table) -> pa.Table:
-        t = t.sort_by("n_shingles")
-        size, own = (t.column(c).to_numpy() for c in ("n_shingles", "own"))
-        k, within, keys = t.column("at")[0].as_py(), t.column("x")[0].as_py() == t.column("y")[0].as_py(), t.column("key").to_pylist()
-        before = np.array(t.column("bands").to_pylist(), np.int64)[:, :k]
-        s = folded(t.column("sketch").to_pylist())
-        left, right = [], []
-        for i in range(len(keys)):
-            j = np.arange(i + 1, np.searchsorted(size, size[i] / similarity + 1e-6, side="right"))
-            j = j[(own[j] != own[i]) | within]
-            j = j[~(before[j] == before[i]).any(1)]
-            j = j[bound(s[j], s[i]) <= most * (size[j] + size[i]) + 1e-6]
-            left += [keys[i]] * len(j)
-            right += [keys[m] for m in j.tolist()]
-        return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
-
-    pairs = stored(rows.groupBy("at", "band", "x", "y").applyInArrow(compare, "a binary, b binary"), "candidates")
-    left, right = (classes.select(F.col("key").alias(c), F.col("rep").alias(f"r{c}"), F.col("text").cast("binary").alias(f"t{c}")) for c in "ab")
-
-    def verify(batches):
-        for b in batches:
-            for u, z in batches_of(b.column(2)):
-                ra, rb, x, y = (b.column(i).slice(u, z - u).to_pylist() for i in range(4))
-                index = {t: i for i, t in enumerate(dict.fromkeys([*x, *y]))}
-                v, at = shingle_sets(list(index), n)
-                out = []
-                for p, q, f, g in zip(ra, rb, x, y, strict=True):
-                    one, two = (v[at[index[t]] : at[index[t] + 1]] for t in (f, g))
-                    both = np.intersect1d(one, two, assume_unique=True).size
-                    share = both / (len(one) + len(two) - both)
-                    if share >= similarity:
-                        out.append((*((p, q) if q is None or (p is not None and p <= q) else (q, p)), share))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "jaccard"])
-
-    joined = pairs.join(left, "a").join(right, "b").select(F.col("ra").cast("bigint"), F.col("rb").cast("bigint"), "ta", "tb")
-    return joined.mapInArrow(verify, "a bigint, b bigint, jaccard double"), keyed.join(classes.select("key", "rep"), "key").select("doc_id", "rep")
+def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, n: int = SHINGLE) -> DataFrame:
+    """doc_id, tag, n_shingles, component_id, first: groups of documents linked by a Jaccard similarity of `similarity` hundredths, verified, among those that share a band."""
+    return stored(groups(docs, similarity, n, bands), "near-duplicates")
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ or a text are in one component if they have words; a null doc_id has no number o
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -131,7 +131,7 @@ def bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
 
 
-def dealt(docs: DataFrame, buckets: int, share: int, n: int) -> DataFrame:
+def dealt(docs: DataFrame, buckets: int, share: int, n: int, sign: Callable) -> DataFrame:
     """Signatures, packed by bucket."""
 
     def run(batches):
@@ -158,7 +158,7 @@ def dealt(docs: DataFrame, buckets: int, share: int, n: int) -> DataFrame:
                 if len(chosen) < len(ids):
                     v = np.concatenate([v[at[i] : at[i + 1]] for i in chosen])
                     at = np.concatenate(([0], np.cumsum(np.diff(at)[chosen])))
-                sig, own = signatures(v, at, share)
+                sig, own = sign(v, at, share)
                 keys, docs_, sizes = np.array(keys, np.int64), np.array(docs_, np.int64), np.diff(at).astype(np.uint32)
                 bucket = (sig % U(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
@@ -288,6 +288,8 @@ def across(members: DataFrame, labels: DataFrame, drawn: DataFrame, share: int)
     rows = rows.join(mixed, "a").join(drawn.select(F.col("key").alias("b"), "sketch", "n_shingles"), "b").withColumn("own", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("other", other).select("a", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "b", "root", "sketch", "n_shingles")
+    copies = mixed.agg(F.sum(F.col("_n") * F.col("blocks"))).first()[0] or 0  # one number
+    rows = rows.repartition(partitions_for(rows.sparkSession, copies, 40_000), "a", "x", "y")
 
     def compare(t: pa.Table) -> pa.Table:
         key, root, n, own = (t.column(c).to_numpy() for c in ("b", "root", "n_shingles", "own"))
@@ -309,8 +311,8 @@ def across(members: DataFrame, labels: DataFrame, drawn: DataFrame, share: int)
     return rows.groupBy("a", "x", "y").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def groups(docs: DataFrame, share: int = SIMILARITY, n: int = SHINGLE) -> DataFrame:
-    """doc_id, tag (hash of the text), n_shingles, component_id, first (whether it is the row to keep of its component) of every row of docs(doc_id, text, ...)."""
+def groups(docs: DataFrame, share: int = SIMILARITY, n: int = SHINGLE, sign: Callable = signatures) -> DataFrame:
+    """doc_id, tag (hash of the text), n_shingles, component_id, first (whether it is the row to keep of its component) of every row of docs(doc_id, text, ...); `sign` gives the signatures by which sets meet."""
     spark = docs.sparkSession
     lean(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -318,7 +320,7 @@ def groups(docs: DataFrame, share: int = SIMILARITY, n: int = SHINGLE) -> DataFr
     classes = stored(sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("f"), F.count("*").alias("_n")).withColumn("tag", F.col("f.tag")).drop("f"), "classes")
     volume = sets.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = partitions_for(spark, volume * 0.35, 700_000)
-    grouped = stored(dealt(docs, buckets, share, n).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _grouped(t, share), "kind int, a bigint, b bigint"), "signatures")
+    grouped = stored(dealt(docs, buckets, share, n, sign).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _grouped(t, share), "kind int, a bigint, b bigint"), "signatures")
     members = grouped.filter("kind = 1").select("a", "b").distinct()
     met = grouped.filter("kind = 0").select(F.col("a").alias("key")).union(grouped.select("b").filter("b is not null")).distinct()
     texts = stored(representatives(docs, classes, met), "texts")

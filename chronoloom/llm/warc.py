@@ -227,7 +227,8 @@ def deduplicate(spark: SparkSession, source: str, target: str, least: int = 0) -
         tidy()
         return pa.table({"file": [uri], "n": [n]})
 
-    decided.groupBy("file").applyInArrow(rewrite, "file string, n bigint").agg(F.sum("n")).first()  # one number
+    files = found.select("file").distinct().count()
+    decided.repartition(max(1, files), "file").groupBy("file").applyInArrow(rewrite, "file string, n bigint").agg(F.sum("n")).first()  # one number
 
 
 def resolve(records: DataFrame) -> DataFrame:

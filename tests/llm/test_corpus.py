@@ -228,35 +228,51 @@ def test_equal_texts_have_equal_fingerprints(odd):
     assert minhash.likeness(a, b) == 1.0 and minhash.likeness(a, minhash.signatures([b"word"])[0]) < 0.01
 
 
-def test_banded_pairs_are_verified(spark, docs):
-    links, members = minhash.near_duplicates(docs)
-    text = dict(pairs(docs))
-    for r in links.collect():
-        a, b = brute.shingles(text[r.a], 5), brute.shingles(text[r.b], 5)
-        assert abs(len(a & b) / len(a | b) - r.jaccard) < 1e-12 and r.jaccard >= 0.8
-    assert members.count() == docs.count()
+@pytest.mark.parametrize("words", [300, 2_000, 20_000, 200_000])
+def test_unlike_texts_have_unlike_fingerprints(words):
+    a, b = minhash.signatures([passage(words, words).encode(), passage(words + 1, words).encode()])
+    assert minhash.likeness(a, b) < 0.01
+    half = passage(words, words).split()[: words // 2]
+    c = minhash.signatures([" ".join([*half, *passage(words + 2, words // 2).split()]).encode()])[0]
+    assert abs(minhash.likeness(a, c) - 1 / 3) < 0.15
+
+
+@pytest.mark.parametrize("which", ["docs", "odd", "none"])
+def test_groups_of_near_duplicates(request, which):
+    df = request.getfixturevalue(which)
+    want = sort(brute.components(pairs(df), 5, 80))
+    assert sort(minhash.near_duplicates(df).select("doc_id", "n_shingles", "component_id").collect()) == want
+    assert sort(minhash.edited_report(df, 1e4).select("doc_id", "group_id").collect()) == sort((d, c) for d, _, c in want)
 
 
 @pytest.mark.parametrize("block", [1024, 7])
 def test_no_link_of_a_group_is_lost(spark, monkeypatch, block):
     """Near copies of one text, each with its own edit, against all pairs; repeated and null ids and texts without words among them."""
-    monkeypatch.setattr(minhash, "BLOCK", block, raising=False)
+    monkeypatch.setattr(partenum, "BLOCK", block)
     rng, base = random.Random(5), passage(30, 120).split()
     rows = [(4, ""), (5, " \n"), (6, "\t"), (7, None), (1, " ".join(base)), (2, " ".join(base)), (9, passage(31, 90)), (9, passage(31, 91)), (None, passage(31, 92))]
     for i in range(60):
         words = list(base)
-        words[rng.randrange(120)] = f"w{i}"
+        for _ in range(3):
+            words[rng.randrange(120)] = f"w{i}"
         rows.append((100 + i, " ".join(words)))
-    links, members = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
-    reps = {}
-    for d, t in rows:
-        reps[t or ""] = min((r for r in (reps.get(t or ""), d) if r is not None), default=None)
-    sets = [(reps[t], brute.shingles(t, 5)) for t in reps]
-    key = lambda d: (d is None, d or 0)
-    want = [(*sorted((a, b), key=key), len(s & t) / len(s | t)) for i, (a, s) in enumerate(sets) for b, t in sets[:i] if s | t and len(s & t) / len(s | t) >= 0.8]
-    order = lambda r: (key(r[0]), key(r[1]), r[2])
-    assert len(want) > 60 and sorted(map(tuple, links.collect()), key=order) == sorted(want, key=order)
-    assert members.count() == len(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sort(brute.components(rows, 5, 80))
+    assert len({c for _, _, c in want}) > 8
+    assert sort(minhash.near_duplicates(df).select("doc_id", "n_shingles", "component_id").collect()) == want
+    assert sort(partenum.groups(df, 80, 5).select("doc_id", "n_shingles", "component_id").collect()) == want
+
+
+def test_rows_without_an_id_spread(spark):
+    """Many rows without an id are dealt to several ranges, and their chain stays whole."""
+    rows = [(None, passage(i, 30)) for i in range(300)] + [(i, passage(1000 + i, 30)) for i in range(40)]
+    got = minhash.edited_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3e3)
+    assert got.count() == 340 and got.select(F.spark_partition_id().alias("p"), "doc_id").filter("doc_id is null").select("p").distinct().count() > 3
+    texts = {t for _, t in rows}
+    edited = collections.Counter(r.edited_sha256 for r in got.collect())
+    after = {hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest(): (t, u) for t in texts for u in texts}
+    chain = dict(after[e] for e in edited)
+    assert len(chain) == 340 and set(chain.values()) == texts
 
 
 @pytest.mark.parametrize("which", ["docs", "odd", "none"])
