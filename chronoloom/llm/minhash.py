@@ -93,10 +93,10 @@ REPORT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint strin
 def _order(ids, tags) -> np.ndarray:
     """Descending doc_id, then ascending tag, as bytes that sort so."""
     ids, tags = np.asarray(ids, np.int64), np.asarray(tags, np.int64)
-    out = np.empty((len(ids), 12), np.uint8)
+    out = np.empty((len(ids), 16), np.uint8)
     out[:, :8] = (~(ids.astype(U) ^ U(1 << 63))).astype(">u8").view(np.uint8).reshape(-1, 8)
-    out[:, 8:] = (tags + (1 << 31)).astype(">u4").view(np.uint8).reshape(-1, 4)
-    return out.view("S12").ravel()
+    out[:, 8:] = (tags.astype(U) ^ U(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view("S16").ravel()
 
 
 def edited_report(docs: DataFrame, bucket_bytes: float = 64e6) -> DataFrame:
@@ -108,7 +108,7 @@ def edited_report(docs: DataFrame, bucket_bytes: float = 64e6) -> DataFrame:
     spark = docs.sparkSession
     lean(spark)
     found = near_duplicates(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "tag", "component_id").distinct()
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tag", F.hash("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
     total, volume = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     ranges = partitions_for(spark, volume or 0, bucket_bytes)
     # About a hundred rows a range, by hash, give the bounds.
@@ -121,12 +121,12 @@ def edited_report(docs: DataFrame, bucket_bytes: float = 64e6) -> DataFrame:
 
     part = F.pandas_udf(place, "int")("doc_id", "tag")  # 0 has the largest ids
     rows, found = rows.withColumn("part", part), found.withColumn("part", part)
-    firsts = rows.groupBy("part").agg(F.max(F.struct("doc_id", -F.col("tag").cast("bigint"))).alias("f")).collect()  # one row a range
-    order = sorted((r["part"], r["f"][0], -r["f"][1]) for r in firsts)
+    firsts = rows.groupBy("part").agg(F.max(F.struct("doc_id", F.bitwise_not("tag"))).alias("f")).collect()  # one row a range
+    order = sorted((r["part"], r["f"][0], ~r["f"][1]) for r in firsts)
     if not order:
         return spark.createDataFrame([], REPORT)
     added = [(*first[1:], before[0]) for before, first in zip(order, [*order[1:], order[0]], strict=True)]
-    ghosts = spark.createDataFrame(added, "g_id bigint, g_tag int, g_part int")
+    ghosts = spark.createDataFrame(added, "g_id bigint, g_tag bigint, g_part int")
     more = rows.join(F.broadcast(ghosts), (F.col("doc_id") == F.col("g_id")) & (F.col("tag") == F.col("g_tag")))
     none = F.lit(None).cast("bigint")
     both = rows.select("doc_id", "text", "tag", "part", F.lit(1).alias("kind"), none.alias("group_id")).unionByName(more.select("doc_id", "text", "tag", F.col("g_part").alias("part"), F.lit(2).alias("kind"), none.alias("group_id")))

@@ -103,8 +103,8 @@ def described(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                 del v, at, keys
                 tidy()
 
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.hash("text").alias("tag"))
-    return rows.mapInArrow(run, "doc_id bigint, tag int, n_shingles bigint, key bigint")
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("tag"))
+    return rows.mapInArrow(run, "doc_id bigint, tag bigint, n_shingles bigint, key bigint")
 
 
 def sketch(values: np.ndarray) -> bytes:
@@ -225,7 +225,7 @@ def _grouped(table: pa.Table, share: int) -> pa.Table:
 def representatives(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
     """key, text of one document of each class in keys(key).  Few other texts travel: a bitmap of the ids thins them out first."""
     reps = stored(classes.join(keys, "key", "left_semi").select("key", F.col("rep").alias("doc_id"), F.col("tag").alias("tag")), "representatives")
-    rows = thinned(docs.withColumn("tag", F.hash("text")), reps, ["doc_id", "tag"]).withColumnRenamed("doc_id", "_doc").withColumnRenamed("tag", "_tag")
+    rows = thinned(docs.withColumn("tag", F.xxhash64("text")), reps, ["doc_id", "tag"]).withColumnRenamed("doc_id", "_doc").withColumnRenamed("tag", "_tag")
     found = rows.dropDuplicates(["_doc", "_tag"]).join(reps, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag"))).select("key", F.col("text").cast("binary").alias("text"))
     return found.dropDuplicates(["key"])
 
@@ -350,7 +350,7 @@ def kept(docs: DataFrame, share: int = SIMILARITY, n: int = SHINGLE) -> DataFram
     names = docs.columns
     found = stored(groups(docs, share, n), "groups")
     gone = stored(found.filter(~F.col("first")).select(F.col("doc_id").alias("__cl_d"), F.col("tag").alias("__cl_t")).distinct(), "gone")
-    tag = F.hash(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    tag = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = docs.withColumn("__cl_d", F.col("doc_id").cast("bigint")).withColumn("__cl_t", tag)
     marked = thinned(rows, gone, ["__cl_d", "__cl_t"], mark="__cl_maybe")
     gone = gone.withColumnRenamed("__cl_d", "__cl_gd").withColumnRenamed("__cl_t", "__cl_gt")

@@ -11,7 +11,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, lean, stored, thinned
@@ -22,15 +22,17 @@ GRAM = 6
 NULL_ID = -(1 << 63)
 
 
+def keys_of(id_col: str, text_col: str) -> tuple[Column, Column, Column]:
+    """The id and the tag that together name a row (rows that are alike in both columns share them), and the row's text: a row without an id is named by 128 bits of its text's hashes."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(text, F.lit("no id"))), F.xxhash64(text, F.col(id_col).isNull()), text
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id (null: the least long), tag (part of the text's hash, tells apart rows with one id), text as bytes."""
+    """doc_id, tag (keys_of), text as bytes, named (whether there is an id)."""
     lean(docs.sparkSession)
-    text = F.col(text_col)
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("doc_id"),
-        F.hash(F.coalesce(text.cast("string"), F.lit(""))).alias("tag"),
-        F.coalesce(text.cast("binary"), F.lit(b"")).alias("text"),
-    )
+    i, tag, text = keys_of(id_col, text_col)
+    return docs.select(i.alias("doc_id"), tag.alias("tag"), text.cast("binary").alias("text"), F.col(id_col).isNotNull().alias("named"))
 
 
 def touched(docs: DataFrame, spans: DataFrame, columns: list[str]) -> DataFrame:
@@ -49,7 +51,8 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
     """docs(doc_id, text, ...) with text replaced by its kept words where some were removed; adds n_words, n_removed."""
     spans = spans_of(docs, window, gram)
     names = docs.columns
-    base = docs.withColumn("__cl_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID))).withColumn("__cl_tag", F.hash(F.coalesce(F.col("text"), F.lit(""))))
+    i, tag, _ = keys_of("doc_id", "text")
+    base = docs.withColumn("__cl_id", i).withColumn("__cl_tag", tag)
     lists = spans.groupBy("doc_id", "tag").agg(F.collect_list("spans").alias("__cl_spans")).select(F.col("doc_id").alias("__cl_d"), F.col("tag").alias("__cl_t"), "__cl_spans")
     joined = base.join(lists, (F.col("__cl_id") == F.col("__cl_d")) & (F.col("__cl_tag") == F.col("__cl_t")), "left")
 
@@ -82,7 +85,7 @@ def report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
                 t = normal(t, True)
                 n.append(t.count(b" ") + 1 if t else 0)
                 sha.append(hashlib.sha256(t).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "tag", "n_words", "sha"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "tag", "named", "n_words", "sha"])
 
     def drop(batches):
         for b in batches:
@@ -95,11 +98,11 @@ def report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
                 sha.append(hashlib.sha256(b" ".join([words[i] for i in kept])).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["_d", "_t", "n_removed", "kept"])
 
-    whole = base.mapInArrow(plain, "doc_id bigint, tag int, n_words bigint, sha string")
-    changed = touched(base, spans, ["doc_id", "tag", "text"]).mapInArrow(drop, "_d bigint, _t int, n_removed bigint, kept string").dropDuplicates(["_d", "_t"])
+    whole = base.mapInArrow(plain, "doc_id bigint, tag bigint, named boolean, n_words bigint, sha string")
+    changed = touched(base, spans, ["doc_id", "tag", "text"]).mapInArrow(drop, "_d bigint, _t bigint, n_removed bigint, kept string").dropDuplicates(["_d", "_t"])
     out = whole.join(changed, (F.col("doc_id") == F.col("_d")) & (F.col("tag") == F.col("_t")), "left")
     return out.select(
-        F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "n_words",
+        F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), "n_words",
         F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"),
     )
 

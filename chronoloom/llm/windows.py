@@ -4,7 +4,8 @@ A unit is a byte or a word.  Consecutive windows with the same minimiser (the sm
 inside) travel as one packed string to the minimiser's bucket; equal windows have equal minimisers, so they meet
 there.  A gram that a sample shows in many documents is taken as a minimiser only where a window holds nothing
 else, and such a window goes to a bucket of its own hash, so no common passage fills one bucket.  Strings that repeat
-within a batch are decided on the spot and sent once.  64-bit hashes only order windows: equality is checked on the text itself.
+within a batch are decided on the spot and sent once.  Windows of words are ordered by 64-bit hashes and compared on the text itself; windows of bytes are ordered by their bytes, in a
+suffix array.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from .common import TABLE, batches_of, grams, mix, partitions_for, prefix, slice
 U = np.uint64
 TOP = U(1 << 63)
 BUCKET_SCHEMA = "bucket int, n int, text binary, meta binary, sure int"
-SPAN_SCHEMA = "doc_id bigint, tag int, spans binary"
+SPAN_SCHEMA = "doc_id bigint, tag bigint, spans binary"
 #: Bytes of text whose windows are cut at a time; bounds the memory of a task.
 CHUNK = 1 << 21
 
@@ -37,7 +38,6 @@ class Plan:
     #: ordered: a window counts where an earlier document (smaller doc_id) has it; else where it starts anywhere else.
     ordered: bool
     hot: np.ndarray = field(default_factory=lambda: np.zeros(0, U))
-    batches: int = 4
 
     @property
     def chunk(self) -> int:
@@ -207,7 +207,7 @@ def deal(batches, plan: Plan):
                 key, piece, start, count, first, last = found
                 own = np.array(owner[at : at + step])[piece]
                 doc = np.array(ids, np.int64)[own]
-                tag = np.array(tags, np.int32)[own]
+                tag = np.array(tags, np.int64)[own]
                 start = start + np.array(base[at : at + step], np.int64)[piece]
                 ship, many = _collapse(buffer, key, doc, first, last, plan)
                 if ship is not None:
@@ -225,7 +225,7 @@ def deal(batches, plan: Plan):
                 for k in np.flatnonzero(np.diff(bounds)).tolist():
                     o = order[bounds[k] : bounds[k + 1]]
                     text = sep.join([buffer[f[i] : l[i]] for i in o.tolist()])
-                    meta = pack([np.diff(doc[o], prepend=0), tag[o].astype(np.int32), narrow(start[o]), narrow(count[o]), many[o].astype(np.uint8)])
+                    meta = pack([np.diff(doc[o], prepend=0), tag[o], narrow(start[o]), narrow(count[o]), many[o].astype(np.uint8)])
                     rows.append((k, len(o), squeeze.compress(text), meta, 0))
             if rows:
                 yield _batch(rows)
@@ -281,45 +281,89 @@ def _spans(doc, tag, start, count) -> tuple[list, list, list]:
     return doc[at[:-1]].tolist(), tag[at[:-1]].tolist(), [both[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-class Level:
-    """One array of the logarithmic family: distinct windows of a batch or of merged batches, in order of their hash."""
+def packed_words(buffer: bytes) -> np.ndarray:
+    """The eight bytes from each place on, as a number that sorts as they do (zeros follow the last)."""
+    a = np.frombuffer(buffer + bytes(8), np.uint8)
+    out = np.zeros(len(buffer), U)
+    for i in range(8):
+        out |= a[i : i + len(buffer)].astype(U) << U(56 - 8 * i)
+    return out
 
-    def __init__(self, key, where, size):
-        self.key, self.where, self.size = key, where, size
 
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """Merge-scan of sorted keys: for each, the place (byte) of the same key here, or -1."""
-        if not len(self.key):
-            return np.full(len(key), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where(self.key[at] == key, self.where[at], -1)
+def _offsets(k: int) -> list[int]:
+    """Where to read eight bytes each so that k bytes are covered."""
+    return [0] if k <= 8 else [*range(0, k - 7, 8), *([k - 8] if k % 8 else [])]
+
+
+def _word(words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    return words[at] >> U(64 - 8 * k) if k < 8 else words[at]
 
-    def merged(self, other: "Level") -> "Level":
-        key = np.concatenate((self.key, other.key))
-        o = np.argsort(key, kind="stable")  # a merge of two sorted runs
-        return Level(key[o], np.concatenate((self.where, other.where))[o], self.size + other.size)
 
+def suffix_array(words: np.ndarray, begin: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that begin at some places, cut at k bytes, in the order of their bytes: (their numbers in that order, whether each differs from the one before).
 
-class Family:
-    """Levels of geometrically growing size; two of a size merge, so n windows sit in O(log n) levels."""
+    Sorted by eight bytes, and only those that are alike so far by the next eight.
+    """
+    off, *more = _offsets(k)
+    key = _word(words, begin + off, k)
+    order = np.argsort(key).astype(np.int32)
+    key = key[order]
+    new = np.ones(len(order), bool)
+    new[1:] = key[1:] != key[:-1]
+    for off in more:
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        group = np.cumsum(new, dtype=np.int32)[at]
+        key = words[begin[order[at]] + off]
+        o = np.argsort(key)
+        o = o[np.argsort(group[o], kind="stable")]
+        order[at], key, group = order[at][o], key[o], group[o]
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
+        new[at] = fresh
+    return order, new
 
-    def __init__(self):
-        self.levels: list[Level] = []
 
-    def find(self, key: np.ndarray) -> np.ndarray:
-        out = np.full(len(key), -1, np.int64)
-        for level in self.levels:
-            out = np.where(out < 0, level.find(key), out)
-        return out
+class Level:
+    """One level of the logarithmic family: strings, and the places of distinct k-byte suffixes in them in the order of their bytes."""
+
+    def __init__(self, buffer: bytes, where: np.ndarray, k: int):
+        self.buffer, self.where, self.k = buffer, where.astype(np.int64), k
+        self.words = packed_words(buffer)
+
+    def find(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For suffixes at some places of other strings: where each stands in the order here, and whether it is here."""
+        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(self.where), np.int64)
+        for off in _offsets(self.k):
+            key = _word(words, at + off, self.k)
+            live = np.flatnonzero(lo < hi)
+            ends = []
+            for after in (False, True):  # the first that is not less, and the first that is greater, within what was alike so far
+                a, z = lo[live], hi[live]
+                while True:
+                    open_ = np.flatnonzero(a < z)
+                    if not len(open_):
+                        break
+                    mid = (a[open_] + z[open_]) // 2
+                    v, q = _word(self.words, self.where[mid] + off, self.k), key[live[open_]]
+                    up = (v <= q) if after else (v < q)
+                    a[open_[up]] = mid[up] + 1
+                    z[open_[~up]] = mid[~up]
+                ends.append(a)
+            lo[live], hi[live] = ends
+        return lo, lo < hi
 
-    def add(self, level: Level) -> None:
-        while self.levels and self.levels[-1].size <= level.size:
-            level = self.levels.pop().merged(level)
-        self.levels.append(level)
+    def merged(self, other: "Level") -> "Level":
+        """One level of both, whose suffixes are all different."""
+        lo, _ = self.find(other.words, other.where)
+        return Level(self.buffer + other.buffer, np.insert(self.where, lo, other.where + len(self.buffer)), self.k)
 
 
-def settle(table: pa.Table, plan: Plan):
-    """A bucket's packed strings -> spans of windows that count, one row a document."""
+def settle(table: pa.Table, plan: Plan, levels: list[Level] = (), keep: bool = False):
+    """A bucket's packed strings -> spans of windows that count, one row a document; with `keep`, also the bucket's level of the windows that are new."""
     import zstandard
 
     got = [[], [], [], []]
@@ -336,33 +380,36 @@ def settle(table: pa.Table, plan: Plan):
         for to, x in zip((doc, tag, start, count, many), (d, t, s, c, parts[4]), strict=True):
             to.append(x)
         texts.append(undo.decompress(text))
+    level = None
     if doc:
         sep = b"\n" if plan.words else b""
         buffer = sep.join(texts) + sep
         doc, tag, start, count, many = (np.concatenate(x) for x in (doc, tag, start, count, many))
-        own, off, hit = (ordered if plan.ordered else unordered)(buffer, doc, count, many.astype(bool), plan)
-        if len(own):
-            flag = np.zeros(int(count.sum()) + 1, bool)  # of each window, in the order of the strings
+        if plan.ordered:
+            flag, level = ordered(buffer, doc, count, plan, levels, keep)
+        else:
+            flag = unordered(buffer, count, many.astype(bool), plan)
+        w = np.flatnonzero(flag)
+        if len(w):
             base = np.cumsum(count) - count
-            flag[base[own[hit]] + off[hit]] = True
-            w = np.flatnonzero(flag)
-            if len(w):
-                sk = np.searchsorted(base, w, side="right") - 1
-                new = np.ones(len(w), bool)
-                new[1:] = (w[1:] != w[:-1] + 1) | (sk[1:] != sk[:-1])
-                at = np.flatnonzero(new)
-                runs = np.diff(np.concatenate((at, [len(w)])))
-                for to, x in zip(got, (doc[sk[at]], tag[sk[at]], start[sk[at]] + w[at] - base[sk[at]], runs), strict=True):
-                    to.append(x)
-    if not got[0]:
-        return pa.table({"doc_id": pa.array([], pa.int64()), "tag": pa.array([], pa.int32()), "spans": pa.array([], pa.binary())})
-    d, t, s = _spans(*(np.concatenate(x) for x in got))
+            sk = np.searchsorted(base, w, side="right") - 1
+            new = np.ones(len(w), bool)
+            new[1:] = (w[1:] != w[:-1] + 1) | (sk[1:] != sk[:-1])
+            at = np.flatnonzero(new)
+            runs = np.diff(np.concatenate((at, [len(w)])))
+            for to, x in zip(got, (doc[sk[at]], tag[sk[at]], start[sk[at]] + w[at] - base[sk[at]], runs), strict=True):
+                to.append(x)
+    if got[0]:
+        d, t, s = _spans(*(np.concatenate(x) for x in got))
+    else:
+        d, t, s = [], [], []
     tidy()
-    return pa.table({"doc_id": pa.array(d, pa.int64()), "tag": pa.array(t, pa.int32()), "spans": pa.array(s, pa.binary())})
+    spans = pa.table({"doc_id": pa.array(d, pa.int64()), "tag": pa.array(t, pa.int64()), "spans": pa.array(s, pa.binary())})
+    return (spans, level) if keep else spans
 
 
 def _windows(buffer: bytes, count: np.ndarray, plan: Plan):
-    """Hash, string, offset in it, first and last byte of every window of a bucket; cut in chunks to bound memory."""
+    """Hash, string, first and last byte of every window of words of a bucket; cut in chunks to bound memory."""
     k, n_strings = plan.k, len(count)
     length = count + k - 1  # units of each string
     total = np.concatenate(([0], np.cumsum(length)))
@@ -388,8 +435,7 @@ def _windows(buffer: bytes, count: np.ndarray, plan: Plan):
         begin.append((first[u] if plan.words else u).astype(np.int32))
         end.append((last[u + k - 1] if plan.words else u + k).astype(np.int32))
         at = to
-    own = np.repeat(np.arange(n_strings, dtype=np.int32), count)
-    return np.concatenate(hashes), own, _ramp(count).astype(np.int32), np.concatenate(begin), np.concatenate(end)
+    return np.concatenate(hashes), np.repeat(np.arange(n_strings, dtype=np.int32), count), np.concatenate(begin), np.concatenate(end)
 
 
 def _ramp(count: np.ndarray) -> np.ndarray:
@@ -412,10 +458,10 @@ def _same(buffer: bytes, a0, a1, b0, b1, sk) -> np.ndarray:
     return ok
 
 
-def unordered(buffer: bytes, doc, count, many, plan: Plan):
-    """Windows that start anywhere else too: sorted by hash, equal neighbours are counted."""
-    h, own, off, begin, end = _windows(buffer, count, plan)
-    order = np.argsort(h, kind="stable")
+def unordered(buffer: bytes, count, many, plan: Plan) -> np.ndarray:
+    """Whether each window starts anywhere else too: sorted by hash, equal neighbours are counted."""
+    h, own, begin, end = _windows(buffer, count, plan)
+    order = np.argsort(h)
     hs = h[order]
     new = np.ones(len(hs), bool)
     new[1:] = hs[1:] != hs[:-1]
@@ -440,57 +486,32 @@ def unordered(buffer: bytes, doc, count, many, plan: Plan):
                 seen.setdefault(buffer[begin[i] : end[i]], []).append(i)
             for them in seen.values():
                 hit[them] = len(them) > 1 or many[own[them[0]]]
-    return own, off, hit
+    return hit
 
 
-def ordered(buffer: bytes, doc, count, many, plan: Plan):
-    """Windows that start in a document with a smaller doc_id too, by a logarithmic family of sorted arrays.
+def ordered(buffer: bytes, doc, count, plan: Plan, levels: list[Level] = (), keep: bool = False) -> tuple[np.ndarray, Level | None]:
+    """Whether each window of bytes starts in a document with a smaller doc_id too, and the level of those that are new.
 
-    Documents come in batches of rising doc_id.  A batch gets its own array; equal neighbours of it are compared, the array is merge-scanned
-    against every level, and joins the family, whose levels of equal size merge.
+    The batch's suffix array puts equal windows side by side; what is left is scanned against the levels, all of smaller documents.
     """
-    h, own, off, begin, end = _windows(buffer, count, plan)
-    hit = np.zeros(len(h), bool)
-    ids, place = np.unique(doc, return_inverse=True)
-    place = place.astype(np.int32)  # documents by number, in order
-    d = place[own]
-    per = np.cumsum(np.bincount(place, weights=count))
-    cuts = np.unique(np.searchsorted(per, per[-1] * np.arange(1, plan.batches) / plan.batches))
-    batch_of = np.searchsorted(cuts, np.arange(len(ids)), side="left").astype(np.int8)
-    batch = batch_of[d]
-    family = Family()
-    differ: list[int] = []
-    for b in range(len(cuts) + 1):
-        mine = np.flatnonzero(batch == b)
-        if not len(mine):
-            continue
-        perm = np.lexsort((d[mine], h[mine]))
-        key = h[mine[perm]]
-        new = np.concatenate(([True], key[1:] != key[:-1]))
-        heads = mine[perm[new]]
-        group = np.cumsum(new) - 1
-        rep, found = np.empty(len(mine), np.int32), np.empty(len(mine), np.int32)
-        rep[perm] = heads[group]
-        found[perm] = family.find(key[new])[group]
-        # Against the levels, all of smaller documents; then against the batch's own smallest document.
-        for those, y in ((np.flatnonzero(found >= 0), found), (np.flatnonzero((found < 0) & (d[rep] < d[mine])), None)):
-            w = mine[those]
-            y0 = found[those] if y is not None else begin[rep[those]]
-            ok = _same(buffer, begin[w], end[w], y0, y0 + (end[w] - begin[w]), own[w])
-            hit[w[ok]] = True
-            differ += w[~ok].tolist()
-        family.add(Level(key[new], begin[heads], len(heads)))
-        del perm, rep, found, group
-    if differ:  # strings of one hash that differ: settle such hashes by their bytes
-        for value in np.unique(h[differ]):
-            least: dict[bytes, int] = {}
-            them = np.flatnonzero(h == value).tolist()
-            for i in them:
-                w = buffer[begin[i] : end[i]]
-                least[w] = min(least.get(w, int(d[i])), int(d[i]))
-            for i in them:
-                hit[i] = least[buffer[begin[i] : end[i]]] < d[i]
-    return own, off, hit
+    words = packed_words(buffer)
+    n = int(count.sum())
+    begin = (np.arange(n) + np.repeat(np.arange(len(count)) * (plan.k - 1), count)).astype(np.int32)  # each string has k - 1 bytes more than windows
+    place = np.unique(doc, return_inverse=True)[1].astype(np.int32)  # documents by number, in order
+    order, new = suffix_array(words, begin, plan.k)
+    d = np.repeat(place, count)[order]
+    head = np.flatnonzero(new)
+    least = np.minimum.reduceat(d, head) if n else d
+    group = np.cumsum(new, dtype=np.int32) - 1
+    late = d > least[group]
+    fresh = np.ones(len(head), bool)
+    for level in levels:
+        _, here = level.find(words, begin[order[head]].astype(np.int64))
+        fresh &= ~here
+    late |= ~fresh[group]
+    hit = np.zeros(n, bool)
+    hit[order] = late
+    return hit, Level(buffer, begin[order[head[fresh]]], plan.k) if keep else None
 
 
 def hot_grams(docs: DataFrame, plan: Plan, sample: int = 2000, share: float = 0.02) -> np.ndarray:
@@ -514,17 +535,25 @@ def hot_grams(docs: DataFrame, plan: Plan, sample: int = 2000, share: float = 0.
     return np.sort(rows["g"].to_numpy(np.int64).astype(U))
 
 
-def repeated_windows(docs: DataFrame, k: int, m: int, words: bool, ordered_: bool, bucket_bytes: float = 10e6) -> DataFrame:
-    """docs(doc_id bigint, tag int, text binary) -> one or more rows a document with spans of windows that repeat:
-    pairs of uint32 (first window, windows).  Documents without any have no row."""
-    spark = docs.sparkSession
+def planned(docs: DataFrame, k: int, m: int, words: bool, ordered_: bool, bucket_bytes: float = 10e6) -> Plan:
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one number
-    plan = Plan(k, m, words, partitions_for(spark, volume * 3.3, bucket_bytes), ordered_)
+    plan = Plan(k, m, words, partitions_for(docs.sparkSession, volume * 3.3, bucket_bytes), ordered_)
     plan.hot = hot_grams(docs, plan)
-    shared = spark.sparkContext.broadcast(plan)
-    dealt = docs.select("doc_id", "tag", "text").mapInArrow(lambda it: deal(it, shared.value), BUCKET_SCHEMA)
-    dealt = dealt.repartition(plan.buckets, "bucket")
-    return dealt.groupBy("bucket").applyInArrow(lambda t: settle(t, shared.value), SPAN_SCHEMA)
+    return plan
+
+
+def dealt(docs: DataFrame, plan: Plan) -> DataFrame:
+    """docs' super-k-mers, packed by bucket."""
+    shared = docs.sparkSession.sparkContext.broadcast(plan)
+    return docs.select("doc_id", "tag", "text").mapInArrow(lambda it: deal(it, shared.value), BUCKET_SCHEMA).repartition(plan.buckets, "bucket")
+
+
+def repeated_windows(docs: DataFrame, k: int, m: int, words: bool, ordered_: bool, bucket_bytes: float = 10e6) -> DataFrame:
+    """docs(doc_id bigint, tag bigint, text binary) -> one or more rows a document with spans of windows that repeat:
+    pairs of uint32 (first window, windows).  Documents without any have no row."""
+    plan = planned(docs, k, m, words, ordered_, bucket_bytes)
+    light = Plan(k, m, words, plan.buckets, ordered_)
+    return dealt(docs, plan).groupBy("bucket").applyInArrow(lambda t: settle(t, light), SPAN_SCHEMA)
 
 
 def covered(spans: list[bytes], n: int, k: int) -> np.ndarray:

@@ -33,17 +33,16 @@ def substring(rows, k=35):
 
 def suffix(rows, k=50):
     least = {}
-    key = lambda d: -(1 << 63) if d is None else d
     for d, t in rows:
         b = (t or "").encode()
-        for i in range(len(b) - k + 1):
-            least[b[i : i + k]] = min(least.get(b[i : i + k], key(d)), key(d))
+        for i in range(len(b) - k + 1 if d is not None else 0):
+            least[b[i : i + k]] = min(least.get(b[i : i + k], d), d)
     out = []
     for d, t in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
-        for i in range(len(b) - k + 1):
-            if least[b[i : i + k]] < key(d):
+        for i in range(len(b) - k + 1 if d is not None else 0):
+            if least[b[i : i + k]] < d:
                 gone[i : i + k] = b"\1" * k
         kept = bytes(x for x, g in zip(b, gone) if not g)
         runs = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))

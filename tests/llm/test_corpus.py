@@ -84,12 +84,52 @@ def test_suffix(request, which):
     assert sort(suffix.report(df).collect()) == sort(brute.suffix(pairs(df)))
 
 
-def test_suffix_levels_merge():
-    f = windows.Family()
-    for i in range(13):
-        f.add(windows.Level(np.arange(i * 10, i * 10 + 10, dtype=np.uint64), np.arange(10) + i * 10, 10))
-    assert len(f.levels) <= 4
-    assert f.find(np.array([0, 77, 129, 500], np.uint64)).tolist() == [0, 77, 129, -1]
+@pytest.mark.parametrize("k", [3, 8, 13, 16, 50])
+def test_suffix_arrays_are_in_the_order_of_bytes(k):
+    text = (passage(k, 60) + " ab" * 30 + passage(k + 1, 60)[:300] + "\xff\0" * 40).encode("latin-1")
+    n = len(text) - k + 1
+    order, new = windows.suffix_array(windows.packed_words(text), np.arange(n, dtype=np.int32), k)
+    cut = [text[i : i + k] for i in order.tolist()]
+    assert cut == sorted(cut) and sorted(order.tolist()) == list(range(n))
+    assert [True, *(x != y for x, y in zip(cut, cut[1:]))] == new.tolist()
+
+
+def test_levels_are_scanned_and_merge():
+    k, texts = 12, [passage(1, 80).encode(), passage(2, 80).encode(), passage(3, 50).encode()]
+    levels = []
+    for t in texts:
+        order, new = windows.suffix_array(windows.packed_words(t), np.arange(len(t) - k + 1, dtype=np.int32), k)
+        levels.append(windows.Level(t, order[new], k))
+    both = levels[0].merged(levels[1])
+    here = [both.buffer[i : i + k] for i in both.where.tolist()]
+    assert here == sorted(here) and len(here) == len(levels[0].where) + len(levels[1].where)
+    ask = texts[1][40:200] + texts[2] + texts[0][:90]
+    at = np.arange(len(ask) - k + 1)
+    lo, found = both.find(windows.packed_words(ask), at)
+    want = set(here)
+    assert found.tolist() == [ask[i : i + k] in want for i in at.tolist()]
+    assert all((i == len(here) or here[i] >= ask[a : a + k]) and (i == 0 or here[i - 1] < ask[a : a + k]) for a, i in zip(at.tolist(), lo.tolist()))
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_batches_one_after_another_are_one_run(spark, request, tmp_path, which):
+    """An index that is opened anew for each of six batches gives what one run gives, and its levels grow geometrically."""
+    df = request.getfixturevalue(which)
+    rows = pairs(df)
+    ids = sorted({d for d, _ in rows if d is not None})
+    cuts = [ids[len(ids) * i // 6] for i in range(6)]
+    got, sizes = [], []
+    for a, z in zip(cuts, [*cuts[1:], None]):
+        part = df.filter((F.col("doc_id") >= a) & ((F.col("doc_id") < z) if z is not None else F.lit(True)))
+        index = suffix.SuffixIndex(spark, str(tmp_path / "index"))
+        got += index.append(part).collect()
+        sizes.append([n for _, n in suffix.SuffixIndex(spark, str(tmp_path / "index")).levels])
+        assert all(x > y for x, y in zip(sizes[-1], sizes[-1][1:]))
+    got += suffix.SuffixIndex(spark, str(tmp_path / "index")).append(df.filter("doc_id is null")).collect()
+    assert sort(got) == sort(brute.suffix(rows))
+    assert max(map(len, sizes)) < 6 and {len(x) for x in sizes} != {1} or which == "odd"
+    with pytest.raises(ValueError, match="not greater"):
+        suffix.SuffixIndex(spark, str(tmp_path / "index")).append(df.filter(F.col("doc_id") == ids[0]))
 
 
 def test_equal_hashes_of_unequal_windows(monkeypatch):
@@ -100,11 +140,10 @@ def test_equal_hashes_of_unequal_windows(monkeypatch):
         plan = windows.Plan(3, 2, False, 1, ordered)
         text, doc = b"".join(t for _, t in rows), np.array([d for d, _ in rows])
         count = np.array([len(t) - 2 for _, t in rows])
-        own, off, hit = (windows.ordered if ordered else windows.unordered)(text, doc, count, np.zeros(3, bool), plan)
-        got = {(int(doc[o]), int(i)) for o, i, h in zip(own, off, hit) if h}
-        every = collections.Counter(t[i : i + 3] for _, t in rows for i in range(len(t) - 2))
-        want = {(d, i) for d, t in rows for i in range(len(t) - 2) if (any(t[i : i + 3] in u for e, u in rows if e < d) if ordered else every[t[i : i + 3]] > 1)}
-        assert got == want
+        hit = windows.ordered(text, doc, count, plan)[0] if ordered else windows.unordered(text, count, np.zeros(3, bool), plan)
+        all_windows = [(d, t[i : i + 3]) for d, t in rows for i in range(len(t) - 2)]
+        every = collections.Counter(w for _, w in all_windows)
+        assert hit.tolist() == [any(w in u for e, u in rows if e < d) if ordered else every[w] > 1 for d, w in all_windows]
 
 
 @pytest.mark.parametrize("words", [True, False])
