@@ -302,28 +302,29 @@ def _word(words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
 def suffix_array(words: np.ndarray, begin: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes that begin at some places, cut at k bytes, in the order of their bytes: (their numbers in that order, whether each differs from the one before).
 
-    Sorted by eight bytes, and only those that are alike so far by the next eight.
+    Sorted by eight bytes; those that are alike so far are sorted again by the number of their group and the next five bytes, and so on (fewer than 2**24 suffixes are alike).
     """
-    off, *more = _offsets(k)
-    key = _word(words, begin + off, k)
+    key = _word(words, begin, k)
     order = np.argsort(key).astype(np.int32)
     key = key[order]
     new = np.ones(len(order), bool)
     new[1:] = key[1:] != key[:-1]
-    for off in more:
-        tied = ~new
-        tied[:-1] |= ~new[1:]
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        group = np.cumsum(new, dtype=np.int32)[at]
-        key = words[begin[order[at]] + off]
+    tied = ~new
+    tied[:-1] |= ~new[1:]
+    at = np.flatnonzero(tied)
+    place, group, off = begin[order[at]], np.cumsum(new[at]), 8
+    while off < k and len(at):
+        off = min(off, k - 5)
+        key = (group.astype(U) << U(40)) | (words[place + off] >> U(24))
         o = np.argsort(key)
-        o = o[np.argsort(group[o], kind="stable")]
-        order[at], key, group = order[at][o], key[o], group[o]
+        order[at], place, key = order[at][o], place[o], key[o]
         fresh = np.ones(len(at), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
+        fresh[1:] = key[1:] != key[:-1]
         new[at] = fresh
+        tied = ~fresh
+        tied[:-1] |= ~fresh[1:]
+        group = np.cumsum(fresh)[tied]
+        at, place, off = at[tied], place[tied], off + 5
     return order, new
 
 
@@ -492,14 +493,24 @@ def unordered(buffer: bytes, count, many, plan: Plan) -> np.ndarray:
 def ordered(buffer: bytes, doc, count, plan: Plan, levels: list[Level] = (), keep: bool = False) -> tuple[np.ndarray, Level | None]:
     """Whether each window of bytes starts in a document with a smaller doc_id too, and the level of those that are new.
 
-    The batch's suffix array puts equal windows side by side; what is left is scanned against the levels, all of smaller documents.
+    Strings that are equal are judged once, by the one of the smallest document.  The batch's suffix array puts equal windows side by side; what is left is scanned against the levels, all
+    of smaller documents.
     """
+    length = count + plan.k - 1
+    end = np.cumsum(length)
+    first, last, seen = (end - length).tolist(), end.tolist(), {}
+    rep = np.empty(len(count), np.int64)
+    for i in np.argsort(doc, kind="stable").tolist():
+        rep[i] = seen.setdefault(buffer[first[i] : last[i]], i)
+    once = np.flatnonzero(rep == np.arange(len(rep)))
+    own = count[once]
+    buffer, n = b"".join([buffer[first[i] : last[i]] for i in once.tolist()]), int(own.sum())
+    del seen
     words = packed_words(buffer)
-    n = int(count.sum())
-    begin = (np.arange(n) + np.repeat(np.arange(len(count)) * (plan.k - 1), count)).astype(np.int32)  # each string has k - 1 bytes more than windows
-    place = np.unique(doc, return_inverse=True)[1].astype(np.int32)  # documents by number, in order
+    begin = (np.arange(n) + np.repeat(np.arange(len(own)) * (plan.k - 1), own)).astype(np.int32)  # each string has k - 1 bytes more than windows
+    place = np.unique(doc[once], return_inverse=True)[1].astype(np.int32)  # documents by number, in order
     order, new = suffix_array(words, begin, plan.k)
-    d = np.repeat(place, count)[order]
+    d = np.repeat(place, own)[order]
     head = np.flatnonzero(new)
     least = np.minimum.reduceat(d, head) if n else d
     group = np.cumsum(new, dtype=np.int32) - 1
@@ -508,10 +519,15 @@ def ordered(buffer: bytes, doc, count, plan: Plan, levels: list[Level] = (), kee
     for level in levels:
         _, here = level.find(words, begin[order[head]].astype(np.int64))
         fresh &= ~here
-    late |= ~fresh[group]
+    if levels:
+        late |= ~fresh[group]
     hit = np.zeros(n, bool)
     hit[order] = late
-    return hit, Level(buffer, begin[order[head[fresh]]], plan.k) if keep else None
+    # Back to all strings: copies in later documents count whole, copies in the same one as their like.
+    base = np.zeros(len(rep), np.int64)
+    base[once] = np.cumsum(own) - own
+    flag = hit[np.repeat(base[rep], count) + _ramp(count)] | np.repeat(doc > doc[rep], count)
+    return flag, Level(buffer, begin[order[head[fresh]]], plan.k) if keep else None
 
 
 def hot_grams(docs: DataFrame, plan: Plan, sample: int = 2000, share: float = 0.02) -> np.ndarray:
