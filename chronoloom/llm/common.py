@@ -34,9 +34,11 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests) in a local temporary folder."""
+    """A new folder below spark.checkpoint.dir; where that is unset, in a local temporary folder, which only a local master may use."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/chronoloom-{os.getuid()}"
     path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
     if not _left:

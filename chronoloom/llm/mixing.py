@@ -32,7 +32,7 @@ def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
         F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source"))).alias("skey"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size"),
         F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 12), 16, 10).cast("bigint").alias("u"),
-        F.hash(F.coalesce("text", F.lit(""))).alias("tag"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"),
     )
 
 
@@ -87,7 +87,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEED) ->
 def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The rows of docs, each as often as the mix takes it (rows equal in doc_id and text alike)."""
     taken = mix(docs, weights, most, seed).groupBy(F.col("doc_id").alias("__cl_d"), F.col("tag").alias("__cl_t")).agg(F.max("copies").alias("__cl_copies")).filter("__cl_copies > 0")
-    rows = docs.withColumn("__cl_tag", F.hash(F.coalesce("text", F.lit(""))))
+    rows = docs.withColumn("__cl_tag", F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = rows.join(taken, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__cl_d")) & (F.col("__cl_tag") == F.col("__cl_t")))
     return rows.withColumn("__cl_copy", F.explode(F.sequence(F.lit(1), F.col("__cl_copies")))).select(*docs.columns)
 

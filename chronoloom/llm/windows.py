@@ -42,7 +42,7 @@ class Plan:
     @property
     def chunk(self) -> int:
         """Bytes of text cut at a time: a byte as a unit needs more room than a word."""
-        return CHUNK if self.words else CHUNK // 2
+        return CHUNK if self.words else CHUNK * 3 // 4
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -283,11 +283,11 @@ def _spans(doc, tag, start, count) -> tuple[list, list, list]:
 
 def packed_words(buffer: bytes) -> np.ndarray:
     """The eight bytes from each place on, as a number that sorts as they do (zeros follow the last)."""
-    a = np.frombuffer(buffer + bytes(8), np.uint8)
-    out = np.zeros(len(buffer), U)
-    for i in range(8):
-        out |= a[i : i + len(buffer)].astype(U) << U(56 - 8 * i)
-    return out
+    a = np.frombuffer(buffer + bytes(7), np.uint8)
+    for kind, bits in ((np.uint16, 8), (np.uint32, 16), (np.uint64, 32)):
+        step = bits // 8
+        a = (a[:-step].astype(kind) << kind(bits)) | a[step:]
+    return a
 
 
 def _offsets(k: int) -> list[int]:
@@ -524,9 +524,15 @@ def ordered(buffer: bytes, doc, count, plan: Plan, levels: list[Level] = (), kee
     hit = np.zeros(n, bool)
     hit[order] = late
     # Back to all strings: copies in later documents count whole, copies in the same one as their like.
-    base = np.zeros(len(rep), np.int64)
-    base[once] = np.cumsum(own) - own
-    flag = hit[np.repeat(base[rep], count) + _ramp(count)] | np.repeat(doc > doc[rep], count)
+    alone = np.zeros(len(rep), bool)
+    alone[once] = True
+    flag = np.ones(int(count.sum()), bool)
+    flag[np.repeat(alone, count)] = hit
+    mine = np.zeros(len(rep), np.int64)
+    mine[once] = np.cumsum(own) - own
+    at = np.cumsum(count) - count
+    for i in np.flatnonzero(~alone & (doc == doc[rep])).tolist():
+        flag[at[i] : at[i] + count[i]] = hit[mine[rep[i]] : mine[rep[i]] + count[i]]
     return flag, Level(buffer, begin[order[head[fresh]]], plan.k) if keep else None
 
 
