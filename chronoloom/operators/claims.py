@@ -72,14 +72,14 @@ def in_order(order: list[str], value: str) -> Column:
 
 
 def merge_entities(entities: DataFrame, key: str = "session_id") -> DataFrame:
-    """A3: entities of all windows with one name and kind, whatever their case: the first spelling, aliases and turns in order and once."""
+    """A3: entities of all windows with one name and kind, whatever their case: the first spelling, aliases (blank ones left out) and turns in order and once."""
     by = [key, F.lower("name").alias("name_key"), F.lower("kind").alias("kind_key")]
     first = F.struct("window_ix", "ord")
     g = entities.groupBy(*by).agg(
         F.min_by("name", first).alias("name"), F.min_by("kind", first).alias("kind"), F.min("ord").alias("first_ord"),
         F.flatten(in_order(["window_ix", "ord"], "aliases")).alias("aliases"), F.flatten(in_order(["window_ix", "ord"], "turn_ids")).alias("turn_ids"),
     )
-    aliases = F.filter(F.array_distinct("aliases"), lambda a: F.lower(a) != F.col("name_key"))
+    aliases = F.filter(F.array_distinct("aliases"), lambda a: (F.trim(a) != "") & (F.lower(a) != F.col("name_key")))
     return g.select(key, "first_ord", "name", "kind", aliases.alias("aliases"), F.array_distinct("turn_ids").alias("turn_ids"))
 
 
@@ -95,10 +95,10 @@ def distinct_claims(claims: DataFrame, *more: Column, key: str = "session_id") -
 
 
 def question_queue(questions: DataFrame, most: int = 10, key: str = "session_id") -> DataFrame:
-    """One question an issue (whatever its case), the weightiest and least certain first, `most` of them; how many were dropped is told."""
+    """One question an issue (whatever its case and the space around it), the weightiest and least certain first, `most` of them; how many were dropped is told."""
     if most < 1:
         raise ValueError("at least one question must be allowed")
-    once = questions.withColumn("_n", F.row_number().over(Window.partitionBy(key, F.lower("issue")).orderBy("ord"))).filter("_n = 1").drop("_n")
+    once = questions.withColumn("_n", F.row_number().over(Window.partitionBy(key, F.lower(F.trim("issue"))).orderBy("ord"))).filter("_n = 1").drop("_n")
     weight = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])[F.col("consequence")]
     w = Window.partitionBy(key)
     ranked = once.withColumn("rank", F.row_number().over(w.orderBy(weight.desc(), "confidence", "ord"))).withColumn("dropped_count", F.greatest(F.lit(0), F.count("*").over(w) - most))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,38 +124,48 @@ def contested(approvals: DataFrame) -> DataFrame:
 
 
 def vocabulary(approvals: DataFrame) -> DataFrame:
-    """S15, J13, T-R7: approvals(kind, canonical, aliases, approver, seq) -> entries: an approval absorbs every entry of its kind that shares a surface with it, in order of seq.
+    """S15, J13, T-R7: approvals(kind, canonical, aliases, approver, seq) -> entries: approvals of one kind that share a surface, directly or through others, are one entry.
 
-    Entries never cross kinds; a kind's approvals are folded in one group of distinct (approver, canonical, aliases), after repeats are dropped.
+    An entry is named by its latest approval, which also gives its canonical name; aliases follow from the latest approval to the first, each surface in its latest spelling.  It is contested
+    where the latest approvals of its approvers differ in the name.
     """
+    once = approvals.groupBy("kind", "canonical", "aliases", "approver").agg(F.max("seq").alias("seq"))
+    x = once.withColumn("names", F.concat(F.array("canonical"), "aliases"))
+    edges = x.select("seq", F.explode("names").alias("s"), "kind").select("seq", F.concat_ws("\x1f", "kind", fold_surface("s")).alias("key")).distinct()
+    x = x.join(entries_of(edges), "seq")
+    order = F.array_sort(F.collect_list(F.struct((-F.col("seq")).alias("late"), "names")))
+    last = x.groupBy("kind", "entry", "approver").agg(F.max_by(fold_surface("canonical"), "seq").alias("c")).groupBy("kind", "entry").agg((F.count_distinct("c") > 1).alias("contested"))
+    g = x.groupBy("kind", "entry").agg(F.max_by("canonical", "seq").alias("canonical"), F.flatten(F.transform(order, lambda r: r["names"])).alias("names"), F.count("*").alias("approvals"), F.max("seq").alias("latest"))
+    g = g.join(last, ["kind", "entry"])
+    return g.select("kind", F.col("latest").alias("entry"), "canonical", ordered_distinct(F.col("names"), fold_surface, F.col("canonical")).alias("aliases"), "contested", "approvals")
 
-    def fold(value: str) -> str:
-        return " ".join(value.split()).lower()
-
-    def absorb(pdf: pd.DataFrame) -> pd.DataFrame:
-        entries: dict[int, dict] = {}
-        by_surface: dict[str, int] = {}
-        for r in pdf.sort_values("seq").itertuples():
-            surfaces = [r.canonical, *r.aliases]
-            hit = sorted({by_surface[fold(s)] for s in surfaces if fold(s) in by_surface})
-            known, approvals_ = [], []
-            for h in hit:
-                e = entries.pop(h)
-                known += [e["canonical"], *e["aliases"]]
-                approvals_ += e["approvals"]
-            names: dict[str, str] = {}
-            for s in [*surfaces, *known]:
-                if fold(s) != fold(r.canonical):
-                    names.setdefault(fold(s), s)
-            approvals_.append((r.approver, fold(r.canonical)))
-            entries[r.seq] = {"canonical": r.canonical, "aliases": list(names.values()), "approvals": approvals_}
-            for s in [r.canonical, *names.values()]:
-                by_surface[fold(s)] = r.seq
-        rows = [(pdf["kind"].iloc[0], k, e["canonical"], e["aliases"], len(set(dict(e["approvals"]).values())) > 1, len(e["approvals"])) for k, e in entries.items()]
-        return pd.DataFrame(rows, columns=["kind", "entry", "canonical", "aliases", "contested", "approvals"])
 
-    once = approvals.groupBy("kind", "canonical", "aliases", "approver").agg(F.max("seq").alias("seq"))
-    return once.groupBy("kind").applyInPandas(absorb, "kind string, entry bigint, canonical string, aliases array<string>, contested boolean, approvals bigint")
+def entries_of(edges: DataFrame) -> DataFrame:
+    """edges(seq, key) -> seq, entry: approvals that share a key are joined.
+
+    Each round gives a key the least entry of its approvals, an approval the least of its keys, and then follows entries to their own; the rounds needed grow with the logarithm of a chain.
+    """
+    edges = _written(edges, "edges")
+    now = edges.select("seq", F.col("seq").alias("entry")).distinct()
+    before = None
+    while True:
+        by_key = edges.join(now, "seq").groupBy("key").agg(F.min("entry").alias("entry"))
+        least = edges.join(by_key, "key").groupBy("seq").agg(F.min("entry").alias("entry"))
+        jump = least.select(F.col("seq").alias("_s"), F.col("entry").alias("_e"))
+        now = _written(least.join(jump, F.col("entry") == F.col("_s"), "left").select("seq", F.least("entry", "_e").alias("entry")), "entries")
+        told = now.agg(F.sum(F.col("entry").cast("decimal(38,0)")), F.count("*")).first()  # two numbers; entries only ever get smaller
+        if told == before:
+            return now
+        before = told
+
+
+def _written(df: DataFrame, what: str) -> DataFrame:
+    """Cuts the lineage by a table in shared storage."""
+    from ..sources.sessions import shared_folder
+
+    path = shared_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def surfaces(vocab: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ FLOOR = 2.0
 
 def lexicon(texts: DataFrame, text: str = "text") -> DataFrame:
     """word, zipf (log10 of occurrences per thousand million) from a corpus."""
-    words = texts.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = texts.select(F.explode(F.split(F.lower(text), "[^a-z]+")).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
     total = words.agg(F.sum("n").alias("total"))
     return words.join(F.broadcast(total)).select("word", F.log10(F.col("n") / F.col("total") * 1e9).alias("zipf"))
 
@@ -45,10 +44,19 @@ def forms(rare: DataFrame, key: str = "session_id") -> DataFrame:
     return rare.groupBy(key, "stem", "token").agg(F.count("*").alias("occurrences"), turn_ids.alias("turn_ids"), F.first("zipf").alias("zipf"))
 
 
+def _shortened(stem, short: int = 6):
+    """A stem and what it is without one letter, or (if `short` letters or longer) without two: spellings within the tolerance share one."""
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+    once = F.array_distinct(cut(stem))
+    twice = F.when(F.length(stem) >= short, F.flatten(F.transform(once, cut))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(stem), once, twice))
+
+
 def near_pairs(stems: DataFrame, key: str = "session_id") -> DataFrame:
-    """Pairs of a session's stems within the tolerance.  Length and session cut the pairs down before any distance is computed."""
-    a, b = stems.select(key, F.col("stem").alias("a")), stems.select(F.col(key).alias("_k"), F.col("stem").alias("b"))
-    return a.join(b, (F.col(key) == F.col("_k")) & (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 2) & near("a", "b")).select(key, "a", "b")
+    """Pairs of a session's stems within the tolerance.  Only stems that have a shortened form in common meet."""
+    x = stems.select(key, "stem", F.explode(_shortened(F.col("stem"))).alias("form"))
+    met = x.select(key, F.col("stem").alias("a"), "form").join(x.select(key, F.col("stem").alias("b"), "form"), [key, "form"]).filter("a < b")
+    return met.select(key, "a", "b").distinct().filter(near("a", "b"))
 
 
 def clusters(stems: DataFrame, pairs: DataFrame, key: str = "session_id") -> DataFrame:
@@ -80,8 +88,7 @@ def clusters(stems: DataFrame, pairs: DataFrame, key: str = "session_id") -> Dat
 
 def candidates(turns: DataFrame, words: DataFrame, floor: float = FLOOR, key: str = "session_id") -> DataFrame:
     """Name candidates of each session, the most contradictory first: id, forms, occurrences, distinct stems, grounds."""
-    # Used four times below; kept where it was made, and made again where an executor is lost.
-    f = forms(rare_tokens(surface_tokens(turns, key), words, floor), key).persist(StorageLevel.MEMORY_AND_DISK)
+    f = forms(rare_tokens(surface_tokens(turns, key), words, floor), key)
     stems = f.select(key, "stem").distinct()
     rooted = f.join(clusters(stems, near_pairs(stems, key), key), [key, "stem"])
     best = F.array_sort(F.collect_list(F.struct((-F.col("occurrences")).alias("neg"), F.col("token").alias("text"), "turn_ids", "zipf")))

@@ -11,53 +11,50 @@ from ..functions import text as T
 PROVENANCE_KEYS = ("generated", "generated_by", "generated_at", "generated_on", "provenance", "authored_by", "author", "created_by", "source_tool", "tool")
 IGNORED_FOLDERS = (".obsidian", ".trash", ".git", ".claude")
 IGNORED_FILES = (".DS_Store", "Thumbs.db", "desktop.ini")
-KEY = r"^([A-Za-z0-9_][A-Za-z0-9_\- ]*):[ \t]*(.*)$"
-HEAD = r"^(#{1,6})[ \t]+(.+?)[ \t]*$"
 UNTYPED = "(untyped)"
 
 
-def _fields(front: Column) -> Column:
-    """Key, shape and raw value of each key line; the next line tells a block list."""
-    lines = F.split(front, "\r?\n")
+def _fields(lines: Column) -> Column:
+    """Key, shape and raw value of each line with a colon after a name; the next line tells a block list."""
 
     def one(line: Column, i: Column) -> Column:
-        raw = F.trim(F.regexp_extract(line, KEY, 2))
+        colon = F.instr(line, ":")
+        name = F.substr(line, F.lit(1), colon - 1)
+        raw = F.trim(F.regexp_replace(F.substr(line, colon + 1), "^[ \t]+", ""))
         shape = F.when(F.coalesce(F.get(lines, i + 1), F.lit("")).rlike(r"^[ \t]*-[ \t]+\S"), "block-list").when(raw == "", "empty").when(F.contains(raw, F.lit(",")), "comma-string").otherwise("scalar")
-        return F.struct(F.trim(F.regexp_extract(line, KEY, 1)).alias("key"), shape.alias("shape"), raw.alias("raw"))
+        return F.when((colon > 1) & name.rlike("^[A-Za-z0-9_]") & ~name.rlike("[^A-Za-z0-9_ -]"), F.struct(F.trim(name).alias("key"), shape.alias("shape"), raw.alias("raw")))
 
-    return F.filter(F.transform(lines, one), lambda f: f["key"] != "")
+    return F.array_compact(F.transform(lines, one))
 
 
 def _headings(lines: Column, first: Column) -> Column:
     """Level, title, line and number among those below the title (the title's own is -1)."""
-    found = F.filter(
-        F.transform(lines, lambda x, i: F.struct(F.length(F.regexp_extract(x, HEAD, 1)).alias("level"), F.trim(F.regexp_extract(x, HEAD, 2)).alias("title"), (i + 1).alias("line"))),
-        lambda h: (h["level"] > 0) & (h["line"] > first),
-    )
-    below = F.size(F.filter(F.slice(found, 1, 1), lambda h: h["level"] >= 2)) * 0  # an int column of zeros
 
-    def add(acc: Column, h: Column) -> Column:
-        n = F.when(h["level"] >= 2, acc["n"] + 1).otherwise(acc["n"])
-        row = F.struct(h["level"].alias("level"), h["title"].alias("title"), h["line"].alias("line"), F.when(h["level"] >= 2, n - 1).otherwise(F.lit(-1)).alias("index"), T.session_reference(h["title"]).alias("session_ref"))
-        return F.struct(n.alias("n"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+    def one(x: Column, i: Column) -> Column:
+        rest = F.ltrim(x, F.lit("#"))
+        level = F.length(x) - F.length(rest)
+        title = F.trim(F.regexp_replace(rest, "^[ \t]+|[ \t]+$", ""))
+        return F.when(F.startswith(x, F.lit("#")) & (i >= first) & (level <= 6) & rest.rlike("^[ \t]") & (title != ""), F.struct((i + 1).alias("line"), level.alias("level"), title.alias("title")))
 
-    kind = "array<struct<level:int,title:string,line:int,index:int,session_ref:int>>"
-    start = F.struct(below.alias("n"), F.from_json(F.lit("[]"), kind).alias("rows"))
-    return F.aggregate(found, start, add, lambda acc: acc["rows"])
+    found = F.array_compact(F.transform(lines, one))
+    row = lambda h, n: F.struct(h["line"].alias("line"), h["level"].alias("level"), h["title"].alias("title"), n.alias("section_ix"), T.session_reference(h["title"]).alias("session_ref"))
+    below = F.transform(F.filter(found, lambda h: h["level"] >= 2), row)
+    return F.array_sort(F.concat(F.transform(F.filter(found, lambda h: h["level"] == 1), lambda h: row(h, F.lit(-1))), below))  # by line, the first field
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """files(path, content) -> path, folder, title, note_type, h1, size_bytes, fields, sections, links, lines.  One row a note, all in the JVM, no shuffle."""
-    text = F.col("content")
-    front = F.regexp_extract(text, T.FRONT_MATTER, 0)
-    first = F.when(front != "", F.length(front) - F.length(F.replace(front, F.lit("\n"), F.lit("")))).otherwise(F.lit(0))
+    """files(path, content) -> path, folder, title, note_type, h1, size_bytes, fields, sections, links, lines.  One row a note, all in the JVM, no shuffle.
+
+    F18: front matter is what stands between a first line of three dashes and the next such line, if that is not the very next one.
+    """
     name = F.element_at(F.split("path", "/"), -1)
-    out = files.select(
-        "path", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(".")).alias("folder"), F.regexp_replace(name, r"\.md$", "").alias("title"),
-        F.octet_length(text).alias("size_bytes"), F.when(front != "", _fields(F.regexp_extract(text, T.FRONT_MATTER, 1))).otherwise(F.from_json(F.lit("[]"), "array<struct<key:string,shape:string,raw:string>>")).alias("fields"),
-        F.split(text, "\r?\n").alias("lines"), first.alias("_first"), T.links(text).alias("links"),
+    out = files.select("path", "content", F.split("content", "\r?\n").alias("lines"))
+    closing = F.array_position(F.transform("lines", lambda x, i: (i > 0) & F.startswith(x, F.lit("---")) & (F.rtrim(F.replace(x, F.lit("\t"), F.lit(" "))) == "---")), True).cast("int")
+    out = out.withColumn("_first", F.when((F.get("lines", F.lit(0)) == "---") & (closing > 2), closing).otherwise(F.lit(0)))
+    out = out.select(
+        "path", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(".")).alias("folder"), F.regexp_replace(name, r"\.md$", "").alias("title"), F.octet_length("content").alias("size_bytes"),
+        _fields(F.slice("lines", 2, F.greatest(F.lit(0), F.col("_first") - 2))).alias("fields"), "lines", _headings(F.col("lines"), F.col("_first")).alias("sections"), T.links("content").alias("links"),
     )
-    out = out.withColumn("sections", _headings(F.col("lines"), F.col("_first"))).drop("_first")
     kind = F.get(F.filter("fields", lambda f: f["key"] == "type"), F.lit(0))["raw"]
     h1 = F.get(F.filter("sections", lambda s: s["level"] == 1), F.lit(0))["title"]
     return out.withColumn("note_type", F.nullif(kind, F.lit(""))).withColumn("h1", h1)
@@ -112,9 +109,9 @@ def stubs(notes: DataFrame) -> DataFrame:
 def positions(notes: DataFrame) -> DataFrame:
     """In which third of their note session-stamped sections stand, and how many are its last."""
     s = notes.select(F.filter("sections", lambda h: h["level"] >= 2).alias("b")).select((F.size("b") - 1).alias("last"), F.explode("b").alias("h")).filter("h.session_ref is not null")
-    part = F.when(F.col("last") > 0, F.col("h.index") / F.col("last")).otherwise(F.lit(0.0))
+    part = F.when(F.col("last") > 0, F.col("h.section_ix") / F.col("last")).otherwise(F.lit(0.0))
     third = F.when(part < 1 / 3, "first-third").when(part < 2 / 3, "middle-third").otherwise("last-third")
-    both = s.select(F.explode(F.array_compact(F.array(third, F.when(F.col("h.index") == F.col("last"), "final-section-in-note")))).alias("position"))
+    both = s.select(F.explode(F.array_compact(F.array(third, F.when(F.col("h.section_ix") == F.col("last"), "final-section-in-note")))).alias("position"))
     return both.groupBy("position").agg(F.count("*").alias("sections"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_run, distinctive, engine_tokens, label_matches, mentions, share, tokens
+from ..functions.text import contains_run, distinctive, engine_tokens, mentions, share, tokens
 
 # Fields that identify an engine in its artifact, and how deep they are looked for.
 IDENTITY_FIELDS = ("engine", "model", "model_file", "model_name", "provider", "backend")
@@ -34,10 +34,18 @@ def time_basis(turns: DataFrame, targets: DataFrame, excerpt: DataFrame, key: st
 
 
 def target_outcomes(targets: DataFrame, entities: DataFrame, basis: DataFrame, key: str = "session_id") -> DataFrame:
-    """Each entity target with whether some entity's name or alias matches it, and whether such an entity's evidence covers its anchor."""
-    e = entities.select(key, "entity_id", "start_ms", "end_ms", F.posexplode(F.concat(F.array("name"), "aliases")).alias("pos", "surface"))
+    """Each entity target with whether some entity's name or alias matches it, and whether such an entity's evidence covers its anchor.
+
+    Labels and surfaces are tokenised once.  One of the two is a run of the other, so the first token of one is among the other's: two joins on that token, one for either direction.
+    """
+    e = entities.select(key, "entity_id", "start_ms", "end_ms", F.posexplode(F.concat(F.array("name"), "aliases")).alias("pos", "surface")).withColumn("b", tokens("surface"))
+    e = e.filter(F.length(F.array_join("b", "")) >= 3)
     x = targets.filter("grp = 'important_entities'").join(basis.select(key, "offset_ms", "usable"), key, "left").withColumn("aligned_ms", F.col("anchor_ms") - F.col("offset_ms"))
-    hits = x.join(e, key).filter(label_matches("label", "surface")).groupBy(key, "path", "entity_id", "aligned_ms", "start_ms", "end_ms").agg(F.min_by("surface", "pos").alias("surface"))
+    label = x.select(key, "path", "aligned_ms", tokens("label").alias("a")).filter(F.size("a") > 0)
+    each = lambda c: F.explode(F.array_distinct(c)).alias("token")
+    inside = label.select("*", each("a")).join(e.withColumn("token", F.get("b", F.lit(0))), [key, "token"]).filter(contains_run(F.col("a"), F.col("b")))
+    around = label.withColumn("token", F.get("a", F.lit(0))).join(e.select("*", each("b")), [key, "token"]).filter(contains_run(F.col("b"), F.col("a")))
+    hits = inside.unionByName(around).groupBy(key, "path", "entity_id", "aligned_ms", "start_ms", "end_ms").agg(F.min_by("surface", "pos").alias("surface"))
     per = hits.groupBy(key, "path").agg(F.count("*").alias("entities"), F.max(F.coalesce(F.col("aligned_ms").between(F.col("start_ms"), F.col("end_ms")), F.lit(False))).alias("anchored"))
     out = x.join(per, [key, "path"], "left")
     return out.select(key, "path", "label", "basis", "status", "anchor_ms", "aligned_ms", "usable", (F.coalesce("entities", F.lit(0)) > 0).alias("matched"), F.coalesce("anchored", F.lit(False)).alias("anchored"))
@@ -76,14 +84,20 @@ def plot_capture(targets: DataFrame, scenes: DataFrame, basis: DataFrame, key: s
     )
 
 
+def holding(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """rows(..., hay: tokens) with each of terms(term) that is a run of its tokens.  A row meets only the terms whose first token it holds."""
+    needles = terms.select("term").distinct().withColumn("needle", tokens("term")).withColumn("token", F.get("needle", F.lit(0))).filter("token is not null")
+    met = rows.withColumn("token", F.explode(F.array_distinct("hay"))).join(needles, "token")
+    return met.filter((F.size("needle") == 1) | contains_run(F.col("hay"), F.col("needle"))).drop("token", "needle")
+
+
 def control_findings(controls: DataFrame, texts: DataFrame, turns: DataFrame, key: str = "session_id") -> DataFrame:
-    """Where a negative control is asserted, and whether the transcript holds it.  Texts are tokenised once; the control list is the small side and Spark broadcasts it if it is."""
-    c = controls.withColumn("needle", tokens("term"))
-    said = texts.withColumn("hay", tokens("text")).join(c, contains_run(F.col("hay"), F.col("needle"))).groupBy(key, "term").agg(F.count("*").alias("asserted_in"))
+    """The negative controls that a session's claims assert (in how many texts) or its transcript holds."""
+    said = holding(texts.withColumn("hay", tokens("text")), controls).groupBy(key, "term").agg(F.count("*").alias("asserted_in"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ")
-    whole = turns.groupBy(key).agg(tokens(body).alias("hay"))
-    base = whole.join(c).select(key, "term", contains_run(F.col("hay"), F.col("needle")).alias("in_transcript"))
-    return base.join(said, [key, "term"], "left").withColumn("asserted_in", F.coalesce("asserted_in", F.lit(0)))
+    heard = holding(turns.groupBy(key).agg(tokens(body).alias("hay")), controls).select(key, "term", F.lit(True).alias("in_transcript"))
+    x = heard.join(said, [key, "term"], "full")
+    return x.select(key, "term", F.coalesce("in_transcript", F.lit(False)).alias("in_transcript"), F.coalesce("asserted_in", F.lit(0)).alias("asserted_in"))
 
 
 def absent_from_evidence(entities: DataFrame, turns: DataFrame, key: str = "session_id") -> DataFrame:
@@ -166,8 +180,8 @@ def engine_strings(artifacts: DataFrame, document: str = "native", key: str = "s
     level = artifacts.select(key, F.try_parse_json(document).alias("v"), F.lit("").alias("where"))
     out = None
     for _ in range(DEPTH + 1):
-        level.createOrReplaceTempView("_chronoloom_level")
-        opened = level.sparkSession.sql(f"SELECT {key}, where, e.key AS k, e.value AS v FROM _chronoloom_level, LATERAL variant_explode_outer(v) AS e")
+        spread = level.sparkSession.tvf.variant_explode_outer(F.col("v").outer()).select(F.col("key").alias("k"), F.col("value").alias("opened"))
+        opened = level.lateralJoin(spread).select(key, "where", "k", F.col("opened").alias("v"))
         kind = F.schema_of_variant("v")
         path = F.when(F.col("k").isNull(), F.col("where")).otherwise(F.concat("where", F.lit("."), F.col("k")))
         here = opened.filter(F.col("k").isin(*IDENTITY_FIELDS) & ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY") & (kind != "VOID"))

@@ -39,21 +39,29 @@ def plan_windows(turns: DataFrame, budget: Budget, key: str = "session_id") -> D
     cap, lap = budget.capacity, budget.overlap
     item = F.struct(F.col("ord"), F.col("id").alias("id"), cost.cast("bigint").alias("cost"))
     grouped = turns.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    empty = F.expr("cast(array() as array<struct<ord:bigint,id:string,cost:bigint>>)")
-    none = F.expr("cast(array() as array<array<struct<ord:bigint,id:string,cost:bigint>>>)")
-    start = F.struct(none.alias("done"), empty.alias("now"))
-    total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x["cost"])
+    # The state: windows as their first turn and the one after their last, where the open window began, the turn at hand, the open window's cost, and the costs of its last `lap` turns.
+    start = F.expr("named_struct('done', cast(array() as array<struct<a:int,z:int>>), 'a', 0, 'i', 0, 'total', 0L, 'tail', cast(array() as array<bigint>))")
+    none = F.expr("cast(array() as array<bigint>)")
+    window = lambda a, z: F.array(F.struct(a.alias("a"), z.alias("z")))
+
+    def state(done, a, i, total, tail):
+        return F.struct(done.alias("done"), a.cast("int").alias("a"), i.cast("int").alias("i"), total.cast("bigint").alias("total"), tail.alias("tail"))
+
+    def last(tail):
+        return F.slice(tail, F.greatest(F.lit(1), F.size(tail) - lap + 1), lap) if lap else none
 
     def step(acc, x):
-        done, now = acc["done"], acc["now"]
-        flushed = F.when(F.size(now) > 0, F.concat(done, F.array(now))).otherwise(done)
-        alone = F.struct(F.concat(flushed, F.array(F.array(x))).alias("done"), empty.alias("now"))
-        tail = F.slice(now, F.greatest(F.lit(1), F.size(now) - lap + 1), lap) if lap else empty
-        carry = F.when(total(tail) > cap // 2, empty).otherwise(tail)
-        turned = F.struct(flushed.alias("done"), F.concat(carry, F.array(x)).alias("now"))
-        grown = F.struct(done.alias("done"), F.concat(now, F.array(x)).alias("now"))
-        return F.when(x["cost"] > cap, alone).when((F.size(now) > 0) & (total(now) + x["cost"] > cap), turned).otherwise(grown)
-
-    end = F.aggregate("items", start, step, lambda acc: F.when(F.size(acc["now"]) > 0, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]))
-    rows = grouped.select(key, F.posexplode(end).alias("window_ix", "w"))
-    return rows.select(key, "window_ix", F.posexplode("w").alias("pos", "x")).select(key, "window_ix", "pos", "x.id", F.col("x.cost").alias("cost"))
+        done, a, i, cost = acc["done"], acc["a"], acc["i"], x["cost"]
+        flushed = F.when(i > a, F.concat(done, window(a, i))).otherwise(done)
+        carried = F.aggregate(acc["tail"], F.lit(0).cast("bigint"), lambda s, c: s + c)
+        fits = carried <= cap // 2
+        kept = F.when(fits, acc["tail"]).otherwise(none)
+        alone = state(F.concat(flushed, window(i, i + 1)), i + 1, i + 1, F.lit(0), none)
+        turned = state(flushed, i - F.size(kept), i + 1, F.when(fits, carried).otherwise(F.lit(0)) + cost, last(F.concat(kept, F.array(cost))))
+        grown = state(done, a, i + 1, acc["total"] + cost, last(F.concat(acc["tail"], F.array(cost))))
+        return F.when(cost > cap, alone).when((i > a) & (acc["total"] + cost > cap), turned).otherwise(grown)
+
+    end = F.aggregate("items", start, step, lambda acc: F.when(acc["i"] > acc["a"], F.concat(acc["done"], window(acc["a"], acc["i"]))).otherwise(acc["done"]))
+    rows = grouped.select(key, "items", F.posexplode(end).alias("window_ix", "w"))
+    rows = rows.select(key, "window_ix", F.posexplode(F.slice("items", F.col("w.a") + 1, F.col("w.z") - F.col("w.a"))).alias("pos", "x"))
+    return rows.select(key, "window_ix", "pos", "x.id", F.col("x.cost").alias("cost"))

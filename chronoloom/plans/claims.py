@@ -45,7 +45,7 @@ def j6(spark, d):
 
 
 @register("a3_entity_merge", f"""{W}{_ALL}, al AS (SELECT session_id, lower(name) AS n, lower(kind) AS k, window_ix, ord, p, aliases[p] AS v FROM (SELECT *, unnest(range(1, len(aliases) + 1)) AS p FROM entities)),
-  a1 AS (SELECT session_id, n, k, v, min((window_ix, ord, p)) AS f FROM al WHERE lower(v) <> n GROUP BY ALL), a2 AS (SELECT session_id, n, k, list(v ORDER BY f) AS aliases FROM a1 GROUP BY ALL),
+  a1 AS (SELECT session_id, n, k, v, min((window_ix, ord, p)) AS f FROM al WHERE lower(v) <> n AND trim(v) <> '' GROUP BY ALL), a2 AS (SELECT session_id, n, k, list(v ORDER BY f) AS aliases FROM a1 GROUP BY ALL),
   tu AS (SELECT session_id, lower(name) AS n, lower(kind) AS k, window_ix, ord, p, turn_ids[p] AS v FROM (SELECT *, unnest(range(1, len(turn_ids) + 1)) AS p FROM entities)),
   t1 AS (SELECT session_id, n, k, v, min((window_ix, ord, p)) AS f FROM tu GROUP BY ALL), t2 AS (SELECT session_id, n, k, list(v ORDER BY f) AS turn_ids FROM t1 GROUP BY ALL),
   g AS (SELECT session_id, lower(name) AS n, lower(kind) AS k, min(ord) AS first_ord, arg_min(name, (window_ix, ord)) AS name, arg_min(kind, (window_ix, ord)) AS kind FROM entities GROUP BY 1, 2, 3)
@@ -59,12 +59,12 @@ def a4(spark, d):
     return C.distinct_claims(t.scenes(spark, d)).select("session_id", "scene_id", "title")
 
 
-@register("a5_thread_dedup", f"""{W}{_ALL} SELECT session_id, thread_id, description FROM threads QUALIFY row_number() OVER (PARTITION BY session_id, list_sort(list_distinct(turn_ids)), lower(description) ORDER BY window_ix, ord) = 1""")
+@register("a5_thread_dedup", f"""{W}{_ALL} SELECT session_id, thread_id, description FROM threads QUALIFY row_number() OVER (PARTITION BY session_id, list_sort(list_distinct(turn_ids)), lower(trim(description)) ORDER BY window_ix, ord) = 1""")
 def a5(spark, d):
-    return C.distinct_claims(t.threads(spark, d), F.lower("description")).select("session_id", "thread_id", "description")
+    return C.distinct_claims(t.threads(spark, d), F.lower(F.trim("description"))).select("session_id", "thread_id", "description")
 
 
-_ONCE = f"{W}{_ALL}, once AS (SELECT * FROM questions QUALIFY row_number() OVER (PARTITION BY session_id, lower(issue) ORDER BY ord) = 1)"
+_ONCE = f"{W}{_ALL}, once AS (SELECT * FROM questions QUALIFY row_number() OVER (PARTITION BY session_id, lower(trim(issue)) ORDER BY ord) = 1)"
 
 
 @register("a6_question_dedup", f"{_ONCE} SELECT session_id, question_id, issue FROM once")

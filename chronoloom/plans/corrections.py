@@ -16,23 +16,23 @@ def answers(spark, d):
     e = lambda n: F.concat(F.lit("e"), (F.col("ord") + n).cast("string"))
     none = F.lit(None).cast("string")
     revise = F.struct(F.lit("revise_entity").alias("op"), e(0).alias("entity_id"), F.when(k % 9 != 0, F.substring("issue", 1, 6)).alias("name"), none.alias("entity_kind"), F.lit(None).cast("array<string>").alias("absorbs"))
-    merge = F.struct(F.lit("merge_entities").alias("op"), e(0).alias("entity_id"), none.alias("name"), F.when(k % 2 == 0, F.lit("person")).alias("entity_kind"), F.array(F.when(k % 31 == 0, e(0)).otherwise(e(3))).alias("absorbs"))
+    merge = F.struct(F.lit("merge_entities").alias("op"), e(0).alias("entity_id"), none.alias("name"), F.when(k % 2 == 0, F.lit("person")).alias("entity_kind"), F.array(F.when(k % 173 == 0, e(0)).otherwise(e(3))).alias("absorbs"))
     op = F.when(k % 4 == 1, revise).when(k % 8 == 2, merge)
-    action = F.when(k % 23 == 0, "maybe").when(op.isNotNull(), F.when(k % 29 == 0, "defer").otherwise("correct")).when(k % 3 == 0, "accept").otherwise("irrelevant")
-    return q.filter("ord < 6").select("session_id", F.col("ord").alias("pos"), F.concat(F.lit("p"), (F.col("session_id") % 3).cast("string")).alias("answered_by"), F.when(k % 37 != 0, F.col("question_id")).otherwise(F.lit(" ")).alias("question_id"), action.alias("action"), op.alias("operation"))
+    action = F.when(k % 211 == 0, "maybe").when(op.isNotNull(), F.when(k % 191 == 0, "defer").otherwise("correct")).when(k % 3 == 0, "accept").otherwise("irrelevant")
+    return q.select("session_id", F.col("ord").alias("pos"), F.concat(F.lit("p"), (F.col("session_id") % 3).cast("string")).alias("answered_by"), F.when(k % 311 != 0, F.col("question_id")).otherwise(F.lit(" ")).alias("question_id"), action.alias("action"), op.alias("operation"))
 
 
-_A = f"""{_ALL}, answers AS (SELECT session_id, ord AS pos, 'p' || (session_id % 3) AS answered_by, CASE WHEN k % 37 <> 0 THEN question_id ELSE ' ' END AS question_id, op, entity_id, name, kind, absorbs,
-    CASE WHEN k % 23 = 0 THEN 'maybe' WHEN op IS NOT NULL THEN CASE WHEN k % 29 = 0 THEN 'defer' ELSE 'correct' END WHEN k % 3 = 0 THEN 'accept' ELSE 'irrelevant' END AS action
+_A = f"""{_ALL}, answers AS (SELECT session_id, ord AS pos, 'p' || (session_id % 3) AS answered_by, CASE WHEN k % 311 <> 0 THEN question_id ELSE ' ' END AS question_id, op, entity_id, name, kind, absorbs,
+    CASE WHEN k % 211 = 0 THEN 'maybe' WHEN op IS NOT NULL THEN CASE WHEN k % 191 = 0 THEN 'defer' ELSE 'correct' END WHEN k % 3 = 0 THEN 'accept' ELSE 'irrelevant' END AS action
   FROM (SELECT *, session_id + ord AS k, CASE WHEN (session_id + ord) % 4 = 1 THEN 'revise_entity' WHEN (session_id + ord) % 8 = 2 THEN 'merge_entities' END AS op, 'e' || ord AS entity_id,
     CASE WHEN (session_id + ord) % 4 = 1 AND (session_id + ord) % 9 <> 0 THEN substr(issue, 1, 6) END AS name, CASE WHEN (session_id + ord) % 4 <> 1 AND (session_id + ord) % 8 = 2 AND (session_id + ord) % 2 = 0 THEN 'person' END AS kind,
-    CASE WHEN (session_id + ord) % 4 <> 1 AND (session_id + ord) % 8 = 2 THEN [CASE WHEN (session_id + ord) % 31 = 0 THEN 'e' || ord ELSE 'e' || (ord + 3) END] END AS absorbs FROM questions WHERE ord < 6)),
+    CASE WHEN (session_id + ord) % 4 <> 1 AND (session_id + ord) % 8 = 2 THEN [CASE WHEN (session_id + ord) % 173 = 0 THEN 'e' || ord ELSE 'e' || (ord + 3) END] END AS absorbs FROM questions)),
 findings AS (SELECT session_id, pos, finding FROM (SELECT session_id, pos, unnest([CASE WHEN trim(question_id) = '' THEN 'question_id must be given' END, CASE WHEN action = 'maybe' THEN 'unknown action' END, CASE WHEN action IN ('defer', 'irrelevant') AND op IS NOT NULL THEN 'this action carries no operation' END,
     CASE WHEN op = 'revise_entity' AND name IS NULL AND kind IS NULL THEN 'a revision must set something' END, CASE WHEN op = 'merge_entities' AND list_contains(absorbs, entity_id) THEN 'an entity cannot absorb itself' END]) AS finding FROM answers) WHERE finding IS NOT NULL
   UNION ALL SELECT session_id, min(pos), 'a question has two answers' FROM answers GROUP BY session_id, question_id HAVING count(*) > 1),
 touched AS (SELECT session_id, pos, answered_by, unnest(list_concat(['question:' || question_id], CASE WHEN op IS NULL THEN [] ELSE list_transform(list_concat([entity_id], coalesce(absorbs, [])), lambda e: 'entity:' || e) END)) AS decided FROM answers),
 coll AS (SELECT session_id, decided, count(DISTINCT pos) AS answers FROM touched WHERE starts_with(decided, 'entity:') GROUP BY 1, 2 HAVING count(DISTINCT pos) > 1),
-log AS (SELECT user_id AS session_id, event_id AS sequence, 'p' || (event_id % 3) AS answered_by, CASE WHEN event_id % 2 = 0 THEN 'question:q' || (event_id % 7) ELSE 'entity:e' || (event_id % 7) END AS decided, event_type AS before, event_id % 5 AS pos FROM events WHERE user_id % 4 = 0),
+log AS (SELECT user_id AS session_id, event_id AS sequence, 'p' || (event_id % 3) AS answered_by, CASE WHEN event_id % 2 = 0 THEN 'question:q' || (event_id % 397) ELSE 'entity:e' || (event_id % 397) END AS decided, event_type AS before, event_id % 5 AS pos FROM events),
 owners AS (SELECT session_id, decided, arg_max(answered_by, sequence) AS owner FROM log GROUP BY 1, 2),
 conf AS (SELECT t.session_id, pos, decided, owner, answered_by FROM touched t JOIN owners o USING (session_id, decided) WHERE owner <> answered_by),
 bad AS (SELECT session_id FROM findings UNION SELECT session_id FROM coll UNION SELECT session_id FROM conf)"""
@@ -40,9 +40,9 @@ W = f"WITH {_A} "
 
 
 def log(spark, d):
-    e = t.read(spark, d, "events").filter("user_id % 4 = 0")
+    e = t.read(spark, d, "events")
     k = F.col("event_id")
-    decided = F.when(k % 2 == 0, F.concat(F.lit("question:q"), (k % 7).cast("string"))).otherwise(F.concat(F.lit("entity:e"), (k % 7).cast("string")))
+    decided = F.when(k % 2 == 0, F.concat(F.lit("question:q"), (k % 397).cast("string"))).otherwise(F.concat(F.lit("entity:e"), (k % 397).cast("string")))
     return e.select(F.col("user_id").alias("session_id"), k.alias("sequence"), F.concat(F.lit("p"), (k % 3).cast("string")).alias("answered_by"), decided.alias("decided"), F.col("event_type").alias("before"), (k % 5).alias("pos"))
 
 
@@ -163,10 +163,17 @@ def a39(spark, d):
     return C.contested(approvals(spark, d))
 
 
-@register("j13_vocabulary_fold")
+#: Canonical names and aliases of one number belong together here, so an entry is a kind and a number.
+VOCABULARY = r"""WITH o AS (SELECT 'kind ' || (user_id % 3) AS kind, event_id % 60 AS n, event_type || ' ' || (event_id % 60) AS canonical, 'p' || (user_id % 5) AS approver, max(event_id) AS seq FROM events GROUP BY ALL),
+  l AS (SELECT kind, n, approver, arg_max(lower(canonical), seq) AS c FROM o GROUP BY 1, 2, 3), k AS (SELECT kind, n, count(DISTINCT c) > 1 AS contested FROM l GROUP BY 1, 2),
+  nm AS (SELECT kind, n, canonical AS s, max(seq) AS q, 0 AS p FROM o GROUP BY ALL UNION ALL SELECT kind, n, 'alias ' || n, max(seq), 1 FROM o GROUP BY ALL),
+  v AS (SELECT kind, max(seq) AS entry, arg_max(canonical, seq) AS canonical, (SELECT list(s ORDER BY q DESC, p) FROM nm WHERE nm.kind = o.kind AND nm.n = o.n AND s <> arg_max(o.canonical, o.seq)) AS aliases, any_value(contested) AS contested, count(*) AS approvals FROM o JOIN k USING (kind, n) GROUP BY kind, n)"""
+
+
+@register("j13_vocabulary_fold", VOCABULARY + " SELECT kind, entry, canonical, array_to_string(aliases, '|') AS aliases, contested, approvals FROM v")
 def j13(spark, d):
-    """S15, T-R7 too: needs the order of approvals, which SQL can't fold."""
-    return C.vocabulary(approvals(spark, d))
+    """Entries are components of approvals by their surfaces."""
+    return C.vocabulary(approvals(spark, d)).withColumn("aliases", F.array_join("aliases", "|"))
 
 
 _V = "v AS (SELECT entry, 'kind ' || (entry % 3) AS kind, 'Name ' || entry AS canonical, ['alias ' || entry, 'shared ' || (entry % 4), 'Thon'] AS aliases, entry % 5 = 0 AS contested FROM (SELECT DISTINCT event_id % 20 AS entry FROM events)), sf AS (SELECT kind AS k, s, count(DISTINCT entry) AS n, min(entry) AS entry FROM (SELECT *, lower(trim(unnest(list_concat([canonical], aliases)))) AS s FROM v) GROUP BY 1, 2)"

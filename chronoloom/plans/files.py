@@ -8,10 +8,10 @@ from .. import plugs, streaming
 from ..functions.text import fold_surface
 from ..operators import notes as N
 from ..operators.windows import Budget, plan_windows
-from ..sources import engines, generator, manifests, sessions, sinks
+from ..sources import collections, engines, generator, manifests, sessions, sinks
 from . import register, tables as t
 from .claims import _ALL
-from .corrections import approvals
+from .corrections import VOCABULARY, approvals
 from .notes import _N, files as note_files
 
 
@@ -54,9 +54,10 @@ def s3(spark, d):
     return x.select("session_id", F.explode("turns").alias("t")).select("session_id", "t.id", "t.confidence_kind")
 
 
-@register("s4_lenient_sessions", f"WITH {t.TURNS} SELECT DISTINCT session_id::VARCHAR AS session_id, CAST(NULL AS VARCHAR) AS summary FROM turns")
+@register("s4_lenient_sessions", f"WITH {t.TURNS} SELECT session_id::VARCHAR AS session_id, CAST(NULL AS VARCHAR) AS summary, count(*)::INT AS turns, CASE session_id % 4 WHEN 0 THEN 'imported' WHEN 1 THEN 'transcribed' WHEN 2 THEN 'analyzed' ELSE 'review_ready' END AS status FROM turns GROUP BY ALL")
 def s4(spark, d):
-    return sessions.lenient(spark, _sessions(spark, d)).select("session_id", "summary")
+    x = sessions.lenient(spark, _sessions(spark, d))
+    return x.select("session_id", "summary", F.size(F.try_variant_get("doc", "$.turns", "array<variant>")).alias("turns"), F.try_variant_get("doc", "$.status", "string").alias("status"))
 
 
 @register("s24_transcript_encodings", f"WITH {t.TURNS} SELECT session_id::VARCHAR AS session_id, id, text, confidence FROM turns")
@@ -75,7 +76,7 @@ def c8(spark, d):
     return sessions.sessions(spark, _sessions(spark, d)).groupBy("status").agg(F.count("*").alias("sessions"))
 
 
-@register("s10_recogniser_import", f"WITH {t.SEGMENTS} SELECT session_id, count(*) AS segments, sum(end_ms - start_ms)::BIGINT AS ms FROM segments GROUP BY 1")
+@register("s10_recogniser_import", f"WITH {t.SEGMENTS} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ord) - 1 AS ord, start_ms, end_ms, text, confidence FROM segments")
 def s10(spark, d):
     s = t.segments(spark, d)
     one = F.struct(F.struct(F.col("start_ms").alias("from"), F.col("end_ms").alias("to")).alias("offsets"), "text", F.array(F.struct(F.lit("x").alias("text"), F.col("confidence").alias("p"))).alias("tokens"))
@@ -84,10 +85,10 @@ def s10(spark, d):
     docs.write.partitionBy("session_id").json(path)
     x = engines.recognised(spark, path + "/*/*.json")
     number = F.regexp_extract("session_id", r"session_id=(-?\d+)", 1).cast("bigint")
-    return x.withColumn("session_id", number).groupBy("session_id").agg(F.count("*").alias("segments"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"))
+    return x.select(number.alias("session_id"), F.col("ord").cast("bigint").alias("ord"), "start_ms", "end_ms", "text", "confidence")
 
 
-@register("s9_manifest_scan")
+@register("s9_manifest_scan", "SELECT item_id, item_id % 4 <> 0 AS parses, CASE WHEN item_id % 4 <> 0 THEN 'key-' || item_id END AS id FROM benchmark")
 def s9(spark, d):
     path = sessions.shared_folder(spark, "manifests")
     b = t.read(spark, d, "benchmark").select("item_id", F.when(F.col("item_id") % 4 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.concat(F.lit("key-"), F.col("item_id").cast("string")).alias("id")))).alias("value"))
@@ -95,22 +96,22 @@ def s9(spark, d):
     return manifests.read(spark, path + "/*/*.txt").select(F.regexp_extract("path", r"item_id=(\d+)", 1).cast("bigint").alias("item_id"), "parses", "manifest.id")
 
 
-@register("s6_markdown_scan", f"WITH {_N} SELECT count(*) AS notes FROM files")
+@register("s6_markdown_scan", f"WITH {_N} SELECT split_part(path, '/', -1) AS name, strlen(content)::INT AS size_bytes, sha256(content) AS digest FROM files")
 def s6(spark, d):
-    """S7 too: the notes of the collection written as files and scanned again."""
+    """The notes of the collection written as files and scanned again."""
     root = sessions.shared_folder(spark, "notes")
-    rows = note_files(spark, d)
+    name = F.regexp_replace("path", "[^A-Za-z0-9/._ -]", "_")
+    sinks.write_files(note_files(spark, d).select(F.concat(F.col("modified").cast("string"), F.lit("/"), name).alias("path"), "content"), root)
+    return collections.markdown(spark, root).select(F.substring_index("path", "/", -1).alias("name"), F.octet_length("content").alias("size_bytes"), F.sha2("content", 256).alias("digest"))
 
-    def write(frames):
-        import pandas as pd
 
-        for f in frames:
-            yield pd.DataFrame({"path": f["path"], "content": f["content"]})
-
-    x = rows.select("path", "content").mapInPandas(write, "path string, content string")
-    x.select(F.regexp_replace("path", "[^A-Za-z0-9/._ -]", "_").alias("p"), F.col("content").alias("value")).repartition(8).write.partitionBy("p").text(root)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(root)
-    return found.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(f) for f in N.IGNORED_FOLDERS]))).agg(F.count("*").alias("notes"))
+@register("s7_assets", "SELECT page_id || '.PNG' AS name, strlen(url)::BIGINT AS length FROM pages WHERE page_id % 2 = 0")
+def s7(spark, d):
+    """Attachments among other files, told by their suffix."""
+    root = sessions.shared_folder(spark, "assets")
+    k = F.col("page_id")
+    sinks.write_files(t.read(spark, d, "pages").select(F.concat(F.lit("media/"), k.cast("string"), F.when(k % 2 == 0, ".PNG").otherwise(".txt")).alias("path"), F.col("url").alias("content")), root)
+    return collections.assets(spark, root).select("name", "length")
 
 
 @register("s17_report_documents", f"WITH {t.TURNS} SELECT session_id, '{{\"session_id\":' || session_id || ',\"turns\":' || count(*) || ',\"missing\":null}}' AS document FROM turns GROUP BY 1")
@@ -125,12 +126,12 @@ def s25(spark, d):
 
     r, _ = frames(spark, d)
     r = r.withColumnRenamed("pair", "recording")
-    return sinks.write_fingerprint(r, r.filter("ix < 100"), 1000, 10, 20.0, 1.0)
+    return sinks.write_fingerprint(r, r, 1000, 10, 20.0, 1.0)
 
 
 @register("s22_generated_sessions")
 def s22(spark, d):
-    line = F.struct(F.col("physical_speaker").alias("speaker"), F.concat(F.substring("text", 1, 40), F.lit(" 7 of 12")).alias("text"))
+    line = F.struct(F.col("physical_speaker").alias("speaker"), F.concat("text", F.lit(" 7 of 12")).alias("text"))
     g = t.turns(spark, d).groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"]).alias("pool"))
     plans = g.select("session_id", F.lit(120000).cast("bigint").alias("target_ms"), F.explode(F.array(F.lit(0), F.lit(1))).alias("beat"), F.slice("pool", 1, 1).alias("lines"), "pool")
     return generator.generate(plans)
@@ -167,15 +168,15 @@ def p26(spark, d):
     return t.read(spark, d, "events").select("event_id", (kind == "ARRAY<STRING>").alias("valid"))
 
 
-@register("tr7_approval_stream", f"WITH a AS (SELECT 'kind ' || (user_id % 3) AS kind, 'p' || (user_id % 5) AS approver, arg_max(lower(event_type || ' ' || (event_id % 60)), event_id) AS name FROM events GROUP BY 1, 2) SELECT kind, count(DISTINCT name) > 1 AS contested, count(*) AS approvers FROM a GROUP BY 1")
+@register("tr7_approval_stream", VOCABULARY + " SELECT kind, entry, canonical, contested, approvals FROM v")
 def tr7(spark, d):
     """Approvals arrive in two lots, the later first; the stream is stopped and started between them."""
     base = sessions.shared_folder(spark, "stream")
     rows = approvals(spark, d).select("kind", "canonical", "aliases", "approver", "seq")
     for lot in (1, 0):
         rows.filter(F.col("seq") % 2 == lot).coalesce(2).write.mode("append").parquet(f"{base}/in")
-        streaming.contested_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint")
-    return streaming.current_names(spark, f"{base}/out")
+        streaming.approval_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint")
+    return streaming.current_entries(spark, f"{base}/out").select("kind", "entry", "canonical", "contested", "approvals")
 
 
 @register("f7_folded_surfaces", f"WITH {_ALL} SELECT DISTINCT lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS folded FROM scenes")
@@ -183,12 +184,12 @@ def f7(spark, d):
     return t.scenes(spark, d).select(fold_surface("title").alias("folded")).distinct()
 
 
-@register("f24_overlaps", f"WITH {t.SEGMENTS}, {t.SPANS} SELECT s.session_id, s.ord, p.ord AS span, greatest(0, least(s.end_ms, p.end_ms) - greatest(s.start_ms, p.start_ms)) AS ms FROM segments s JOIN spans p ON s.session_id = p.session_id AND p.ord = s.ord * 2")
+@register("f24_overlaps", f"WITH {t.SEGMENTS}, {t.SPANS} SELECT s.session_id, s.ord, p.ord AS span, greatest(0, least(s.end_ms, p.end_ms) - greatest(s.start_ms, p.start_ms)) AS ms FROM segments s JOIN spans p ON s.session_id = p.session_id AND p.ord // 2 = s.ord")
 def f24(spark, d):
     from ..functions.text import overlap_ms
 
     p = t.spans(spark, d).select("session_id", F.col("ord").alias("span"), F.col("start_ms").alias("a"), F.col("end_ms").alias("b"))
-    x = t.segments(spark, d).withColumn("span", F.col("ord") * 2).join(p, ["session_id", "span"])
+    x = t.segments(spark, d).join(p.withColumn("ord", F.floor(F.col("span") / 2)), ["session_id", "ord"])
     return x.select("session_id", "ord", "span", overlap_ms("start_ms", "end_ms", "a", "b").alias("ms"))
 
 
@@ -217,16 +218,16 @@ def f6(spark, d):
 
 @register("f4_mentions", f"WITH {t.TURNS}, {t.CONTROLS} SELECT session_id, id, term FROM turns, controls WHERE {t.sql_mentions('text', 'term')}")
 def f4(spark, d):
-    from ..functions.text import contains_run, tokens
+    from ..functions.text import tokens
+    from ..operators.scoring import holding
 
-    c = F.broadcast(t.controls(spark, d).withColumn("needle", tokens("term")))
-    return t.turns(spark, d).withColumn("hay", tokens("text")).join(c, contains_run(F.col("hay"), F.col("needle"))).select("session_id", "id", "term")
+    return holding(t.turns(spark, d).select("session_id", "id", tokens("text").alias("hay")), t.controls(spark, d)).select("session_id", "id", "term")
 
 
-@register("f10_edit_distance", f"WITH {t.TURNS}, pw AS (SELECT DISTINCT lower(split_part(text, ' ', 1)) AS a, lower(split_part(text, ' ', 2)) AS b FROM turns WHERE regexp_full_match(text, '[ -~\\s]*')) SELECT a, b, CASE WHEN levenshtein(a, b) <= 4 THEN levenshtein(a, b) ELSE -1 END AS distance FROM pw")
+@register("f10_edit_distance", f"WITH {t.TURNS}, pw AS (SELECT DISTINCT lower(regexp_replace(split_part(text, ' ', 1), '[^!-~]', '?', 'g')) AS a, lower(regexp_replace(split_part(text, ' ', 2), '[^!-~]', '?', 'g')) AS b FROM turns) SELECT a, b, CASE WHEN levenshtein(a, b) <= 4 THEN levenshtein(a, b) ELSE -1 END AS distance FROM pw")
 def f10(spark, d):
-    w = t.turns(spark, d).filter(F.col("text").rlike(r"^[ -~\s]*$")).select(F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("a"), F.lower(F.split_part("text", F.lit(" "), F.lit(2))).alias("b")).distinct()
-    return w.withColumn("distance", F.levenshtein("a", "b", 4).cast("bigint"))
+    word = lambda n: F.lower(F.regexp_replace(F.split_part("text", F.lit(" "), F.lit(n)), "[^!-~]", "?"))
+    return t.turns(spark, d).select(word(1).alias("a"), word(2).alias("b")).distinct().withColumn("distance", F.levenshtein("a", "b", 4).cast("bigint"))
 
 
 @register("f11_tolerance", f"WITH {t.TURNS}, pw AS (SELECT DISTINCT split_part(text, ' ', 1) AS a, split_part(text, ' ', 2) AS b FROM turns) SELECT a, b, CASE WHEN least(length(a), length(b)) < 6 THEN 1 ELSE 2 END AS allowed FROM pw")
@@ -249,14 +250,14 @@ def o8(spark, d):
     return t.entities(spark, d).select("session_id", "entity_id", F.array_join(F.slice("turn_ids", 1, 1), ",").alias("shown"))
 
 
-@register("s15_vocabulary_table")
+@register("s15_vocabulary_table", VOCABULARY + " SELECT kind, entry, canonical, array_to_string(aliases, '|') AS aliases, contested, approvals FROM v")
 def s15(spark, d):
     """The vocabulary written as a table and read again."""
     from ..operators import corrections
 
     path = sessions.shared_folder(spark, "vocabulary")
     corrections.vocabulary(approvals(spark, d)).write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).withColumn("aliases", F.array_join("aliases", "|"))
 
 
 @register("s18_cost_report", "SELECT user_id AS session_id, '{\"session_id\":' || user_id || ',\"requests\":' || count(*) || '}' AS document FROM events GROUP BY 1")

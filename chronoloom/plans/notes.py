@@ -18,7 +18,7 @@ def files(spark, d):
     title = c(lit("Note "), s(k % 930))
     pick = lambda n, a, b: F.when(k % n == 0, lit(a)).otherwise(lit(b))
     front = c(lit("---\ntype: "), F.when(k % 7 == 0, "").when(k % 3 == 0, "person").otherwise("place"), lit("\ntags:\n  - one\nrelated npcs: "), pick(3, "a, b", "a"), pick(4, "\ngenerated-by:", "\nmood: dark"), lit("\n---\n"))
-    body = c(lit("# "), F.when(k % 6 == 0, "Other").otherwise(title), lit("\n"), F.regexp_replace(F.substring(F.coalesce("text", lit("")), 1, 80), "[^A-Za-z .]", " "), lit("\n## Session "), s(k % 9),
+    body = c(lit("# "), F.when(k % 6 == 0, "Other").otherwise(title), lit("\n"), F.regexp_replace(F.coalesce("text", lit("")), "[^A-Za-z .#:\n-]", " "), lit("\n## Session "), s(k % 9),
              lit(" log\n See [[Note "), s((k * 7) % 1100), lit("]] and [[places/Note "), s((k * 3) % 930), lit(".md|shown]] ![[map.png]]  \n### Detail\nx [[Dr. Grey#part]] ![[Note 1]]\n## "), pick(5, "Places", "History"),
              lit("\n  - y\n\n"), pick(8, "## History\nz\n", ""))
     content = F.when(k % 50 == 7, lit("")).otherwise(c(F.when(k % 10 == 3, lit("")).otherwise(front), body))
@@ -28,7 +28,7 @@ def files(spark, d):
 _N = r"""files AS (SELECT source || '/Note ' || (doc_id % 930) || '.md' AS path, doc_id * 1000 AS modified, CASE WHEN doc_id % 50 = 7 THEN '' ELSE
   CASE WHEN doc_id % 10 = 3 THEN '' ELSE e'---\ntype: ' || CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 3 = 0 THEN 'person' ELSE 'place' END || e'\ntags:\n  - one\nrelated npcs: ' || CASE WHEN doc_id % 3 = 0 THEN 'a, b' ELSE 'a' END
     || CASE WHEN doc_id % 4 = 0 THEN e'\ngenerated-by:' ELSE e'\nmood: dark' END || e'\n---\n' END
-  || '# ' || CASE WHEN doc_id % 6 = 0 THEN 'Other' ELSE 'Note ' || (doc_id % 930) END || e'\n' || regexp_replace(substr(coalesce(text, ''), 1, 80), '[^A-Za-z .]', ' ', 'g') || e'\n## Session ' || (doc_id % 9)
+  || '# ' || CASE WHEN doc_id % 6 = 0 THEN 'Other' ELSE 'Note ' || (doc_id % 930) END || e'\n' || regexp_replace(coalesce(text, ''), '[^A-Za-z .#:\n-]', ' ', 'g') || e'\n## Session ' || (doc_id % 9)
   || e' log\n See [[Note ' || ((doc_id * 7) % 1100) || ']] and [[places/Note ' || ((doc_id * 3) % 930) || e'.md|shown]] ![[map.png]]  \n### Detail\nx [[Dr. Grey#part]] ![[Note 1]]\n## ' || CASE WHEN doc_id % 5 = 0 THEN 'Places' ELSE 'History' END
   || e'\n  - y\n\n' || CASE WHEN doc_id % 8 = 0 THEN e'## History\nz\n' ELSE '' END END AS content FROM documents),
 ls AS (SELECT path, content, i, lines[i] AS line, lines[i + 1] AS following, len(lines) AS n FROM (SELECT path, content, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT *, string_split(content, chr(10)) AS lines FROM files))),
@@ -67,9 +67,9 @@ def w6(spark, d):
 register("f18_front_matter_notes", f"{W} SELECT path, count(*) AS keys FROM fm GROUP BY 1")(lambda spark, d: N.fields(notes(spark, d)).groupBy("path").agg(F.count("*").alias("keys")))
 
 
-@register("w5_section_numbers", f'{W} SELECT path, level, title, line, idx AS "index", session_ref FROM sec')
+@register("w5_section_numbers", f'{W} SELECT path, level, title, line, idx AS section_ix, session_ref FROM sec')
 def w5(spark, d):
-    return N.sections(notes(spark, d)).select("path", "level", "title", "line", "index", "session_ref")
+    return N.sections(notes(spark, d)).select("path", "level", "title", "line", "section_ix", "session_ref")
 
 
 register("f19_session_references", f"{W} SELECT session_ref, count(*) AS sections FROM sec WHERE session_ref IS NOT NULL GROUP BY 1")(

@@ -32,9 +32,16 @@ def a8(spark, d):
     return S.basis_census(t.targets(spark, d))
 
 
-@register("p17_manifest_targets", f"{W}{t.TURNS}, {t.TARGETS} SELECT session_id, path, label, anchor_ms FROM targets")
+@register("p17_manifest_targets", f"{W}{t.TURNS}, {t.TARGETS} SELECT session_id, 'truth.' || grp || '[' || (row_number() OVER (PARTITION BY session_id, grp ORDER BY ord) - 1) || ']' AS path, label, anchor_ms FROM targets")
 def p17(spark, d):
-    return t.targets(spark, d).select("session_id", "path", "label", "anchor_ms")
+    """Manifests with each session's targets, exploded again; a place counts within its group."""
+    from ..sources import manifests
+
+    one = F.struct("label", "kind", "status", F.lit(None).cast("string").alias("evidence"), "anchor_ms", "basis")
+    x = t.targets(spark, d).groupBy("session_id", "grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", one.alias("t")))), lambda r: r["t"]).alias("ts"))
+    pick = lambda g: F.first(F.when(F.col("grp") == g, F.col("ts")), ignorenulls=True).alias(g)
+    docs = x.groupBy("session_id").agg(F.struct(pick("important_entities"), pick("important_events")).alias("truth")).withColumnRenamed("session_id", "id")
+    return manifests.targets(docs).select(F.col("manifest_id").alias("session_id"), "path", "label", "anchor_ms")
 
 
 register("a11_time_basis", f"{W}{t.TURNS}, {t.TARGETS}, {_BASIS} SELECT * FROM basis")(basis)
@@ -123,7 +130,7 @@ def findings(spark, d):
     return S.control_findings(t.controls(spark, d), texts(spark, d), t.turns(spark, d))
 
 
-register("j21_controls", f"{_FIND} SELECT * FROM find")(findings)
+register("j21_controls", f"{_FIND} SELECT * FROM find WHERE asserted_in > 0 OR in_transcript")(findings)
 _ABSENT = f"""absent AS (SELECT session_id, entity_id, name FROM (SELECT e.session_id, entity_id, name, aliases, string_agg(coalesce(t.text, ''), ' ' ORDER BY p) AS cited
   FROM (SELECT *, turn_ids[p] AS tid FROM (SELECT *, unnest(range(1, len(turn_ids) + 1)) AS p FROM entities)) e LEFT JOIN turns t ON t.session_id = e.session_id AND t.id = e.tid GROUP BY ALL)
   WHERE cited <> '' AND len(list_filter(list_concat([name], aliases), lambda a: {t.sql_mentions('cited', 'a')})) = 0)"""
@@ -141,6 +148,7 @@ LEFT JOIN (SELECT session_id, count(*) AS n FROM absent GROUP BY 1) a ON a.sessi
 def a14(spark, d):
     e, turns = t.entities(spark, d), t.turns(spark, d)
     hits = findings(spark, d).groupBy("session_id").agg(F.count_if(F.col("asserted_in") > 0).alias("control_hits"))
+    hits = turns.select("session_id").distinct().join(hits, "session_id", "left")
     absent = S.absent_from_evidence(e, turns).groupBy("session_id").agg(F.count("*").alias("absent"))
     gone = C.missing_citations([e, t.scenes(spark, d)], turns).select("session_id", F.col("occurrences").alias("missing_turns"))
     return hits.join(absent, "session_id", "left").join(gone, "session_id", "left").na.fill(0)
@@ -292,7 +300,7 @@ def f25(spark, d):
     return t.targets(spark, d).select("session_id", "path", F.size(distinctive("label")).alias("n"))
 
 
-@register("g3_engine_strings", None)
+@register("g3_engine_strings", """SELECT event_id AS session_id, unnest(['.provider', '.recognition.model_file', '.recognition.deep.engine']) AS "where", unnest(['p' || (event_id % 7), 'ggml-' || (event_id % 5) || '.bin', 'e' || (event_id % 3)]) AS value FROM events""")
 def g3(spark, d):
     native = F.format_string('{"provider":"p%d","recognition":{"model_file":"ggml-%d.bin","deep":[{"engine":"e%d","x":{"backend":null}}]},"text":"no"}', F.col("event_id") % 7, F.col("event_id") % 5, F.col("event_id") % 3)
     a = t.read(spark, d, "events").select(F.col("event_id").alias("session_id"), native.alias("native"))

@@ -79,7 +79,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(
         "session_id", F.floor(F.col("ord") / 3).alias("window_ix"), "ord", F.concat(F.lit("e"), F.col("ord").cast("string")).alias("entity_id"),
         F.when(F.col("ord") % 2 == 0, word).otherwise(F.upper(F.substring(word, 1, 2))).alias("name"), F.when(F.col("ord") % 4 < 2, "person").otherwise("Place").alias("kind"),
-        F.array(F.lower(word), other, F.substring(word, 1, 2)).alias("aliases"),
+        F.array(F.lower(word), other, F.lit(" "), F.substring(word, 1, 2)).alias("aliases"),
         F.array("id", F.when(k % 17 == 0, F.lit("t99999")).when(k % 5 == 0, F.regexp_replace("id", "^t0", "t")).otherwise(F.lit("t00000"))).alias("turn_ids"),
     )
 
@@ -87,7 +87,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTITIES = """entities AS (
   SELECT session_id, ord // 3 AS window_ix, ord, 'e' || ord AS entity_id,
     CASE WHEN ord % 2 = 0 THEN word ELSE upper(substr(word, 1, 2)) END AS name, CASE WHEN ord % 4 < 2 THEN 'person' ELSE 'Place' END AS kind,
-    [lower(word), other, substr(word, 1, 2)] AS aliases,
+    [lower(word), other, ' ', substr(word, 1, 2)] AS aliases,
     [id, CASE WHEN (session_id + ord) % 17 = 0 THEN 't99999' WHEN (session_id + ord) % 5 = 0 THEN regexp_replace(id, '^t0', 't') ELSE 't00000' END] AS turn_ids
   FROM (SELECT *, regexp_replace(split_part(text, ' ', 1), '[^A-Za-z]', '', 'g') AS word, regexp_replace(split_part(text, ' ', 2), '[^A-Za-z]', '', 'g') AS other FROM turns)
 )"""
@@ -100,12 +100,12 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = F.format_string("t%05d", F.col("ord") - F.col("ord") % 2 + 1)
     return t.select(
         "session_id", F.floor(F.col("ord") / 3).alias("window_ix"), "ord", F.concat(F.lit("s"), F.col("ord").cast("string")).alias("scene_id"), F.substring("text", 1, 12).alias("title"),
-        F.substring("text", 1, 60).alias("summary"), F.when(F.col("ord") % 2 == 0, F.array(even, odd)).otherwise(F.array(odd, even, odd)).alias("turn_ids"),
+        F.col("text").alias("summary"), F.when(F.col("ord") % 2 == 0, F.array(even, odd)).otherwise(F.array(odd, even, odd)).alias("turn_ids"),
     )
 
 
 SCENES = """scenes AS (
-  SELECT session_id, ord // 3 AS window_ix, ord, 's' || ord AS scene_id, substr(text, 1, 12) AS title, substr(text, 1, 60) AS summary,
+  SELECT session_id, ord // 3 AS window_ix, ord, 's' || ord AS scene_id, substr(text, 1, 12) AS title, text AS summary,
     CASE WHEN ord % 2 = 0 THEN [printf('t%05d', ord), printf('t%05d', ord + 1)] ELSE [printf('t%05d', ord), printf('t%05d', ord - 1), printf('t%05d', ord)] END AS turn_ids
   FROM turns
 )"""
@@ -113,12 +113,12 @@ SCENES = """scenes AS (
 
 def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenes(spark, sf_dir).select("session_id", "window_ix", "ord", F.regexp_replace("scene_id", "s", "h").alias("thread_id"),
-        F.when(F.col("ord") % 2 == 0, F.lit("Who took it")).otherwise(F.when(F.col("ord") % 4 == 1, F.lit("WHO took it")).otherwise(F.col("title"))).alias("description"), "turn_ids")
+        F.when(F.col("ord") % 2 == 0, F.lit("Who took it")).otherwise(F.when(F.col("ord") % 4 == 1, F.lit(" WHO took it ")).otherwise(F.col("title"))).alias("description"), "turn_ids")
 
 
 THREADS = """threads AS (
   SELECT session_id, window_ix, ord, replace(scene_id, 's', 'h') AS thread_id,
-    CASE WHEN ord % 2 = 0 THEN 'Who took it' WHEN ord % 4 = 1 THEN 'WHO took it' ELSE title END AS description, turn_ids FROM scenes
+    CASE WHEN ord % 2 = 0 THEN 'Who took it' WHEN ord % 4 = 1 THEN ' WHO took it ' ELSE title END AS description, turn_ids FROM scenes
 )"""
 
 
@@ -127,8 +127,8 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("session_id") * 5 + F.col("ord") * 3
     return t.select(
         "session_id", "ord", F.concat(F.lit("q"), F.col("ord").cast("string")).alias("question_id"),
-        F.when(F.col("ord") % 3 == 2, F.lower(F.substring(F.first("text").over(_by_session()), 1, 20))).otherwise(F.substring("text", 1, 20)).alias("issue"),
-        F.when(k % 2 == 0, F.substring("text", 5, 15)).alias("recommendation"), F.substring("text", 1, 30).alias("why_it_matters"), F.array("id").alias("turn_ids"),
+        F.when(F.col("ord") % 3 == 2, F.concat(F.lit(" "), F.lower(F.first("text").over(_by_session())))).otherwise(F.col("text")).alias("issue"),
+        F.when(k % 2 == 0, F.substring("text", 5, 15)).alias("recommendation"), F.col("text").alias("why_it_matters"), F.array("id").alias("turn_ids"),
         ((k % 10) / 10.0).alias("confidence"), F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), (k % 3 + 1).cast("int")).alias("consequence"),
         F.when(k % 4 == 0, F.lit("answered")).otherwise(F.lit("open")).alias("status"), "start_ms", "end_ms",
     )
@@ -142,8 +142,8 @@ def _by_session():
 
 QUESTIONS = """questions AS (
   SELECT session_id, ord, 'q' || ord AS question_id,
-    CASE WHEN ord % 3 = 2 THEN lower(substr(first(text) OVER (PARTITION BY session_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 1, 20)) ELSE substr(text, 1, 20) END AS issue,
-    CASE WHEN (session_id * 5 + ord * 3) % 2 = 0 THEN substr(text, 5, 15) END AS recommendation, substr(text, 1, 30) AS why_it_matters, [id] AS turn_ids,
+    CASE WHEN ord % 3 = 2 THEN ' ' || lower(first(text) OVER (PARTITION BY session_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) ELSE text END AS issue,
+    CASE WHEN (session_id * 5 + ord * 3) % 2 = 0 THEN substr(text, 5, 15) END AS recommendation, text AS why_it_matters, [id] AS turn_ids,
     ((session_id * 5 + ord * 3) % 10) / 10.0::DOUBLE AS confidence, ['low', 'medium', 'high'][((session_id * 5 + ord * 3) % 3 + 1)::INT] AS consequence,
     CASE WHEN (session_id * 5 + ord * 3) % 4 = 0 THEN 'answered' ELSE 'open' END AS status, start_ms, end_ms
   FROM turns
@@ -158,7 +158,7 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     entity = t.select("session_id", F.lit("important_entities").alias("grp"), "ord", F.concat(F.lit("The "), word, F.when(k % 3 == 0, F.lit("zzq")).otherwise(F.lit(""))).alias("label"),
         F.when(k % 2 == 0, "character").otherwise("place").alias("kind"), F.when(k % 4 == 0, "unverified").otherwise("verified").alias("status"),
         F.when(k % 5 != 0, F.when(k % 2 == 0, "heard").otherwise("published")).alias("basis"), F.when(k % 6 != 5, F.col("start_ms") + 100).alias("anchor_ms"))
-    event = t.select("session_id", F.lit("important_events").alias("grp"), "ord", F.substring("text", 1, 40).alias("label"), F.lit("event").alias("kind"), F.lit("verified").alias("status"),
+    event = t.select("session_id", F.lit("important_events").alias("grp"), "ord", F.col("text").alias("label"), F.lit("event").alias("kind"), F.lit("verified").alias("status"),
         F.lit("heard").alias("basis"), F.when(k % 4 != 3, F.col("start_ms") + (F.col("ord") % 2) * 900000).alias("anchor_ms"))
     return entity.unionByName(event).withColumn("path", F.concat(F.lit("truth."), F.col("grp"), F.lit("["), F.col("ord").cast("string"), F.lit("]")))
 
@@ -170,18 +170,18 @@ TARGETS = """targets AS (
       CASE WHEN (session_id + ord) % 5 <> 0 THEN CASE WHEN (session_id + ord) % 2 = 0 THEN 'heard' ELSE 'published' END END AS basis,
       CASE WHEN (session_id + ord) % 6 <> 5 THEN start_ms + 100 END AS anchor_ms FROM turns
     UNION ALL
-    SELECT session_id, 'important_events', ord, substr(text, 1, 40), 'event', 'verified', 'heard', CASE WHEN (session_id + ord) % 4 <> 3 THEN start_ms + (ord % 2) * 900000 END FROM turns)
+    SELECT session_id, 'important_events', ord, text, 'event', 'verified', 'heard', CASE WHEN (session_id + ord) % 4 <> 3 THEN start_ms + (ord % 2) * 900000 END FROM turns)
 )"""
 
 
 def controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Negative controls: terms of the benchmark, and one that sessions do hold."""
-    b = read(spark, sf_dir, "benchmark").filter("item_id < 20").select(F.regexp_replace(F.concat_ws(" ", F.slice(F.split("text", " "), 1, 2)), "[^A-Za-z ]", "").alias("term"))
+    b = read(spark, sf_dir, "benchmark").select(F.regexp_replace(F.concat_ws(" ", F.slice(F.split("text", " "), 1, 2)), "[^A-Za-z ]", "").alias("term"))
     return b.unionByName(spark.sql("SELECT explode(array('of the', 'and', 'Thon', 'is')) AS term")).distinct()
 
 
 CONTROLS = """controls AS (
-  SELECT DISTINCT term FROM (SELECT regexp_replace(array_to_string(split(text, ' ')[1:2], ' '), '[^A-Za-z ]', '', 'g') AS term FROM benchmark WHERE item_id < 20
+  SELECT DISTINCT term FROM (SELECT regexp_replace(array_to_string(split(text, ' ')[1:2], ' '), '[^A-Za-z ]', '', 'g') AS term FROM benchmark
   UNION ALL SELECT unnest(['of the', 'and', 'Thon', 'is']))
 )"""
 

@@ -260,9 +260,15 @@ def f23(spark, d):
     return t.entities(spark, d).select("session_id", "entity_id", F.explode("turn_ids").alias("x")).select("session_id", "entity_id", T.canonical_id("x").alias("canonical"))
 
 
-@register("s11_diarizer_import", "SELECT event_id, round(value * 1000)::BIGINT AS start_ms, printf('SPEAKER_%02d', event_id % 12) AS label FROM events")
+@register("s11_diarizer_import", "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ord, event_id AS start_ms, event_id + event_id % 900 AS end_ms, printf('SPEAKER_%02d', event_id % 12) AS label FROM events")
 def s11(spark, d):
-    from ..sources.engines import speaker_label
-
-    e = t.read(spark, d, "events")
-    return e.select("event_id", F.round(F.col("value") * 1000).cast("bigint").alias("start_ms"), speaker_label(F.col("event_id") % 12).alias("label"))
+    """Documents of a diariser written by user and imported again."""
+    from ..sources import engines, sessions
+
+    k = F.col("event_id")
+    one = F.struct((k / 1000).alias("start"), ((k + k % 900) / 1000).alias("end"), (k % 12).cast("int").alias("speaker"))
+    docs = t.read(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", one.alias("o")))), lambda x: x["o"]).alias("segments"))
+    path = sessions.shared_folder(spark, "diarised")
+    docs.write.partitionBy("user_id").json(path)
+    x = engines.diarised(spark, path + "/*/*.json")
+    return x.select(F.regexp_extract("session_id", r"user_id=(-?\d+)", 1).cast("bigint").alias("user_id"), F.col("ord").cast("bigint").alias("ord"), "start_ms", "end_ms", "label")

@@ -17,11 +17,22 @@ def _below(df: DataFrame, root: str) -> DataFrame:
     return x.filter(~F.arrays_overlap(parts, F.array(*[F.lit(f) for f in IGNORED_FOLDERS])) & ~F.element_at(parts, -1).isin(*IGNORED_FILES))
 
 
+def _empty(spark: SparkSession, root: str) -> DataFrame:
+    """path, modified of empty notes, which Spark's readers leave out; as their listing, this one is made on the driver."""
+    from pyarrow.fs import FileSelector, FileSystem
+
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    uri = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    fs, at = FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+    found = [(f.path, int(f.mtime.timestamp() * 1000)) for f in fs.get_file_info(FileSelector(at, recursive=True)) if f.is_file and not f.size and f.path.endswith(".md")]
+    return spark.createDataFrame(found, "path string, modified bigint")
+
+
 def markdown(spark: SparkSession, root: str) -> DataFrame:
-    """Path, content, modified of every note below root.  (Spark does not tell symbolic links from files.)"""
+    """Path, content, modified of every note below root, empty ones too.  (Spark does not tell symbolic links from files.)"""
     x = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
-    x = _below(x.select("path", F.col("content").cast("string").alias("content"), F.unix_millis("modificationTime").alias("modified")), root)
-    return x
+    x = x.select("path", F.col("content").cast("string").alias("content"), F.unix_millis("modificationTime").alias("modified"))
+    return _below(x.unionByName(_empty(spark, root).select("path", F.lit("").alias("content"), "modified")), root)
 
 
 def assets(spark: SparkSession, root: str) -> DataFrame:

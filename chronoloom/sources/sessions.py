@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +23,12 @@ STAGES = ("imported", "transcribed", "analyzed", "review_ready")
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder in the storage that driver and executors share: below spark.checkpoint.dir, or a local temporary folder where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/chronoloom"
+    """A new folder in the storage that driver and executors share: below spark.checkpoint.dir; where that is unset, in a local temporary folder, which only a local master may use."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/chronoloom"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 

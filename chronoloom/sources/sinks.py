@@ -20,6 +20,37 @@ def write_document(path: str, payload) -> None:
     os.replace(part, path)
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """files(path, content string) as files below root, each there whole or not at all; a path that repeats is written once more.  root is any file system that pyarrow opens."""
+    from pyspark import TaskContext
+
+    spark = files.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    uri = fs.makeQualified(p).toString()
+    base = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+    def write(batches):
+        from pyarrow import RecordBatch
+        from pyarrow.fs import FileSystem
+
+        to, at = FileSystem.from_uri(base)
+        task, n = TaskContext.get().taskAttemptId(), 0
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                name = f"{at}/{path}"
+                to.create_dir(os.path.dirname(name), recursive=True)
+                part = f"{os.path.dirname(name)}/.part-{task}-{n}"
+                with to.open_output_stream(part) as f:
+                    f.write((content or "").encode())
+                to.move(part, name)
+                n += 1
+        yield RecordBatch.from_pydict({"n": [n]})
+
+    files.select("path", "content").mapInArrow(write, "n bigint").agg(F.sum("n")).first()  # one number
+
+
 def report_rows(df: DataFrame, key: str = "session_id") -> DataFrame:
     """Each row as a JSON document by its session."""
     return df.select(key, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("document"))
@@ -46,7 +77,7 @@ def survey_document(notes: DataFrame) -> dict:
         "notes": notes.count(), "note_types": ranked(notes, kind), "folders": ranked(notes, F.col("folder")), "frontmatter_keys": ranked(f, F.col("key")),
         "inconsistent_value_shapes": pairs(f.groupBy("key").agg(F.array_sort(F.collect_set("shape")).alias("s")).filter(F.size("s") > 1).orderBy("key")),
         "link_topology": N.topology(notes).first().asDict(), "stubs": [r[0] for r in N.stubs(notes).select("path").orderBy("path").collect()],
-        "accumulation_positions": pairs(N.positions(notes).orderBy("position")), "edge_sections": pairs(N.edge_sections(notes).orderBy("edge", F.desc("notes"), "title").limit(40)),
+        "accumulation_positions": pairs(N.positions(notes).orderBy("position")), "edge_sections": pairs(N.edge_sections(notes).orderBy("edge", F.desc("notes"), "title")),
         "recurring_sections": pairs(N.recurring(notes).orderBy("note_type", F.desc("notes"), "title")), "provenance_signals": sorted({r[0] for r in f.select("key").distinct().collect() if r[0].strip().lower().replace("-", "_").replace(" ", "_") in N.PROVENANCE_KEYS}),
     }
 

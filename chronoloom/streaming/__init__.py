@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_surface
+from ..operators.corrections import vocabulary
 
 APPROVAL = "kind string, canonical string, aliases array<string>, approver string, seq bigint"
 
 
-def contested_stream(spark: SparkSession, source: str, target: str, checkpoint: str) -> None:
-    """T-R7, A39: approvals arrive as Parquet below source; the last approval of each approver is kept as state, and every batch's changed names are appended to target.
+def approval_stream(spark: SparkSession, source: str, target: str, checkpoint: str) -> None:
+    """T-R7, A39: approvals arrive as Parquet below source; the latest number of each distinct approval is kept as state, and every batch's changed ones are appended to target.
 
-    The latest approval by its number is free of order, so late files are right too.  Runs until what is there is read; with its checkpoint it starts again where it stopped.
+    What is kept is free of order, so late files are right too.  Runs until what is there is read; with its checkpoint it starts again where it stopped.
     """
     rows = spark.readStream.schema(APPROVAL).parquet(source)
-    last = rows.groupBy(fold_surface("kind").alias("kind"), fold_surface("canonical").alias("name"), "approver").agg(F.max("seq").alias("seq"))
+    last = rows.groupBy("kind", "canonical", "aliases", "approver").agg(F.max("seq").alias("seq"))
 
     def write(batch: DataFrame, number: int) -> None:
         # The batch number makes a repeated batch overwrite itself.
@@ -26,10 +26,9 @@ def contested_stream(spark: SparkSession, source: str, target: str, checkpoint:
     q.awaitTermination()
 
 
-def current_names(spark: SparkSession, target: str) -> DataFrame:
-    """What the stream knows: each approver's latest approval of a kind, and whether approvers differ."""
-    x = spark.read.parquet(target).groupBy("kind", "approver").agg(F.max_by("name", "seq").alias("name"))
-    return x.groupBy("kind").agg((F.count_distinct("name") > 1).alias("contested"), F.count("*").alias("approvers"))
+def current_entries(spark: SparkSession, target: str) -> DataFrame:
+    """What the stream knows: the entries into which the approvals so far fold by their surfaces, and which are contested."""
+    return vocabulary(spark.read.parquet(target).select("kind", "canonical", "aliases", "approver", "seq"))
 
 
 def staged_run(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, stage) -> None:

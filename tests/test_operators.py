@@ -216,7 +216,7 @@ def test_notes(spark):
     o = n.filter("title = 'Orvel'").first()
     assert (o.folder, o.note_type, o.h1) == ("people", "person", "Orvel")
     assert [(f.key, f.shape) for f in o.fields] == [("type", "scalar"), ("tags", "block-list"), ("mood", "empty")]
-    assert [(s.title, s.index, s.session_ref, s.line) for s in o.sections] == [("Orvel", -1, None, 7), ("Session 3", 0, 3, 9), ("Deep", 1, None, 11), ("Last", 2, None, 13)]
+    assert [(s.title, s.section_ix, s.session_ref, s.line) for s in o.sections] == [("Orvel", -1, None, 7), ("Session 3", 0, 3, 9), ("Deep", 1, None, 11), ("Last", 2, None, 13)]
     t = notes.topology(n).first()
     assert (t.total, t.resolved, t.unresolved, t.ambiguous, t.piped, t.anchored, t.embeds_to_asset) == (3, 2, 0, 1, 1, 1, 1)
     body = {r.title: r.body for r in notes.section_bodies(n).filter("path like 'people%'").collect()}
@@ -312,13 +312,54 @@ def test_stream_starts_again_where_it_stopped(spark, tmp_path):
     base = str(tmp_path)
     lot = lambda rows: spark.createDataFrame(rows, streaming.APPROVAL).coalesce(1).write.mode("append").parquet(f"{base}/in")
     lot([("k", "Orvel", [], "x", 5), ("k", "Orvil", [], "y", 6)])
-    streaming.contested_stream(spark, f"{base}/in", f"{base}/out", f"{base}/c")
-    assert streaming.current_names(spark, f"{base}/out").first().contested
-    lot([("k", "Orval", [], "y", 2), ("k", "orvel ", [], "y", 9)])  # an old approval comes late, and a new one settles it
-    streaming.contested_stream(spark, f"{base}/in", f"{base}/out", f"{base}/c")
-    streaming.contested_stream(spark, f"{base}/in", f"{base}/out", f"{base}/c")
-    assert not streaming.current_names(spark, f"{base}/out").first().contested
+    streaming.approval_stream(spark, f"{base}/in", f"{base}/out", f"{base}/c")
+    now = lambda: sorted((r.canonical, r.entry, r.contested, r.approvals) for r in streaming.current_entries(spark, f"{base}/out").collect())
+    assert now() == [("Orvel", 5, False, 1), ("Orvil", 6, False, 1)]  # two names of one kind are two entries
+    lot([("k", "Orval", ["orvel"], "y", 2), ("k", "Dara", [], "y", 8)])  # an old approval comes late and shares a surface with the first
+    streaming.approval_stream(spark, f"{base}/in", f"{base}/out", f"{base}/c")
+    assert now() == [("Dara", 8, False, 1), ("Orvel", 5, True, 2), ("Orvil", 6, False, 1)]
+    lot([("k", "orvel ", ["Orvil"], "y", 9)])  # a new one settles it, and brings another entry in
+    streaming.approval_stream(spark, f"{base}/in", f"{base}/out", f"{base}/c")
+    streaming.approval_stream(spark, f"{base}/in", f"{base}/out", f"{base}/c")
+    assert now() == [("Dara", 8, False, 1), ("orvel ", 9, False, 4)]
+
+
+def test_entries_are_components_of_a_chain(spark):
+    """Approvals that are joined through others only, by a chain in an order that is hard on least labels, against a plain fold."""
+    rng = random.Random(4)
+    order = list(range(40))
+    rng.shuffle(order)
+    rows = [("k", f"n{i}", [f"n{i + 1}"] if i != 20 else [], f"p{i % 3}", seq) for seq, i in enumerate(order)] + [("other", "n1", ["N  2"], "p0", 99)]
+    got = {(r.kind, r.entry): r for r in corrections.vocabulary(spark.createDataFrame(rows, "kind string, canonical string, aliases array<string>, approver string, seq long")).collect()}
+    want = [{i for i in range(21)}, {i for i in range(21, 40)}]
+    assert {(r.kind, r.entry, r.canonical, r.approvals) for r in got.values()} == {("other", 99, "n1", 1)} | {("k", s, f"n{order[s]}", len(w)) for w in want for s in [max(order.index(i) for i in w)]}
+    for w in want:
+        last = max(order.index(i) for i in w)
+        names = {f"n{i}" for i in w} | {f"n{i + 1}" for i in w if i != 20}
+        assert set(got["k", last].aliases) == names - {f"n{order[last]}"}
+    assert corrections.vocabulary(spark.createDataFrame([], "kind string, canonical string, aliases array<string>, approver string, seq long")).count() == 0
 
 
 def test_loudness(spark):
     assert one(spark, engines.loudness(F.lit("RMS_level=-20.5\nRMS_level=-inf\nRMS_level=nan"))) == [-20.5, -120.0, -120.0]
+
+
+def test_empty_notes_are_found(spark, tmp_path):
+    (tmp_path / "n" / ".git").mkdir(parents=True)
+    for name, text in (("n/a.md", "# A"), ("n/empty.md", ""), ("n/.git/x.md", ""), ("n/b.txt", "")):
+        (tmp_path / name).write_text(text)
+    assert sorted((r.path, r.content) for r in collections.markdown(spark, f"file://{tmp_path}").collect()) == [("n/a.md", "# A"), ("n/empty.md", "")]
+
+
+def test_controls_meet_only_what_holds_their_first_token(spark):
+    rows = spark.createDataFrame([(1, "the Red Gate fell"), (2, "gate red"), (3, "red red gate")], "i long, text string").withColumn("hay", T.tokens("text"))
+    terms = spark.createDataFrame([("red gate",), ("Gate",), ("the",), ("",)], "term string")
+    assert sorted((r.i, r.term) for r in scoring.holding(rows, terms).collect()) == [(1, "Gate"), (1, "red gate"), (2, "Gate"), (3, "Gate"), (3, "red gate")]
+
+
+def test_near_pairs_are_all_found(spark):
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 9))) for _ in range(120)})
+    got = {(r.a, r.b) for r in names.near_pairs(spark.createDataFrame([(1, w) for w in words], "session_id long, stem string")).collect()}
+    pairs = spark.createDataFrame([(a, b) for a in words for b in words if a < b], "a string, b string")
+    assert got == {(r.a, r.b) for r in pairs.filter(T.near("a", "b")).collect()} and len(got) > 50
