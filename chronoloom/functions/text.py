@@ -98,23 +98,24 @@ def links(text) -> Column:
 
     What follows an opening pair of brackets, up to the first closing bracket, is a link if that is a pair, on one line and not empty; an exclamation mark before it makes it an embed.
     """
-    parts = F.split(_c(text), r"\[\[")
+    pieces = F.split(_c(text), r"(?=!\[\[)|(?<!!)(?=\[\[)")  # each but the first begins with its brackets or their mark
 
-    def one(i: Column) -> Column:
-        part, before = F.get(parts, i), F.get(parts, i - 1)
+    def one(piece: Column) -> Column:
+        bang = F.startswith(piece, F.lit("!"))
+        part = F.substr(piece, F.when(bang, F.lit(4)).otherwise(F.lit(3)))
         stop = F.instr(part, "]")
-        body = F.when((stop > 1) & (F.substr(part, stop, F.lit(2)) == "]]"), F.substr(part, F.lit(1), stop - 1))
+        body = F.when((F.startswith(piece, F.lit("[[")) | F.startswith(piece, F.lit("![["))) & (stop > 1) & (F.substr(part, stop, F.lit(2)) == "]]"), F.substr(part, F.lit(1), stop - 1))
         bar, left = F.instr(body, "|"), F.split_part(body, F.lit("|"), F.lit(1))
         mark = F.instr(left, "#")
         return F.when(
             body.isNotNull() & (F.instr(body, "\n") == 0),
             F.struct(
                 F.trim(F.split_part(left, F.lit("#"), F.lit(1))).alias("target"), F.nullif(F.trim(F.when(mark > 0, F.substr(left, mark + 1))), F.lit("")).alias("anchor"),
-                F.nullif(F.trim(F.when(bar > 0, F.substr(body, bar + 1))), F.lit("")).alias("display"), F.endswith(before, F.lit("!")).alias("is_embed"),
+                F.nullif(F.trim(F.when(bar > 0, F.substr(body, bar + 1))), F.lit("")).alias("display"), bang.alias("is_embed"),
             ),
         )
 
-    return F.when(F.size(parts) > 1, F.array_compact(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), one))).otherwise(F.from_json(F.lit("[]"), "array<struct<target:string,anchor:string,display:string,is_embed:boolean>>"))
+    return F.array_compact(F.transform(pieces, one))
 
 
 def link_name(target) -> Column:

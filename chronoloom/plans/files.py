@@ -272,10 +272,18 @@ def s19(spark, d):
     return sinks.report_rows(p9(spark, d))
 
 
-@register("s20_survey_document", "SELECT count(*)::BIGINT AS notes FROM documents")
+@register("s20_survey_document", f"""WITH {_N}, eg AS (SELECT 'opening' AS edge, arg_min(title, idx) AS title FROM sec WHERE level >= 2 GROUP BY path UNION SELECT 'terminal', arg_max(title, idx) FROM sec WHERE level >= 2 GROUP BY path),
+  sp AS (SELECT idx, max(idx) OVER (PARTITION BY path) AS last, session_ref FROM sec WHERE level >= 2), ps AS (SELECT CASE WHEN last = 0 OR idx::DOUBLE / last < 1/3::DOUBLE THEN 1 WHEN idx::DOUBLE / last < 2/3::DOUBLE THEN 2 ELSE 3 END AS p, idx = last AS final FROM sp WHERE session_ref IS NOT NULL)
+SELECT 'notes' AS key, count(*)::BIGINT AS items FROM files UNION ALL SELECT 'note_types', count(DISTINCT coalesce(note_type, '(untyped)')) FROM notes UNION ALL SELECT 'folders', count(DISTINCT folder) FROM notes UNION ALL SELECT 'frontmatter_keys', count(DISTINCT key) FROM fm
+UNION ALL SELECT 'inconsistent_value_shapes', count(*) FROM (SELECT key FROM fm GROUP BY 1 HAVING count(DISTINCT shape) > 1) UNION ALL SELECT 'link_topology', count(*) FROM rs WHERE NOT is_embed
+UNION ALL SELECT 'stubs', count(*) FROM notes WHERE size_bytes < 16 AND path NOT IN (SELECT path FROM sec) AND path NOT IN (SELECT path FROM fm) UNION ALL SELECT 'accumulation_positions', count(DISTINCT p) + max(final::INT) FROM ps UNION ALL SELECT 'edge_sections', count(*) FROM eg
+UNION ALL SELECT 'recurring_sections', count(*) FROM (SELECT coalesce(note_type, '(untyped)') AS k, s.title FROM sec s JOIN notes USING (path) WHERE level >= 2 GROUP BY 1, 2 HAVING count(DISTINCT path) >= 2)
+UNION ALL SELECT 'provenance_signals', count(DISTINCT key) FROM fm WHERE regexp_replace(lower(trim(key)), '[\\s\\-]+', '_', 'g') IN ({', '.join(repr(k) for k in N.PROVENANCE_KEYS)})""")
 def s20(spark, d):
+    """The document's eleven parts, with how much each holds (of the links their total)."""
     document = sinks.survey_document(N.parse(note_files(spark, d)))
-    return spark.createDataFrame([(document["notes"],)], "notes bigint")
+    size = lambda v: len(v) if isinstance(v, list) else v["total"] if isinstance(v, dict) else v
+    return spark.createDataFrame([(k, size(v)) for k, v in document.items()], "key string, items bigint")
 
 
 @register("s21_text_report")

@@ -66,9 +66,17 @@ def exit_code(verdicts: DataFrame) -> int:
 
 
 def survey_document(notes: DataFrame) -> dict:
-    """The aggregates of a collection as one document; each part is a small table."""
+    """The aggregates of a collection as one document of eleven parts.  It lists stubs, titles of sections and folders whole, so it is as long as they are many; notes are parsed once."""
     from ..operators import notes as N
 
+    notes = notes.persist()  # parsed once for all parts, and freed before this returns
+    try:
+        return _survey(notes, N)
+    finally:
+        notes.unpersist()
+
+
+def _survey(notes: DataFrame, N) -> dict:
     pairs = lambda df: [list(r) for r in df.collect()]
     kind = F.coalesce("note_type", F.lit(N.UNTYPED))
     f = N.fields(notes)
