@@ -1,13 +1,14 @@
 """Approximate nearest neighbours by largest inner product: a hierarchical navigable small-world graph per shard.
 
 Equal vectors are indexed once, with their `k + 1` smallest ids (all that a list of k can hold).  Distinct vectors go to shards by hash; each shard's graph is built in batches with
-numpy and stored as a row: vectors, and for each layer its nodes and a flat array of neighbours.  Query blocks meet every shard; a walk from the top layer down, in lock step for
-the whole block, finds each query's candidates; shard results are scored exactly in double precision and merged.
+numpy and stored as a row: vectors, and for each layer its nodes and a flat array of neighbours.  A shard is one task's work and moves once; the queries, in shared storage, are streamed
+past it in blocks.  A walk from the top layer down, in lock step for a block, finds each query's candidates; shard results are scored exactly in double precision and merged.  The work is
+queries times shards, so shards are as large as a task's memory lets them be (SHARD vectors).
 
 To serve inner products, vectors get one more component that makes their lengths equal (queries get 0 there), so that the graph's distance is Euclidean.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no part; a vector whose length differs from the most common one's takes none either;
-rows that repeat a vec_id are separate candidates; a null vec_id takes no part; ties go to the smaller vec_id; an empty table gives an empty result; other columns are ignored.
+rows that repeat a vec_id are separate candidates and separate queries, each other's candidates too; a null vec_id takes no part; ties go to the smaller vec_id; an empty table gives an empty result; other columns are ignored.
 """
 
 import numpy as np
@@ -15,16 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, partitions_for, stored
+from .common import documents, lean, partitions_for, scratch, stored
 from .windows import pack, unpack
 
 LINKS = 16
 BUILD = 96
 SEARCH = 200
-SHARD = 8192
-QUERIES = 2048
+SHARD = 32_768
 K = 20
-OUT = "query_id bigint, vec_id bigint, score double"
+OUT = "query_id bigint, twin int, vec_id bigint, score double"
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -213,6 +213,7 @@ def lifted(x: np.ndarray, longest: float) -> np.ndarray:
 def shards(rows: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
     """The index, one row a shard: shard, graph, vectors (doubles), ids (each vector's k + 1 smallest, -1 filled)."""
     spark = rows.sparkSession
+    lean(spark, 16 << 20)
     w = Window.partitionBy("embedding").orderBy("vec_id")
     few = rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1)  # limited before the shuffle too
     distinct = stored(few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors")
@@ -232,52 +233,61 @@ def shards(rows: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
     return stored(built, "graphs", "none")
 
 
-def search(queries: DataFrame, index: DataFrame, k: int = K, width: int = SEARCH, block: int = QUERIES) -> DataFrame:
-    """queries(query_id, embedding) -> query_id, rank, vec_id, score: the k best found, other than the query's own id."""
+def search(queries: DataFrame, index: DataFrame, k: int = K, width: int = SEARCH, block: int = 512) -> DataFrame:
+    """queries(query_id, embedding) -> query_id, rank, vec_id, score: the k best found, other than the query's own row."""
     spark = queries.sparkSession
-    total = queries.count()
-    blocks = max(1, -(-total // block))
-    keyed = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    # Each block goes to every shard: that is the whole search, in blocks.
-    numbers = index.select("shard")
-    many = keyed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(0, (numbers.agg(F.max("shard")).first()[0] or 0))))))
-    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        graph = Graph.unflat(right.column("graph")[0].as_py())
-        x = unpack(right.column("vectors")[0].as_py())[0].view(np.float64).reshape(len(graph.x), -1)
-        ids = unpack(right.column("ids")[0].as_py())[0].reshape(len(x), -1)
-        own = left.column("query_id").to_numpy()
-        out = []
-        step = max(16, min(512, (1 << 23) // len(x)))
-        for a in range(0, len(own), step):
-            q = np.array(left.column("embedding").slice(a, step).to_pylist(), np.float64)
-            unit = q / np.sqrt((q**2).sum(1, keepdims=True))
-            found = graph.nearest(np.concatenate((unit, np.zeros((len(q), 1))), 1).astype(np.float32), width)
-            score = np.einsum("bd,bkd->bk", q, x[np.maximum(found, 0)])
-            score[found < 0] = -np.inf
-            best = np.argsort(-score, 1, kind="stable")[:, : k + 21]
-            for i in range(len(q)):
-                f, s = found[i, best[i]], score[i, best[i]]
-                f, s = f[np.isfinite(s)], s[np.isfinite(s)]
-                v, s = ids[f].ravel(), np.repeat(s, ids.shape[1])
-                ok = (v >= 0) & (v != own[a + i])
-                v, s = v[ok], s[ok]
-                o = np.lexsort((v, -s))[:k]
-                out.append((np.full(len(o), own[a + i]), v[o], s[o]))
-        if not out:
-            return empty
-        q, v, s = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.table({"query_id": pa.array(q), "vec_id": pa.array(v), "score": pa.array(s)})
-
-    found = many.groupBy("shard", "block").cogroup(copies.groupBy("shard", "block")).applyInArrow(run, OUT)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # Queries that repeat an id are told apart by a number.
+    twin = F.row_number().over(Window.partitionBy("query_id").orderBy("embedding")).alias("twin")
+    path = scratch(spark, "queries")
+    queries.select("query_id", twin, "embedding").write.parquet(path)
+    names = [r[0] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path").collect()]  # the files of the queries, as few as the tasks that wrote them
+
+    def run(batches):
+        import pyarrow.parquet as pq
+        from pyarrow.fs import FileSystem
+
+        for b in batches:
+            for blob, vectors, kept in zip(*(b.column(c).to_pylist() for c in ("graph", "vectors", "ids")), strict=True):
+                graph = Graph.unflat(blob)
+                x = unpack(vectors)[0].view(np.float64).reshape(len(graph.x), -1)
+                ids = unpack(kept)[0].reshape(len(x), -1)
+                step = max(16, min(block, (1 << 23) // len(x)))
+                for name in names:
+                    fs, at = FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name)
+                    with fs.open_input_file(at) as f:
+                        for q in pq.ParquetFile(f).iter_batches(batch_size=step):
+                            yield _answers(q, graph, x, ids, k, width)
+
+    parts = max(1, index.count())
+    found = index.repartition(parts).mapInArrow(run, OUT)
+    w = Window.partitionBy("query_id", "twin").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _answers(queries: pa.RecordBatch, graph: Graph, x: np.ndarray, ids: np.ndarray, k: int, width: int) -> pa.RecordBatch:
+    """The k best of a shard for each query; of the entry with the query's own vector one row with its id is itself."""
+    own, twin = queries.column("query_id").to_numpy(), queries.column("twin").to_numpy()
+    q = np.array(queries.column("embedding").to_pylist(), np.float64).reshape(len(own), -1)
+    unit = q / np.sqrt((q**2).sum(1, keepdims=True))
+    found = graph.nearest(np.concatenate((unit, np.zeros((len(q), 1))), 1).astype(np.float32), width)
+    score = np.einsum("bd,bkd->bk", q, x[np.maximum(found, 0)])
+    score[found < 0] = -np.inf
+    best = np.argsort(-score, 1, kind="stable")[:, : k + 21]
+    out = []
+    for i in range(len(q)):
+        f, s = found[i, best[i]], score[i, best[i]]
+        f, s = f[np.isfinite(s)], s[np.isfinite(s)]
+        v = ids[f]
+        itself = (v == own[i]) & (x[f] == q[i]).all(1)[:, None]
+        itself &= np.cumsum(itself, 1) == 1
+        v, s, ok = v.ravel(), np.repeat(s, ids.shape[1]), ((v >= 0) & ~itself).ravel()
+        v, s = v[ok], s[ok]
+        o = np.lexsort((v, -s))[:k]
+        out.append((np.full(len(o), own[i]), np.full(len(o), twin[i]), v[o], s[o]))
+    a, t, v, s = (np.concatenate(c) for c in zip(*out, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(t, pa.int32()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "twin", "vec_id", "score"])
+
+
 def op2_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(usable(documents(spark, sf_dir, "embeddings").select("vec_id", "embedding")), "usable")
     queries = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")

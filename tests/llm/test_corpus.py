@@ -530,6 +530,32 @@ def test_search_of_few_and_none(spark):
     assert ann.search(none_.select(F.col("vec_id").alias("query_id"), "embedding"), ann.shards(none_)).count() == 0
 
 
+def test_queries_that_repeat_an_id(spark):
+    """Twins are each other's candidates: equal rows, and rows of one id with unlike vectors."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 2.0]), (3, [0.5, 0.5])]
+    df = ann.usable(vectors(spark, rows))
+    got = ann.search(df.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding"), ann.shards(df)).collect()
+    first, other = [(1, 0, 1.0), (2, 3, 0.5), (3, 0, 0.0)], [(1, 3, 1.0), (2, 0, 0.0), (3, 0, 0.0)]
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == sorted(first + first + other)
+
+
+def test_recall_over_a_whole_table(spark):
+    """The registered query against brute force, with its production parameters."""
+    where = "/root/testdata/sf0.01"
+    rows = [(r.vec_id, r.embedding) for r in ann.usable(spark.read.parquet(f"{where}/embeddings.parquet")).collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    got = collections.defaultdict(set)
+    for r in importlib.import_module("chronoloom.llm.queries").QUERIES["op2_hnsw_search"](spark, where).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 20 == 0).tolist():
+        score = x @ x[q]
+        score[q] = -np.inf
+        best = ids[np.lexsort((ids, -score))[: ann.K]]
+        hits, total = hits + len(got[int(ids[q])] & set(best.tolist())), total + len(best)
+    assert len(got) == (ids % 20 == 0).sum() and hits / total > 0.97
+
+
 def test_hot_keys_are_attached_whole(spark):
     left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.col("id").cast("string")).alias("k"), "id")
     right = left.filter("k is not null").groupBy("k").agg(F.min("id").alias("first"), F.count("*").alias("n"))
