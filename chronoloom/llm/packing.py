@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches_of, documents, lean, ranked, stored, tidy, word_hashes
+from .windows import packed_words
 
 SIZE = 2048
 CLOSE = 1
@@ -41,7 +42,7 @@ def vocabulary() -> tuple[str, str]:
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes, by the tokenizer file at `path`.
 
-    Byte-level BPE never merges across a single blank before a word or a single line end, so each distinct word (with what is before it) is encoded once and remembered by its hash; a
+    Byte-level BPE never merges across a single blank before a word or a single line end, so each distinct word (with what is before it) is encoded once and remembered by its hash (its bytes are compared on every hit, and a text with a word that differs is encoded whole); a
     group of texts is looked up and put together in numpy.  With `ranks` (the same vocabulary as a list of ranks) new words are encoded by the faster library that reads it; the
     ids are the same.  Texts with other white space or special tokens are encoded whole.
     """
@@ -62,6 +63,7 @@ class Encoder:
         self.line = self.model.encode("\n", add_special_tokens=False).ids
         self.known: dict[int, int] = {}  # hash of a word and what is before it -> its place below
         self.pool, self.used, self.odd = np.zeros(1 << 16, np.uint32), 0, set()
+        self.words: list[bytes] = []
         # Of each word: where its ids are in the pool, how many, in how many groups of texts it was met, and its hash.
         self.first, self.size, self.met, self.key = (np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.uint64))
 
@@ -76,6 +78,7 @@ class Encoder:
         self.pool, self.used, self.odd = np.concatenate((ids, np.zeros(1 << 16, np.uint32))), len(ids), odd
         self.first, self.size, self.met, self.key = at, size, np.ones(len(keep), np.int32), self.key[keep]
         self.known = dict(zip(self.key.tolist(), range(len(keep)), strict=True))
+        self.words = [self.words[i] for i in keep.tolist()]
 
     def whole(self, text: bytes) -> bytes:
         return np.array(self.model.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
@@ -104,6 +107,7 @@ class Encoder:
         self.size = np.concatenate((self.size, size))
         self.met = np.concatenate((self.met, np.zeros(len(found), np.int32)))
         self.key = np.concatenate((self.key, keys))
+        self.words += words
         self.used = n
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -131,6 +135,10 @@ class Encoder:
         distinct, where, back = np.unique(key, return_index=True, return_inverse=True)
         place = np.fromiter(map(self.known.get, distinct.tolist(), repeat(-1)), np.int64, len(distinct))
         new = np.flatnonzero(place < 0)
+        bad = ~_alike(buffer, start, end, where[back])
+        wrong = [i for i, p, x, y in zip(range(len(place)), place.tolist(), start[where].tolist(), end[where].tolist(), strict=True) if p >= 0 and self.words[p] != buffer[x:y]]
+        if wrong:
+            bad |= np.isin(back, wrong)
         if len(new):
             place[new] = np.arange(len(self.first), len(self.first) + len(new))
             w = where[new]
@@ -143,13 +151,28 @@ class Encoder:
         for i, x, y in zip(plain, cuts, cuts[1:]):
             out[i] = ids[x:y]
         if self.odd:
-            bad = np.fromiter((p in self.odd for p in place.tolist()), bool, len(place))[back]
-            if bad.any():
-                for i in np.unique(np.searchsorted(of, np.flatnonzero(bad), side="right") - 1).tolist():
-                    out[plain[i]] = self.whole(texts[plain[i]])
+            bad |= np.fromiter((p in self.odd for p in place.tolist()), bool, len(place))[back]
+        if bad.any():
+            for i in np.unique(np.searchsorted(of, np.flatnonzero(bad), side="right") - 1).tolist():
+                out[plain[i]] = self.whole(texts[plain[i]])
         return out
 
 
+def _alike(buffer: bytes, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each word has the bytes of another of the same length (by its number), eight bytes at a time."""
+    words, size = packed_words(buffer), end - start
+    short = (8 * (8 - np.minimum(size, 8))).astype(np.uint64)
+    ok = size == size[other]
+    ok &= (words[start] >> short) == (words[start[other]] >> short)
+    at, left = 8, np.flatnonzero(ok & (size > 8))
+    while len(left):
+        off = np.minimum(at, size[left] - 8)
+        ok[left] = words[start[left] + off] == words[start[other[left]] + off]
+        at += 8
+        left = left[size[left] > at]
+    return ok
+
+
 def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, ranks: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of every piece."""
     lean(docs.sparkSession)

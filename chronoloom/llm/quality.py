@@ -147,6 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> bytes | Non
             yield pd.DataFrame({"model": [pickle.dumps(fit([t or b"" for t in f["text"]], f["n_chars"].tolist(), f["quality"].to_numpy(float)))]})
 
     rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "n_chars", "quality", F.xxhash64("doc_id", "text").alias("h"))
+    rows = smallest_hashes(rows, most, "h")  # a doc_id that repeats brings no more
     got = rows.coalesce(1).mapInPandas(train, "model binary").collect()
     return got[0]["model"] if got else None
 

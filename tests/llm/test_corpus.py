@@ -619,6 +619,71 @@ def test_rare_languages_are_learned(spark):
     assert len(got) == len(rows) and all(r.lang_pred == r.lang for r in got)
 
 
+def test_decisions_equal_plain_ones():
+    """The language is that with the most duels won in the best family; margins settle ties."""
+    rng = np.random.default_rng(3)
+    names = ["de", "en", "es", "fr", "nl", "xx"]
+    families = sorted({langid.FAMILY.get(n, n) for n in names})
+    pairs_ = [(i, j) for i in range(6) for j in range(i + 1, 6) if langid.FAMILY.get(names[i], names[i]) == langid.FAMILY.get(names[j], names[j])]
+    w, bias, x = rng.normal(size=(7, len(families) + len(pairs_))), rng.normal(size=len(families) + len(pairs_)), rng.normal(size=(300, 7))
+    got, score = langid.decide({"names": names, "families": families, "pairs": pairs_, "w": w, "b": bias}, x)
+    p = lambda m: 1 / (1 + np.exp(-2 * m))
+    for i in range(300):
+        m = [sum(x[i][k] * w[k][j] for k in range(7)) + bias[j] for j in range(w.shape[1])]
+        best = max(range(len(families)), key=lambda f: m[f])
+        inside = [n for n in names if langid.FAMILY.get(n, n) == families[best]]
+        won, margin = collections.Counter(), collections.Counter()
+        for (a, b), q in zip(pairs_, m[len(families) :]):
+            won[names[a if p(q) > 0.5 else b]] += 1
+            margin[names[a]] += p(q)
+            margin[names[b]] += 1 - p(q)
+        want = max(inside, key=lambda n: won[n] + margin[n] / 7)
+        sure = p(m[best]) / sum(p(v) for v in m[: len(families)])
+        assert got[i] == want and score[i] == pytest.approx(sure * (margin[want] / (len(inside) - 1) if len(inside) > 1 else 1))
+
+
+def test_the_quality_query_equals_sums_over_pairs(spark):
+    """Scores of the registered query against the model's formula, every pair of features added up."""
+    import pickle
+
+    d = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "n_chars")
+    model = pickle.loads(quality.learn(d, spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality")))
+    got = {r.doc_id: r for r in quality.op8_quality_classifier(spark, DATA).collect()}
+    rows = d.collect()
+    assert len(got) == len(rows)
+    for r in rows[:25]:
+        _, word, share, stats = quality.inputs([(r.text or "").encode()], [r.n_chars])
+        z = np.clip((stats - model["mean"]) / model["dev"], -6, 6)[0]
+        v = np.concatenate((model["scale"] * model["v"][word] * share[:, None], model["s"] * z[:, None]))
+        both = sum(float(v[i] @ v[j]) for i in range(len(v)) for j in range(i))
+        want = 1 / (1 + np.exp(-(model["b"] + model["scale"] * (model["w"][word] @ share) + z @ model["u"] + both)))
+        assert got[r.doc_id].score == pytest.approx(want, abs=1e-6) and got[r.doc_id].predicted == int(got[r.doc_id].score >= quality.THRESHOLD)
+
+
+def test_a_label_of_a_repeated_id_brings_no_more_rows(spark):
+    rows = spark.createDataFrame([(1, passage(i, 20), 50) for i in range(500)] + [(3, "junk junk", 9)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    assert quality.learn(rows, labels, most=40) is not None
+    assert all(0 <= r.score <= 1 for r in quality.score(rows, labels, most=40).collect())
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    """With a hash that tells nothing but length apart, ids are still those of the tokenizer."""
+    real = packing.word_hashes
+    monkeypatch.setattr(packing, "word_hashes", lambda a: (np.zeros(len(real(a)[1]), np.uint64), *real(a)[1:]))
+    e = packing.Encoder(*packing.vocabulary())
+    texts = [b"the cat sat on the mat", b"internationalisation nternationalisationi", b"dog", b"cat dog", b"internationalisation abcdefghXbcdefghijkl"]
+    for t in texts:
+        assert e.encode([t]) == [e.whole(t)]
+    assert e.encode(texts) == [e.whole(t) for t in texts]
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    p = importlib.import_module("corpus_pipeline")
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert p.run(spark, str(tmp_path)).count() == 0
+
+
 def test_queries_are_registered():
     q = importlib.import_module("chronoloom.llm.queries")
     assert [k.split("_")[0] for k in q.QUERIES] == [f"op{i}" for i in range(1, 11)]
