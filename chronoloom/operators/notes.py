@@ -17,40 +17,47 @@ UNTYPED = "(untyped)"
 def _fields(lines: Column) -> Column:
     """Key, shape and raw value of each line with a colon after a name; the next line tells a block list."""
 
-    def one(line: Column, i: Column) -> Column:
+    def one(line: Column, following: Column) -> Column:
         colon = F.instr(line, ":")
         name = F.substr(line, F.lit(1), colon - 1)
         raw = F.trim(F.regexp_replace(F.substr(line, colon + 1), "^[ \t]+", ""))
-        shape = F.when(F.coalesce(F.get(lines, i + 1), F.lit("")).rlike(r"^[ \t]*-[ \t]+\S"), "block-list").when(raw == "", "empty").when(F.contains(raw, F.lit(",")), "comma-string").otherwise("scalar")
+        shape = F.when(F.coalesce(following, F.lit("")).rlike(r"^[ \t]*-[ \t]+\S"), "block-list").when(raw == "", "empty").when(F.contains(raw, F.lit(",")), "comma-string").otherwise("scalar")
         return F.when((colon > 1) & name.rlike("^[A-Za-z0-9_]") & ~name.rlike("[^A-Za-z0-9_ -]"), F.struct(F.trim(name).alias("key"), shape.alias("shape"), raw.alias("raw")))
 
-    return F.array_compact(F.transform(lines, one))
+    return F.filter(F.zip_with(lines, F.slice(lines, 2, 1 << 30), one), lambda f: f.isNotNull())
 
 
 def _headings(lines: Column, first: Column) -> Column:
     """Level, title, line and number among those below the title (the title's own is -1)."""
 
-    def one(x: Column, i: Column) -> Column:
+    def one(x: Column, n: Column) -> Column:
         rest = F.ltrim(x, F.lit("#"))
         level = F.length(x) - F.length(rest)
         title = F.trim(F.regexp_replace(rest, "^[ \t]+|[ \t]+$", ""))
-        return F.when(F.startswith(x, F.lit("#")) & (i >= first) & (level <= 6) & rest.rlike("^[ \t]") & (title != ""), F.struct((i + 1).alias("line"), level.alias("level"), title.alias("title")))
+        return F.when(F.startswith(x, F.lit("#")) & (level <= 6) & rest.rlike("^[ \t]") & (title != ""), F.struct(n.alias("line"), level.alias("level"), title.alias("title")))
 
-    found = F.array_compact(F.transform(lines, one))
+    # Lambdas see their own line and its number only: what is outside of them would be worked out anew for each line.
+    body = F.zip_with(F.slice(lines, first + 1, 1 << 30), F.when(first < F.size(lines), F.sequence(first + 1, F.size(lines))).otherwise(F.array().cast("array<int>")), one)
+    found = F.filter(body, lambda h: h.isNotNull())
     row = lambda h, n: F.struct(h["line"].alias("line"), h["level"].alias("level"), h["title"].alias("title"), n.alias("section_ix"), T.session_reference(h["title"]).alias("session_ref"))
     below = F.transform(F.filter(found, lambda h: h["level"] >= 2), row)
     return F.array_sort(F.concat(F.transform(F.filter(found, lambda h: h["level"] == 1), lambda h: row(h, F.lit(-1))), below))  # by line, the first field
 
 
+def _once(df: DataFrame, *columns) -> DataFrame:
+    """A selection through a generator of one row, so that what it works out is not put into each of its later uses."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def parse(files: DataFrame) -> DataFrame:
     """files(path, content) -> path, folder, title, note_type, h1, size_bytes, fields, sections, links, lines.  One row a note, all in the JVM, no shuffle.
 
     F18: front matter is what stands between a first line of three dashes and the next such line, if that is not the very next one.
     """
     name = F.element_at(F.split("path", "/"), -1)
-    out = files.select("path", "content", F.split("content", "\r?\n").alias("lines"))
+    out = _once(_once(files, "path", "content"), "path", "content", F.split("content", "\r?\n").alias("lines"))
     closing = F.array_position(F.transform("lines", lambda x, i: (i > 0) & F.startswith(x, F.lit("---")) & (F.rtrim(F.replace(x, F.lit("\t"), F.lit(" "))) == "---")), True).cast("int")
-    out = out.withColumn("_first", F.when((F.get("lines", F.lit(0)) == "---") & (closing > 2), closing).otherwise(F.lit(0)))
+    out = _once(out, "path", "content", "lines", F.when((F.get("lines", F.lit(0)) == "---") & (closing > 2), closing).otherwise(F.lit(0)).alias("_first"))
     out = out.select(
         "path", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(".")).alias("folder"), F.regexp_replace(name, r"\.md$", "").alias("title"), F.octet_length("content").alias("size_bytes"),
         _fields(F.slice("lines", 2, F.greatest(F.lit(0), F.col("_first") - 2))).alias("fields"), "lines", _headings(F.col("lines"), F.col("_first")).alias("sections"), T.links("content").alias("links"),
