@@ -195,3 +195,8 @@ def vary_digits(text, step) -> Column:
     moved = lambda p, i: F.lit(1) + (number(p) + _c(step) * (nth(i) + 1)) % 24
     done = F.array_join(F.transform(parts, lambda p, i: F.when(number(p) <= 24, moved(p, i).cast("string")).otherwise(p)), "")
     return F.when(_c(step) == 0, _c(text)).otherwise(done)
+
+
+def utc_stamp(at) -> Column:
+    """a moment in UTC, to the second; the moment is passed in, so that a query that runs again says the same."""
+    return F.date_format(F.to_utc_timestamp(_c(at), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

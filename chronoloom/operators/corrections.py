@@ -41,6 +41,18 @@ def sheet_findings(answers: DataFrame) -> DataFrame:
     return own.unionByName(twice)
 
 
+def operation_findings(answers: DataFrame, entities: DataFrame) -> DataFrame:
+    """Operations on an entity that is not there, and merges of unlike kinds (whatever their case) that do not say which kind stays."""
+    o = F.col("operation")
+    ids = F.array_distinct(F.concat(F.array(o["entity_id"]), F.coalesce(o["absorbs"], F.array().cast("array<string>"))))
+    x = answers.filter(o["op"].isin(*OPERATIONS)).select("session_id", "pos", o["op"].alias("op"), o["entity_kind"].alias("said"), F.explode(ids).alias("entity_id"))
+    have = entities.select("session_id", "entity_id", F.lower("kind").alias("kind"), F.lit(True).alias("there"))
+    g = x.join(have, ["session_id", "entity_id"], "left").groupBy("session_id", "pos").agg(F.first("op").alias("op"), F.first("said").alias("said"), F.count_if(F.col("there").isNull()).alias("missing"), F.count_distinct("kind").alias("kinds"))
+    unlike = (F.col("op") == "merge_entities") & (F.col("kinds") > 1) & F.col("said").isNull()
+    why = F.when(F.col("missing") > 0, "no such entity").when(unlike, "a merge across kinds must say which stays")
+    return g.select("session_id", "pos", why.alias("finding")).filter("finding is not null")
+
+
 def keys_touched(answers: DataFrame) -> DataFrame:
     """The question and the entities that an answer decides."""
     o = F.col("operation")
@@ -65,9 +77,11 @@ def conflicts(answers: DataFrame, log: DataFrame) -> DataFrame:
     return keys_touched(answers).join(latest_owners(log), ["session_id", "decided"]).filter("owner <> answered_by").select("session_id", "pos", "decided", "owner", "answered_by")
 
 
-def accepted(answers: DataFrame, log: DataFrame, override: bool = False) -> DataFrame:
-    """T-R2: answers of sheets without any finding, collision or conflict; a sheet is applied whole or not at all."""
+def accepted(answers: DataFrame, log: DataFrame, override: bool = False, entities: DataFrame | None = None) -> DataFrame:
+    """T-R2: answers of sheets without any finding, collision or conflict; a sheet is applied whole or not at all.  Operations are checked against entities, where these are given."""
     bad = sheet_findings(answers).select("session_id").unionByName(collisions(answers).select("session_id"))
+    if entities is not None:
+        bad = bad.unionByName(operation_findings(answers, entities).select("session_id"))
     if not override:
         bad = bad.unionByName(conflicts(answers, log).select("session_id"))
     return answers.join(bad.distinct(), "session_id", "left_anti")
@@ -102,8 +116,8 @@ def revised(entities: DataFrame, revisions: DataFrame) -> DataFrame:
 
 
 def merged(entities: DataFrame, merges: DataFrame) -> DataFrame:
-    """G4, T-R4: merges(session_id, entity_id, absorbs, new_name, new_kind): survivors take the absorbed entities' surfaces and turns, in order.  V15: a merge across kinds
-    without a kind is not done."""
+    """G4, T-R4: merges(session_id, entity_id, absorbs, new_name, new_kind): survivors take the absorbed entities' surfaces and turns, in order.  A merge across kinds
+    without a kind is not done (operation_findings refuses its sheet before)."""
     m = merges.select("session_id", F.col("entity_id").alias("survivor"), "new_name", "new_kind", F.posexplode(F.concat(F.array("entity_id"), "absorbs")).alias("place", "entity_id"))
     x = m.join(entities, ["session_id", "entity_id"])
     order = lambda v: F.transform(F.array_sort(F.collect_list(F.struct("place", v))), lambda p: p["v"])

@@ -35,7 +35,11 @@ coll AS (SELECT session_id, decided, count(DISTINCT pos) AS answers FROM touched
 log AS (SELECT user_id AS session_id, event_id AS sequence, 'p' || (event_id % 3) AS answered_by, CASE WHEN event_id % 2 = 0 THEN 'question:q' || (event_id % 397) ELSE 'entity:e' || (event_id % 397) END AS decided, event_type AS before, event_id % 5 AS pos FROM events),
 owners AS (SELECT session_id, decided, arg_max(answered_by, sequence) AS owner FROM log GROUP BY 1, 2),
 conf AS (SELECT t.session_id, pos, decided, owner, answered_by FROM touched t JOIN owners o USING (session_id, decided) WHERE owner <> answered_by),
-bad AS (SELECT session_id FROM findings UNION SELECT session_id FROM coll UNION SELECT session_id FROM conf)"""
+opf AS (SELECT session_id, pos, CASE WHEN missing > 0 THEN 'no such entity' ELSE 'a merge across kinds must say which stays' END AS finding FROM (
+    SELECT p.session_id, p.pos, p.op, p.said, count(*) FILTER (WHERE e.entity_id IS NULL) AS missing, count(DISTINCT lower(e.kind)) AS kinds
+    FROM (SELECT session_id, pos, op, kind AS said, unnest(list_distinct(list_concat([entity_id], coalesce(absorbs, [])))) AS entity_id FROM answers WHERE op IS NOT NULL) p
+    LEFT JOIN entities e ON e.session_id = p.session_id AND e.entity_id = p.entity_id GROUP BY 1, 2, 3, 4) WHERE missing > 0 OR (op = 'merge_entities' AND kinds > 1 AND said IS NULL)),
+bad AS (SELECT session_id FROM findings UNION SELECT session_id FROM coll UNION SELECT session_id FROM conf UNION SELECT session_id FROM opf)"""
 W = f"WITH {_A} "
 
 
@@ -70,6 +74,11 @@ def j23(spark, d):
     return C.collisions(answers(spark, d))
 
 
+@register("v15_operation_findings", f"{W} SELECT * FROM opf")
+def v15(spark, d):
+    return C.operation_findings(answers(spark, d), t.entities(spark, d))
+
+
 @register("j20_prior_decisions", f"{W} SELECT * FROM conf")
 def j20(spark, d):
     return C.conflicts(answers(spark, d), log(spark, d))
@@ -77,12 +86,12 @@ def j20(spark, d):
 
 @register("tr2_accepted_sheets", f"{W} SELECT session_id, pos, action FROM answers WHERE session_id NOT IN (SELECT session_id FROM bad)")
 def tr2(spark, d):
-    return C.accepted(answers(spark, d), log(spark, d)).select("session_id", "pos", "action")
+    return C.accepted(answers(spark, d), log(spark, d), entities=t.entities(spark, d)).select("session_id", "pos", "action")
 
 
-@register("tr8_overridden_conflicts", f"{W} SELECT session_id, pos, action FROM answers WHERE session_id NOT IN (SELECT session_id FROM findings UNION SELECT session_id FROM coll)")
+@register("tr8_overridden_conflicts", f"{W} SELECT session_id, pos, action FROM answers WHERE session_id NOT IN (SELECT session_id FROM findings UNION SELECT session_id FROM coll UNION SELECT session_id FROM opf)")
 def tr8(spark, d):
-    return C.accepted(answers(spark, d), log(spark, d), override=True).select("session_id", "pos", "action")
+    return C.accepted(answers(spark, d), log(spark, d), override=True, entities=t.entities(spark, d)).select("session_id", "pos", "action")
 
 
 @register("w7_original_values", f"{W} SELECT session_id, decided AS target, arg_min(before, (sequence, pos)) AS original FROM log GROUP BY 1, 2")

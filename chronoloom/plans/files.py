@@ -8,11 +8,14 @@ from .. import plugs, streaming
 from ..functions.text import fold_surface
 from ..operators import notes as N
 from ..operators.windows import Budget, plan_windows
-from ..sources import collections, engines, generator, manifests, sessions, sinks
+from ..sources import collections, engines, generator, manifests, media, sessions, sinks
 from . import register, tables as t
+from .checks import _FR
 from .claims import _ALL
 from .corrections import VOCABULARY, approvals
 from .notes import _N, files as note_files
+from .scoring import _HELD
+from .transcripts import _W3
 
 
 def _turn_structs(spark, d):
@@ -96,6 +99,47 @@ def s9(spark, d):
     return manifests.read(spark, path + "/*/*.txt").select(F.regexp_extract("path", r"item_id=(\d+)", 1).cast("bigint").alias("item_id"), "parses", "manifest.id")
 
 
+@register("s8_manifest_reference", "SELECT how, 'key-' || item_id AS id FROM (SELECT 'by id' AS how, min(item_id) AS item_id FROM benchmark UNION ALL SELECT 'by path', max(item_id) FROM benchmark)")
+def s8(spark, d):
+    """The first manifest by its id, the last one by its path."""
+    root = sessions.shared_folder(spark, "keys")
+    name = F.concat(F.lit("key-"), F.col("item_id").cast("string"))
+    b = t.read(spark, d, "benchmark")
+    sinks.write_files(b.select(F.concat(name, F.lit(".json")).alias("path"), F.to_json(F.struct(name.alias("id"))).alias("content")), root)
+    first, last = b.agg(F.min("item_id"), F.max("item_id")).first()
+    read = lambda how, ref: manifests.read(spark, manifests.resolve(ref, root)).select(F.lit(how).alias("how"), "manifest.id")
+    return read("by id", f"key-{first}").unionByName(read("by path", f"{root}/key-{last}.json"))
+
+
+@register("s5_whole_documents", "SELECT event_type, count(*) AS events FROM events GROUP BY 1")
+def s5(spark, d):
+    """A document written whole, then read again."""
+    root = sessions.shared_folder(spark, "documents")
+    counts = t.read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("events")).orderBy("event_type")
+    sinks.write_document(f"{root}/counts.json", {"types": [r.asDict() for r in counts.collect()]})  # a handful of types
+    return spark.read.schema("types array<struct<event_type:string,events:bigint>>").option("multiLine", True).json(f"{root}/counts.json").select(F.inline("types"))
+
+
+@register("s23_media_digests", """SELECT page_id, CASE WHEN page_id % 7 <> 0 THEN strlen(coalesce(html, '')) END::BIGINT AS size_bytes, CASE WHEN page_id % 7 <> 0 THEN sha256(coalesce(html, '')) END AS sha256,
+  CASE WHEN page_id % 7 = 0 THEN 'missing' WHEN page_id % 5 = 0 THEN 'size differs' WHEN page_id % 5 = 1 THEN 'digest differs' WHEN page_id % 5 = 2 THEN 'digest not recorded' END AS finding, page_id % 7 <> 0 AND page_id % 5 > 1 AS kept FROM pages""")
+def s23(spark, d):
+    """Pages as media: some were never fetched, some are not what was recorded."""
+    root = sessions.shared_folder(spark, "media")
+    k, body = F.col("page_id"), F.coalesce(F.col("html"), F.lit(""))
+    p = t.read(spark, d, "pages").withColumn("path", F.concat(F.lit("m"), (k % 16).cast("string"), F.lit("/"), k.cast("string"), F.lit(".bin")))
+    sinks.write_files(p.filter(k % 7 != 0).select("path", body.alias("content")), root)
+    said = p.select("path", (F.octet_length(body) + F.when(k % 5 == 0, 1).otherwise(0)).alias("said_bytes"), F.when(k % 5 == 1, F.lit("0")).when(k % 5 != 2, F.upper(F.sha2(body.cast("binary"), 256))).alias("said_sha256"))
+    found = media.verified(said, root)
+    return found.select(F.regexp_extract("path", r"(\d+)\.bin$", 1).cast("bigint").alias("page_id"), "size_bytes", "sha256", "finding", "kept")
+
+
+@register("f28_utc_stamps", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS stamp FROM events")
+def f28(spark, d):
+    from ..functions.text import utc_stamp
+
+    return t.read(spark, d, "events").select("event_id", utc_stamp(F.col("ts").cast("timestamp")).alias("stamp"))
+
+
 @register("s6_markdown_scan", f"WITH {_N} SELECT split_part(path, '/', -1) AS name, strlen(content)::INT AS size_bytes, sha256(content) AS digest FROM files")
 def s6(spark, d):
     """The notes of the collection written as files and scanned again."""
@@ -120,7 +164,8 @@ def s17(spark, d):
     return sinks.report_rows(x)
 
 
-@register("s25_fingerprints")
+@register("s25_fingerprints", f"""WITH {_FR}, f AS (SELECT pair, replace(list(round(level, 1) ORDER BY ix)::VARCHAR, ', ', ',') AS v FROM r GROUP BY 1)
+SELECT pair AS recording, '{{"coarse":' || v || ',"fine":' || v || ',"coarse_frame_ms":1000,"fine_frame_ms":10,"fine_probe_start_seconds":20.0,"fine_probe_seconds":1.0}}' AS document FROM f""")
 def s25(spark, d):
     from .checks import frames
 
@@ -147,17 +192,17 @@ def echo(prompt: str) -> tuple[str, int, int]:
     import re
 
     first = re.search(r"\[(t\d+)\]", prompt)
-    return 'Sure: {"scenes": [{"title": "one", "turn_ids": ["%s"]}]}' % (first[1] if first else "none"), len(prompt), 10
+    return 'Sure: {"scenes": [{"title": "one", "summary": "two", "turn_ids": ["%s"]}]}' % (first[1] if first else "none"), len(prompt), 10
 
 
-@register("p19_window_analysis", None)
+@register("p19_window_analysis", f"SELECT session_id, window_ix, 1::INT AS attempts, CAST(NULL AS VARCHAR) AS error, id AS cited FROM ({_W3}) WHERE pos = 0")
 def p19(spark, d):
     turns = t.turns(spark, d)
     w = plan_windows(turns, Budget(200, 50, 2))
     x = w.join(turns.select("session_id", "id", "ord", "physical_speaker", "text"), ["session_id", "id"])
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("["), "id", F.lit("] "), "text").alias("r")))), lambda y: y["r"]), "\n")
     prompts = x.groupBy("session_id", "window_ix").agg(body.alias("prompt"), F.collect_list("id").alias("turn_ids"))
-    return plugs.analysed(prompts.withColumn("window_ix", F.col("window_ix").cast("bigint")), plugs.Model(echo)).select("session_id", "window_ix", "attempts", "error")
+    return plugs.analysed(prompts.withColumn("window_ix", F.col("window_ix").cast("bigint")), plugs.Model(echo)).select("session_id", "window_ix", "attempts", "error", F.get_json_object("payload", "$.scenes[0].turn_ids[0]").alias("cited"))
 
 
 @register("p26_alias_types", "SELECT event_id, event_id % 3 <> 0 AND event_id % 4 <> 0 AS valid FROM events")
@@ -265,7 +310,7 @@ def s18(spark, d):
     return sinks.report_rows(t.read(spark, d, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.count("*").alias("requests")))
 
 
-@register("s19_score_reports")
+@register("s19_score_reports", f"""{_HELD} SELECT session_id, '{{"session_id":' || session_id || ',"dimension":"' || dimension || '","value":' || coalesce(value::VARCHAR, 'null') || ',"withheld_because":' || coalesce('"' || withheld_because || '"', 'null') || '}}' AS document FROM held""")
 def s19(spark, d):
     from .scoring import p9
 
@@ -286,7 +331,7 @@ def s20(spark, d):
     return spark.createDataFrame([(k, size(v)) for k, v in document.items()], "key string, items bigint")
 
 
-@register("s21_text_report")
+@register("s21_text_report", f"WITH {t.TURNS} SELECT unnest(['Sessions', '========', 'turns: ' || count(*), 'longest session, ms: ' || max(end_ms), 'memory: not measured']) AS line FROM turns")
 def s21(spark, d):
     totals = t.turns(spark, d).agg(F.count("*").alias("turns"), F.max("end_ms").alias("longest session, ms"), F.lit(None).cast("int").alias("memory")).first().asDict()
     return spark.createDataFrame([(line,) for line in sinks.render("Sessions", totals).splitlines()], "line string")

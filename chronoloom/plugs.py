@@ -29,12 +29,56 @@ class Model:
             raise TypeError("a model needs a callable")
 
 
+# What each claim of a reply must say.
+SAID = {"scenes": ("title", "summary"), "entities": ("name", "kind"), "threads": ("description",), "questions": ("issue", "why_it_matters")}
+CONSEQUENCES = ("low", "medium", "high")
+
+
+def shape_error(payload: dict, known: set[str]) -> str | None:
+    """The first thing wrong with a reply, or None.
+
+    Groups are lists of objects, or absent or null; what a claim must say is a string with more than space; it cites one turn at least, by strings, all of its window (by their exact
+    id, or one that differs in leading zeros from one known id only); a question's confidence is a number of [0, 1] and its consequence a known one.
+    """
+    loose: dict[str, int] = {}
+    for k in known:
+        loose[_unpadded(k)] = loose.get(_unpadded(k), 0) + 1
+    for group, fields in SAID.items():
+        items = payload.get(group)
+        if items is None:
+            continue
+        if not isinstance(items, list) or not all(isinstance(x, dict) for x in items):
+            return f"{group} must be a list of objects"
+        for x in items:
+            for f in fields:
+                if not isinstance(x.get(f), str) or not x[f].strip():
+                    return f"{group} must say {f}"
+            ids = x.get("turn_ids")
+            if not isinstance(ids, list) or not ids or not all(isinstance(i, str) and i.strip() for i in ids):
+                return f"{group} must cite turns by their ids"
+            if any(i not in known and loose.get(_unpadded(i)) != 1 for i in ids):
+                return f"{group} cites a turn outside its window"
+            if group == "questions":
+                c = x.get("confidence")
+                if isinstance(c, bool) or not isinstance(c, int | float) or not 0 <= c <= 1:
+                    return "questions need a confidence from 0 to 1"
+                if x.get("consequence") not in CONSEQUENCES:
+                    return "questions need a known consequence"
+    return None
+
+
+def _unpadded(turn_id: str) -> str:
+    """An id with the number that ends it, if any, as digits without leading zeros."""
+    head = turn_id.rstrip("0123456789")
+    return head + (turn_id[len(head) :].lstrip("0") or "0") if len(head) < len(turn_id) else turn_id
+
+
 OUT = "session_id bigint, window_ix bigint, payload string, attempts int, tokens_in bigint, tokens_out bigint, error string"
 
 
 def analysed(prompts: DataFrame, model: Model) -> DataFrame:
-    """prompts(session_id, window_ix, prompt, turn_ids) through a model, window by window: the reply's object, with citations outside the window refused, never retried.  Shape: scenes,
-    entities, threads and questions are lists of objects, or absent."""
+    """prompts(session_id, window_ix, prompt, turn_ids) through a model, window by window: the reply's object, if it can be read and shape_error finds nothing; what has the wrong
+    shape or cites a turn outside the window is refused, never retried."""
     model.preflight()
 
     def run(frames):
@@ -51,15 +95,7 @@ def analysed(prompts: DataFrame, model: Model) -> DataFrame:
                     except ValueError as e:
                         error = f"unparseable reply: {e}"
                 if payload is not None:
-                    known = set(r.turn_ids)
-                    for group in ("scenes", "entities", "threads", "questions"):
-                        items = payload.get(group, [])
-                        if not isinstance(items, list) or not all(isinstance(x, dict) for x in items):
-                            error = f"{group} must be a list of objects"
-                            break
-                        if any(t not in known for x in items for t in x.get("turn_ids", [])):
-                            error = f"{group} cites a turn outside its window"
-                            break
+                    error = shape_error(payload, set(r.turn_ids))
                 rows.append((r.session_id, r.window_ix, json.dumps(payload) if error is None else None, a, tin, tout, error))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 

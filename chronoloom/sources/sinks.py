@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
+import textwrap
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def write_document(path: str, payload) -> None:
-    """A JSON document that is there whole or not at all."""
-    folder = os.path.dirname(os.path.abspath(path))
-    fd, part = tempfile.mkstemp(dir=folder, prefix=".part-")
-    with os.fdopen(fd, "w", encoding="utf-8") as f:
-        json.dump(payload, f, ensure_ascii=False, indent=2)
-        f.write("\n")
-    os.replace(part, path)
+    """A JSON document that is there whole or not at all, on any file system that pyarrow opens; a path without a scheme is a local one."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    text = json.dumps(payload, ensure_ascii=False, indent=2) + "\n"
+    fs, at = FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), os.path.abspath(path))
+    folder = os.path.dirname(at)
+    fs.create_dir(folder, recursive=True)
+    part = f"{folder}/.part-{uuid.uuid4().hex}"
+    with fs.open_output_stream(part) as f:
+        f.write(text.encode())
+    fs.move(part, at)
 
 
 def write_files(files: DataFrame, root: str) -> None:
@@ -90,13 +95,17 @@ def _survey(notes: DataFrame, N) -> dict:
     }
 
 
-def render(title: str, values: dict, width: int = 78) -> str:
-    """A report as lines of text."""
-    import textwrap
+def wrap(text: str, width: int = 78, indent: str = "    ") -> list[str]:
+    """words in lines of less than `width` characters, each indented; a longer word has a line of its own."""
+    return textwrap.wrap(text, width - 1, initial_indent=indent, subsequent_indent=indent, break_long_words=False, break_on_hyphens=False)
 
+
+def render(title: str, values: dict, width: int = 78) -> str:
+    """A report as lines of text."""
     lines = [title, "=" * len(title)]
     for name, value in values.items():
-        lines += textwrap.wrap(f"{name}: {'not measured' if value is None else value}", width, subsequent_indent="    ")
+        whole = f"{name}: {'not measured' if value is None else value}"
+        lines += [whole] if len(whole) < width else [f"{name}:", *wrap(str(value), width)]
     return "\n".join(lines) + "\n"
 
 

@@ -11,7 +11,7 @@ from chronoloom.functions import text as T
 from chronoloom.operators import align, attribution, claims, corrections, names, notes, scoring
 from chronoloom.operators.clock import numbered
 from chronoloom.operators.windows import Budget, plan_windows
-from chronoloom.sources import collections, engines, sessions, sinks
+from chronoloom.sources import collections, engines, generator, media, sessions, sinks
 
 
 def one(spark, column, **values):
@@ -363,3 +363,73 @@ def test_near_pairs_are_all_found(spark):
     got = {(r.a, r.b) for r in names.near_pairs(spark.createDataFrame([(1, w) for w in words], "session_id long, stem string")).collect()}
     pairs = spark.createDataFrame([(a, b) for a in words for b in words if a < b], "a string, b string")
     assert got == {(r.a, r.b) for r in pairs.filter(T.near("a", "b")).collect()} and len(got) > 50
+
+
+def test_merges_across_kinds_are_refused(spark):
+    op = lambda **o: {"question_id": "q", "action": "correct", "operation": o}
+    sheets = [op(op="merge_entities", entity_id="a", absorbs=["b"]), op(op="merge_entities", entity_id="a", absorbs=["c"]), op(op="merge_entities", entity_id="a", absorbs=["c"], entity_kind="place"), op(op="revise_entity", entity_id="x", name="N"), op(op="merge_entities", entity_id="a", absorbs=["x", "b"])]
+    a = corrections.parse_sheets(spark.createDataFrame([(i, json.dumps({"answered_by": "p", "answers": [s]})) for i, s in enumerate(sheets)], "session_id long, payload string"))
+    e = spark.createDataFrame([(i, x, k) for i in range(5) for x, k in (("a", "Person"), ("b", "person"), ("c", "place"))], "session_id long, entity_id string, kind string")
+    assert {r.session_id: r.finding for r in corrections.operation_findings(a, e).collect()} == {1: "a merge across kinds must say which stays", 3: "no such entity", 4: "no such entity"}
+    log = spark.createDataFrame([], "session_id long, sequence long, answered_by string, decided string")
+    assert sorted(r.session_id for r in corrections.accepted(a, log, entities=e).collect()) == [0, 2]
+
+
+GOOD = {"scenes": [{"title": "a", "summary": "b", "turn_ids": ["t01"]}], "entities": None, "questions": [{"issue": "i", "why_it_matters": "w", "turn_ids": ["t1", "t2"], "confidence": 1, "consequence": "low"}]}
+
+
+@pytest.mark.parametrize(
+    "change, want",
+    [
+        ({}, None), ({"scenes": {}}, "scenes must be a list of objects"), ({"scenes": ["x"]}, "scenes must be a list of objects"), ({"threads": [{"description": " "}]}, "threads must say description"),
+        ({"entities": [{"name": "n", "kind": 3}]}, "entities must say kind"), ({"threads": [{"description": "d", "turn_ids": []}]}, "threads must cite turns by their ids"),
+        ({"threads": [{"description": "d", "turn_ids": ["t1", 2]}]}, "threads must cite turns by their ids"), ({"threads": [{"description": "d", "turn_ids": ["t9"]}]}, "threads cites a turn outside its window"),
+        ({"threads": [{"description": "d", "turn_ids": ["t0007"]}]}, "threads cites a turn outside its window"), ({"questions": [{**GOOD["questions"][0], "confidence": True}]}, "questions need a confidence from 0 to 1"),
+        ({"questions": [{**GOOD["questions"][0], "consequence": "dire"}]}, "questions need a known consequence"),
+    ],
+)
+def test_replies_of_the_wrong_shape(change, want):
+    assert plugs.shape_error({**GOOD, **change}, {"t1", "t002", "t07", "t7"}) == want
+
+
+def test_media_that_differ_are_moved_aside(spark, tmp_path):
+    import hashlib
+
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    have = {"a.mp3": b"abc", "b/b.mp3": b"x" * 3_000_000, "c.mp3": b"", "d.mp3": b"dd", "e.mp3": b"ee"}
+    for p, b in have.items():
+        (tmp_path / "m" / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "m" / p).write_bytes(b)
+    (tmp_path / "out.mp3").write_bytes(b"o")
+    said = [("a.mp3", 3, sha(b"abc").upper()), ("b/b.mp3", 2, sha(have["b/b.mp3"])), ("c.mp3", 0, sha(b"other")), ("d.mp3", 2, None), ("e.mp3", None, sha(b"ee")), ("gone.mp3", 1, "0"), ("../out.mp3", 1, "0"), (None, 1, "0")]
+    df = spark.createDataFrame(said, "path string, said_bytes long, said_sha256 string")
+    for _ in range(2):  # the second run finds what the first moved
+        got = {r.path: (r.size_bytes, r.sha256, r.finding, r.kept) for r in media.verified(df, f"file://{tmp_path}/m").collect()}
+        assert got == {
+            "a.mp3": (3, sha(b"abc"), None, True), "b/b.mp3": (3_000_000, sha(have["b/b.mp3"]), "size differs", False), "c.mp3": (0, sha(b""), "digest differs", False), "d.mp3": (2, sha(b"dd"), "digest not recorded", True),
+            "e.mp3": (2, sha(b"ee"), "size not recorded", True), "gone.mp3": (None, None, "missing", False), "../out.mp3": (None, None, "missing", False), None: (None, None, "missing", False),
+        }
+        assert sorted(p.name for p in (tmp_path / "m").iterdir() if p.is_file()) == ["a.mp3", "c.mp3.quarantine", "d.mp3", "e.mp3"] and (tmp_path / "out.mp3").exists()
+
+
+def test_words_wrap_whole():
+    text = "one two-three " + "x" * 30 + " four five"
+    assert sinks.wrap(text, 20, "  ") == ["  one two-three", "  " + "x" * 30, "  four five"]
+    assert sinks.wrap("ab cd", 6, "") == ["ab cd"] and sinks.wrap("ab cd", 5, "") == ["ab", "cd"] and sinks.wrap(" ", 9) == []
+
+
+def test_stamps_are_utc(spark):
+    assert one(spark, T.utc_stamp(F.timestamp_micros(F.lit(1_700_000_000_999_999)))) == "2023-11-14T22:13:20+00:00"
+
+
+def test_generated_session_by_hand(spark):
+    """Two beats of half the time each: authored lines first, then the pool in turn, from 7 places further in the second beat, until the beat's time is used."""
+    say = lambda *x: [{"speaker": s, "text": t} for s, t in x]
+    pool = say(("p", "one 3 two"), ("q", "four"), ("r", ""))
+    rows = [(1, 6000, 0, say(("a", "hello there")), pool), (1, 6000, 1, say(("b", "and 99 now")), pool), (2, 1000, 0, [], [])]
+    line = "array<struct<speaker:string,text:string>>"
+    got = generator.generate(spark.createDataFrame(rows, f"session_id long, target_ms long, beat int, lines {line}, pool {line}"))
+    assert sorted((r.session_id, r.id, r.speaker, r.text, r.start_ms, r.end_ms) for r in got.collect()) == [
+        (1, "turn-00001", "a", "hello there", 0, 800), (1, "turn-00002", "p", "one 3 two", 1200, 2400), (1, "turn-00003", "q", "four", 2800, 3200),
+        (1, "turn-00004", "b", "and 99 now", 3600, 4800), (1, "turn-00005", "q", "four", 5200, 5600),
+    ]
