@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, minhash, mixing, packing, partenum, quality, substring, suffix, warc
+from . import ann, langid, minhash, mixing, packing, partenum, quality, simhash, substring, suffix, warc
 
 QUERIES = {
     "op1_warc_revisit": warc.op1_warc_revisit,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_mixing": mixing.op9_mixing,
     "op10_language_id": langid.op10_language_id,
+    "op11_simhash": simhash.op11_simhash,
 }
 ORACLES: dict[str, str] = {
     "op1_warc_revisit": warc.SQL,
