@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, minhash, mixing, packing, partenum, quality, simhash, substring, suffix, warc
+from . import ann, langid, minhash, mixing, packing, partenum, quality, repair, simhash, substring, suffix, warc
 
 QUERIES = {
     "op1_warc_revisit": warc.op1_warc_revisit,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_language_id": langid.op10_language_id,
     "op11_simhash": simhash.op11_simhash,
+    "op12_conversation_repair": repair.op12_conversation_repair,
 }
 ORACLES: dict[str, str] = {
     "op1_warc_revisit": warc.SQL,
@@ -23,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op4_ngram_jaccard": partenum.SQL,
     "op7_suffix_array_dedup": suffix.SQL,
     "op9_mixing": mixing.SQL,
+    "op12_conversation_repair": repair.SQL,
 }
