@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, minhash, mixing, packing, partenum, quality, repair, simhash, substring, suffix, warc
+from . import ann, langid, minhash, mixing, packing, partenum, quality, repair, simhash, substring, suffix, vafile, warc
 
 QUERIES = {
     "op1_warc_revisit": warc.op1_warc_revisit,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_language_id": langid.op10_language_id,
     "op11_simhash": simhash.op11_simhash,
     "op12_conversation_repair": repair.op12_conversation_repair,
+    "op13_hard_negatives": vafile.op13_hard_negatives,
 }
 ORACLES: dict[str, str] = {
     "op1_warc_revisit": warc.SQL,
@@ -25,4 +26,5 @@ ORACLES: dict[str, str] = {
     "op7_suffix_array_dedup": suffix.SQL,
     "op9_mixing": mixing.SQL,
     "op12_conversation_repair": repair.SQL,
+    "op13_hard_negatives": vafile.SQL,
 }
