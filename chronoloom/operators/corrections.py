@@ -137,37 +137,53 @@ def contested(approvals: DataFrame) -> DataFrame:
     return last.groupBy("entry").agg((F.count_distinct("c") > 1).alias("contested"), F.count("*").alias("approvers"))
 
 
+#: An approval is known by what it says: folded kind, name, aliases and approver.  Its number orders it, and its id where numbers are equal.
+IDENTIFIED = "approval_id string, kind_key string, kind string, canonical string, aliases array<string>, approver string, seq bigint, surfaces array<string>"
+
+
+def identified(approvals: DataFrame) -> DataFrame:
+    """approvals(kind, canonical, aliases, approver, seq) with an id and their folded surfaces, one a name, the canonical one first.  Numbers need not be unique: each session may count its own.  Without a kind or a name an approval settles nothing and is left out."""
+    aliases = F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: a.isNotNull())
+    x = approvals.filter(F.col("kind").isNotNull() & F.col("canonical").isNotNull()).select(fold_surface("kind").alias("kind_key"), "kind", "canonical", aliases.alias("aliases"), "approver", F.col("seq").cast("bigint").alias("seq"))
+    said = F.concat_ws("\x1f", "kind_key", "canonical", F.array_join("aliases", "\x1e"), F.coalesce("approver", F.lit("\x1d")))
+    surfaces = F.transform(F.concat(F.array("canonical"), "aliases"), fold_surface)
+    return x.select(F.md5(said.cast("binary")).alias("approval_id"), *x.columns, surfaces.alias("surfaces"))
+
+
 def vocabulary(approvals: DataFrame) -> DataFrame:
     """S15, J13, T-R7: approvals(kind, canonical, aliases, approver, seq) -> entries: approvals of one kind that share a surface, directly or through others, are one entry.
 
-    An entry is named by its latest approval, which also gives its canonical name; aliases follow from the latest approval to the first, each surface in its latest spelling.  It is contested
-    where the latest approvals of its approvers differ in the name.
+    An entry is known by its kind and its least surface (kind_key, root).  Its latest approval gives its canonical name, its kind's spelling and its number; aliases follow from the latest approval to the first, each
+    surface in its latest spelling.  It is contested where the latest approvals of its approvers differ in the name.
     """
-    once = approvals.groupBy("kind", "canonical", "aliases", "approver").agg(F.max("seq").alias("seq"))
-    x = once.withColumn("names", F.concat(F.array("canonical"), "aliases"))
-    edges = x.select("seq", F.explode("names").alias("s"), "kind").select("seq", F.concat_ws("\x1f", "kind", fold_surface("s")).alias("key")).distinct()
-    x = x.join(entries_of(edges), "seq")
-    order = F.array_sort(F.collect_list(F.struct((-F.col("seq")).alias("late"), "names")))
-    last = x.groupBy("kind", "entry", "approver").agg(F.max_by(fold_surface("canonical"), "seq").alias("c")).groupBy("kind", "entry").agg((F.count_distinct("c") > 1).alias("contested"))
-    g = x.groupBy("kind", "entry").agg(F.max_by("canonical", "seq").alias("canonical"), F.flatten(F.transform(order, lambda r: r["names"])).alias("names"), F.count("*").alias("approvals"), F.max("seq").alias("latest"))
-    g = g.join(last, ["kind", "entry"])
-    return g.select("kind", F.col("latest").alias("entry"), "canonical", ordered_distinct(F.col("names"), fold_surface, F.col("canonical")).alias("aliases"), "contested", "approvals")
+    order = F.struct(F.coalesce("seq", F.lit(-(1 << 62))), "approval_id")
+    same = ["approval_id", "kind_key", "canonical", "aliases", "approver", "surfaces"]
+    once = _written(identified(approvals).groupBy(*same).agg(F.max("seq").alias("seq"), F.max_by("kind", F.struct("seq", "kind")).alias("kind")), "approvals")
+    roots = entries_of(once.select("approval_id", F.explode(F.transform(F.array_distinct("surfaces"), lambda s: F.concat_ws("\x1f", "kind_key", s))).alias("key")))
+    x = once.join(roots, "approval_id").withColumn("at", order).withColumn("names", F.concat(F.array("canonical"), "aliases"))
+    last = x.groupBy("root", "approver").agg(F.max_by(fold_surface("canonical"), "at").alias("c")).groupBy("root").agg((F.count_distinct("c") > 1).alias("contested"))
+    late = F.reverse(F.array_sort(F.collect_list(F.struct("at", "names"))))
+    g = x.groupBy("root").agg(F.max_by(F.struct("kind", "canonical", "seq"), "at").alias("l"), F.flatten(F.transform(late, lambda r: r["names"])).alias("names"), F.count("*").alias("approvals")).join(last, "root")
+    return g.select(
+        F.split_part("root", F.lit("\x1f"), F.lit(1)).alias("kind_key"), F.split_part("root", F.lit("\x1f"), F.lit(2)).alias("root"), "l.kind", F.col("l.seq").alias("entry"), "l.canonical",
+        ordered_distinct(F.col("names"), fold_surface, F.col("l.canonical")).alias("aliases"), "contested", "approvals",
+    )
 
 
 def entries_of(edges: DataFrame) -> DataFrame:
-    """edges(seq, key) -> seq, entry: approvals that share a key are joined.
+    """edges(approval_id, key) -> approval_id, root: approvals that share a key are joined; the root is their least key.
 
-    Each round gives a key the least entry of its approvals, an approval the least of its keys, and then follows entries to their own; the rounds needed grow with the logarithm of a chain.
+    Each round gives a key the least root of its approvals, an approval the least of its keys, and then follows roots to their own; the rounds needed grow with the logarithm of a chain.
     """
     edges = _written(edges, "edges")
-    now = edges.select("seq", F.col("seq").alias("entry")).distinct()
+    now = edges.groupBy("approval_id").agg(F.min("key").alias("root"))
     before = None
     while True:
-        by_key = edges.join(now, "seq").groupBy("key").agg(F.min("entry").alias("entry"))
-        least = edges.join(by_key, "key").groupBy("seq").agg(F.min("entry").alias("entry"))
-        jump = least.select(F.col("seq").alias("_s"), F.col("entry").alias("_e"))
-        now = _written(least.join(jump, F.col("entry") == F.col("_s"), "left").select("seq", F.least("entry", "_e").alias("entry")), "entries")
-        told = now.agg(F.sum(F.col("entry").cast("decimal(38,0)")), F.count("*")).first()  # two numbers; entries only ever get smaller
+        by_key = edges.join(now, "approval_id").groupBy("key").agg(F.min("root").alias("root"))
+        least = edges.join(by_key, "key").groupBy("approval_id").agg(F.min("root").alias("root"))
+        jump = by_key.select(F.col("key").alias("_k"), F.col("root").alias("_r"))
+        now = _written(least.join(jump, F.col("root") == F.col("_k"), "left").select("approval_id", F.least("root", "_r").alias("root")), "entries")
+        told = now.agg(F.sum(F.xxhash64("approval_id", "root").cast("decimal(38,0)")), F.count("*")).first()  # two numbers
         if told == before:
             return now
         before = told
@@ -183,9 +199,10 @@ def _written(df: DataFrame, what: str) -> DataFrame:
 
 
 def surfaces(vocab: DataFrame) -> DataFrame:
-    """Folded kinds and surfaces that belong to one entry only."""
-    x = vocab.select(fold_surface("kind").alias("k"), F.explode(F.concat(F.array("canonical"), "aliases")).alias("s"), "entry", "canonical", "contested").withColumn("s", fold_surface("s"))
-    return x.groupBy("k", "s").agg(F.count_distinct("entry").alias("n"), F.first("entry").alias("entry"), F.first("canonical").alias("canonical"), F.first("contested").alias("contested")).filter("n = 1").drop("n")
+    """Folded kinds and surfaces that belong to one entry only (J12): entries are told apart by their root, or by their number in a table without roots."""
+    who = F.col("root") if "root" in vocab.columns else F.col("entry")
+    x = vocab.select(who.alias("_who"), fold_surface("kind").alias("k"), F.explode(F.concat(F.array("canonical"), "aliases")).alias("s"), "entry", "canonical", "contested").withColumn("s", fold_surface("s"))
+    return x.groupBy("k", "s").agg(F.count_distinct("_who").alias("n"), F.first("entry").alias("entry"), F.first("canonical").alias("canonical"), F.first("contested").alias("contested")).filter("n = 1").drop("n")
 
 
 def carried(entities: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import corrections as C
@@ -161,28 +162,34 @@ def tr9(spark, d):
 
 
 def approvals(spark, d):
+    """Each session counts its own approvals, so numbers repeat across sessions."""
     e = t.read(spark, d, "events")
     k = F.col("event_id")
+    own = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("bigint")
     return e.select(F.concat(F.lit("kind "), (F.col("user_id") % 3).cast("string")).alias("kind"), (k % 20).alias("entry"), F.concat("event_type", F.lit(" "), (k % 60).cast("string")).alias("canonical"),
-        F.array(F.concat(F.lit("alias "), (k % 60).cast("string"))).alias("aliases"), F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string")).alias("approver"), k.alias("seq"))
+        F.array(F.concat(F.lit("alias "), (k % 60).cast("string"))).alias("aliases"), F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string")).alias("approver"), k.alias("event_id"), own.alias("seq"))
 
 
 @register("a39_contested", "WITH l AS (SELECT event_id % 20 AS entry, 'p' || (user_id % 5) AS approver, arg_max(lower(event_type || ' ' || (event_id % 60)), event_id) AS c FROM events GROUP BY 1, 2) SELECT entry, count(DISTINCT c) > 1 AS contested, count(*) AS approvers FROM l GROUP BY 1")
 def a39(spark, d):
-    return C.contested(approvals(spark, d))
+    return C.contested(approvals(spark, d).withColumn("seq", F.col("event_id")))
 
 
-#: Canonical names and aliases of one number belong together here, so an entry is a kind and a number.
-VOCABULARY = r"""WITH o AS (SELECT 'kind ' || (user_id % 3) AS kind, event_id % 60 AS n, event_type || ' ' || (event_id % 60) AS canonical, 'p' || (user_id % 5) AS approver, max(event_id) AS seq FROM events GROUP BY ALL),
-  l AS (SELECT kind, n, approver, arg_max(lower(canonical), seq) AS c FROM o GROUP BY 1, 2, 3), k AS (SELECT kind, n, count(DISTINCT c) > 1 AS contested FROM l GROUP BY 1, 2),
-  nm AS (SELECT kind, n, canonical AS s, max(seq) AS q, 0 AS p FROM o GROUP BY ALL UNION ALL SELECT kind, n, 'alias ' || n, max(seq), 1 FROM o GROUP BY ALL),
-  v AS (SELECT kind, max(seq) AS entry, arg_max(canonical, seq) AS canonical, (SELECT list(s ORDER BY q DESC, p) FROM nm WHERE nm.kind = o.kind AND nm.n = o.n AND s <> arg_max(o.canonical, o.seq)) AS aliases, any_value(contested) AS contested, count(*) AS approvals FROM o JOIN k USING (kind, n) GROUP BY kind, n)"""
+#: Canonical names and aliases of one number belong together here, so an entry is a kind and a number.  Sessions number their approvals themselves; of equal numbers the greater id is the later.
+VOCABULARY = r"""WITH o AS (SELECT kind, n, canonical, approver, max(seq) AS seq, md5(kind || chr(31) || canonical || chr(31) || 'alias ' || n || chr(31) || approver) AS id
+    FROM (SELECT 'kind ' || (user_id % 3) AS kind, event_id % 60 AS n, event_type || ' ' || (event_id % 60) AS canonical, 'p' || (user_id % 5) AS approver, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events) GROUP BY ALL),
+  l AS (SELECT kind, n, approver, lower(canonical) AS c FROM o QUALIFY row_number() OVER (PARTITION BY kind, n, approver ORDER BY seq DESC, id DESC) = 1), k AS (SELECT kind, n, count(DISTINCT c) > 1 AS contested FROM l GROUP BY 1, 2),
+  top AS (SELECT kind, n, seq AS entry, canonical FROM o QUALIFY row_number() OVER (PARTITION BY kind, n ORDER BY seq DESC, id DESC) = 1),
+  nm AS (SELECT kind, n, s, f, seq, id, p FROM (SELECT kind, n, seq, id, unnest([canonical, 'alias ' || n]) AS s, unnest([0, 1]) AS p, lower(unnest([canonical, 'alias ' || n])) AS f FROM o)
+    QUALIFY row_number() OVER (PARTITION BY kind, n, f ORDER BY seq DESC, id DESC, p) = 1),
+  al AS (SELECT nm.kind, nm.n, min(f) AS root, list(s ORDER BY seq DESC, id DESC, p) FILTER (WHERE f <> lower(top.canonical)) AS aliases FROM nm JOIN top ON top.kind = nm.kind AND top.n = nm.n GROUP BY 1, 2),
+  v AS (SELECT kind, root, entry, canonical, aliases, contested, approvals FROM top JOIN al USING (kind, n) JOIN k USING (kind, n) JOIN (SELECT kind, n, count(*) AS approvals FROM o GROUP BY 1, 2) USING (kind, n))"""
 
 
-@register("j13_vocabulary_fold", VOCABULARY + " SELECT kind, entry, canonical, array_to_string(aliases, '|') AS aliases, contested, approvals FROM v")
+@register("j13_vocabulary_fold", VOCABULARY + " SELECT kind, root, entry, canonical, array_to_string(aliases, '|') AS aliases, contested, approvals FROM v")
 def j13(spark, d):
     """Entries are components of approvals by their surfaces."""
-    return C.vocabulary(approvals(spark, d)).withColumn("aliases", F.array_join("aliases", "|"))
+    return C.vocabulary(approvals(spark, d)).withColumn("aliases", F.array_join("aliases", "|")).drop("kind_key")
 
 
 _V = "v AS (SELECT entry, 'kind ' || (entry % 3) AS kind, 'Name ' || entry AS canonical, ['alias ' || entry, 'shared ' || (entry % 4), 'Thon'] AS aliases, entry % 5 = 0 AS contested FROM (SELECT DISTINCT event_id % 20 AS entry FROM events)), sf AS (SELECT kind AS k, s, count(DISTINCT entry) AS n, min(entry) AS entry FROM (SELECT *, lower(trim(unnest(list_concat([canonical], aliases)))) AS s FROM v) GROUP BY 1, 2)"

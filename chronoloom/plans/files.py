@@ -213,15 +213,15 @@ def p26(spark, d):
     return t.read(spark, d, "events").select("event_id", (kind == "ARRAY<STRING>").alias("valid"))
 
 
-@register("tr7_approval_stream", VOCABULARY + " SELECT kind, entry, canonical, contested, approvals FROM v")
+@register("tr7_approval_stream", VOCABULARY + " SELECT kind, root, entry, canonical, array_to_string(aliases, '|') AS aliases, contested, approvals FROM v")
 def tr7(spark, d):
     """Approvals arrive in two lots, the later first; the stream is stopped and started between them."""
     base = sessions.shared_folder(spark, "stream")
-    rows = approvals(spark, d).select("kind", "canonical", "aliases", "approver", "seq")
+    rows = approvals(spark, d).select("kind", "canonical", "aliases", "approver", "seq", "event_id")
     for lot in (1, 0):
-        rows.filter(F.col("seq") % 2 == lot).coalesce(2).write.mode("append").parquet(f"{base}/in")
+        rows.filter(F.col("event_id") % 2 == lot).drop("event_id").coalesce(2).write.mode("append").parquet(f"{base}/in")
         streaming.approval_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint")
-    return streaming.current_entries(spark, f"{base}/out").select("kind", "entry", "canonical", "contested", "approvals")
+    return streaming.current_entries(spark, f"{base}/out").withColumn("aliases", F.array_join("aliases", "|")).drop("kind_key")
 
 
 @register("f7_folded_surfaces", f"WITH {_ALL} SELECT DISTINCT lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS folded FROM scenes")
@@ -295,14 +295,14 @@ def o8(spark, d):
     return t.entities(spark, d).select("session_id", "entity_id", F.array_join(F.slice("turn_ids", 1, 1), ",").alias("shown"))
 
 
-@register("s15_vocabulary_table", VOCABULARY + " SELECT kind, entry, canonical, array_to_string(aliases, '|') AS aliases, contested, approvals FROM v")
+@register("s15_vocabulary_table", VOCABULARY + " SELECT kind, root, entry, canonical, array_to_string(aliases, '|') AS aliases, contested, approvals FROM v")
 def s15(spark, d):
     """The vocabulary written as a table and read again."""
     from ..operators import corrections
 
     path = sessions.shared_folder(spark, "vocabulary")
     corrections.vocabulary(approvals(spark, d)).write.parquet(path)
-    return spark.read.parquet(path).withColumn("aliases", F.array_join("aliases", "|"))
+    return spark.read.parquet(path).withColumn("aliases", F.array_join("aliases", "|")).drop("kind_key")
 
 
 @register("s18_cost_report", "SELECT user_id AS session_id, '{\"session_id\":' || user_id || ',\"requests\":' || count(*) || '}' AS document FROM events GROUP BY 1")

@@ -5,30 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.corrections import vocabulary
+from .vocabulary import APPROVAL, approval_stream, current_entries
 
-APPROVAL = "kind string, canonical string, aliases array<string>, approver string, seq bigint"
-
-
-def approval_stream(spark: SparkSession, source: str, target: str, checkpoint: str) -> None:
-    """T-R7, A39: approvals arrive as Parquet below source; the latest number of each distinct approval is kept as state, and every batch's changed ones are appended to target.
-
-    What is kept is free of order, so late files are right too.  Runs until what is there is read; with its checkpoint it starts again where it stopped.
-    """
-    rows = spark.readStream.schema(APPROVAL).parquet(source)
-    last = rows.groupBy("kind", "canonical", "aliases", "approver").agg(F.max("seq").alias("seq"))
-
-    def write(batch: DataFrame, number: int) -> None:
-        # The batch number makes a repeated batch overwrite itself.
-        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    q = last.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-
-
-def current_entries(spark: SparkSession, target: str) -> DataFrame:
-    """What the stream knows: the entries into which the approvals so far fold by their surfaces, and which are contested."""
-    return vocabulary(spark.read.parquet(target).select("kind", "canonical", "aliases", "approver", "seq"))
+__all__ = ["APPROVAL", "approval_stream", "current_entries", "staged_run"]
 
 
 def staged_run(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, stage) -> None:

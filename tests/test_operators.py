@@ -340,6 +340,65 @@ def test_entries_are_components_of_a_chain(spark):
     assert corrections.vocabulary(spark.createDataFrame([], "kind string, canonical string, aliases array<string>, approver string, seq long")).count() == 0
 
 
+def folded_one_by_one(rows):
+    """Approvals folded in order into a plain list of entries: kind and least surface -> canonical name, aliases, contested, approvals."""
+    fold = lambda x: " ".join(x.lower().split())
+    entries = []
+    for kind, canonical, aliases, approver, _ in rows:
+        names = {fold(x) for x in (canonical, *aliases)}
+        hit = [e for e in entries if e["kind"] == fold(kind) and e["names"] & names]
+        entries = [e for e in entries if e not in hit]
+        said = {k: v for e in hit for k, v in e["said"].items()}
+        said[fold(kind), canonical, tuple(aliases), approver] = canonical
+        entries.append({"kind": fold(kind), "names": names.union(*(e["names"] for e in hit)), "said": said})
+    return {(e["kind"], min(e["names"])): (frozenset(e["names"]), len(e["said"])) for e in entries}
+
+
+def entries_now(df):
+    fold = lambda x: " ".join(x.lower().split())
+    return {(r.kind_key, r.root): (frozenset(fold(x) for x in (r.canonical, *r.aliases)), r.approvals) for r in df.collect()}
+
+
+def test_equal_numbers_join_no_approvals(spark):
+    """Sessions count their own approvals: the same number, kind and approver are no reason to join."""
+    a = spark.createDataFrame([("person", "Ann", ["A1"], "x", 1), ("person", "Zed", ["Z1"], "y", 1), ("Person", "ann", [], "y", 1), ("person", None, ["q"], "x", 1), (None, "Ann", [], "x", 1), ("person", "Ida", None, None, None)], streaming.APPROVAL)
+    got = {r.root: r for r in corrections.vocabulary(a).collect()}
+    assert {k: (r.canonical.lower(), sorted(x.lower() for x in r.aliases), r.contested, r.approvals) for k, r in got.items()} == {"a1": ("ann", ["a1"], False, 2), "z1": ("zed", ["z1"], False, 1), "ida": ("ida", [], False, 1)}
+    assert {(r.k, r.s) for r in corrections.surfaces(corrections.vocabulary(a)).collect()} == {("person", s) for s in ("ann", "a1", "zed", "z1", "ida")}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_state_equals_the_batch_and_a_plain_fold(spark, tmp_path, seed):
+    """Random approvals with equal numbers in four lots, the stream started anew for each: entries as the batch finds them by components and as a plain fold does."""
+    rng = random.Random(seed)
+    name = lambda: rng.choice("ABab") + rng.choice(["el", "EL", "or", " o  r"]) + str(rng.randrange(14))
+    rows = [(rng.choice(["person", "Person", "place"]), name(), [name() for _ in range(rng.randrange(3))], rng.choice(["x", "y", None]), rng.randrange(6)) for _ in range(60)]
+    base, seen = str(tmp_path), []
+    for i in range(0, 60, 15):
+        seen += rows[i : i + 15]
+        spark.createDataFrame(rows[i : i + 15], streaming.APPROVAL).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        streaming.approval_stream(spark, f"{base}/in", f"{base}/out", f"{base}/c")
+        now = streaming.current_entries(spark, f"{base}/out")
+        assert entries_now(now) == folded_one_by_one(seen)
+        key = lambda r: (r.kind_key, r.root)
+        assert sorted(now.collect(), key=key) == sorted(corrections.vocabulary(spark.createDataFrame(seen, streaming.APPROVAL)).collect(), key=key)
+    # What comes again changes nothing, so nothing leaves the state.
+    before = spark.read.parquet(f"{base}/out").count()
+    spark.createDataFrame(rows[:10], streaming.APPROVAL).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    streaming.approval_stream(spark, f"{base}/in", f"{base}/out", f"{base}/c")
+    assert spark.read.parquet(f"{base}/out").count() == before
+
+
+def test_only_changed_entries_leave_a_batch(spark, tmp_path):
+    base = str(tmp_path)
+    lot = lambda rows: (spark.createDataFrame(rows, streaming.APPROVAL).coalesce(1).write.mode("append").parquet(f"{base}/in"), streaming.approval_stream(spark, f"{base}/in", f"{base}/out", f"{base}/c"))
+    lot([("k", f"n{i}", [], "x", i) for i in range(20)])
+    lot([("k", "n3", ["n7"], "y", 1)])
+    last = spark.read.parquet(f"{base}/out").filter("version = 2").collect()
+    assert sorted((r.root, r.gone) for r in last) == [("n3", False), ("n7", True)]
+    assert streaming.current_entries(spark, f"{base}/out").count() == 19
+
+
 def test_loudness(spark):
     assert one(spark, engines.loudness(F.lit("RMS_level=-20.5\nRMS_level=-inf\nRMS_level=nan"))) == [-20.5, -120.0, -120.0]
 
