@@ -64,12 +64,9 @@ def fold_surface(s) -> Column:
 
 def stem(token) -> Column:
     """F8: lower case, straight apostrophes, none at the ends, and at most one clitic off if over one character is left."""
-    low = F.regexp_replace(F.replace(F.lower(_c(token)), F.lit("’"), F.lit("'")), "^'+|'+$", "")
-    out = low
-    for clitic in reversed(CLITICS):
-        n = len(clitic)
-        out = F.when(low.endswith(clitic) & (F.length(low) > n + 1), F.substring(low, F.lit(1), F.length(low) - n)).otherwise(out)
-    return out
+    low = F.replace(F.lower(_c(token)), F.lit("’"), F.lit("'"))
+    bare = F.regexp_replace(F.regexp_replace(low, "^'+|'+$", ""), f"(?<=..)(?:{'|'.join(CLITICS)})$", "")  # no ending is the end of another, so their order does not matter
+    return F.when(F.contains(low, F.lit("'")), bare).otherwise(low)
 
 
 def fold_key(key) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_surface
+from ..sources.sessions import written
 from .claims import ordered_distinct
 
 # What a person may answer, and the state of the question after it.
@@ -158,7 +159,7 @@ def vocabulary(approvals: DataFrame) -> DataFrame:
     """
     order = F.struct(F.coalesce("seq", F.lit(-(1 << 62))), "approval_id")
     same = ["approval_id", "kind_key", "canonical", "aliases", "approver", "surfaces"]
-    once = _written(identified(approvals).groupBy(*same).agg(F.max("seq").alias("seq"), F.max_by("kind", F.struct("seq", "kind")).alias("kind")), "approvals")
+    once = written(identified(approvals).groupBy(*same).agg(F.max("seq").alias("seq"), F.max_by("kind", F.struct("seq", "kind")).alias("kind")), "approvals")
     roots = entries_of(once.select("approval_id", F.explode(F.transform(F.array_distinct("surfaces"), lambda s: F.concat_ws("\x1f", "kind_key", s))).alias("key")))
     x = once.join(roots, "approval_id").withColumn("at", order).withColumn("names", F.concat(F.array("canonical"), "aliases"))
     last = x.groupBy("root", "approver").agg(F.max_by(fold_surface("canonical"), "at").alias("c")).groupBy("root").agg((F.count_distinct("c") > 1).alias("contested"))
@@ -175,29 +176,20 @@ def entries_of(edges: DataFrame) -> DataFrame:
 
     Each round gives a key the least root of its approvals, an approval the least of its keys, and then follows roots to their own; the rounds needed grow with the logarithm of a chain.
     """
-    edges = _written(edges, "edges")
+    edges = written(edges, "edges")
     now = edges.groupBy("approval_id").agg(F.min("key").alias("root"))
     before = None
     while True:
         by_key = edges.join(now, "approval_id").groupBy("key").agg(F.min("root").alias("root"))
         least = edges.join(by_key, "key").groupBy("approval_id").agg(F.min("root").alias("root"))
         jump = by_key.select(F.col("key").alias("_k"), F.col("root").alias("_r"))
-        now = _written(least.join(jump, F.col("root") == F.col("_k"), "left").select("approval_id", F.least("root", "_r").alias("root")), "entries")
+        now = written(least.join(jump, F.col("root") == F.col("_k"), "left").select("approval_id", F.least("root", "_r").alias("root")), "entries")
         told = now.agg(F.sum(F.xxhash64("approval_id", "root").cast("decimal(38,0)")), F.count("*")).first()  # two numbers
         if told == before:
             return now
         before = told
 
 
-def _written(df: DataFrame, what: str) -> DataFrame:
-    """Cuts the lineage by a table in shared storage."""
-    from ..sources.sessions import shared_folder
-
-    path = shared_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def surfaces(vocab: DataFrame) -> DataFrame:
     """Folded kinds and surfaces that belong to one entry only (J12): entries are told apart by their root, or by their number in a table without roots."""
     who = F.col("root") if "root" in vocab.columns else F.col("entry")

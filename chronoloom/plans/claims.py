@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import claims as C
 from ..operators import names as N
+from ..sources.sessions import written
 from . import register, tables as t
 
 W = "WITH "
@@ -232,17 +233,17 @@ def f12(spark, d):
 
 @register("a30_surface_forms", f"{W}{t.TURNS}, {_R} SELECT session_id, stem, token, occurrences, turn_ids FROM forms")
 def a30(spark, d):
-    return _forms(spark, d).drop("zipf")
+    return _forms(spark, d)
 
 
 @register("j16_edit_distance_pairs", f"{W}{t.TURNS}, {_R} SELECT session_id, a, b FROM pairs")
 def j16(spark, d):
-    return N.near_pairs(_forms(spark, d).select("session_id", "stem").distinct())
+    return N.near_pairs(written(_forms(spark, d).select("session_id", "stem").distinct(), "stems"))
 
 
 @register("g1_stem_clusters", f"WITH RECURSIVE {t.TURNS}, {_R}, {_CLUSTER} SELECT session_id, stem, root FROM roots")
 def g1(spark, d):
-    stems = _forms(spark, d).select("session_id", "stem").distinct()
+    stems = written(_forms(spark, d).select("session_id", "stem").distinct(), "stems")
     return N.clusters(stems, N.near_pairs(stems))
 
 
@@ -283,7 +284,8 @@ def p20(spark, d):
 SELECT floor, session_id, count(DISTINCT stem) AS stems, count(*) AS tokens FROM rare, fl WHERE zipf < floor GROUP BY 1, 2""")
 def a38(spark, d):
     floors = F.broadcast(spark.createDataFrame([(2.0,), (3.0,), (3.6,)], "floor double"))
-    rare = N.rare_tokens(N.surface_tokens(t.turns(spark, d)), N.lexicon(t.read(spark, d, "documents")), 99.0)
+    words = N.lexicon(t.read(spark, d, "documents"))
+    rare = N.with_zipf(N.rare_tokens(N.surface_tokens(t.turns(spark, d)), words, 99.0), words)
     return rare.join(floors, F.col("zipf") < F.col("floor")).groupBy("floor", "session_id").agg(F.count_distinct("stem").alias("stems"), F.count("*").alias("tokens"))
 
 

@@ -32,6 +32,19 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df as a table in the shared folder: made once, whoever reads it, and still there when an executor is lost."""
+    path = shared_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores, where its files give fewer splits than there are cores (so it is small); what is read in more splits stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fixtures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FIXTURE).option("multiLine", True).json(path)
 

@@ -154,8 +154,9 @@ def test_misheard_names_cluster(spark):
     assert [(r.root, r.stems, r.occurrences, r.grounds) for r in got] == [("brannoc", 2, 2, "spelled 2 ways")]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_clusters_are_components(spark, seed):
+@pytest.mark.parametrize(("seed", "few"), [(0, 20_000), (1, 0), (2, 5)])
+def test_clusters_are_components(spark, monkeypatch, seed, few):
+    monkeypatch.setattr(names, "FEW", few)
     rng = random.Random(seed)
     words = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(4, 7))) for _ in range(25)})
     stems = spark.createDataFrame([(1, w) for w in words], "session_id long, stem string")
@@ -168,6 +169,23 @@ def test_clusters_are_components(spark, seed):
     assert {r.stem: r.root for r in names.clusters(stems, pairs).collect()} == root
 
 
+def test_chains_of_links_are_one_cluster(spark, monkeypatch):
+    """Long chains in order, the same words in two sessions, and rounds of contraction only."""
+    monkeypatch.setattr(names, "FEW", 0)
+    words = [f"w{i:03d}" for i in range(60)]
+    stems = spark.createDataFrame([(s, w) for s in (1, 2) for w in words] + [(3, "alone")], "session_id long, stem string")
+    links = spark.createDataFrame([(1, a, b) for a, b in zip(words, words[1:])] + [(2, a, b) for i, (a, b) in enumerate(zip(words, words[1:])) if i != 29], "session_id long, a string, b string")
+    got = {(r.session_id, r.stem): r.root for r in names.clusters(stems, links).collect()}
+    assert got == {**{(1, w): "w000" for w in words}, **{(2, w): "w000" if i < 30 else "w030" for i, w in enumerate(words)}, (3, "alone"): "alone"}
+    assert {r.root for r in names.clusters(stems, links.limit(0)).collect()} == {*words, "alone"}
+
+
+def test_stems_drop_one_ending(spark):
+    rows = {"Thon's": "thon", "’Tis": "tis", "he'll": "he", "a'll": "a'll", "don't": "do", "n't": "n't", "''x''": "x", "we’ve": "we", "O'Er": "o'er", "it's's": "it's", "": ""}
+    df = spark.createDataFrame([(k,) for k in rows], "token string")
+    assert {r.token: r.stem for r in df.withColumn("stem", T.stem("token")).collect()} == rows
+
+
 def test_contamination_steps(spark):
     s = spark.createDataFrame([(1, False), (2, False), (3, False), (4, True)], "session_id long, declared_truth boolean")
     e = spark.createDataFrame([(1, "alpha.cpp"), (1, "big-v2.bin"), (2, "alpha.cpp"), (3, "beta")], "session_id long, value string")
@@ -416,6 +434,25 @@ def test_controls_meet_only_what_holds_their_first_token(spark):
     assert sorted((r.i, r.term) for r in scoring.holding(rows, terms).collect()) == [(1, "Gate"), (1, "red gate"), (2, "Gate"), (3, "Gate"), (3, "red gate")]
 
 
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh"])
+def test_no_pair_of_any_length_is_lost(spark, letters):
+    """Words of one letter to a dozen and one or two edits of each, in two sessions; no join of all with all in the plan."""
+    rng = random.Random(len(letters))
+    words = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(150)}
+    for w in list(words):
+        for _ in range(rng.randint(1, 2)):
+            i = rng.randrange(max(1, len(w)))
+            w = rng.choice([w[:i] + w[i + 1 :], w[:i] + rng.choice(letters) + w[i:], w[:i] + rng.choice(letters) + w[i + 1 :]])
+            words |= {w} - {""}
+    rows = [(len(w) % 2, w) for w in words] + [(2, w) for w in words]
+    stems = spark.createDataFrame(rows, "session_id long, stem string")
+    pairs = names.near_pairs(stems)
+    plain = spark.createDataFrame([(s, a, b) for s, a in rows for t, b in rows if s == t and a < b], "session_id long, a string, b string").filter(T.near("a", "b"))
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, plain.collect())) and pairs.count() > 100
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "_s#" in plan
+
+
 def test_near_pairs_are_all_found(spark):
     rng = random.Random(8)
     words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 9))) for _ in range(120)})
