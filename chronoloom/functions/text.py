@@ -70,8 +70,10 @@ def stem(token) -> Column:
 
 
 def fold_key(key) -> Column:
-    """front-matter keys that differ in separators are one."""
-    return F.regexp_replace(F.lower(F.trim(_c(key))), r"[\s\-]+", "_")
+    """front-matter keys that differ in separators are one: runs of blanks and dashes become an underscore."""
+    words = F.filter(F.split(F.translate(F.lower(F.trim(_c(key))), "-\t\n\r", "    "), " "), lambda w: w != "")
+    edge = lambda at: F.when(F.substr(F.trim(_c(key)), F.lit(at), F.lit(1)) == "-", "_").otherwise("")
+    return F.concat(edge(1), F.array_join(words, "_"), F.when(F.size(words) > 0, edge(-1)).otherwise(""))
 
 
 def tolerance(a, b, short: int = 6) -> Column:
@@ -90,29 +92,32 @@ def name_tokens(text) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(TOKEN), F.lit(0))
 
 
-def links(text) -> Column:
-    """an array of (target, anchor, display, is_embed).
+def link_pieces(text) -> Column:
+    """What stands before each closing pair of brackets, since the one before."""
+    pieces = F.split(_c(text), r"\]\]")
+    return F.slice(pieces, 1, F.size(pieces) - 1)
+
+
+def link_in(piece: Column) -> Column:
+    """the link (target, anchor, display, is_embed) that a piece ends with, or null.
 
-    What follows an opening pair of brackets, up to the first closing bracket, is a link if that is a pair, on one line and not empty; an exclamation mark before it makes it an embed.
+    A link is on one line and holds no closing bracket, so it begins with the first opening pair after the last of both; an exclamation mark before that makes it an embed.  An empty one is none.
     """
-    pieces = F.split(_c(text), r"(?=!\[\[)|(?<!!)(?=\[\[)")  # each but the first begins with its brackets or their mark
-
-    def one(piece: Column) -> Column:
-        bang = F.startswith(piece, F.lit("!"))
-        part = F.substr(piece, F.when(bang, F.lit(4)).otherwise(F.lit(3)))
-        stop = F.instr(part, "]")
-        body = F.when((F.startswith(piece, F.lit("[[")) | F.startswith(piece, F.lit("![["))) & (stop > 1) & (F.substr(part, stop, F.lit(2)) == "]]"), F.substr(part, F.lit(1), stop - 1))
-        bar, left = F.instr(body, "|"), F.split_part(body, F.lit("|"), F.lit(1))
-        mark = F.instr(left, "#")
-        return F.when(
-            body.isNotNull() & (F.instr(body, "\n") == 0),
-            F.struct(
-                F.trim(F.split_part(left, F.lit("#"), F.lit(1))).alias("target"), F.nullif(F.trim(F.when(mark > 0, F.substr(left, mark + 1))), F.lit("")).alias("anchor"),
-                F.nullif(F.trim(F.when(bar > 0, F.substr(body, bar + 1))), F.lit("")).alias("display"), bang.alias("is_embed"),
-            ),
-        )
-
-    return F.array_compact(F.transform(pieces, one))
+    tail = F.substring_index(F.substring_index(piece, "]", -1), "\n", -1)
+    at = F.instr(tail, "[[")
+    body = F.when(at > 0, F.nullif(F.substr(tail, at + 2), F.lit("")))
+    bar = F.instr(body, "|")
+    left = F.when(bar > 0, F.substr(body, F.lit(1), bar - 1)).otherwise(body)
+    mark = F.instr(left, "#")
+    target = F.when(mark > 0, F.substr(left, F.lit(1), mark - 1)).otherwise(left)
+    rest = lambda ok, whole, place: F.nullif(F.trim(F.when(ok, F.substr(whole, place + 1))), F.lit(""))
+    link = F.struct(F.trim(target).alias("target"), rest(mark > 0, left, mark).alias("anchor"), rest(bar > 0, body, bar).alias("display"), F.coalesce(F.substr(tail, at - 1, F.lit(1)) == "!", F.lit(False)).alias("is_embed"))
+    return F.when(body.isNotNull(), link)
+
+
+def links(text) -> Column:
+    """an array of the links of a text."""
+    return F.array_compact(F.transform(link_pieces(text), link_in))
 
 
 def link_name(target) -> Column:
@@ -127,8 +132,19 @@ def region_digest(body) -> Column:
 
 
 def session_reference(title) -> Column:
-    """the number after the word session, if a word ends there."""
-    return F.nullif(F.regexp_extract(F.lower(_c(title)), "(?<![a-z0-9_])session[ \t]*#?([0-9]+)(?![a-z0-9_])", 1), F.lit("")).cast("int")
+    """the number that follows the word session, after blanks and a number sign, if any; the first such number that ends as a word does."""
+    parts = F.split(F.lower(_c(title)), "session")
+    letter = r"[\p{L}\p{N}_]"
+
+    def number(part: Column, i: Column) -> Column:
+        before = F.get(parts, i - 1)
+        rest = F.ltrim(part, F.lit(" \t"))
+        rest = F.when(F.startswith(rest, F.lit("#")), F.substr(rest, F.lit(2))).otherwise(rest)
+        after = F.ltrim(rest, F.lit("0123456789"))
+        word = (i > 0) & ~before.rlike(letter + "$") & ((i == 1) | (before != "")) & (after != rest) & ~after.rlike("^" + letter)
+        return F.when(word, F.substr(rest, F.lit(1), F.length(rest) - F.length(after)))
+
+    return F.get(F.array_compact(F.transform(parts, number)), F.lit(0)).try_cast("int")
 
 
 def render_turn(turn_id, speaker, text) -> Column:

@@ -78,7 +78,7 @@ def near_pairs(stems: DataFrame, key: str = "session_id") -> DataFrame:
     or three a word in the index and up to sixteen in search of them, so no session's stems are all compared; distances are computed for what has met only."""
     index = _segments(stems, key, "_a", [(k, 0, i, 0) for k in (1, 2) for i in range(k + 1)])
     probe = _segments(stems, key, "_b", PROBES)
-    met = probe.join(index, ["_k", "_n", "_i", "_s"]).filter("_a <> _b")
+    met = probe.join(index, ["_k", "_n", "_i", "_s"]).filter("_n < length(_b) or _a < _b")  # words of one length find each other: once is enough
     pairs = met.select(F.col("_k").alias(key), F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
     return pairs.filter(near("a", "b"))
 
@@ -133,6 +133,8 @@ def linked(pairs: DataFrame, key: str = "session_id") -> DataFrame:
         ends = written(moved(step), "ends")
         x, y = step.select(key, "a", F.col("end").alias("x")), step.select(key, F.col("a").alias("b"), F.col("end").alias("y"))
         edges = written(edges.join(x, [key, "a"]).join(y, [key, "b"]).filter("x <> y").select(key, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+    if ends is None:
+        return _joined(edges, key).select(key, F.col("a").alias("stem"), F.col("end").alias("root"))
     ends = moved(_joined(edges, key))
     roots = ends.groupBy(key, "end").agg(F.min("a").alias("root"))
     return ends.join(roots, [key, "end"]).select(key, F.col("a").alias("stem"), "root")
@@ -141,8 +143,7 @@ def linked(pairs: DataFrame, key: str = "session_id") -> DataFrame:
 def candidates(turns: DataFrame, words: DataFrame, floor: float = FLOOR, key: str = "session_id") -> DataFrame:
     """Name candidates of each session, the most contradictory first: id, forms, occurrences, distinct stems, grounds."""
     f = written(with_zipf(forms(rare_tokens(surface_tokens(turns, key), words, floor), key), words), "forms")
-    stems = written(f.select(key, "stem").distinct(), "stems")
-    rooted = f.join(linked(near_pairs(stems, key), key), [key, "stem"], "left").withColumn("root", F.coalesce("root", "stem"))
+    rooted = f.join(linked(near_pairs(f.select(key, "stem").distinct(), key), key), [key, "stem"], "left").withColumn("root", F.coalesce("root", "stem"))
     best = F.array_sort(F.collect_list(F.struct((-F.col("occurrences")).alias("neg"), F.col("token").alias("text"), "turn_ids", "zipf")))
     g = rooted.groupBy(key, "root").agg(best.alias("f"), F.sum("occurrences").alias("occurrences"), F.count_distinct("stem").alias("stems"), F.count_distinct(F.lower("token")).alias("spellings"))
     grounds = F.when(F.col("stems") > 1, F.format_string("spelled %d ways", F.col("stems"))).when(F.get("f", F.lit(0))["zipf"] == 0, "in no lexicon").otherwise("rare in general")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.sessions import spread
+from .order import streamed_digest
 
 # Front-matter keys that would tell generated content from authored, and folders and files of the application.
 PROVENANCE_KEYS = ("generated", "generated_by", "generated_at", "generated_on", "provenance", "authored_by", "author", "created_by", "source_tool", "tool")
@@ -21,7 +23,8 @@ def _fields(lines: Column) -> Column:
         colon = F.instr(line, ":")
         name = F.substr(line, F.lit(1), colon - 1)
         raw = F.trim(F.regexp_replace(F.substr(line, colon + 1), "^[ \t]+", ""))
-        shape = F.when(F.coalesce(following, F.lit("")).rlike(r"^[ \t]*-[ \t]+\S"), "block-list").when(raw == "", "empty").when(F.contains(raw, F.lit(",")), "comma-string").otherwise("scalar")
+        item = F.ltrim(F.coalesce(following, F.lit("")), F.lit(" \t"))  # a dash, a blank, and something else
+        shape = F.when(F.startswith(item, F.lit("-")) & F.substring(item, 2, 1).isin(" ", "\t") & (F.trim(F.substr(item, F.lit(2)), F.lit(" \t")) != ""), "block-list").when(raw == "", "empty").when(F.contains(raw, F.lit(",")), "comma-string").otherwise("scalar")
         return F.when((colon > 1) & name.rlike("^[A-Za-z0-9_]") & ~name.rlike("[^A-Za-z0-9_ -]"), F.struct(F.trim(name).alias("key"), shape.alias("shape"), raw.alias("raw")))
 
     return F.filter(F.zip_with(lines, F.slice(lines, 2, 1 << 30), one), lambda f: f.isNotNull())
@@ -54,12 +57,11 @@ def parse(files: DataFrame) -> DataFrame:
 
     F18: front matter is what stands between a first line of three dashes and the next such line, if that is not the very next one.
     """
-    name = F.element_at(F.split("path", "/"), -1)
-    out = _once(_once(files, "path", "content"), "path", "content", F.split("content", "\r?\n").alias("lines"))
+    out = _once(_once(spread(files.select("path", "content")), "path", "content"), "path", "content", F.split("content", "\r?\n").alias("lines"))
     closing = F.array_position(F.transform("lines", lambda x, i: (i > 0) & F.startswith(x, F.lit("---")) & (F.rtrim(F.replace(x, F.lit("\t"), F.lit(" "))) == "---")), True).cast("int")
     out = _once(out, "path", "content", "lines", F.when((F.get("lines", F.lit(0)) == "---") & (closing > 2), closing).otherwise(F.lit(0)).alias("_first"))
     out = out.select(
-        "path", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(".")).alias("folder"), F.regexp_replace(name, r"\.md$", "").alias("title"), F.octet_length("content").alias("size_bytes"),
+        "path", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(".")).alias("folder"), title_of("path").alias("title"), F.octet_length("content").alias("size_bytes"),
         _fields(F.slice("lines", 2, F.greatest(F.lit(0), F.col("_first") - 2))).alias("fields"), "lines", _headings(F.col("lines"), F.col("_first")).alias("sections"), T.links("content").alias("links"),
     )
     kind = F.get(F.filter("fields", lambda f: f["key"] == "type"), F.lit(0))["raw"]
@@ -67,8 +69,21 @@ def parse(files: DataFrame) -> DataFrame:
     return out.withColumn("note_type", F.nullif(kind, F.lit(""))).withColumn("h1", h1)
 
 
+def title_of(path) -> Column:
+    """A note's title: its file's name without the suffix."""
+    name = F.substring_index(path, "/", -1)
+    return F.when(F.endswith(name, F.lit(".md")), F.expr(f"substring(substring_index({path}, '/', -1), 1, length(substring_index({path}, '/', -1)) - 3)")).otherwise(name)
+
+
 def links(notes: DataFrame) -> DataFrame:
-    return notes.select("path", F.posexplode("links").alias("pos", "l")).select("path", "pos", "l.*").withColumn("basename", T.link_name("target"))
+    """a row a link, from files (path, content) or parsed notes."""
+    if "links" in notes.columns:
+        x = notes.select("path", F.posexplode("links").alias("pos", "l")).select("path", "pos", "l.*")
+    else:
+        # An outer generator: for the other one the optimiser would split every text twice, to look whether it has pieces.
+        x = spread(notes.select("path", "content")).select("path", F.posexplode_outer(T.link_pieces("content")).alias("pos", "_piece"))
+        x = x.withColumn("l", T.link_in(F.col("_piece"))).filter("l is not null").select("path", "pos", "l.*")
+    return x.withColumn("basename", T.link_name("target"))
 
 
 def fields(notes: DataFrame) -> DataFrame:
@@ -84,8 +99,9 @@ def body_sections(notes: DataFrame) -> DataFrame:
 
 
 def resolved(notes: DataFrame) -> DataFrame:
-    """Links with how many notes have the title that they name, and the class of that."""
-    titles = notes.groupBy(F.col("title").alias("_title")).agg(F.count("*").alias("hits"))
+    """Links of files (path, content) or parsed notes, with how many notes have the title that they name, and the class of that.  Titles of files need their paths alone."""
+    title = F.col("title") if "title" in notes.columns else title_of("path")
+    titles = notes.select(title.alias("_title")).groupBy("_title").agg(F.count("*").alias("hits"))
     x = links(notes).join(titles, F.col("basename") == F.col("_title"), "left").withColumn("hits", F.coalesce("hits", F.lit(0))).drop("_title")
     return x.withColumn("state", F.when(F.col("is_embed"), "embed").when(F.col("hits") == 0, "unresolved").when(F.col("hits") == 1, "resolved").otherwise("ambiguous"))
 
@@ -162,10 +178,8 @@ def ownership(notes: DataFrame, targets: DataFrame, records: DataFrame) -> DataF
 def tree_digest(files: DataFrame) -> DataFrame:
     """One digest of all files in the order of their path's parts, with files, bytes and the newest time.
 
-    The digest depends on the order of everything, so 32 bytes and a path of each file meet in one row, as the definition asks; contents do not.
+    Contents are digested where they are; a path and 32 bytes of each file are sorted by ranges and streamed through one task, in order and in constant memory.
     """
-    item = F.struct(F.split("path", "/").alias("k"), F.concat(F.col("path").cast("binary"), F.lit(b"\x00"), F.unhex(F.sha2(F.col("content").cast("binary"), 256))).alias("b"))
-    return files.agg(
-        F.count("*").alias("files"), F.sum(F.octet_length("content")).alias("total_bytes"), F.max("modified").alias("newest"),
-        F.sha2(F.aggregate(F.array_sort(F.collect_list(item)), F.lit(b""), lambda a, x: F.concat(a, x["b"])), 256).alias("digest"),
-    )
+    item = F.concat(F.col("path").cast("binary"), F.lit(b"\x00"), F.unhex(F.sha2(F.col("content").cast("binary"), 256)))
+    totals = files.agg(F.count("*").alias("files"), F.sum(F.octet_length("content")).alias("total_bytes"), F.max("modified").alias("newest"))
+    return totals.crossJoin(streamed_digest(files.select(F.split("path", "/").alias("k"), item.alias("b")), "b", "k", "b"))  # a row and a row

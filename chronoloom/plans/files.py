@@ -323,7 +323,7 @@ SELECT 'notes' AS key, count(*)::BIGINT AS items FROM files UNION ALL SELECT 'no
 UNION ALL SELECT 'inconsistent_value_shapes', count(*) FROM (SELECT key FROM fm GROUP BY 1 HAVING count(DISTINCT shape) > 1) UNION ALL SELECT 'link_topology', count(*) FROM rs WHERE NOT is_embed
 UNION ALL SELECT 'stubs', count(*) FROM notes WHERE size_bytes < 16 AND path NOT IN (SELECT path FROM sec) AND path NOT IN (SELECT path FROM fm) UNION ALL SELECT 'accumulation_positions', count(DISTINCT p) + max(final::INT) FROM ps UNION ALL SELECT 'edge_sections', count(*) FROM eg
 UNION ALL SELECT 'recurring_sections', count(*) FROM (SELECT coalesce(note_type, '(untyped)') AS k, s.title FROM sec s JOIN notes USING (path) WHERE level >= 2 GROUP BY 1, 2 HAVING count(DISTINCT path) >= 2)
-UNION ALL SELECT 'provenance_signals', count(DISTINCT key) FROM fm WHERE regexp_replace(lower(trim(key)), '[\\s\\-]+', '_', 'g') IN ({', '.join(repr(k) for k in N.PROVENANCE_KEYS)})""")
+UNION ALL SELECT 'provenance_signals', count(DISTINCT key) FROM fm WHERE replace(replace(lower(trim(key)), '-', '_'), ' ', '_') IN ({', '.join(repr(k) for k in N.PROVENANCE_KEYS)})""")
 def s20(spark, d):
     """The document's eleven parts, with how much each holds (of the links their total)."""
     document = sinks.survey_document(N.parse(note_files(spark, d)))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import notes as N
+from ..operators.order import placed
 from . import register, tables as t
 
 NL = "\n"
@@ -18,7 +19,7 @@ def files(spark, d):
     title = c(lit("Note "), s(k % 930))
     pick = lambda n, a, b: F.when(k % n == 0, lit(a)).otherwise(lit(b))
     front = c(lit("---\ntype: "), F.when(k % 7 == 0, "").when(k % 3 == 0, "person").otherwise("place"), lit("\ntags:\n  - one\nrelated npcs: "), pick(3, "a, b", "a"), pick(4, "\ngenerated-by:", "\nmood: dark"), lit("\n---\n"))
-    body = c(lit("# "), F.when(k % 6 == 0, "Other").otherwise(title), lit("\n"), F.regexp_replace(F.coalesce("text", lit("")), "[^A-Za-z .#:\n-]", " "), lit("\n## Session "), s(k % 9),
+    body = c(lit("# "), F.when(k % 6 == 0, "Other").otherwise(title), lit("\n"), F.coalesce("text", lit("")), lit("\n## Session "), s(k % 9),
              lit(" log\n See [[Note "), s((k * 7) % 1100), lit("]] and [[places/Note "), s((k * 3) % 930), lit(".md|shown]] ![[map.png]]  \n### Detail\nx [[Dr. Grey#part]] ![[Note 1]]\n## "), pick(5, "Places", "History"),
              lit("\n  - y\n\n"), pick(8, "## History\nz\n", ""))
     content = F.when(k % 50 == 7, lit("")).otherwise(c(F.when(k % 10 == 3, lit("")).otherwise(front), body))
@@ -28,21 +29,28 @@ def files(spark, d):
 _N = r"""files AS (SELECT source || '/Note ' || (doc_id % 930) || '.md' AS path, doc_id * 1000 AS modified, CASE WHEN doc_id % 50 = 7 THEN '' ELSE
   CASE WHEN doc_id % 10 = 3 THEN '' ELSE e'---\ntype: ' || CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 3 = 0 THEN 'person' ELSE 'place' END || e'\ntags:\n  - one\nrelated npcs: ' || CASE WHEN doc_id % 3 = 0 THEN 'a, b' ELSE 'a' END
     || CASE WHEN doc_id % 4 = 0 THEN e'\ngenerated-by:' ELSE e'\nmood: dark' END || e'\n---\n' END
-  || '# ' || CASE WHEN doc_id % 6 = 0 THEN 'Other' ELSE 'Note ' || (doc_id % 930) END || e'\n' || regexp_replace(coalesce(text, ''), '[^A-Za-z .#:\n-]', ' ', 'g') || e'\n## Session ' || (doc_id % 9)
+  || '# ' || CASE WHEN doc_id % 6 = 0 THEN 'Other' ELSE 'Note ' || (doc_id % 930) END || e'\n' || coalesce(text, '') || e'\n## Session ' || (doc_id % 9)
   || e' log\n See [[Note ' || ((doc_id * 7) % 1100) || ']] and [[places/Note ' || ((doc_id * 3) % 930) || e'.md|shown]] ![[map.png]]  \n### Detail\nx [[Dr. Grey#part]] ![[Note 1]]\n## ' || CASE WHEN doc_id % 5 = 0 THEN 'Places' ELSE 'History' END
   || e'\n  - y\n\n' || CASE WHEN doc_id % 8 = 0 THEN e'## History\nz\n' ELSE '' END END AS content FROM documents),
-ls AS (SELECT path, content, i, lines[i] AS line, lines[i + 1] AS following, len(lines) AS n FROM (SELECT path, content, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT *, string_split(content, chr(10)) AS lines FROM files))),
+ls AS (SELECT path, content, i, lines[i] AS line, ltrim(coalesce(lines[i + 1], ''), ' ' || chr(9)) AS nxt, len(lines) AS n FROM (SELECT path, content, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT *, string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)) AS lines FROM files))),
 fe AS (SELECT path, CASE WHEN starts_with(any_value(content), e'---\n') THEN min(i) FILTER (WHERE i > 1 AND line = '---') ELSE 0 END AS e, max(n) AS n FROM ls GROUP BY 1),
-fields AS (SELECT path, i, trim(regexp_extract(line, '^([A-Za-z0-9_][A-Za-z0-9_\- ]*):[ \t]*(.*)$', 1)) AS key, trim(regexp_extract(line, '^([A-Za-z0-9_][A-Za-z0-9_\- ]*):[ \t]*(.*)$', 2)) AS raw, following FROM ls JOIN fe USING (path) WHERE i > 1 AND i < e),
-fm AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY i) - 1 AS pos, key, CASE WHEN regexp_matches(following, '^[ \t]*-[ \t]+\S') THEN 'block-list' WHEN raw = '' THEN 'empty' WHEN contains(raw, ',') THEN 'comma-string' ELSE 'scalar' END AS shape, raw FROM fields WHERE key <> ''),
-hd AS (SELECT path, i AS line, length(regexp_extract(line, '^(#{1,6})[ \t]+(.+?)[ \t]*$', 1)) AS level, trim(regexp_extract(line, '^(#{1,6})[ \t]+(.+?)[ \t]*$', 2)) AS title, fe.n FROM ls JOIN fe USING (path) WHERE i > e AND regexp_matches(line, '^#{1,6}[ \t]+.')),
-sec AS (SELECT *, CASE WHEN level >= 2 THEN sum(CASE WHEN level >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) - 1 ELSE -1 END::INT AS idx, try_cast(nullif(regexp_extract(title, '(?i)\bsession[ \t]*#?(\d+)\b', 1), '') AS INT) AS session_ref FROM hd),
-notes AS (SELECT f.path, regexp_replace(f.path, '/[^/]*$', '') AS folder, regexp_replace(split(f.path, '/')[-1], '\.md$', '') AS title, strlen(content) AS size_bytes, nullif((SELECT arg_min(raw, pos) FROM fm WHERE fm.path = f.path AND key = 'type'), '') AS note_type,
-  (SELECT arg_min(title, line) FROM sec WHERE sec.path = f.path AND level = 1) AS h1 FROM files f),
-lk0 AS (SELECT path, a, b FROM (SELECT path, unnest(regexp_extract_all(content, '(!?)\[\[([^\]\n]+)\]\]', 1)) AS a, unnest(regexp_extract_all(content, '(!?)\[\[([^\]\n]+)\]\]', 2)) AS b FROM files)),
-lk AS (SELECT path, a = '!' AS is_embed, trim(split_part(split_part(b, '|', 1), '#', 1)) AS target, CASE WHEN contains(split_part(b, '|', 1), '#') THEN nullif(trim(split_part(split_part(b, '|', 1), '#', 2)), '') END AS anchor,
-  CASE WHEN contains(b, '|') THEN nullif(trim(split_part(b, '|', 2)), '') END AS display FROM lk0),
-lb AS (SELECT *, regexp_replace(split(target, '/')[-1], '(.)\.(png|jpg|jpeg|webp|gif|svg|pdf|md)$', '\1', 'i') AS basename FROM lk),
+cut AS (SELECT path, i, nxt, left(line, instr(line, ':') - 1) AS name, trim(ltrim(substr(line, instr(line, ':') + 1), ' ' || chr(9))) AS raw FROM ls JOIN fe USING (path) WHERE i > 1 AND i < e AND instr(line, ':') > 1),
+fm AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY i) - 1 AS pos, trim(name) AS key, CASE WHEN left(nxt, 1) = '-' AND substr(nxt, 2, 1) IN (' ', chr(9)) AND trim(substr(nxt, 2), ' ' || chr(9)) <> '' THEN 'block-list' WHEN raw = '' THEN 'empty' WHEN contains(raw, ',') THEN 'comma-string' ELSE 'scalar' END AS shape, raw
+  FROM cut WHERE left(name, 1) NOT IN (' ', '-') AND translate(lower(name), 'abcdefghijklmnopqrstuvwxyz0123456789_ -', '') = ''),
+hs AS (SELECT path, i, ltrim(line, '#') AS rest, length(line) - length(ltrim(line, '#')) AS level, fe.n FROM ls JOIN fe USING (path) WHERE i > e AND starts_with(line, '#')),
+hd AS (SELECT path, i AS line, level, trim(rest, ' ' || chr(9)) AS title, n FROM hs WHERE level <= 6 AND left(rest, 1) IN (' ', chr(9)) AND trim(rest, ' ' || chr(9)) <> ''),
+sw AS (SELECT path, line, unnest(range(2, len(p) + 1)) AS k, p FROM (SELECT path, line, string_split(lower(title), 'session') AS p FROM hd) WHERE len(p) > 1),
+sd AS (SELECT path, line, k, CASE WHEN left(r, 1) = '#' THEN substr(r, 2) ELSE r END AS r, before FROM (SELECT path, line, k, ltrim(p[k], ' ' || chr(9)) AS r, CASE WHEN k > 2 AND p[k - 1] = '' THEN 'n' ELSE right(p[k - 1], 1) END AS before FROM sw)),
+sr AS (SELECT path, line, arg_min(left(r, length(r) - length(ltrim(r, '0123456789'))), k) AS ref FROM sd WHERE left(r, 1) BETWEEN '0' AND '9' AND NOT regexp_matches(before || left(ltrim(r, '0123456789'), 1), '[\p{L}\p{N}_]') GROUP BY 1, 2),
+sec AS (SELECT hd.*, CASE WHEN level >= 2 THEN sum(CASE WHEN level >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) - 1 ELSE -1 END::INT AS idx, try_cast(ref AS INT) AS session_ref FROM hd LEFT JOIN sr USING (path, line)),
+notes AS (SELECT f.path, left(f.path, length(f.path) - length(string_split(f.path, '/')[-1]) - 1) AS folder, replace(string_split(f.path, '/')[-1], '.md', '') AS title, strlen(content) AS size_bytes, nullif(ty.raw, '') AS note_type, h.title AS h1
+  FROM files f LEFT JOIN (SELECT path, arg_min(raw, pos) AS raw FROM fm WHERE key = 'type' GROUP BY 1) ty USING (path) LEFT JOIN (SELECT path, arg_min(title, line) AS title FROM sec WHERE level = 1 GROUP BY 1) h USING (path)),
+pc AS (SELECT path, string_split(string_split(unnest(list_slice(string_split(content, ']]'), 1, -2)), ']')[-1], chr(10))[-1] AS tail FROM files),
+op AS (SELECT path, instr(tail, '[[') AS q, tail, substr(tail, instr(tail, '[[') + 2) AS b FROM pc WHERE contains(tail, '[[')),
+lk AS (SELECT path, q > 1 AND substr(tail, q - 1, 1) = '!' AS is_embed, trim(string_split(l, '#')[1]) AS target, CASE WHEN contains(l, '#') THEN nullif(trim(substr(l, instr(l, '#') + 1)), '') END AS anchor, CASE WHEN contains(b, '|') THEN nullif(trim(substr(b, instr(b, '|') + 1)), '') END AS display
+  FROM (SELECT *, string_split(b, '|')[1] AS l FROM op WHERE b <> '')),
+lb AS (SELECT *, CASE WHEN contains(bn, '.') AND length(bn) > length(ext) + 1 AND lower(ext) IN ('png', 'jpg', 'jpeg', 'webp', 'gif', 'svg', 'pdf', 'md') THEN left(bn, length(bn) - length(ext) - 1) ELSE bn END AS basename
+  FROM (SELECT *, string_split(target, '/')[-1] AS bn, string_split(string_split(target, '/')[-1], '.')[-1] AS ext FROM lk)),
 tt AS (SELECT title, count(*) AS hits FROM notes GROUP BY 1),
 rs AS (SELECT lb.*, coalesce(hits, 0) AS hits, CASE WHEN is_embed THEN 'embed' WHEN hits IS NULL THEN 'unresolved' WHEN hits = 1 THEN 'resolved' ELSE 'ambiguous' END AS state FROM lb LEFT JOIN tt ON basename = title),
 bd AS (SELECT path, level, title, line, idx, end_line, coalesce((SELECT string_agg(l.line, chr(10) ORDER BY l.i) FROM ls l WHERE l.path = s.path AND l.i > s.line AND l.i < s.end_line), '') AS body
@@ -89,22 +97,22 @@ def f17(spark, d):
 
 @register("f14_links", f"{W} SELECT path, target, anchor, display, is_embed FROM lb")
 def f14(spark, d):
-    return N.links(notes(spark, d)).select("path", "target", "anchor", "display", "is_embed")
+    return N.links(files(spark, d)).select("path", "target", "anchor", "display", "is_embed")
 
 
 @register("f15_link_names", f"{W} SELECT DISTINCT target, basename FROM lb")
 def f15(spark, d):
-    return N.links(notes(spark, d)).select("target", "basename").distinct()
+    return N.links(files(spark, d)).select("target", "basename").distinct()
 
 
 @register("j10_link_resolution", f"{W} SELECT path, basename, hits, state FROM rs WHERE state <> 'embed'")
 def j10(spark, d):
-    return N.resolved(notes(spark, d)).filter("state <> 'embed'").select("path", "basename", "hits", "state")
+    return N.resolved(files(spark, d)).filter("state <> 'embed'").select("path", "basename", "hits", "state")
 
 
 @register("g2_link_graph", f"{W} SELECT state, count(*) AS edges, count(DISTINCT path) AS sources FROM rs GROUP BY 1")
 def g2(spark, d):
-    return N.resolved(notes(spark, d)).groupBy("state").agg(F.count("*").alias("edges"), F.count_distinct("path").alias("sources"))
+    return N.resolved(files(spark, d)).groupBy("state").agg(F.count("*").alias("edges"), F.count_distinct("path").alias("sources"))
 
 
 @register("a23_link_topology", f"""{W} SELECT count(*) FILTER (WHERE NOT is_embed) AS total, count(DISTINCT basename) FILTER (WHERE NOT is_embed) AS distinct_targets, count(*) FILTER (WHERE state = 'resolved') AS resolved, count(*) FILTER (WHERE state = 'unresolved') AS unresolved,
@@ -112,7 +120,7 @@ def g2(spark, d):
   count(*) FILTER (WHERE is_embed AND ends_with(target, '.png')) AS embeds_to_asset, count(*) FILTER (WHERE is_embed AND NOT ends_with(target, '.png')) AS embeds_to_note,
   round(count(*) FILTER (WHERE state = 'unresolved')::DOUBLE / count(*) FILTER (WHERE NOT is_embed), 4) AS unresolved_share FROM rs""")
 def a23(spark, d):
-    return N.topology(notes(spark, d))
+    return N.topology(files(spark, d))
 
 
 @register("a21_note_counters", f"""{W} SELECT 'type' AS counter, coalesce(note_type, '(untyped)') AS name, count(*) AS n FROM notes GROUP BY 2 UNION ALL SELECT 'folder', folder, count(*) FROM notes GROUP BY 2 UNION ALL SELECT 'key', key, count(*) FROM fm GROUP BY 2
@@ -127,10 +135,7 @@ def a21(spark, d):
 
 @register("o2_ranked_counters", f"{W} SELECT key, n, row_number() OVER (ORDER BY n DESC, key) AS place FROM (SELECT key, count(*) AS n FROM fm GROUP BY 1)")
 def o2(spark, d):
-    from pyspark.sql import Window
-
-    n = N.fields(notes(spark, d)).groupBy("key").agg(F.count("*").alias("n"))
-    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "key")))
+    return placed(N.fields(notes(spark, d)).groupBy("key").agg(F.count("*").alias("n")), F.desc("n"), "key")
 
 
 @register("a22_shape_drift", f"{W} SELECT key, array_to_string(list_sort(list(DISTINCT shape)), ',') AS shapes FROM fm GROUP BY 1 HAVING count(DISTINCT shape) > 1")
@@ -141,8 +146,8 @@ def a22(spark, d):
 @register("a24_unresolved_targets", f"{W} SELECT 'unresolved' AS kind, basename AS name, count(*) AS n FROM rs WHERE state = 'unresolved' GROUP BY 2 UNION ALL SELECT 'ambiguous', title, hits FROM tt WHERE hits > 1 UNION ALL SELECT 'stub', path, 1 FROM notes WHERE size_bytes < 16 AND path NOT IN (SELECT path FROM sec) AND path NOT IN (SELECT path FROM fm)")
 def a24(spark, d):
     n = notes(spark, d)
-    gone = N.resolved(n).filter("state = 'unresolved'").groupBy(F.col("basename").alias("name")).agg(F.count("*").alias("n"))
-    twice = n.groupBy(F.col("title").alias("name")).agg(F.count("*").alias("n")).filter("n > 1")
+    gone = N.resolved(files(spark, d)).filter("state = 'unresolved'").groupBy(F.col("basename").alias("name")).agg(F.count("*").alias("n"))
+    twice = files(spark, d).groupBy(N.title_of("path").alias("name")).agg(F.count("*").alias("n")).filter("n > 1")
     stub = N.stubs(n).select(F.col("path").alias("name"), F.lit(1).cast("bigint").alias("n"))
     return gone.withColumn("kind", F.lit("unresolved")).unionByName(twice.withColumn("kind", F.lit("ambiguous"))).unionByName(stub.withColumn("kind", F.lit("stub")))
 
@@ -167,12 +172,12 @@ def a27(spark, d):
     return N.recurring(notes(spark, d))
 
 
-@register("a28_provenance_keys", f"{W} SELECT DISTINCT key FROM fm WHERE regexp_replace(lower(trim(key)), '[\\s\\-]+', '_', 'g') IN ({', '.join(repr(k) for k in N.PROVENANCE_KEYS)})")
+@register("a28_provenance_keys", f"{W} SELECT DISTINCT key FROM fm WHERE replace(replace(lower(trim(key)), '-', '_'), ' ', '_') IN ({', '.join(repr(k) for k in N.PROVENANCE_KEYS)})")
 def a28(spark, d):
     return N.fields(notes(spark, d)).filter(T.fold_key("key").isin(*N.PROVENANCE_KEYS)).select("key").distinct()
 
 
-register("f9_key_folds", f"{W} SELECT DISTINCT key, regexp_replace(lower(trim(key)), '[\\s\\-]+', '_', 'g') AS folded FROM fm")(lambda spark, d: N.fields(notes(spark, d)).select("key", T.fold_key("key").alias("folded")).distinct())
+register("f9_key_folds", f"{W} SELECT DISTINCT key, replace(replace(lower(trim(key)), '-', '_'), ' ', '_') AS folded FROM fm")(lambda spark, d: N.fields(notes(spark, d)).select("key", T.fold_key("key").alias("folded")).distinct())
 
 
 @register("a46_titles_matching", f"{W} SELECT count(*) FILTER (WHERE h1 = title) AS matching, count(h1) AS with_h1 FROM notes")
@@ -187,9 +192,7 @@ def a29(spark, d):
 
 @register("o7_path_order", f"{W} SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS place FROM files")
 def o7(spark, d):
-    from pyspark.sql import Window
-
-    return files(spark, d).select("path").withColumn("place", F.row_number().over(Window.orderBy(F.split("path", "/"))))
+    return placed(files(spark, d).select("path", F.split("path", "/").alias("parts")), "parts").drop("parts")
 
 
 @register("j11_ownership", f"""{W}, tgt AS (SELECT path, 'History' AS section_title FROM notes UNION ALL SELECT path, 'Places' FROM notes UNION ALL SELECT 'gone.md', 'History'),
