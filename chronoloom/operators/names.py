@@ -140,14 +140,18 @@ def linked(pairs: DataFrame, key: str = "session_id") -> DataFrame:
     return ends.join(roots, [key, "end"]).select(key, F.col("a").alias("stem"), "root")
 
 
+def grounds(stems, zipf):
+    """why a candidate is one."""
+    return F.when(stems > 1, F.format_string("spelled %d ways", stems)).when(zipf == 0, "in no lexicon").otherwise("rare in general")
+
+
 def candidates(turns: DataFrame, words: DataFrame, floor: float = FLOOR, key: str = "session_id") -> DataFrame:
     """Name candidates of each session, the most contradictory first: id, forms, occurrences, distinct stems, grounds."""
     f = written(with_zipf(forms(rare_tokens(surface_tokens(turns, key), words, floor), key), words), "forms")
     rooted = f.join(linked(near_pairs(f.select(key, "stem").distinct(), key), key), [key, "stem"], "left").withColumn("root", F.coalesce("root", "stem"))
     best = F.array_sort(F.collect_list(F.struct((-F.col("occurrences")).alias("neg"), F.col("token").alias("text"), "turn_ids", "zipf")))
     g = rooted.groupBy(key, "root").agg(best.alias("f"), F.sum("occurrences").alias("occurrences"), F.count_distinct("stem").alias("stems"), F.count_distinct(F.lower("token")).alias("spellings"))
-    grounds = F.when(F.col("stems") > 1, F.format_string("spelled %d ways", F.col("stems"))).when(F.get("f", F.lit(0))["zipf"] == 0, "in no lexicon").otherwise("rare in general")
     w = Window.partitionBy(key).orderBy(F.desc("stems"), F.desc("occurrences"), "root")
-    out = g.withColumn("grounds", grounds).withColumn("candidate_id", F.format_string("n%04d", F.row_number().over(w) - 1))
+    out = g.withColumn("grounds", grounds(F.col("stems"), F.get("f", F.lit(0))["zipf"])).withColumn("candidate_id", F.format_string("n%04d", F.row_number().over(w) - 1))
     shown = F.transform("f", lambda x: F.struct(x["text"].alias("text"), (-x["neg"]).alias("occurrences"), x["turn_ids"].alias("turn_ids")))
     return out.select(key, "candidate_id", "root", shown.alias("forms"), "occurrences", "stems", "spellings", "grounds")

@@ -141,19 +141,26 @@ def processing(reports: DataFrame) -> DataFrame:
     return reports.select("session_id", F.round(F.try_divide(F.col("excerpt_ms") / 1000, F.col("wall_s")), 2).alias("realtime_factor"), peak.alias("peak_rss_bytes"), F.round(peak / 1048576, 1).alias("peak_rss_mib"))
 
 
+def declared_matches(strings: DataFrame, declared: DataFrame, key: str = "session_id") -> DataFrame:
+    """declared(session_id, provider) with what the recorded strings(session_id, value) say of each provider: is_known (some engine is), full (every token of it is recorded), part (one recorded string holds
+    some of its tokens, nothing else, and not all)."""
+    s = strings.select(key, engine_tokens("value").alias("t")).filter(F.size("t") > 0).distinct()
+    union = s.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("known"), F.collect_list("t").alias("each"))  # distinct names of engines, few in a session
+    x = declared.select(key, "provider", engine_tokens("provider").alias("p")).join(union, key, "left")
+    named = F.size("p") > 0
+    part = F.exists("each", lambda t: (F.size(F.array_except(t, F.col("p"))) == 0) & (F.size(F.array_except(F.col("p"), t)) > 0))
+    full = named & F.col("known").isNotNull() & (F.size(F.array_except("p", "known")) == 0)
+    return x.select(key, "provider", F.col("known").isNotNull().alias("is_known"), full.alias("full"), F.coalesce(named & part, F.lit(False)).alias("part"))
+
+
 def contamination(sessions: DataFrame, strings: DataFrame, declared: DataFrame, key: str = "session_id") -> DataFrame:
     """sessions(session_id, declared_truth), strings(session_id, value), declared(session_id, provider) -> state and the providers that match.
 
     Steps, in order: declared truth; clean where nothing is declared; undetermined where no engine is known; contaminated where all tokens of a declared provider are recorded;
     undetermined where one recorded string is a proper part of a declared provider; clean.
     """
-    s = strings.select(key, engine_tokens("value").alias("t")).filter(F.size("t") > 0)
-    union = s.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("known"), F.collect_list("t").alias("each"))
-    d = declared.select(key, "provider", engine_tokens("provider").alias("p"))
-    x = d.join(union, key, "left").withColumn("full", (F.size("p") > 0) & F.col("known").isNotNull() & (F.size(F.array_except("p", "known")) == 0))
-    part = F.exists("each", lambda t: (F.size(F.array_except(t, F.col("p"))) == 0) & (F.size(F.array_except(F.col("p"), t)) > 0))
-    x = x.withColumn("part", F.coalesce(part & (F.size("p") > 0), F.lit(False)))
-    g = x.groupBy(key).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("full"), F.col("provider")))).alias("matched"), F.max("part").alias("part"), F.max(F.col("known").isNotNull()).alias("is_known"))
+    x = declared_matches(strings, declared, key)
+    g = x.groupBy(key).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("full"), F.col("provider")))).alias("matched"), F.max("part").alias("part"), F.max("is_known").alias("is_known"))
     y = sessions.join(g, key, "left")
     state = (
         F.when(F.col("declared_truth"), "declared_truth").when(F.col("n").isNull(), "clean").when(~F.col("is_known"), "undetermined")

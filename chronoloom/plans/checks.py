@@ -189,6 +189,7 @@ def f26(spark, d):
 
 @register("f29_grounds", "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN 'spelled ' || (event_id % 3 + 1) || ' ways' WHEN event_id % 2 = 0 THEN 'in no lexicon' ELSE 'rare in general' END AS grounds FROM events")
 def f29(spark, d):
-    stems, zipf = F.col("event_id") % 3 + 1, F.when(F.col("event_id") % 2 == 0, 0.0).otherwise(1.5)
-    grounds = F.when(stems > 1, F.format_string("spelled %d ways", stems)).when(zipf == 0, "in no lexicon").otherwise("rare in general")
+    from ..operators.names import grounds
+
+    grounds = grounds(F.col("event_id") % 3 + 1, F.when(F.col("event_id") % 2 == 0, 0.0).otherwise(1.5))
     return t.read(spark, d, "events").select("event_id", grounds.alias("grounds"))

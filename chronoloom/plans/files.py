@@ -312,9 +312,12 @@ def s18(spark, d):
 
 @register("s19_score_reports", f"""{_HELD} SELECT session_id, '{{"session_id":' || session_id || ',"dimension":"' || dimension || '","value":' || coalesce(value::VARCHAR, 'null') || ',"withheld_because":' || coalesce('"' || withheld_because || '"', 'null') || '}}' AS document FROM held""")
 def s19(spark, d):
+    """Reports written and read again."""
     from .scoring import p9
 
-    return sinks.report_rows(p9(spark, d))
+    path = sessions.shared_folder(spark, "reports")
+    sinks.write_reports(p9(spark, d), path)
+    return spark.read.text(path).select(F.get_json_object("value", "$.session_id").cast("bigint").alias("session_id"), F.col("value").alias("document"))
 
 
 @register("s20_survey_document", f"""WITH {_N}, eg AS (SELECT 'opening' AS edge, arg_min(title, idx) AS title FROM sec WHERE level >= 2 GROUP BY path UNION SELECT 'terminal', arg_max(title, idx) FROM sec WHERE level >= 2 GROUP BY path),

@@ -214,29 +214,44 @@ def a19(spark, d):
 
 
 # Fixture: what sessions record of their engines, and what keys declare.
-_ENG = [(1, "whisper.cpp"), (1, "ggml-large-v3-turbo.bin"), (2, "whisper.cpp"), (3, "other engine"), (4, "the model"), (5, "whisper.cpp"), (6, "large v3"), (7, "medium.en openai"), (8, "whisper.cpp large-v3-turbo")]
-_DEC = [(1, "whisper.cpp large-v3-turbo"), (2, "whisper.cpp large-v3-turbo"), (3, "whisper.cpp large-v3-turbo"), (4, "whisper.cpp large"), (6, "whisper.cpp large-v3-turbo"), (6, "zed"), (7, "openai-whisper medium.en"), (8, "whisper.cpp large-v3-turbo")]
-_SES = [(i, i == 8) for i in range(1, 9)]
+#: An engine's native document for each event, by which its session (the user's) is judged, and a provider that every third event declares.  A ninth of the sessions has documents that name no engine, a thirteenth holds the truth.
+_DOCS = """(SELECT user_id AS session_id, CASE WHEN user_id % 9 <> 0 THEN event_type || ' engine' END AS provider, CASE WHEN user_id % 9 <> 0 AND event_id % 4 = 0 THEN 'ggml-' || event_type || '-v' || (event_id % 3) || '.bin' END AS model_file,
+    CASE WHEN event_id % 3 = 0 THEN event_type || CASE WHEN event_id % 2 = 0 THEN ' v' || (event_id % 5) ELSE ' the ' || (event_id % 7) END END AS declared FROM events)"""
 
 
-def _values(rows, names):
-    q = lambda x: "'" + x + "'" if isinstance(x, str) else str(x).upper()
-    return f"(VALUES {', '.join('(' + ', '.join(q(x) for x in r) + ')' for r in rows)}) v({names})"
+def documents(spark, d):
+    """session_id, native: what an engine left of each event, as JSON."""
+    k, u = F.col("event_id"), F.col("user_id")
+    model = F.when((u % 9 != 0) & (k % 4 == 0), F.format_string("ggml-%s-v%d.bin", F.col("event_type"), k % 3))
+    doc = F.struct(F.when(u % 9 != 0, F.concat("event_type", F.lit(" engine"))).alias("provider"), F.struct(model.alias("model_file"), F.col("event_type").alias("note")).alias("recognition"), F.array(F.struct(k.alias("engine_ms"))).alias("steps"))
+    return t.read(spark, d, "events").select(u.alias("session_id"), F.to_json(doc).alias("native"))
+
+
+def declared(spark, d):
+    k = F.col("event_id")
+    name = F.concat("event_type", F.when(k % 2 == 0, F.concat(F.lit(" v"), (k % 5).cast("string"))).otherwise(F.concat(F.lit(" the "), (k % 7).cast("string"))))
+    return t.read(spark, d, "events").select(F.col("user_id").alias("session_id"), F.when(k % 3 == 0, name).alias("provider")).filter("provider is not null").distinct()
+
+
+def judged(spark, d):
+    """session_id, declared_truth, events of each session."""
+    return t.read(spark, d, "events").groupBy(F.col("user_id").alias("session_id")).agg((F.col("session_id") % 13 == 0).alias("declared_truth"), F.count("*").alias("events"))
 
 
 _NOISE = "'ggml','bin','model','models','v','and','the','no','with'"
 _ET = lambda x: f"list_distinct({t.sql_tokens(x, _NOISE)})"
-_CONT = f"""{W}s AS (SELECT session_id, {_ET('value')} AS t FROM {_values(_ENG, 'session_id, value')} WHERE len({_ET('value')}) > 0), un AS (SELECT session_id, list_distinct(flatten(list(t))) AS known, list(t) AS each_ FROM s GROUP BY 1),
-  d AS (SELECT session_id, provider, {_ET('provider')} AS p FROM {_values(_DEC, 'session_id, provider')}),
+_CONT = f"""{W}docs AS {_DOCS}, ses AS (SELECT session_id, session_id % 13 = 0 AS declared_truth, count(*) AS events FROM docs GROUP BY 1),
+  s AS (SELECT DISTINCT session_id, list_sort({_ET('value')}) AS t FROM (SELECT session_id, unnest([provider, model_file]) AS value FROM docs) WHERE value IS NOT NULL AND len({_ET('value')}) > 0), un AS (SELECT session_id, list_distinct(flatten(list(t))) AS known, list(t) AS each_ FROM s GROUP BY 1),
+  d AS (SELECT DISTINCT session_id, declared AS provider, {_ET('declared')} AS p FROM docs WHERE declared IS NOT NULL),
   x AS (SELECT d.*, known IS NOT NULL AS is_known, len(p) > 0 AND known IS NOT NULL AND len(list_filter(p, lambda q: NOT list_contains(known, q))) = 0 AS full_,
     coalesce(len(list_filter(each_, lambda t: len(list_filter(t, lambda q: NOT list_contains(p, q))) = 0 AND len(list_filter(p, lambda q: NOT list_contains(t, q))) > 0)) > 0, FALSE) AS part FROM d LEFT JOIN un USING (session_id)),
   g AS (SELECT session_id, count(*) AS n, coalesce(string_agg(provider, '|' ORDER BY provider) FILTER (WHERE full_), '') AS matched, bool_or(part) AS part, bool_or(is_known) AS is_known FROM x GROUP BY 1),
-  v AS (SELECT session_id, CASE WHEN declared_truth THEN 'declared_truth' WHEN n IS NULL THEN 'clean' WHEN NOT is_known THEN 'undetermined' WHEN matched <> '' THEN 'contaminated' WHEN part THEN 'undetermined' ELSE 'clean' END AS state, matched FROM {_values(_SES, 'session_id, declared_truth')} LEFT JOIN g USING (session_id))"""
+  v AS (SELECT session_id, CASE WHEN declared_truth THEN 'declared_truth' WHEN n IS NULL THEN 'clean' WHEN NOT is_known THEN 'undetermined' WHEN matched <> '' THEN 'contaminated' WHEN part THEN 'undetermined' ELSE 'clean' END AS state, matched FROM ses LEFT JOIN g USING (session_id))"""
 
 
 def verdicts(spark, d):
-    c = spark.createDataFrame
-    return S.contamination(c(_SES, "session_id bigint, declared_truth boolean"), c(_ENG, "session_id bigint, value string"), c(_DEC, "session_id bigint, provider string"))
+    """Identities are walked out of the native documents, whatever their shape, and meet what sessions declare."""
+    return S.contamination(judged(spark, d), S.engine_strings(documents(spark, d)).select("session_id", "value"), declared(spark, d))
 
 
 register("j14_contamination", f"{_CONT} SELECT session_id, state, CASE WHEN state = 'contaminated' THEN matched ELSE '' END AS matched FROM v")(verdicts)
@@ -244,20 +259,16 @@ register("j14_contamination", f"{_CONT} SELECT session_id, state, CASE WHEN stat
 
 @register("j15_underspecified", f"{_CONT} SELECT session_id, provider FROM x WHERE part")
 def j15(spark, d):
-    from ..functions.text import engine_tokens
-
-    s = spark.createDataFrame(_ENG, "session_id bigint, value string").select("session_id", engine_tokens("value").alias("t")).filter(F.size("t") > 0)
-    x = spark.createDataFrame(_DEC, "session_id bigint, provider string").withColumn("p", engine_tokens("provider")).join(s, "session_id")
-    return x.filter((F.size(F.array_except("t", "p")) == 0) & (F.size(F.array_except("p", "t")) > 0)).select("session_id", "provider").distinct()
+    return S.declared_matches(S.engine_strings(documents(spark, d)).select("session_id", "value"), declared(spark, d)).filter("part").select("session_id", "provider")
 
 
-_METRICS = "metrics AS (SELECT session_id, dimension, dependent, CASE WHEN (session_id + length(dimension)) % 4 <> 0 THEN session_id * 10 END AS value FROM (SELECT unnest(range(1, 9)) AS session_id), (VALUES ('entity_capture', TRUE), ('plot_capture', TRUE), ('question_count', FALSE), ('peak_memory', FALSE)) d(dimension, dependent))"
+_METRICS = "metrics AS (SELECT session_id, dimension, dependent, CASE WHEN (session_id + length(dimension)) % 4 <> 0 THEN events * 10 END AS value FROM ses, (VALUES ('entity_capture', TRUE), ('plot_capture', TRUE), ('question_count', FALSE), ('peak_memory', FALSE)) dims(dimension, dependent))"
 
 
 def metrics(spark, d):
-    dims = spark.createDataFrame([("entity_capture", True), ("plot_capture", True), ("question_count", False), ("peak_memory", False)], "dimension string, dependent boolean")
-    x = spark.range(1, 9).withColumnRenamed("id", "session_id").join(F.broadcast(dims))
-    return x.withColumn("value", F.when((F.col("session_id") + F.length("dimension")) % 4 != 0, F.col("session_id") * 10))
+    dims = F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), F.lit(x).alias("dependent")) for n, x in (("entity_capture", True), ("plot_capture", True), ("question_count", False), ("peak_memory", False))]))
+    x = judged(spark, d).select("session_id", "events", dims.alias("m")).select("session_id", "events", "m.*")
+    return x.withColumn("value", F.when((F.col("session_id") + F.length("dimension")) % 4 != 0, F.col("events") * 10))
 
 
 _HELD = f"{_CONT}, {_METRICS}, held AS (SELECT session_id, dimension, CASE WHEN state = 'clean' OR NOT dependent THEN value END AS value, CASE WHEN NOT (state = 'clean' OR NOT dependent) THEN state END AS withheld_because FROM metrics LEFT JOIN v USING (session_id))"
