@@ -21,7 +21,9 @@ from .windows import pack, unpack
 
 LINKS = 16
 BUILD = 96
+#: The width of a walk is this at least, and wider in a shard where it takes more to find RECALL of a sample's nearest vectors.
 SEARCH = 200
+RECALL = 0.96
 SHARD = 32_768
 K = 20
 OUT = "query_id bigint, twin int, vec_id bigint, score double"
@@ -186,6 +188,25 @@ class Graph:
     def nearest(self, q: np.ndarray, width: int = SEARCH) -> np.ndarray:
         return self._search(q, 0, self._descend(q, 0), min(width, len(self.x)))[0]
 
+    def calibrated(self, k: int, least: int = SEARCH, recall: float = RECALL, sample: int = 96) -> int:
+        """The width of a walk, doubled from `least`, at which `sample` of the vectors find `recall` of their k nearest others."""
+        n, width = len(self.x), least
+        if n <= width:
+            return width
+        some = np.random.default_rng(7).choice(n, min(sample, n), replace=False)
+        q = self.x[some].copy()
+        q[:, -1] = 0
+        q /= np.sqrt((q**2).sum(1, keepdims=True))
+        score = q @ self.x.T
+        score[np.arange(len(some)), some] = -np.inf
+        want = np.argpartition(-score, k, 1)[:, :k]
+        while width < n:
+            found = self.nearest(q, width)
+            if np.mean([np.isin(w, f).mean() for w, f in zip(want, found, strict=True)]) >= recall:
+                break
+            width *= 2
+        return min(width, n)
+
     def flat(self) -> bytes:
         arrays = [np.array([len(self.x), self.x.shape[1], len(self.layers)], np.int64), self.x.view(np.uint32).ravel()]
         for _, nodes, near in self.layers:
@@ -211,7 +232,7 @@ def lifted(x: np.ndarray, longest: float) -> np.ndarray:
 
 
 def shards(rows: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
-    """The index, one row a shard: shard, graph, vectors (doubles), ids (each vector's k + 1 smallest, -1 filled)."""
+    """The index, one row a shard: shard, graph, width of walks, vectors (doubles), ids (each vector's k + 1 smallest, -1 filled)."""
     spark = rows.sparkSession
     lean(spark, 16 << 20)
     w = Window.partitionBy("embedding").orderBy("vec_id")
@@ -226,15 +247,16 @@ def shards(rows: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
         ids = np.full((len(x), k + 1), -1, np.int64)
         for i, them in enumerate(t.column("ids").to_pylist()):
             ids[i, : len(them)] = them
-        return pa.table({"shard": t.column("shard")[:1].cast(pa.int32()), "graph": pa.array([Graph.build(lifted(x, longest)).flat()]), "vectors": pa.array([pack([x.view(np.int64).ravel()])]), "ids": pa.array([pack([ids.ravel()])])})
+        graph = Graph.build(lifted(x, longest))
+        return pa.table({"shard": t.column("shard")[:1].cast(pa.int32()), "graph": pa.array([graph.flat()]), "width": pa.array([graph.calibrated(k)], pa.int32()), "vectors": pa.array([pack([x.view(np.int64).ravel()])]), "ids": pa.array([pack([ids.ravel()])])})
 
     keyed = distinct.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(count)).cast("int"))
-    built = keyed.repartition(partitions_for(spark, count, 1) if count > 1 else 1, "shard").groupBy("shard").applyInArrow(build, "shard int, graph binary, vectors binary, ids binary")
+    built = keyed.repartition(partitions_for(spark, count, 1) if count > 1 else 1, "shard").groupBy("shard").applyInArrow(build, "shard int, graph binary, width int, vectors binary, ids binary")
     return stored(built, "graphs", "none")
 
 
-def search(queries: DataFrame, index: DataFrame, k: int = K, width: int = SEARCH, block: int = 512) -> DataFrame:
-    """queries(query_id, embedding) -> query_id, rank, vec_id, score: the k best found, other than the query's own row."""
+def search(queries: DataFrame, index: DataFrame, k: int = K, width: int | None = None, block: int = 512) -> DataFrame:
+    """queries(query_id, embedding) -> query_id, rank, vec_id, score: the k best found, other than the query's own row; by walks of each shard's own width, or of `width`."""
     spark = queries.sparkSession
     # Queries that repeat an id are told apart by a number.
     twin = F.row_number().over(Window.partitionBy("query_id").orderBy("embedding")).alias("twin")
@@ -247,7 +269,7 @@ def search(queries: DataFrame, index: DataFrame, k: int = K, width: int = SEARCH
         from pyarrow.fs import FileSystem
 
         for b in batches:
-            for blob, vectors, kept in zip(*(b.column(c).to_pylist() for c in ("graph", "vectors", "ids")), strict=True):
+            for blob, own, vectors, kept in zip(*(b.column(c).to_pylist() for c in ("graph", "width", "vectors", "ids")), strict=True):
                 graph = Graph.unflat(blob)
                 x = unpack(vectors)[0].view(np.float64).reshape(len(graph.x), -1)
                 ids = unpack(kept)[0].reshape(len(x), -1)
@@ -256,7 +278,7 @@ def search(queries: DataFrame, index: DataFrame, k: int = K, width: int = SEARCH
                     fs, at = FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name)
                     with fs.open_input_file(at) as f:
                         for q in pq.ParquetFile(f).iter_batches(batch_size=step):
-                            yield _answers(q, graph, x, ids, k, width)
+                            yield _answers(q, graph, x, ids, k, width or own)
 
     parts = max(1, index.count())
     found = index.repartition(parts).mapInArrow(run, OUT)

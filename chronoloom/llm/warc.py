@@ -101,8 +101,9 @@ def _inflated(uri: str) -> Iterator[bytes]:
 
     fs, at = FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
     with fs.open_input_stream(at, compression=None) as source:
-        z, out, size = zlib.decompressobj(31), [], 0
+        z, out, size, some = zlib.decompressobj(31), [], 0, False
         while data := source.read(1 << 18):
+            some = True
             while data:
                 if z.eof:
                     z = zlib.decompressobj(31)
@@ -113,7 +114,7 @@ def _inflated(uri: str) -> Iterator[bytes]:
                     yield b"".join(out)
                     out, size = [], 0
         yield b"".join(out)
-        if not z.eof:
+        if some and not z.eof:  # an archive without records is an empty file
             raise ValueError(f"{uri} ends within a gzip member")
 
 
@@ -197,38 +198,66 @@ def originals(headers: DataFrame, least: int = 0) -> DataFrame:
     """Adds `original`, the smallest page_id with the row's digest, and the `first` record that has it (both null where payloads under `least` bytes are not merged)."""
     total = headers.count()
     merged = headers.filter((F.col("payload_bytes") >= least) & (F.col("record_type") == "response"))
-    groups = merged.groupBy("payload_digest").agg(F.min("page_id").alias("original"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id", "uri", "date"))).alias("first"), F.count("*").alias("_n"))
+    groups = merged.groupBy("payload_digest").agg(F.min("page_id").alias("original"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id", "uri"))).alias("first"), F.count("*").alias("_n"))
     return attach(headers, stored(groups, "digests"), "payload_digest", "_n", total).drop("_n")
 
 
+def renewed(head: bytes, fields: dict[str, str]) -> bytes:
+    """A record's head with other values of some fields (names by lower case; those it lacks come last)."""
+    lines, left = [], dict(fields)
+    for line in head.decode("utf-8", "surrogateescape").split("\r\n"):
+        name = line.partition(":")[0]
+        value = left.pop(name.strip().lower(), None)
+        lines.append(line if value is None else f"{name}: {value}")
+    names = {"warc-refers-to": "WARC-Refers-To", "warc-refers-to-target-uri": "WARC-Refers-To-Target-URI", "warc-refers-to-date": "WARC-Refers-To-Date", "warc-date": "WARC-Date"}
+    return "\r\n".join(lines + [f"{names[k]}: {' '.join(v.splitlines())}" for k, v in left.items()]).encode("utf-8", "surrogateescape")
+
+
+def decisions(found: DataFrame) -> DataFrame:
+    """file, at, to_id, to_uri of the records of originals() that are to be revisits: of responses with an original before them that one, of revisits the response that they refer to or, if that is one of those, its original."""
+    again = F.coalesce((F.col("record_type") == "response") & (F.col("original") < F.coalesce("page_id", F.lit((1 << 63) - 1))), F.lit(False))
+    responses = found.filter("record_type = 'response'")
+    fate = F.when(again, F.struct(F.col("first.record_id").alias("id"), F.col("first.uri").alias("uri"))).otherwise(F.struct(F.col("record_id").alias("id"), "uri"))
+    revisits = found.filter("record_type = 'revisit' and refers_to_id is not null").select("file", "at", "refers_to_id")
+    wanted = revisits.groupBy("refers_to_id").agg(F.count("*").alias("_n"))
+    fates = responses.select("record_id", fate.alias("to")).join(wanted, F.col("record_id") == F.col("refers_to_id")).groupBy("refers_to_id").agg(F.first("to").alias("to"), F.first("_n").alias("_n"))
+    old = attach(revisits, stored(fates, "fates"), "refers_to_id", "_n", revisits.count()).filter("to is not null")
+    return responses.filter(again).select("file", "at", F.col("first.record_id").alias("to_id"), F.col("first.uri").alias("to_uri")).unionByName(old.select("file", "at", F.col("to.id").alias("to_id"), F.col("to.uri").alias("to_uri")))
+
+
 def deduplicate(spark: SparkSession, source: str, target: str, least: int = 0) -> None:
-    """Write the archives below source again below target, with revisit records for repeated payloads."""
+    """Write the archives below source again below target, with revisit records for repeated payloads.
+
+    Every archive that holds anything is written (a file of no bytes is none).  All responses get fresh ids and dates, so revisits that were there before are told the new ones; a revisit whose response is in none of the archives stays as it is.
+    """
     found = stored(originals(read_archive(spark, source, False).drop("payload"), least), "headers")
-    again = (F.col("record_type") == "response") & (F.col("original") < F.coalesce("page_id", F.lit((1 << 63) - 1)))
-    decided = found.select("file", F.when(again, F.col("at")).alias("at"), *[F.when(again, F.col(f"first.{c}")).alias(c) for c in ("record_id", "uri", "date")])
+    every = archives(spark, source).select("file", F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("string").alias("to_id"), F.lit(None).cast("string").alias("to_uri"))
     to, date = folder(spark, target), now()
 
     def rewrite(t: pa.Table) -> pa.Table:
         uri = t.column("file")[0].as_py()
-        at, *first = (t.column(c).to_pylist() for c in ("at", "record_id", "uri", "date"))
-        refers = {i: r for i, *r in zip(at, *first, strict=True) if i is not None}
+        refers = {i: r for i, *r in zip(*(t.column(c).to_pylist() for c in ("at", "to_id", "to_uri")), strict=True) if i is not None}
         out = Archive(to, f"{hashlib.md5(uri.encode()).hexdigest()[:8]}-{os.path.basename(uri).split('.')[0]}")
         n = 0
         for n, (f, head, block) in enumerate(_records(uri), 1):
-            if f.get("warc-type") != "response":
+            kind, refer = f.get("warc-type"), refers.get(n - 1)
+            ref = (record_id(refer[0], "response"), refer[1], date) if refer else None
+            if kind == "revisit" and ref:
+                said = {"warc-record-id": record_id(f["warc-record-id"], "revisit"), "warc-date": date, "warc-refers-to": ref[0], "warc-refers-to-target-uri": ref[1], "warc-refers-to-date": date}
+                out.add(renewed(head, said) + END + block + END)
+                continue
+            if kind != "response":
                 out.add(head + END + block + END)
                 continue
             payload, sha = _payload(f, block)
-            page, to_first = f.get("x-page-id"), refers.get(n - 1)
-            kind = "revisit" if to_first else "response"
-            ref = (record_id(to_first[0], "response"), to_first[1], to_first[2]) if to_first else None
+            page, kind = f.get("x-page-id"), "revisit" if ref else "response"
             out.add(record(record_id(f["warc-record-id"], kind), kind, f.get("warc-target-uri", ""), date, int(page) if page else None, sha, payload, ref))
         out.close()
         tidy()
         return pa.table({"file": [uri], "n": [n]})
 
-    files = found.select("file").distinct().count()
-    decided.repartition(max(1, files), "file").groupBy("file").applyInArrow(rewrite, "file string, n bigint").agg(F.sum("n")).first()  # one number
+    files = every.count()
+    decisions(found).unionByName(every).repartition(max(1, files), "file").groupBy("file").applyInArrow(rewrite, "file string, n bigint").agg(F.sum("n")).first()  # one number
 
 
 def resolve(records: DataFrame) -> DataFrame:

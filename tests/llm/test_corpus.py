@@ -388,6 +388,38 @@ def test_warc(spark, tmp_path):
     assert collections.Counter(r.record_type for r in warc.read_archive(spark, fixed).collect()) == collections.Counter(r.record_type for r in records)
 
 
+def test_deduplicated_archives_are_deduplicated_again(spark, tmp_path):
+    """Every archive comes out again, also those without responses (a file of no bytes is none); revisits keep their payload's size and follow their response to its new id, or to that one's original."""
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    p, q, s = b"<p>a</p>", b"<p>b</p>", b"x"
+    of = lambda i, kind, body, refers=None: warc.record(f"<urn:{i}>", kind, f"http://h/{i}", "2020-01-01T00:00:00Z", i, warc.digest(body), body, refers)
+    ref = lambda i: (f"<urn:{i}>", f"http://h/{i}", "2020-01-01T00:00:00Z")
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <i>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    files = {
+        "one": [of(1, "response", p), of(2, "response", p), of(3, "response", q)],
+        "two": [of(4, "revisit", p, ref(2)), of(5, "revisit", q, ref(3)), of(6, "revisit", q, ref(99))],  # 4 refers to what becomes a revisit of 1; 6 to a response that is nowhere
+        "three": [info], "four": [], "five": [of(7, "response", s), of(8, "response", s), of(9, "revisit", s, ref(8))],
+    }
+    for name, records in files.items():
+        (raw / f"{name}.warc.gz").write_bytes(b"".join(__import__("gzip").compress(r) for r in records))
+    want = [(1, 8, "response", None), (2, 8, "revisit", 1), (3, 8, "response", None), (4, 8, "revisit", 1), (5, 8, "revisit", 3), (6, None, "revisit", None)]
+    source = str(raw)
+    for step in range(3):
+        target = str(tmp_path / f"pass{step}")
+        warc.deduplicate(spark, source, target, least=2)
+        records = warc.read_archive(spark, target).collect()
+        got = sort((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.resolve(warc.read_archive(spark, target)).collect())
+        assert got == sort([*want, (7, 1, "response", None), (8, 1, "response", None), (9, 1, "revisit", 8)])
+        assert len(list((tmp_path / f"pass{step}").glob("*.warc.gz"))) == len(files) - 1
+        dates = {r.record_id: r.date for r in records}
+        for uri in (str(f) for f in (tmp_path / f"pass{step}").glob("*.warc.gz")):
+            for f, _, _ in warc._records(f"file://{uri}"):
+                if f.get("warc-refers-to") in dates:
+                    assert f["warc-refers-to-date"] == dates[f["warc-refers-to"]]
+        source = target
+
+
 def test_a_record_is_a_gzip_member(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u\r\nv", "é" * i) for i in range(7)], "page_id long, url string, html string").coalesce(1)
     warc.archive_pages(pages, str(tmp_path / "a"), each=3)
@@ -556,6 +588,42 @@ def test_recall_over_a_whole_table(spark):
     assert len(got) == (ids % 20 == 0).sum() and hits / total > 0.97
 
 
+def plain_recall(x, queries, found, k=20):
+    score = queries @ x.T
+    want = np.argsort(-score, 1)[:, :k]
+    got = np.take_along_axis(found, np.argsort(-np.take_along_axis(score, found, 1), 1)[:, :k], 1)
+    return np.mean([len(set(a) & set(b)) / k for a, b in zip(got.tolist(), want.tolist(), strict=True)])
+
+
+def test_walks_are_as_wide_as_recall_asks():
+    """Vectors without any structure, a full shard of them: the hard case; a walk of the least width finds seven tenths."""
+    x = np.random.default_rng(1).normal(size=(ann.SHARD, 64))
+    graph = ann.Graph.build(ann.lifted(x, float(np.sqrt((x**2).sum(1).max()))))
+    width = graph.calibrated(ann.K)
+    q = x[::160]
+    unit = np.concatenate((q / np.sqrt((q**2).sum(1, keepdims=True)), np.zeros((len(q), 1))), 1).astype(np.float32)
+    found = np.concatenate([graph.nearest(unit[i : i + 64], width) for i in range(0, len(q), 64)])
+    assert width > ann.SEARCH and plain_recall(x, q, found) >= 0.95
+
+
+def test_recall_over_several_shards(spark):
+    x = np.random.default_rng(2).normal(size=(12_000, 48)).astype(np.float32)
+    df = ann.usable(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]))
+    index = ann.shards(df, shard=4000)
+    assert index.count() == 3
+    got = collections.defaultdict(set)
+    queries = df.filter("vec_id % 60 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    for r in ann.search(queries, index).collect():
+        got[r.query_id].add(r.vec_id)
+    x = x.astype(float)
+    hits = []
+    for i in got:
+        s = x @ x[i]
+        s[i] = -np.inf
+        hits.append(len(got[i] & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert len(got) == 200 and np.mean(hits) >= 0.95
+
+
 def test_hot_keys_are_attached_whole(spark):
     left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.col("id").cast("string")).alias("k"), "id")
     right = left.filter("k is not null").groupBy("k").agg(F.min("id").alias("first"), F.count("*").alias("n"))
