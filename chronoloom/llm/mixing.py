@@ -1,11 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target over its size is the number of copies that each of its words should have.  Whole copies are certain: every document gets them.  The
-fraction is an inclusion probability: documents are ranked by their random odds divided by their inclusion odds, and the first ones in that order are
-taken until the source's words reach its target as nearly as whole documents allow.
+A source's target over its size is the number of copies that each of its words should have.  Whole copies are certain: every document gets them.  What is open after that is
+sampled with unequal probabilities, in proportion to a document's size: a document of size s is included with p = min(1, c s), where c makes the words expected, the sum of p s, what is open; those that reach 1 are
+certain.  Documents are ranked by their random odds divided by their inclusion odds, and the first ones in that order are taken until the source's words reach its target as nearly as whole
+documents allow.
 
-No source is sorted whole: a histogram of 4,096 bins of the rank variable finds the bin in which a source's sample ends, and only that bin's documents are put
-in order.  Random numbers come from a digest of the seed and doc_id, so reruns agree.
+c follows from a histogram of each source's sizes.  No source is sorted whole: a histogram of 4,096 bins of the rank variable finds the bin in which a source's sample ends, and only that bin's documents are put in order.  Random numbers come from a digest of the seed and doc_id, so reruns agree.
 
 Defined results: a null or empty text has size 0 and is taken 0 times; null is a source of its own, last in order; rows that repeat a doc_id share its random number,
 ties go by doc_id and size; a null doc_id is a value like others; an empty table gives an empty result; other columns are ignored.
@@ -54,19 +54,35 @@ def targets(rows: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     return each.select("skey", "source_size", "n", F.least(limit.cast("double"), F.col("w") * F.lit(level)).alias("target"))
 
 
+def chances(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """plan(skey, open, ...) with `largest`, the largest size whose documents are not certain, and `c`, by which sizes up to it give their inclusion probabilities.
+
+    Sizes are taken off from the top as long as c, which makes up for the rest, would put them above 1; sizes of a source are few next to its documents.
+    """
+    sizes = rows.filter("size > 0").groupBy("skey", "size").agg(F.count("*").alias("m")).join(plan.select("skey", "open"), "skey")
+    down = Window.partitionBy("skey").orderBy(F.desc("size"))
+    wider = F.coalesce(F.sum(F.col("m") * F.col("size")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+    rest = F.sum(F.col("m") * F.col("size") * F.col("size")).over(Window.partitionBy("skey").orderBy("size"))
+    c = (F.col("open") - wider.cast("double")) / rest.cast("double")
+    fit = sizes.withColumn("c", c).filter(F.col("c") * F.col("size") < 1)
+    return plan.join(fit.groupBy("skey").agg(F.max("size").alias("largest"), F.max_by("c", "size").alias("c")), "skey", "left").withColumns({"largest": F.coalesce("largest", F.lit(0).cast("bigint")), "c": F.coalesce("c", F.lit(0.0))})
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """doc_id, tag, skey, size, source_size, target, copies of every row."""
     rows = stored(sized(docs, seed), "sizes")
     plan = targets(rows, weights, most)
     plan = plan.withColumn("sure", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
     plan = plan.withColumn("open", F.col("target") - F.col("sure") * F.col("source_size"))
-    plan = stored(plan.withColumn("p", F.when(F.col("source_size") > 0, F.col("open") / F.col("source_size")).otherwise(F.lit(0.0))), "targets")
+    plan = stored(chances(rows, plan), "targets")
     rows = attach(rows, plan, "skey", "n", rows.count())
     u = (F.col("u") + 0.5) / SPAN
-    odds = u / (1 - u)
-    inclusion = F.col("p") / (1 - F.col("p"))
-    q = F.when(F.col("p") > 0, odds / inclusion).otherwise(F.lit(float("inf")))
-    rows = stored(rows.withColumn("q", q).withColumn("bin", F.when(F.col("p") > 0, F.least(F.lit(BINS - 1), F.floor(u * BINS))).otherwise(F.lit(BINS)).cast("int")), "ranked")
+    p = F.when(F.col("size") > F.col("largest"), F.lit(1.0)).otherwise(F.col("c") * F.col("size"))
+    rows = rows.withColumn("p", F.when((F.col("open") > 0) & (F.col("size") > 0), p).otherwise(F.lit(0.0))).drop("c", "largest")
+    q = F.when(F.col("p") > 0, u / (1 - u) * ((1 - F.col("p")) / F.col("p"))).otherwise(F.lit(float("inf")))
+    # Certain documents have a bin of their own before all others: together they never go beyond what is open.
+    bin_ = F.when(F.col("p") == 1, F.lit(-1)).when(F.col("p") > 0, F.least(F.lit(BINS - 1), F.floor(F.col("q") / (1 + F.col("q")) * BINS))).otherwise(F.lit(BINS))
+    rows = stored(rows.withColumn("q", q).withColumn("bin", bin_.cast("int")), "ranked")
     in_order = Window.partitionBy("skey").orderBy("bin")
     bins = rows.filter("p > 0").groupBy("skey", "bin").agg(F.sum("size").alias("s"), F.count("*").alias("c"), F.first("open").alias("open"))
     bins = bins.withColumn("upto", F.sum("s").over(in_order)).withColumn("base", F.col("upto") - F.col("s"))
@@ -117,12 +133,22 @@ WITH sized AS (
   SELECT skey, source_size, least((3 * source_size)::DOUBLE, w * level.level) AS target FROM sources, level
 ), plan AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS sure FROM targets
+), sizes AS (
+  SELECT skey, size, count(*)::BIGINT AS m FROM sized WHERE size > 0 GROUP BY 1, 2
+), tops AS (
+  SELECT s.skey, size, (p.target - p.sure * p.source_size - coalesce(sum(m * size) OVER (PARTITION BY s.skey ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / (sum(m * size * size) OVER (PARTITION BY s.skey ORDER BY size))::DOUBLE AS c FROM sizes s JOIN plan p ON p.skey = s.skey
+), fit AS (
+  SELECT skey, max(size) AS largest, arg_max(c, size) AS c FROM tops WHERE c * size < 1 GROUP BY 1
+), chance AS (
+  SELECT s.*, p.source_size, p.target, p.sure, p.target - p.sure * p.source_size AS open, (u + 0.5) / 281474976710656::DOUBLE AS v,
+    CASE WHEN p.target - p.sure * p.source_size > 0 AND size > 0 THEN CASE WHEN size > coalesce(largest, 0) THEN 1::DOUBLE ELSE c * size END ELSE 0::DOUBLE END AS p
+  FROM sized s JOIN plan p USING (skey) LEFT JOIN fit USING (skey)
 ), ranked AS (
-  SELECT s.*, p.source_size, p.target, p.sure, p.target - p.sure * p.source_size AS open,
-    coalesce(sum(size) OVER (PARTITION BY skey ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-  FROM sized s JOIN plan p USING (skey)
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY skey ORDER BY CASE WHEN p > 0 THEN v / (1 - v) * ((1 - p) / p) ELSE 'inf'::DOUBLE END, u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM chance
 )
 SELECT doc_id, size, source_size, target,
-  (CASE WHEN size > 0 THEN size * least(3, sure + CASE WHEN open > 0 AND 2 * before + size <= 2 * open THEN 1 ELSE 0 END) ELSE 0 END)::BIGINT AS taken
+  (CASE WHEN size > 0 THEN size * least(3, sure + CASE WHEN p > 0 AND 2 * before + size <= 2 * open THEN 1 ELSE 0 END) ELSE 0 END)::BIGINT AS taken
 FROM ranked
 """

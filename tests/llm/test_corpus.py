@@ -486,6 +486,30 @@ def test_mixing(request, which):
     assert mixing.mixed(df).columns == df.columns
 
 
+def test_inclusion_follows_the_size(spark):
+    """Over many seeds each document is included as often as its probability says, in proportion to its size and certain at 1; taken words stay near the target each time."""
+    sizes = [1, 2, 3, 5, 8, 13, 40, 90] * 40 + [400]
+    rows = [(i, " ".join(["w"] * n), "en", "a", n) for i, n in enumerate(sizes)] + [(100 + i, "x y z", "en", "b", 3) for i in range(1000, 5000)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    open_, seen, runs = None, collections.Counter(), 8
+    for seed in range(runs):
+        got = mixing.mix(df, weights=(1, 5), seed=f"s{seed}").filter("skey = '0a'").collect()
+        open_ = got[0].target
+        assert abs(sum(r.size * r.copies for r in got) - open_) <= max(sizes) / 2
+        for r in got:
+            seen[r.doc_id] += r.copies
+    top = sorted(sizes, reverse=True)
+    sure = 0
+    while (open_ - sum(top[:sure])) / sum(s * s for s in top[sure:]) * top[sure] >= 1:
+        sure += 1
+    c = (open_ - sum(top[:sure])) / sum(s * s for s in top[sure:])
+    assert 0 < open_ < sum(sizes)
+    for s in set(sizes):
+        n = sizes.count(s)
+        p, got_ = min(1.0, c * s), sum(seen[i] for i, x in enumerate(sizes) if x == s) / (runs * n)
+        assert abs(got_ - p) < 4 * (0.25 / (runs * n)) ** 0.5 + 0.03, (s, p, got_)
+
+
 def test_language(docs, odd, none):
     got = langid.identify(docs).withColumn("held", langid.held_out(F.col("doc_id"))).collect()
     held = [r for r in got if r.held]
