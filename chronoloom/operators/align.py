@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +52,69 @@ def verdicts(coarse: DataFrame, fine: DataFrame, coarse_ms: float, fine_ms: floa
     comparable = F.col("f_frames") >= LEAST_FRAMES
     verdict = F.when(F.col("frames") < LEAST_FRAMES, "too short").when(F.col("r") < COARSE_R, "different").when(~F.coalesce(comparable, F.lit(False)), "too short").when(F.col("f_r") >= SAME_R, "same").otherwise("different")
     return x.select(key, verdict.alias("verdict"), F.when(verdict == "same", F.round(offset, 3)).alias("offset_s"))
+
+
+def _series(pdf: pd.DataFrame, start: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Levels by place from `start`, and which places have one."""
+    x, there = np.zeros(n), np.zeros(n)
+    at = pdf["ix"].to_numpy(np.int64) - start
+    x[at], there[at] = pdf["level"].to_numpy(np.float64), 1.0
+    return x, there
+
+
+def lag_correlations(x: np.ndarray, mx: np.ndarray, y: np.ndarray, my: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lags, frames that meet and Pearson's r at each lag from -most to most, by Fourier transforms; `mx` and `my` mark the frames that are there.  The frame at t + lag of y meets that at t of x."""
+    n = 1 << int(len(x) + len(y)).bit_length()
+    c = x[mx > 0].mean() if mx.any() else 0.0, y[my > 0].mean() if my.any() else 0.0  # centred, so that little is lost to rounding
+    x, y = (x - c[0]) * mx, (y - c[1]) * my
+    fx, fy = ({k: np.fft.rfft(v, n) for k, v in (("m", m), ("s", s), ("q", s * s))} for s, m in ((x, mx), (y, my)))
+    lags = np.arange(-most, most + 1)
+    lags = lags[(lags < len(y)) & (-lags < len(x))]
+    met = lambda a, b: np.fft.irfft(np.conj(fx[a]) * fy[b], n)[lags % n]
+    count = np.rint(met("m", "m"))
+    k = np.maximum(count, 1)
+    sx, sy = met("s", "m"), met("m", "s")
+    vx, vy, xy = met("q", "m") - sx * sx / k, met("m", "q") - sy * sy / k, met("s", "s") - sx * sy / k
+    tiny = 1e-9 * max(1.0, float((x * x).sum()) / max(1.0, float(mx.sum())), float((y * y).sum()) / max(1.0, float(my.sum()))) * k
+    flat = (vx <= tiny) | (vy <= tiny)
+    return lags, count.astype(np.int64), np.where(flat, 0.0, xy / np.sqrt(np.where(flat, 1.0, vx * vy)))
+
+
+def align_long(reference: DataFrame, candidate: DataFrame, most: int, key: str = "pair", least: int = LEAST_FRAMES, places: int = 6) -> DataFrame:
+    """A43 for long recordings: as align, but a pair's frames meet in one group and all lags are worked out at once by Fourier transforms, in n log n; a group is as large as a recording's frames."""
+    kind = reference.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, lag bigint, r double, frames bigint"
+
+    def best(k: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({key: [], "lag": [], "r": [], "frames": []})
+        start = int(min(a["ix"].min(), b["ix"].min()))
+        (x, mx), (y, my) = (_series(p, start, int(p["ix"].max()) - start + 1) for p in (a, b))
+        lags, frames, r = lag_correlations(x, mx, y, my, most)
+        r = np.where((frames >= least) & (r > -1), np.round(r, places), -2.0)
+        i = int(r.argmax()) if len(r) else 0  # the lowest lag of equal ones
+        if not len(r) or r[i] < -1:
+            return pd.DataFrame({key: [], "lag": [], "r": [], "frames": []})
+        return pd.DataFrame({key: [k[0]], "lag": [int(lags[i])], "r": [float(r[i])], "frames": [int(frames[i])]})
+
+    # Columns of their own, as both sides may come from one table.
+    two = [df.filter("ix is not null and level is not null").select(F.col(key).alias(k), F.col("ix").alias("ix"), F.col("level").alias("level")) for df, k in ((reference, key), (candidate, "_other"))]
+    return two[0].groupBy(key).cogroup(two[1].groupBy("_other")).applyInPandas(best, schema)
+
+
+def identity(ref_coarse: DataFrame, ref_fine: DataFrame, coarse: DataFrame, fine: DataFrame, coarse_ms: float, fine_ms: float, probe_start_s: float, probe_s: float, key: str = "pair") -> DataFrame:
+    """A45 from frames (pair, ix, level; ix counts from a recording's start): the coarse series locate the candidate, and its lag says which of the candidate's fine frames are laid beside the reference's probe.
+
+    The window begins FINE_SECONDS before the probe's place, or at zero, and is longer than the probe by twice that; lags up to twice FINE_SECONDS are tried, so that the expected one is not at the edge.
+    """
+    found = align_long(ref_coarse, coarse, max(1, round(COARSE_SECONDS * 1000 / coarse_ms)), key)
+    located = found.filter((F.col("frames") >= LEAST_FRAMES) & (F.col("r") >= COARSE_R))
+    first = F.round(F.greatest(F.lit(0.0), probe_start_s + F.col("lag") * (coarse_ms / 1000.0) - FINE_SECONDS) * 1000 / fine_ms).cast("bigint")
+    length = round((probe_s + 2 * FINE_SECONDS) * 1000 / fine_ms)
+    window = fine.join(located.select(key, first.alias("_first")), key).filter((F.col("ix") >= F.col("_first")) & (F.col("ix") < F.col("_first") + length)).select(key, (F.col("ix") - F.col("_first")).alias("ix"), "level")
+    begin = round(probe_start_s * 1000 / fine_ms)
+    probe = ref_fine.filter((F.col("ix") >= begin) & (F.col("ix") < begin + round(probe_s * 1000 / fine_ms))).select(key, (F.col("ix") - begin).alias("ix"), "level")
+    decided = align_long(probe.join(located.select(key), key, "left_semi"), window, round(2 * FINE_SECONDS * 1000 / fine_ms), key)
+    out = verdicts(found, decided, coarse_ms, fine_ms, probe_start_s, key)
+    every = ref_coarse.select(key).distinct().join(out, key, "left")  # recordings that share too few frames for any lag
+    return every.withColumn("verdict", F.coalesce("verdict", F.lit("too short")))

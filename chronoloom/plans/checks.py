@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import align as L
 from ..operators import validate as V
-from ..sources import engines
+from ..sources import engines, pcm, sessions, sinks
 from . import register, tables as t
 from .claims import _ALL
 
@@ -152,15 +152,71 @@ def a43(spark, d):
     return L.best_lags(L.correlations(L.lagged(r, c, 8)), places=6).select("pair", "lag", F.round("r", 4).alias("r"))
 
 
-@register("a45_identity_verdict", """WITH x AS (SELECT event_id AS pair, event_id % 121 - 60 AS lag, (event_id % 11) / 10.0::DOUBLE AS r, event_id % 60 AS frames, event_id % 601 AS f_lag, (event_id % 7 + 4) / 10.0::DOUBLE AS f_r, event_id % 90 AS f_frames FROM events),
- y AS (SELECT *, CASE WHEN frames < 30 THEN 'too short' WHEN r < 0.30 THEN 'different' WHEN f_frames < 30 THEN 'too short' WHEN f_r >= 0.90 THEN 'same' ELSE 'different' END AS verdict, 20.0::DOUBLE + lag AS start FROM x)
-SELECT pair, verdict, CASE WHEN verdict = 'same' THEN round(lag - (start - greatest(0.0::DOUBLE, start - 3)) + f_lag * 10.0::DOUBLE / 1000.0::DOUBLE, 3) END AS offset_s FROM y""")
+# Coarse frames of a second hold two fine ones; a probe of 20 s begins at 10 s.
+COARSE_MS, FINE_MS, PROBE, PROBE_S = 1000.0, 500.0, 10.0, 20.0
+
+
+def recordings(spark, d):
+    """Fine and coarse frames of a recording for each group of users (a frame an event) and of another: a late and slightly different copy, or, of groups 6 and 7, unlike or silent."""
+    e = t.read(spark, d, "events").select((F.col("user_id") % 8).alias("pair"), "event_id", F.floor(F.col("value") * 100).cast("double").alias("level"))
+    ix = F.row_number().over(Window.partitionBy("pair").orderBy("event_id")).cast("bigint") - 1
+    own = e.select("pair", ix.alias("ix"), "level")
+    other = F.when(F.col("pair") == 7, 1.0).when(F.col("pair") == 6, F.col("level") * (F.col("ix") % 5 - 2)).otherwise(F.col("level") + (F.col("ix") % 3) * 0.5)
+    late = own.select("pair", (F.col("ix") + (F.col("pair") % 4) * 3).alias("ix"), other.alias("level"))
+    coarse = lambda df: df.groupBy("pair", F.floor(F.col("ix") / 2).alias("ix")).agg((F.sum("level") / F.count("*")).alias("level"))
+    return coarse(own), own, coarse(late), late
+
+
+_REC = """f AS (SELECT pair, row_number() OVER (PARTITION BY pair ORDER BY event_id) - 1 AS ix, level FROM (SELECT user_id % 8 AS pair, event_id, floor(value * 100)::DOUBLE AS level FROM events)),
+ l AS (SELECT pair, ix + (pair % 4) * 3 AS ix, CASE WHEN pair = 7 THEN 1.0::DOUBLE WHEN pair = 6 THEN level * (ix % 5 - 2) ELSE level + (ix % 3) * 0.5::DOUBLE END AS level FROM f),
+ fc AS (SELECT pair, ix // 2 AS ix, sum(level) / count(*) AS level FROM f GROUP BY 1, 2), lc AS (SELECT pair, ix // 2 AS ix, sum(level) / count(*) AS level FROM l GROUP BY 1, 2),
+ cm AS (SELECT fc.pair, g.lag, count(*) AS frames, CASE WHEN min(fc.level) = max(fc.level) OR min(lc.level) = max(lc.level) THEN 0 ELSE corr(fc.level, lc.level) END AS r FROM fc, (SELECT unnest(range(-60, 61)) AS lag) g, lc WHERE lc.pair = fc.pair AND lc.ix = fc.ix + g.lag GROUP BY 1, 2),
+ cb AS (SELECT pair, lag, round(r, 6) AS r, frames FROM cm WHERE frames >= 30 AND r > -1 QUALIFY row_number() OVER (PARTITION BY pair ORDER BY round(r, 6) DESC, lag) = 1),
+ lo AS (SELECT pair, lag, round(greatest(0.0::DOUBLE, 10.0 + lag - 3.0) * 2)::BIGINT AS first_ FROM cb WHERE r >= 0.30),
+ wi AS (SELECT l.pair, ix - first_ AS ix, level FROM l JOIN lo ON lo.pair = l.pair AND ix >= first_ AND ix < first_ + 52), pr AS (SELECT pair, ix - 20 AS ix, level FROM f WHERE ix >= 20 AND ix < 60),
+ fm_ AS (SELECT pr.pair, g.lag, count(*) AS frames, CASE WHEN min(pr.level) = max(pr.level) OR min(wi.level) = max(wi.level) THEN 0 ELSE corr(pr.level, wi.level) END AS r FROM pr, (SELECT unnest(range(-12, 13)) AS lag) g, wi WHERE wi.pair = pr.pair AND wi.ix = pr.ix + g.lag GROUP BY 1, 2),
+ fb AS (SELECT pair, lag, round(r, 6) AS r FROM fm_ WHERE frames >= 30 AND r > -1 QUALIFY row_number() OVER (PARTITION BY pair ORDER BY round(r, 6) DESC, lag) = 1)"""
+
+
+@register("a45_identity_verdict", f"""WITH {_REC}, v AS (SELECT p.pair, CASE WHEN cb.pair IS NULL THEN 'too short' WHEN cb.r < 0.30 THEN 'different' WHEN fb.pair IS NULL THEN 'too short' WHEN fb.r >= 0.90 THEN 'same' ELSE 'different' END AS verdict, cb.lag AS c, fb.lag AS f FROM (SELECT DISTINCT pair FROM fc) p LEFT JOIN cb USING (pair) LEFT JOIN fb USING (pair))
+SELECT pair, verdict, CASE WHEN verdict = 'same' THEN round(c - (10.0::DOUBLE + c - greatest(0.0::DOUBLE, 10.0 + c - 3.0)) + f * 0.5, 3) END AS offset_s FROM v""")
 def a45(spark, d):
-    k = F.col("event_id")
-    e = t.read(spark, d, "events")
-    coarse = e.select(k.alias("pair"), (k % 121 - 60).alias("lag"), ((k % 11) / 10.0).alias("r"), (k % 60).alias("frames"))
-    fine = e.select(k.alias("pair"), (k % 601).alias("lag"), ((k % 7 + 4) / 10.0).alias("r"), (k % 90).alias("frames"))
-    return L.verdicts(coarse, fine, 1000.0, 10.0, 20.0)
+    """Located by coarse frames, decided by the fine ones at the place that they give."""
+    return L.identity(*recordings(spark, d), COARSE_MS, FINE_MS, PROBE, PROBE_S)
+
+
+def _le(n, size: int):
+    """A number as `size` little-endian bytes."""
+    return F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(n.cast("bigint"), 8 * i).bitwiseAND(F.lit(255))), 2, "0")) for i in range(size)])
+
+
+def waves(spark, d):
+    """Pages as recordings: their bytes are samples of 8 bits at 1000 a second; of every ten, one has another container, one another codec, and one ends too early."""
+    k, body = F.col("page_id"), F.coalesce(F.col("html").cast("binary"), F.lit(b""))
+    n = F.octet_length("html").cast("bigint")
+    size = F.coalesce(n, F.lit(0).cast("bigint"))
+    two = lambda x: _le(F.lit(x), 2)
+    form = F.concat(F.lit(b"fmt "), _le(F.lit(16), 4), _le(F.when(k % 10 == 5, 6).otherwise(1), 2), two(1), _le(F.lit(1000), 4), _le(F.lit(1000), 4), two(1), two(8))
+    content = F.concat(F.when(k % 10 == 3, F.lit(b"RIFX")).otherwise(F.lit(b"RIFF")), _le(size + 36, 4), F.lit(b"WAVE"), form, F.lit(b"data"), _le(F.when(k % 10 == 7, size + 9).otherwise(size), 4), body)
+    return t.read(spark, d, "pages").select(F.concat(k.cast("string"), F.lit(".wav")).alias("path"), content.alias("content"))
+
+
+def measured(spark, d):
+    root = sessions.shared_folder(spark, "recordings")
+    sinks.write_files(waves(spark, d), root)
+    x = pcm.loudness(spark, root, 100)
+    return x.withColumn("page_id", F.regexp_extract("path", "([0-9]+)[.]wav$", 1).cast("bigint"))
+
+
+@register("s13_pcm_loudness", r"""WITH b AS (SELECT page_id, hex(encode(coalesce(html, ''))) AS h FROM pages WHERE page_id % 10 NOT IN (3, 5, 7)), s AS (SELECT page_id, i // 100 AS ix, ('0x' || substr(h, 2 * i + 1, 2))::INT - 128 AS v FROM (SELECT *, unnest(range(0, length(h) // 2)) AS i FROM b))
+SELECT page_id, ix, round(CASE WHEN sum(v * v) = 0 THEN -120 ELSE greatest(-120, 10 * log10(sum(v * v)::DOUBLE / count(*) / 16384)) END, 6) AS level FROM s GROUP BY 1, 2""")
+def s13(spark, d):
+    return measured(spark, d).filter("finding is null and ix is not null").select("page_id", "ix", F.round("level", 6).alias("level"))
+
+
+@register("s13_pcm_findings", "SELECT page_id, CASE page_id % 10 WHEN 3 THEN 'not a RIFF/WAVE container' WHEN 5 THEN 'codec 6 of 8 bits needs a decoder' ELSE 'chunk data ends beyond the file' END AS finding FROM pages WHERE page_id % 10 IN (3, 5, 7)")
+def s13_findings(spark, d):
+    return measured(spark, d).filter("finding is not null").select("page_id", "finding")
 
 
 @register("s12_loudness_frames", "SELECT page_id, [CASE WHEN page_id % 3 = 0 THEN -120.0 ELSE -(page_id % 70) - 0.5 END, -120.0, -33.25]::DOUBLE[] AS levels FROM pages")

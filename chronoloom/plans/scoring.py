@@ -214,23 +214,23 @@ def a19(spark, d):
 
 
 # Fixture: what sessions record of their engines, and what keys declare.
-#: An engine's native document for each event, by which its session (the user's) is judged, and a provider that every third event declares.  A ninth of the sessions has documents that name no engine, a thirteenth holds the truth.
-_DOCS = """(SELECT user_id AS session_id, CASE WHEN user_id % 9 <> 0 THEN event_type || ' engine' END AS provider, CASE WHEN user_id % 9 <> 0 AND event_id % 4 = 0 THEN 'ggml-' || event_type || '-v' || (event_id % 3) || '.bin' END AS model_file,
-    CASE WHEN event_id % 3 = 0 THEN event_type || CASE WHEN event_id % 2 = 0 THEN ' v' || (event_id % 5) ELSE ' the ' || (event_id % 7) END END AS declared FROM events)"""
+#: An engine's native document for each event, by which its session (the user's) is judged, and a provider that every 37th event declares.  A ninth of the sessions has documents that name no engine, a thirteenth holds the truth.
+_DOCS = """(SELECT user_id AS session_id, CASE WHEN user_id % 9 <> 0 THEN event_type || CASE WHEN user_id % 4 = 0 THEN '' ELSE ' engine' END END AS provider, CASE WHEN user_id % 9 <> 0 AND event_id % 4 = 0 THEN 'ggml-' || event_type || '-v' || (event_id % 3) || '.bin' END AS model_file,
+    CASE WHEN event_id % 37 = 0 THEN event_type || CASE WHEN event_id % 2 = 0 THEN ' v' || (event_id % 5) ELSE ' the ' || (event_id % 7) END END AS declared FROM events)"""
 
 
 def documents(spark, d):
     """session_id, native: what an engine left of each event, as JSON."""
     k, u = F.col("event_id"), F.col("user_id")
     model = F.when((u % 9 != 0) & (k % 4 == 0), F.format_string("ggml-%s-v%d.bin", F.col("event_type"), k % 3))
-    doc = F.struct(F.when(u % 9 != 0, F.concat("event_type", F.lit(" engine"))).alias("provider"), F.struct(model.alias("model_file"), F.col("event_type").alias("note")).alias("recognition"), F.array(F.struct(k.alias("engine_ms"))).alias("steps"))
+    doc = F.struct(F.when(u % 9 != 0, F.concat("event_type", F.when(u % 4 == 0, "").otherwise(" engine"))).alias("provider"), F.struct(model.alias("model_file"), F.col("event_type").alias("note")).alias("recognition"), F.array(F.struct(k.alias("engine_ms"))).alias("steps"))
     return t.read(spark, d, "events").select(u.alias("session_id"), F.to_json(doc).alias("native"))
 
 
 def declared(spark, d):
     k = F.col("event_id")
     name = F.concat("event_type", F.when(k % 2 == 0, F.concat(F.lit(" v"), (k % 5).cast("string"))).otherwise(F.concat(F.lit(" the "), (k % 7).cast("string"))))
-    return t.read(spark, d, "events").select(F.col("user_id").alias("session_id"), F.when(k % 3 == 0, name).alias("provider")).filter("provider is not null").distinct()
+    return t.read(spark, d, "events").select(F.col("user_id").alias("session_id"), F.when(k % 37 == 0, name).alias("provider")).filter("provider is not null").distinct()
 
 
 def judged(spark, d):

@@ -26,7 +26,7 @@ def write_document(path: str, payload) -> None:
 
 
 def write_files(files: DataFrame, root: str) -> None:
-    """files(path, content string) as files below root, each there whole or not at all; a path that repeats is written once more.  root is any file system that pyarrow opens."""
+    """files(path, content: a string or bytes) as files below root, each there whole or not at all; a path that repeats is written once more.  root is any file system that pyarrow opens."""
     from pyspark import TaskContext
 
     spark = files.sparkSession
@@ -48,7 +48,7 @@ def write_files(files: DataFrame, root: str) -> None:
                 to.create_dir(os.path.dirname(name), recursive=True)
                 part = f"{os.path.dirname(name)}/.part-{task}-{n}"
                 with to.open_output_stream(part) as f:
-                    f.write((content or "").encode())
+                    f.write(content if isinstance(content, bytes) else (content or "").encode())
                 to.move(part, name)
                 n += 1
         yield RecordBatch.from_pydict({"n": [n]})
