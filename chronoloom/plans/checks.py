@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import align as L
+from ..operators import replies as R
 from ..operators import validate as V
 from ..sources import engines, pcm, sessions, sinks
 from . import register, tables as t
@@ -249,3 +250,40 @@ def f29(spark, d):
 
     grounds = grounds(F.col("event_id") % 3 + 1, F.when(F.col("event_id") % 2 == 0, 0.0).otherwise(1.5))
     return t.read(spark, d, "events").select("event_id", grounds.alias("grounds"))
+
+
+# ------------------------------------------------------------------------------------------------ replies
+
+
+def replies(spark, d):
+    """A reply on each session: a scene and a question for each of its turns, some of them wrong in some way."""
+    x = t.turns(spark, d).select("session_id", "ord", "id", "text", (F.col("session_id") + F.col("ord")).alias("k"))
+    k = F.col("k")
+    quoted = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    title = F.when(k % 7 == 0, F.lit('" \\n "')).otherwise(F.concat(F.lit('"Scene '), F.col("ord").cast("string"), F.lit('"')))
+    ids = F.when(k % 5 == 0, F.lit("[]")).when(k % 6 == 1, F.concat(F.lit('["t'), F.col("ord").cast("string"), F.lit('"]'))).when(k % 13 == 2, F.concat(F.lit("["), quoted("id"), F.lit(',"t99999",3]'))).otherwise(F.concat(F.lit("["), quoted("id"), F.lit("]")))
+    scene = F.concat(F.lit('{"title":'), title, F.lit(',"summary":'), F.when(k % 11 == 0, F.lit("5")).otherwise(quoted("text")), F.lit(',"turn_ids":'), ids, F.lit("}"))
+    confidence = F.when(k % 17 == 1, F.lit('"high"')).otherwise(((k % 15) / 10.0).cast("string"))
+    question = F.concat(F.lit('{"issue":'), quoted("text"), F.when(k % 9 == 2, F.lit("")).otherwise(F.lit(',"why_it_matters":"it does"')), F.lit(',"turn_ids":['), quoted("id"), F.lit('],"confidence":'), confidence, F.lit(',"consequence":'), F.when(k % 8 == 3, F.lit('"huge"')).otherwise(F.lit('"low"')), F.lit("}"))
+    parts = F.array_sort(F.collect_list(F.struct("ord", "id", scene.alias("s"), question.alias("q"))))
+    g = x.groupBy("session_id").agg(parts.alias("p"))
+    joined = lambda c: F.array_join(F.transform("p", lambda y: y[c]), ",")
+    s = F.col("session_id")
+    entities = F.when(s % 10 == 6, F.lit('[1,{"name":"N","kind":"","turn_ids":"t"}]')).otherwise(F.lit("null"))
+    questions = F.when(s % 9 == 4, F.lit('"none"')).otherwise(F.concat(F.lit("["), joined("q"), F.lit("]")))
+    payload = F.when(s % 14 == 5, F.lit("[1]")).otherwise(F.concat(F.lit('{"scenes":['), joined("s"), F.lit('],"entities":'), entities, F.lit(',"questions":'), questions, F.lit("}")))
+    return g.select("session_id", F.lit(0).alias("window_ix"), payload.alias("payload"), F.transform("p", lambda y: y["id"]).alias("turn_ids"))
+
+
+@register("v16_reply_findings", f"""WITH {t.TURNS}, x AS (SELECT session_id, id, session_id + ord AS k, text, ord, row_number() OVER (PARTITION BY session_id ORDER BY ord) - 1 AS i, count(*) FILTER (WHERE TRUE) OVER (PARTITION BY session_id) AS n FROM turns WHERE session_id % 14 <> 5), s AS (SELECT DISTINCT session_id FROM turns),
+  f AS (SELECT session_id, '' AS path, 'must be an object' AS finding FROM s WHERE session_id % 14 = 5 UNION ALL SELECT session_id, 'entities[0]', 'must be an object' FROM s WHERE session_id % 10 = 6 AND session_id % 14 <> 5
+  UNION ALL SELECT session_id, 'entities[1].kind', 'must be a string with more than space' FROM s WHERE session_id % 10 = 6 AND session_id % 14 <> 5 UNION ALL SELECT session_id, 'entities[1].turn_ids', 'must cite a turn' FROM s WHERE session_id % 10 = 6 AND session_id % 14 <> 5
+  UNION ALL SELECT session_id, 'questions', 'must be a list of objects' FROM s WHERE session_id % 9 = 4 AND session_id % 14 <> 5
+  UNION ALL SELECT session_id, 'scenes[' || i || '].title', 'must be a string with more than space' FROM x WHERE k % 7 = 0 UNION ALL SELECT session_id, 'scenes[' || i || '].summary', 'must be a string with more than space' FROM x WHERE k % 11 = 0 OR trim(text, e' \\t\\n\\r') = ''
+  UNION ALL SELECT session_id, 'scenes[' || i || '].turn_ids', 'must cite a turn' FROM x WHERE k % 5 = 0 UNION ALL SELECT session_id, 'scenes[' || i || '].turn_ids[0]', 'is no turn of the window' FROM x WHERE k % 5 <> 0 AND k % 6 = 1 AND ord >= n
+  UNION ALL SELECT session_id, 'scenes[' || i || '].turn_ids[1]', 'is no turn of the window' FROM x WHERE k % 5 <> 0 AND k % 6 <> 1 AND k % 13 = 2 UNION ALL SELECT session_id, 'scenes[' || i || '].turn_ids[2]', 'must be a turn''s id' FROM x WHERE k % 5 <> 0 AND k % 6 <> 1 AND k % 13 = 2
+  UNION ALL SELECT session_id, 'questions[' || i || '].issue', 'must be a string with more than space' FROM x WHERE session_id % 9 <> 4 AND trim(text, e' \\t\\n\\r') = '' UNION ALL SELECT session_id, 'questions[' || i || '].why_it_matters', 'must be a string with more than space' FROM x WHERE session_id % 9 <> 4 AND k % 9 = 2
+  UNION ALL SELECT session_id, 'questions[' || i || '].confidence', 'must be a number from 0 to 1' FROM x WHERE session_id % 9 <> 4 AND (k % 17 = 1 OR k % 15 > 10) UNION ALL SELECT session_id, 'questions[' || i || '].consequence', 'must be low, medium or high' FROM x WHERE session_id % 9 <> 4 AND k % 8 = 3)
+SELECT session_id, path, finding FROM f""")
+def v16(spark, d):
+    return R.findings(replies(spark, d)).drop("window_ix")
