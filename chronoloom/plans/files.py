@@ -8,7 +8,7 @@ from .. import plugs, streaming
 from ..functions.text import fold_surface
 from ..operators import notes as N
 from ..operators.windows import Budget, plan_windows
-from ..sources import collections, engines, generator, manifests, media, sessions, sinks
+from ..sources import collections, engines, generator, manifests, plugged, media, sessions, sinks
 from . import register, tables as t
 from .checks import _FR
 from .claims import _ALL
@@ -91,6 +91,34 @@ def s10(spark, d):
     return x.select(number.alias("session_id"), F.col("ord").cast("bigint").alias("ord"), "start_ms", "end_ms", "text", "confidence")
 
 
+@register("s10_engine_source", f"WITH {t.SEGMENTS} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ord) - 1 AS ord, start_ms, end_ms, text, confidence FROM segments")
+def s10_source(spark, d):
+    """What s10 imports, through the engine source: a partition for eight recordings."""
+    one = F.struct(F.struct(F.col("start_ms").alias("from"), F.col("end_ms").alias("to")).alias("offsets"), "text", F.array(F.struct(F.lit("[_BEG]").alias("text"), F.lit(0.5).alias("p")), F.struct(F.lit("x").alias("text"), F.col("confidence").alias("p"))).alias("tokens"))
+    one = F.when(F.col("confidence").isNotNull(), one).otherwise(F.struct(one["offsets"].alias("offsets"), F.col("text"), F.slice(one["tokens"], 1, 1).alias("tokens")))
+    docs = t.segments(spark, d).groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", one.alias("o")))), lambda y: y["o"]).alias("transcription"))
+    path = sessions.shared_folder(spark, "recordings")
+    sinks.write_files(docs.select(F.concat(F.lit("r"), F.col("session_id").cast("string"), F.lit(".json")).alias("path"), F.to_json(F.struct("transcription")).alias("content")), path)
+    x = engine_rows(spark, path, "recognised")
+    return x.select(F.regexp_extract("recording", "r(-?[0-9]+)[.]json$", 1).cast("bigint").alias("session_id"), "ord", "start_ms", "end_ms", "text", "confidence")
+
+
+@register("s11_engine_source", "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ord, event_id AS start_ms, event_id + event_id % 900 AS end_ms, printf('SPEAKER_%02d', event_id % 12) AS label FROM events")
+def s11_source(spark, d):
+    """What s11 imports, through the engine source."""
+    k = F.col("event_id")
+    one = F.struct((k / 1000).alias("start"), ((k + k % 900) / 1000).alias("end"), (k % 12).cast("int").alias("speaker"))
+    docs = t.read(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", one.alias("o")))), lambda x: x["o"]).alias("segments"))
+    path = sessions.shared_folder(spark, "diarised")
+    sinks.write_files(docs.select(F.concat(F.lit("r"), F.col("user_id").cast("string"), F.lit(".json")).alias("path"), F.to_json(F.struct("segments")).alias("content")), path)
+    return engine_rows(spark, path, "diarised").select(F.regexp_extract("recording", "r(-?[0-9]+)[.]json$", 1).cast("bigint").alias("user_id"), "ord", "start_ms", "end_ms", "label")
+
+
+def engine_rows(spark, path, kind):
+    spark.dataSource.register(plugged.EngineSource)
+    return spark.read.format("engine").option("engine", kind).option("kind", kind).option("suffix", ".json").option("per_task", "8").load(path)
+
+
 @register("s9_manifest_scan", "SELECT item_id, item_id % 4 <> 0 AS parses, CASE WHEN item_id % 4 <> 0 THEN 'key-' || item_id END AS id FROM benchmark")
 def s9(spark, d):
     path = sessions.shared_folder(spark, "manifests")
