@@ -161,6 +161,26 @@ def tr9(spark, d):
     return C.learned(answers(spark, d)).select("session_id", "pos")
 
 
+@register("tr2_sheet_transactions", f"""{W}, lst AS (SELECT session_id, max(sequence) AS last FROM log GROUP BY 1), good AS (SELECT * FROM answers WHERE session_id NOT IN (SELECT session_id FROM bad))
+SELECT session_id, coalesce(last, 0) + row_number() OVER (PARTITION BY session_id ORDER BY pos) AS sequence, answered_by, question_id, action, question_id <> '' AND op IS NOT NULL AS changes FROM good LEFT JOIN lst USING (session_id)""")
+def tr2_stream(spark, d):
+    """Sheets arrive in two lots on a log that is there; each lot is a transaction of a stream that is stopped and started between them."""
+    from ..sources import sessions
+    from ..streaming import sheets as S
+
+    base = sessions.shared_folder(spark, "sheets")
+    store = S.Versions(spark, f"{base}/store")
+    old = log(spark, d).select("session_id", "sequence", F.col("pos").cast("int").alias("pos"), "answered_by", F.lit(None).cast("string").alias("question_id"), F.lit(None).cast("string").alias("action"), F.array("decided").alias("decided"))
+    old.write.parquet(f"{base}/store/log/version-before")
+    S.write_document(f"{base}/store/manifests/0.json", {"batch": -1, "tables": {"log": ["log/version-before"]}})
+    one = F.struct("question_id", "action", F.lit(None).cast("string").alias("note"), F.lit(" ").alias("answered_by"), "operation")
+    rows = answers(spark, d).groupBy("session_id").agg(F.to_json(F.struct(F.first("answered_by").alias("answered_by"), F.transform(F.array_sort(F.collect_list(F.struct("pos", one.alias("a")))), lambda x: x["a"]).alias("answers"))).alias("payload"))
+    for lot in (1, 0):
+        rows.filter(F.pmod("session_id", F.lit(2)) == lot).coalesce(2).write.mode("append").parquet(f"{base}/in")
+        S.sheet_stream(spark, f"{base}/in", store, f"{base}/checkpoint", t.entities(spark, d))
+    return store.read("log", S.LOG).filter("action is not null").select("session_id", "sequence", "answered_by", "question_id", "action", (F.size("decided") > 1).alias("changes"))
+
+
 def approvals(spark, d):
     """Each session counts its own approvals, so numbers repeat across sessions."""
     e = t.read(spark, d, "events")
