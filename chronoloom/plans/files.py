@@ -10,7 +10,7 @@ from ..operators import notes as N
 from ..operators.windows import Budget, plan_windows
 from ..sources import collections, engines, generator, manifests, plugged, media, sessions, sinks
 from . import register, tables as t
-from .checks import _FR
+from .checks import _REC
 from .claims import _ALL
 from .corrections import VOCABULARY, approvals
 from .notes import _N, files as note_files
@@ -192,14 +192,13 @@ def s17(spark, d):
     return sinks.report_rows(x)
 
 
-@register("s25_fingerprints", f"""WITH {_FR}, f AS (SELECT pair, replace(list(round(level, 1) ORDER BY ix)::VARCHAR, ', ', ',') AS v FROM r GROUP BY 1)
-SELECT pair AS recording, '{{"coarse":' || v || ',"fine":' || v || ',"coarse_frame_ms":1000,"fine_frame_ms":10,"fine_probe_start_seconds":20.0,"fine_probe_seconds":1.0}}' AS document FROM f""")
+@register("s25_fingerprints", f"""WITH {_REC}, c AS (SELECT pair, replace(list(round(level, 1) ORDER BY ix)::VARCHAR, ', ', ',') AS v FROM fc GROUP BY 1), n AS (SELECT pair, replace(list(round(level, 1) ORDER BY ix)::VARCHAR, ', ', ',') AS v FROM f GROUP BY 1)
+SELECT pair AS recording, '{{"coarse":' || c.v || ',"fine":' || n.v || ',"coarse_frame_ms":1000,"fine_frame_ms":500,"fine_probe_start_seconds":10.0,"fine_probe_seconds":20.0}}' AS document FROM c JOIN n USING (pair)""")
 def s25(spark, d):
-    from .checks import frames
+    from .checks import recordings
 
-    r, _ = frames(spark, d)
-    r = r.withColumnRenamed("pair", "recording")
-    return sinks.write_fingerprint(r, r, 1000, 10, 20.0, 1.0)
+    coarse, fine, *_ = recordings(spark, d)
+    return sinks.write_fingerprint(coarse.withColumnRenamed("pair", "recording"), fine.withColumnRenamed("pair", "recording"), 1000, 500, 10.0, 20.0)
 
 
 @register("s22_generated_sessions")
