@@ -32,36 +32,47 @@ class Budget:
 def plan_windows(turns: DataFrame, budget: Budget, key: str = "session_id") -> DataFrame:
     """session, window_ix, pos, id of every turn in every window.
 
-    The plan depends on what came before, so it is a fold over each session's turns in order (a session is the unit of memory, as a transcript is).  The carry after a full window is not priced
-    again with the turn that follows, so a window may hold up to half its capacity more than the budget.
+    The plan depends on what came before, so it is a fold over each session's turns in order.  Sorted turns are streamed, as ids and costs without their texts, and a turn's rows leave at once: what is kept of a session is
+    its open window's number, size and cost and its last `overlap` turns, however many turns it has.  The carry after a full window is not priced again with the turn that follows, so a window may hold up to half its
+    capacity more than the budget.
     """
-    cost = estimated_tokens(render_turn("id", "physical_speaker", "text")) + 1
+    cost = (estimated_tokens(render_turn("id", "physical_speaker", "text")) + 1).cast("bigint")
     cap, lap = budget.capacity, budget.overlap
-    item = F.struct(F.col("ord"), F.col("id").alias("id"), cost.cast("bigint").alias("cost"))
-    grouped = turns.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    # The state: windows as their first turn and the one after their last, where the open window began, the turn at hand, the open window's cost, and the costs of its last `lap` turns.
-    start = F.expr("named_struct('done', cast(array() as array<struct<a:int,z:int>>), 'a', 0, 'i', 0, 'total', 0L, 'tail', cast(array() as array<bigint>))")
-    none = F.expr("cast(array() as array<bigint>)")
-    window = lambda a, z: F.array(F.struct(a.alias("a"), z.alias("z")))
-
-    def state(done, a, i, total, tail):
-        return F.struct(done.alias("done"), a.cast("int").alias("a"), i.cast("int").alias("i"), total.cast("bigint").alias("total"), tail.alias("tail"))
-
-    def last(tail):
-        return F.slice(tail, F.greatest(F.lit(1), F.size(tail) - lap + 1), lap) if lap else none
-
-    def step(acc, x):
-        done, a, i, cost = acc["done"], acc["a"], acc["i"], x["cost"]
-        flushed = F.when(i > a, F.concat(done, window(a, i))).otherwise(done)
-        carried = F.aggregate(acc["tail"], F.lit(0).cast("bigint"), lambda s, c: s + c)
-        fits = carried <= cap // 2
-        kept = F.when(fits, acc["tail"]).otherwise(none)
-        alone = state(F.concat(flushed, window(i, i + 1)), i + 1, i + 1, F.lit(0), none)
-        turned = state(flushed, i - F.size(kept), i + 1, F.when(fits, carried).otherwise(F.lit(0)) + cost, last(F.concat(kept, F.array(cost))))
-        grown = state(done, a, i + 1, acc["total"] + cost, last(F.concat(acc["tail"], F.array(cost))))
-        return F.when(cost > cap, alone).when((i > a) & (acc["total"] + cost > cap), turned).otherwise(grown)
-
-    end = F.aggregate("items", start, step, lambda acc: F.when(acc["i"] > acc["a"], F.concat(acc["done"], window(acc["a"], acc["i"]))).otherwise(acc["done"]))
-    rows = grouped.select(key, "items", F.posexplode(end).alias("window_ix", "w"))
-    rows = rows.select(key, "window_ix", F.posexplode(F.slice("items", F.col("w.a") + 1, F.col("w.z") - F.col("w.a"))).alias("pos", "x"))
-    return rows.select(key, "window_ix", "pos", "x.id", F.col("x.cost").alias("cost"))
+    kind = turns.schema[key].dataType.simpleString()
+    rows = turns.select(key, "ord", F.col("id").cast("string").alias("id"), cost.alias("cost")).repartition(key).sortWithinPartitions(key, "ord", "id", "cost").select(key, "id", "cost")
+
+    def run(batches):
+        import pyarrow as pa
+
+        session, ix, n, total, tail = object(), 0, 0, 0, []  # no session yet
+        for b in batches:
+            keys, windows, places, ids, costs = [], [], [], [], []
+
+            def put(pos: int, turn: tuple[str, int]) -> None:
+                keys.append(session)  # noqa: B023
+                windows.append(ix)  # noqa: B023
+                places.append(pos)  # noqa: B023
+                ids.append(turn[0])  # noqa: B023
+                costs.append(turn[1])  # noqa: B023
+
+            for k, *turn in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if k != session:
+                    session, ix, n, total, tail = k, 0, 0, 0, []
+                price = turn[1]
+                if price > cap:  # a window of its own
+                    ix += n > 0
+                    put(0, turn)
+                    ix, n, total, tail = ix + 1, 0, 0, []
+                    continue
+                if n and total + price > cap:
+                    carried = sum(c for _, c in tail)
+                    ix, n, total, tail = (ix + 1, len(tail), carried, tail) if carried <= cap // 2 else (ix + 1, 0, 0, [])
+                    for pos, old in enumerate(tail):
+                        put(pos, old)
+                put(n, turn)
+                n, total, tail = n + 1, total + price, [*tail, turn][-lap:] if lap else []
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, b.schema.field(0).type), pa.array(windows, pa.int32()), pa.array(places, pa.int32()), pa.array(ids, pa.string()), pa.array(costs, pa.int64())], names=[key, "window_ix", "pos", "id", "cost"]
+            )
+
+    return rows.mapInArrow(run, f"{key} {kind}, window_ix int, pos int, id string, cost bigint")

@@ -112,6 +112,22 @@ def test_windows_follow_the_rules(spark, seed, overlap):
     assert {i for w in got.values() for i in w} == set(range(30))
 
 
+def test_a_long_session_is_streamed(spark):
+    """Many batches of one session's turns beside others, in any order; its texts are not shuffled."""
+    n = 60_000
+    df = spark.range(n).select(F.lit(5).cast("long").alias("session_id"), F.col("id").alias("ord"), F.format_string("t%06d", "id").alias("id"), F.lit("A").alias("physical_speaker"), F.repeat(F.lit("w"), (F.col("id") * 7919 % 97).cast("int")).alias("text"))
+    df = df.unionByName(df.filter("ord < 50").withColumn("session_id", F.lit(None).cast("long"))).unionByName(df.filter("ord < 10").withColumn("session_id", F.lit(-3).cast("long")))
+    budget = Budget(400, 50, 3)
+    costs = [-(-2 * (14 + i * 7919 % 97) // 5) + 1 for i in range(n)]
+    plan = plan_windows(df.repartition(7), budget)
+    got: dict = {}
+    for r in sorted(plan.collect(), key=lambda r: (str(r.session_id), r.window_ix, r.pos)):
+        got.setdefault(r.session_id, {}).setdefault(r.window_ix, []).append(int(r.id[1:]))
+    for session, m in ((5, n), (None, 50), (-3, 10)):
+        assert [got[session][i] for i in range(len(got[session]))] == planned(costs[:m], budget, None)
+    assert "collect_list" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_budget_must_leave_room():
     with pytest.raises(ValueError):
         Budget(100, 100)
