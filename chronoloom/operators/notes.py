@@ -183,3 +183,39 @@ def tree_digest(files: DataFrame) -> DataFrame:
     item = F.concat(F.col("path").cast("binary"), F.lit(b"\x00"), F.unhex(F.sha2(F.col("content").cast("binary"), 256)))
     totals = files.agg(F.count("*").alias("files"), F.sum(F.octet_length("content")).alias("total_bytes"), F.max("modified").alias("newest"))
     return totals.crossJoin(streamed_digest(files.select(F.split("path", "/").alias("k"), item.alias("b")), "b", "k", "b"))  # a row and a row
+
+
+#: The parts of a survey, in their order in the document.
+PARTS = (
+    "notes", "note_types", "folders", "frontmatter_keys", "inconsistent_value_shapes", "link_topology", "stubs", "accumulation_positions", "edge_sections", "recurring_sections", "provenance_signals",
+)
+
+
+def survey(files: DataFrame, least: int = 2) -> DataFrame:
+    """Part, name, detail, n: all eleven parts of a survey of files (path, content) as rows.
+
+    A note gives its facts in one pass, and one aggregation counts them all; links are counted by topology().  Value shapes are told of keys with several, section titles of types that share them.
+    """
+    kind, none = F.coalesce("note_type", F.lit(UNTYPED)), F.lit("")
+    fact = lambda part, name, detail=none: F.struct(F.lit(part).alias("part"), name.alias("name"), detail.alias("detail"))
+    below = F.filter("sections", lambda h: h["level"] >= 2)
+    last = (F.size(below) - 1).cast("double")
+    part = lambda h: F.when(last > 0, h["section_ix"] / last).otherwise(F.lit(0.0))
+    third = lambda h: F.when(part(h) < 1 / 3, "first-third").when(part(h) < 2 / 3, "middle-third").otherwise("last-third")
+    stamped = F.filter(below, lambda h: h["session_ref"].isNotNull())
+    bare = (F.size("sections") == 0) & (F.size("fields") == 0) & (F.col("size_bytes") < 16)
+    several = F.concat(
+        F.array(fact("notes", none), fact("note_types", kind), fact("folders", F.col("folder"))), F.transform("fields", lambda f: fact("frontmatter_keys", f["key"])), F.transform("fields", lambda f: fact("inconsistent_value_shapes", f["key"], f["shape"])),
+        F.transform(F.filter("fields", lambda f: T.fold_key(f["key"]).isin(*PROVENANCE_KEYS)), lambda f: fact("provenance_signals", f["key"])), F.filter(F.array(F.when(bare, fact("stubs", F.col("path")))), lambda x: x.isNotNull()),
+        F.transform(stamped, lambda h: fact("accumulation_positions", third(h))), F.transform(F.filter(stamped, lambda h: h["section_ix"] == last), lambda h: fact("accumulation_positions", F.lit("final-section-in-note"))),
+        F.transform(F.slice(below, 1, 1), lambda h: fact("edge_sections", F.lit("opening"), h["title"])), F.transform(F.slice(F.reverse(below), 1, 1), lambda h: fact("edge_sections", F.lit("terminal"), h["title"])),
+        F.transform(F.array_distinct(F.transform(below, lambda h: h["title"])), lambda x: fact("recurring_sections", kind, x)),
+    )
+    counted = parse(files).select(F.explode(several).alias("x")).groupBy("x.part", "x.name", "x.detail").agg(F.count("*").alias("n"))
+    # Shapes of a key are a handful; the others pass through this grouping alone.
+    same = F.when(F.col("part") == "inconsistent_value_shapes", F.lit("")).otherwise(F.col("detail"))
+    told = counted.groupBy("part", "name", same.alias("same")).agg(F.array_join(F.array_sort(F.collect_set("detail")), ",").alias("detail"), F.count("*").alias("shapes"), F.sum("n").alias("n"))
+    told = told.filter(((F.col("part") != "inconsistent_value_shapes") | (F.col("shapes") > 1)) & ((F.col("part") != "recurring_sections") | (F.col("n") >= least)))
+    links_ = topology(files).drop("unresolved_share")
+    flat = links_.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in links_.columns])).alias("x"))
+    return told.select("part", "name", "detail", "n").unionByName(flat.select(F.lit("link_topology").alias("part"), "x.name", none.alias("detail"), "x.n"))

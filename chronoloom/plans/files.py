@@ -347,18 +347,24 @@ def s19(spark, d):
     return spark.read.text(path).select(F.get_json_object("value", "$.session_id").cast("bigint").alias("session_id"), F.col("value").alias("document"))
 
 
-@register("s20_survey_document", f"""WITH {_N}, eg AS (SELECT 'opening' AS edge, arg_min(title, idx) AS title FROM sec WHERE level >= 2 GROUP BY path UNION SELECT 'terminal', arg_max(title, idx) FROM sec WHERE level >= 2 GROUP BY path),
-  sp AS (SELECT idx, max(idx) OVER (PARTITION BY path) AS last, session_ref FROM sec WHERE level >= 2), ps AS (SELECT CASE WHEN last = 0 OR idx::DOUBLE / last < 1/3::DOUBLE THEN 1 WHEN idx::DOUBLE / last < 2/3::DOUBLE THEN 2 ELSE 3 END AS p, idx = last AS final FROM sp WHERE session_ref IS NOT NULL)
-SELECT 'notes' AS key, count(*)::BIGINT AS items FROM files UNION ALL SELECT 'note_types', count(DISTINCT coalesce(note_type, '(untyped)')) FROM notes UNION ALL SELECT 'folders', count(DISTINCT folder) FROM notes UNION ALL SELECT 'frontmatter_keys', count(DISTINCT key) FROM fm
-UNION ALL SELECT 'inconsistent_value_shapes', count(*) FROM (SELECT key FROM fm GROUP BY 1 HAVING count(DISTINCT shape) > 1) UNION ALL SELECT 'link_topology', count(*) FROM rs WHERE NOT is_embed
-UNION ALL SELECT 'stubs', count(*) FROM notes WHERE size_bytes < 16 AND path NOT IN (SELECT path FROM sec) AND path NOT IN (SELECT path FROM fm) UNION ALL SELECT 'accumulation_positions', count(DISTINCT p) + max(final::INT) FROM ps UNION ALL SELECT 'edge_sections', count(*) FROM eg
-UNION ALL SELECT 'recurring_sections', count(*) FROM (SELECT coalesce(note_type, '(untyped)') AS k, s.title FROM sec s JOIN notes USING (path) WHERE level >= 2 GROUP BY 1, 2 HAVING count(DISTINCT path) >= 2)
-UNION ALL SELECT 'provenance_signals', count(DISTINCT key) FROM fm WHERE replace(replace(lower(trim(key)), '-', '_'), ' ', '_') IN ({', '.join(repr(k) for k in N.PROVENANCE_KEYS)})""")
+@register("s20_survey_document", f"""WITH {_N}, tp AS (SELECT path, coalesce(note_type, '(untyped)') AS kind FROM notes), sp AS (SELECT idx, max(idx) OVER (PARTITION BY path) AS last, session_ref FROM sec WHERE level >= 2),
+  ps AS (SELECT CASE WHEN last = 0 OR idx::DOUBLE / last < 1/3::DOUBLE THEN 'first-third' WHEN idx::DOUBLE / last < 2/3::DOUBLE THEN 'middle-third' ELSE 'last-third' END AS p, idx = last AS final FROM sp WHERE session_ref IS NOT NULL),
+  eg AS (SELECT 'opening' AS edge, arg_min(title, idx) AS title FROM sec WHERE level >= 2 GROUP BY path UNION ALL SELECT 'terminal', arg_max(title, idx) FROM sec WHERE level >= 2 GROUP BY path),
+  rt AS (SELECT count(*) FILTER (WHERE NOT is_embed) AS total, count(DISTINCT basename) FILTER (WHERE NOT is_embed) AS distinct_targets, count(*) FILTER (WHERE state = 'resolved') AS resolved, count(*) FILTER (WHERE state = 'unresolved') AS unresolved, count(*) FILTER (WHERE state = 'ambiguous') AS ambiguous,
+    count(*) FILTER (WHERE NOT is_embed AND display IS NOT NULL) AS piped, count(*) FILTER (WHERE NOT is_embed AND anchor IS NOT NULL) AS anchored, count(*) FILTER (WHERE NOT is_embed AND contains(target, '/')) AS path_qualified, count(*) FILTER (WHERE is_embed AND ends_with(target, '.png')) AS embeds_to_asset,
+    count(*) FILTER (WHERE is_embed AND NOT ends_with(target, '.png')) AS embeds_to_note FROM rs)
+SELECT 'notes' AS part, '' AS name, '' AS detail, count(*) AS n FROM files UNION ALL SELECT 'note_types', kind, '', count(*) FROM tp GROUP BY 2 UNION ALL SELECT 'folders', folder, '', count(*) FROM notes GROUP BY 2 UNION ALL SELECT 'frontmatter_keys', key, '', count(*) FROM fm GROUP BY 2
+UNION ALL SELECT 'inconsistent_value_shapes', key, array_to_string(list_sort(list(DISTINCT shape)), ','), count(*) FROM fm GROUP BY 2 HAVING count(DISTINCT shape) > 1 UNION ALL SELECT 'link_topology', name, '', n FROM (UNPIVOT rt ON COLUMNS(*) INTO NAME name VALUE n)
+UNION ALL SELECT 'stubs', path, '', count(*) FROM notes WHERE size_bytes < 16 AND path NOT IN (SELECT path FROM sec) AND path NOT IN (SELECT path FROM fm) GROUP BY 2 UNION ALL SELECT 'accumulation_positions', p, '', count(*) FROM ps GROUP BY 2
+UNION ALL SELECT 'accumulation_positions', 'final-section-in-note', '', count(*) FROM ps WHERE final HAVING count(*) > 0 UNION ALL SELECT 'edge_sections', edge, title, count(*) FROM eg GROUP BY 2, 3
+UNION ALL SELECT 'recurring_sections', kind, title, count(*) FROM (SELECT DISTINCT path, title FROM sec WHERE level >= 2) JOIN tp USING (path) GROUP BY 2, 3 HAVING count(*) >= 2
+UNION ALL SELECT 'provenance_signals', key, '', count(*) FROM fm WHERE replace(replace(lower(trim(key)), '-', '_'), ' ', '_') IN ({', '.join(repr(k) for k in N.PROVENANCE_KEYS)}) GROUP BY 2""")
 def s20(spark, d):
-    """The document's eleven parts, with how much each holds (of the links their total)."""
-    document = sinks.survey_document(N.parse(note_files(spark, d)))
-    size = lambda v: len(v) if isinstance(v, list) else v["total"] if isinstance(v, dict) else v
-    return spark.createDataFrame([(k, size(v)) for k, v in document.items()], "key string, items bigint")
+    """The parts as the document holds them: written as JSON by the executors and read again, entry by entry."""
+    path = sessions.shared_folder(spark, "survey")
+    sinks.survey_parts(N.survey(note_files(spark, d))).write.parquet(path)
+    x = spark.read.parquet(path).select("part", F.explode(F.from_json("document", "array<struct<name:string,detail:string,n:bigint>>")).alias("e"))
+    return x.select("part", "e.name", "e.detail", "e.n")
 
 
 @register("s21_text_report", f"WITH {t.TURNS} SELECT unnest(['Sessions', '========', 'turns: ' || count(*), 'longest session, ms: ' || max(end_ms), 'memory: not measured']) AS line FROM turns")

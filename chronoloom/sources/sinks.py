@@ -70,29 +70,21 @@ def exit_code(verdicts: DataFrame) -> int:
     return 2 if verdicts.filter("state <> 'clean'").limit(1).count() else 0
 
 
-def survey_document(notes: DataFrame) -> dict:
-    """The aggregates of a collection as one document of eleven parts.  It lists stubs, titles of sections and folders whole, so it is as long as they are many; notes are parsed once."""
+def survey_parts(rows: DataFrame) -> DataFrame:
+    """Rows of operators.notes.survey -> part, document: each part as JSON, put together where its rows meet; entries by their number, the largest first, and then by name.  A part is as long as what it lists."""
+    entry = F.struct((-F.col("n")).alias("neg"), "name", "detail")
+    g = rows.groupBy("part").agg(F.array_sort(F.collect_list(entry)).alias("x"))
+    return g.select("part", F.to_json(F.transform("x", lambda e: F.struct(e["name"].alias("name"), e["detail"].alias("detail"), (-e["neg"]).alias("n")))).alias("document"))
+
+
+def survey_document(files: DataFrame) -> dict:
+    """The survey of files (path, content) as one document of eleven parts: eleven rows, which the executors have put together, and nothing else reach the driver."""
     from ..operators import notes as N
 
-    notes = notes.persist()  # parsed once for all parts, and freed before this returns
-    try:
-        return _survey(notes, N)
-    finally:
-        notes.unpersist()
-
-
-def _survey(notes: DataFrame, N) -> dict:
-    pairs = lambda df: [list(r) for r in df.collect()]
-    kind = F.coalesce("note_type", F.lit(N.UNTYPED))
-    f = N.fields(notes)
-    ranked = lambda df, c: pairs(df.groupBy(c.alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name"))
-    return {
-        "notes": notes.count(), "note_types": ranked(notes, kind), "folders": ranked(notes, F.col("folder")), "frontmatter_keys": ranked(f, F.col("key")),
-        "inconsistent_value_shapes": pairs(f.groupBy("key").agg(F.array_sort(F.collect_set("shape")).alias("s")).filter(F.size("s") > 1).orderBy("key")),
-        "link_topology": N.topology(notes).first().asDict(), "stubs": [r[0] for r in N.stubs(notes).select("path").orderBy("path").collect()],
-        "accumulation_positions": pairs(N.positions(notes).orderBy("position")), "edge_sections": pairs(N.edge_sections(notes).orderBy("edge", F.desc("notes"), "title")),
-        "recurring_sections": pairs(N.recurring(notes).orderBy("note_type", F.desc("notes"), "title")), "provenance_signals": sorted({r[0] for r in f.select("key").distinct().collect() if r[0].strip().lower().replace("-", "_").replace(" ", "_") in N.PROVENANCE_KEYS}),
-    }
+    found = {r["part"]: json.loads(r["document"]) for r in survey_parts(N.survey(files)).collect()}
+    short = lambda x: [v for v in (x["name"], x["detail"]) if v] + [x["n"]]
+    out = {part: [short(x) for x in found.get(part, [])] for part in N.PARTS}
+    return {**out, "notes": sum(x[-1] for x in out["notes"]), "link_topology": {x[0]: x[1] for x in out["link_topology"]}, "stubs": [x[0] for x in out["stubs"]], "provenance_signals": sorted(x[0] for x in out["provenance_signals"])}
 
 
 def wrap(text: str, width: int = 78, indent: str = "    ") -> list[str]:

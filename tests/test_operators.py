@@ -320,7 +320,7 @@ def test_collection_of_files(spark, tmp_path):
     assert [r.name for r in collections.assets(spark, str(tmp_path)).collect()] == ["pic.png"]
     d = notes.tree_digest(collections.files(spark, str(tmp_path)))
     assert d.first().files == 3 and d.first().digest == d.first().digest
-    doc = sinks.survey_document(notes.parse(collections.markdown(spark, str(tmp_path))))
+    doc = sinks.survey_document(collections.markdown(spark, str(tmp_path)))
     assert doc["notes"] == 2 and doc["link_topology"]["resolved"] == 1
 
 
