@@ -778,5 +778,5 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
 
 def test_queries_are_registered():
     q = importlib.import_module("chronoloom.llm.queries")
-    assert [k.split("_")[0] for k in q.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [k.split("_")[0] for k in q.QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(q.ORACLES) <= set(q.QUERIES)
