@@ -225,9 +225,11 @@ def _grouped(table: pa.Table, share: int) -> pa.Table:
 def representatives(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
     """key, text of one document of each class in keys(key).  Few other texts travel: a bitmap of the ids thins them out first."""
     reps = stored(classes.join(keys, "key", "left_semi").select("key", F.col("rep").alias("doc_id"), F.col("tag").alias("tag")), "representatives")
-    rows = thinned(docs.withColumn("tag", F.xxhash64("text")), reps, ["doc_id", "tag"]).withColumnRenamed("doc_id", "_doc").withColumnRenamed("tag", "_tag")
-    found = rows.dropDuplicates(["_doc", "_tag"]).join(reps, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag"))).select("key", F.col("text").cast("binary").alias("text"))
-    return found.dropDuplicates(["key"])
+    at = F.xxhash64("doc_id", "tag")  # joined and deduplicated by this, so that texts are shuffled once
+    rows = thinned(docs.withColumn("tag", F.xxhash64("text")), reps, ["doc_id", "tag"]).withColumn("_at", at).withColumnRenamed("doc_id", "_doc").withColumnRenamed("tag", "_tag")
+    same = (F.col("at") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag"))
+    found = rows.join(reps.withColumn("at", at), same).select("_at", "key", F.col("text").cast("binary").alias("text"))
+    return found.dropDuplicates(["_at", "key"]).select("key", "text")
 
 
 def sketches(texts: DataFrame, n: int) -> DataFrame:
@@ -257,7 +259,8 @@ def possible(pairs: DataFrame, drawn: DataFrame, share: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, share: int, n: int) -> DataFrame:
-    """Pairs (a, b) of classes whose shingle sets are similar, from texts(key, text)."""
+    """Pairs (a, b) of classes whose shingle sets are similar, from texts(key, text), of which few others travel: a bitmap of the pairs' keys thins them out first."""
+    texts = thinned(texts, stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "paired"), ["key"])
     left, right = (texts.select(F.col("key").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
 
     def run(batches):
@@ -293,18 +296,23 @@ def across(members: DataFrame, labels: DataFrame, drawn: DataFrame, share: int)
 
     def compare(t: pa.Table) -> pa.Table:
         key, root, n, own = (t.column(c).to_numpy() for c in ("b", "root", "n_shingles", "own"))
-        s = folded(t.column("sketch").to_pylist())
+        sketches_ = t.column("sketch").to_pylist()
         x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
         order = np.argsort(n, kind="stable")
-        key, root, n, own, s = key[order], root[order], n[order], own[order], s[order]
+        key, root, n, own = key[order], root[order], n[order], own[order]
+        sketches_ = [sketches_[i] for i in order.tolist()]
+        stops = np.searchsorted(n, n * 100 // share, side="right")
+        level = np.array([len(b) for b in sketches_])  # grows with n
         out = []
-        for i in range(len(key)):
-            stop = np.searchsorted(n, n[i] * 100 // share, side="right")
-            j = np.arange(i + 1, stop)
-            j = j[(root[j] != root[i]) & ((own[j] != own[i]) | (x == y))]
-            if len(j):
-                j = j[bound(s[j], s[i]) * (100 + share) <= (100 - share) * (n[j] + n[i])]
-                out.append(np.stack([np.minimum(key[i], key[j]), np.maximum(key[i], key[j])], 1))
+        # Sketches are folded to the length of the smaller set's, not to the block's least: shorter ones tell large sets apart no more.
+        for first, last in zip(*(np.searchsorted(level, np.unique(level), side=e).tolist() for e in ("left", "right")), strict=True):
+            s = folded(sketches_[first : stops[last - 1]])
+            for i in range(first, last):
+                j = np.arange(i + 1, stops[i])
+                j = j[(root[j] != root[i]) & ((own[j] != own[i]) | (x == y))]
+                if len(j):
+                    j = j[bound(s[j - first], s[i - first]) * (100 + share) <= (100 - share) * (n[j] + n[i])]
+                    out.append(np.stack([np.minimum(key[i], key[j]), np.maximum(key[i], key[j])], 1))
         both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(np.ascontiguousarray(both[:, 0])), "b": pa.array(np.ascontiguousarray(both[:, 1]))})
 
