@@ -85,10 +85,9 @@ def s10(spark, d):
     one = F.struct(F.struct(F.col("start_ms").alias("from"), F.col("end_ms").alias("to")).alias("offsets"), "text", F.array(F.struct(F.lit("x").alias("text"), F.col("confidence").alias("p"))).alias("tokens"))
     path = sessions.shared_folder(spark, "recognised")
     docs = s.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", one.alias("o")))), lambda y: y["o"]).alias("transcription"))
-    docs.write.partitionBy("session_id").json(path)
-    x = engines.recognised(spark, path + "/*/*.json")
-    number = F.regexp_extract("session_id", r"session_id=(-?\d+)", 1).cast("bigint")
-    return x.select(number.alias("session_id"), F.col("ord").cast("bigint").alias("ord"), "start_ms", "end_ms", "text", "confidence")
+    docs.select(F.col("session_id").cast("string").alias("recording"), "transcription").write.json(path)
+    x = engines.recognised(spark, path, lines=True)
+    return x.select(F.col("session_id").cast("bigint").alias("session_id"), F.col("ord").cast("bigint").alias("ord"), "start_ms", "end_ms", "text", "confidence")
 
 
 @register("s10_engine_source", f"WITH {t.SEGMENTS} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ord) - 1 AS ord, start_ms, end_ms, text, confidence FROM segments")

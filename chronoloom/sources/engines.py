@@ -21,18 +21,23 @@ def speaker_label(n) -> Column:
     return F.format_string("SPEAKER_%02d", n)
 
 
-def recognised(spark: SparkSession, path: str) -> DataFrame:
-    """A recogniser's JSON documents -> session_id (file), ord, start_ms, end_ms, text, confidence."""
-    rows = spark.read.schema(RECOGNISED).option("multiLine", True).json(path).withColumn("session_id", F.input_file_name())
-    x = rows.select("session_id", F.posexplode("transcription").alias("ord", "s"))
+def _documents(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """Documents with session_id: a file is one document and names it; with `lines` a line is one, named by its field `recording`, so that there need not be a file for each recording."""
+    if lines:
+        return spark.read.schema(f"recording string, {schema}").json(path).withColumnRenamed("recording", "session_id")
+    return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("session_id", F.input_file_name())
+
+
+def recognised(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A recogniser's JSON documents -> session_id (file or recording), ord, start_ms, end_ms, text, confidence."""
+    x = _documents(spark, path, RECOGNISED, lines).select("session_id", F.posexplode("transcription").alias("ord", "s"))
     tokens = F.transform("s.tokens", lambda q: F.struct(q["text"].alias("tok"), q["p"].alias("p")))
     return x.select("session_id", "ord", F.col("s.offsets.from").alias("start_ms"), F.col("s.offsets.to").alias("end_ms"), "s.text", token_confidence(tokens).alias("confidence"))
 
 
-def diarised(spark: SparkSession, path: str) -> DataFrame:
-    """A diariser's JSON documents -> session_id, ord, start_ms, end_ms, label."""
-    rows = spark.read.schema(DIARISED).option("multiLine", True).json(path).withColumn("session_id", F.input_file_name())
-    x = rows.select("session_id", F.posexplode("segments").alias("ord", "s"))
+def diarised(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A diariser's JSON documents -> session_id (file or recording), ord, start_ms, end_ms, label."""
+    x = _documents(spark, path, DIARISED, lines).select("session_id", F.posexplode("segments").alias("ord", "s"))
     ms = lambda c: F.bround(F.col(c) * 1000).cast("bigint")
     return x.select("session_id", "ord", ms("s.start").alias("start_ms"), ms("s.end").alias("end_ms"), speaker_label(F.col("s.speaker")).alias("label"))
 
