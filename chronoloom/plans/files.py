@@ -243,9 +243,9 @@ def p26(spark, d):
 def tr7(spark, d):
     """Approvals arrive in two lots, the later first; the stream is stopped and started between them."""
     base = sessions.shared_folder(spark, "stream")
-    rows = approvals(spark, d).select("kind", "canonical", "aliases", "approver", "seq", "event_id")
+    rows = sessions.written(approvals(spark, d).select("kind", "canonical", "aliases", "approver", "seq", "event_id"), "approvals")
     for lot in (1, 0):
-        rows.filter(F.col("event_id") % 2 == lot).drop("event_id").coalesce(2).write.mode("append").parquet(f"{base}/in")
+        rows.filter(F.col("event_id") % 2 == lot).drop("event_id").write.mode("append").parquet(f"{base}/in")
         streaming.approval_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint")
     return streaming.current_entries(spark, f"{base}/out").withColumn("aliases", F.array_join("aliases", "|")).drop("kind_key")
 

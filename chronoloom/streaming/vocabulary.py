@@ -15,6 +15,8 @@ APPROVAL = "kind string, canonical string, aliases array<string>, approver strin
 CHANGED = "kind_key string, root string, version bigint, gone boolean, kind string, entry bigint, canonical string, aliases array<string>, contested boolean, approvals bigint"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 NONE = -(1 << 62)
+#: A task combines this many approvals at a time, and passes on what it holds when that is more.
+ROWS = 1 << 16
 
 
 class Fold(StatefulProcessor):
@@ -115,12 +117,38 @@ class Fold(StatefulProcessor):
         pass
 
 
+def latest(batches):
+    """Of the approvals of one id that a task reads, the one with the greatest number: the fold keeps no other.  What is held is bounded; ids that come again after it was passed on are passed on again."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def combined(parts: list) -> pa.Table:
+        t = pa.Table.from_batches(parts)
+        order = pa.table({"id": t["approval_id"], "seq": pc.fill_null(t["seq"], NONE), "kind": t["kind"], "at": pa.array(range(len(t)), pa.int64())}).sort_by([("seq", "ascending"), ("kind", "ascending")])
+        return t.take(order.group_by("id", use_threads=False).aggregate([("at", "last")])["at_last"])
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= 2 * ROWS:
+            t = combined(held)
+            held, n = t.combine_chunks().to_batches(), len(t)
+            if n > ROWS:
+                yield from held
+                held, n = [], 0
+    if n:
+        yield from combined(held).combine_chunks().to_batches()
+
+
 def approval_stream(spark: SparkSession, source: str, target: str, checkpoint: str) -> None:
     """T-R7, A39: approvals arrive as Parquet below source; entries that they change are appended to target, with a version, and entries that went into another one as gone.
 
-    Runs until what is there is read; with its checkpoint it starts again where it stopped.  A kind is a key of the state, so kinds spread over tasks and one kind's approvals are folded one after another.
+    Runs until what is there is read; with its checkpoint it starts again where it stopped.  A kind is a key of the state, so kinds spread over tasks and one kind's approvals are folded one after another;
+    tasks combine what they read before that, so that an approval said many times reaches the fold a few times only.
     """
     rows = identified(spark.readStream.schema(APPROVAL).parquet(source))
+    rows = rows.mapInArrow(latest, rows.schema)
     changed = rows.groupBy("kind_key").transformWithState(Fold(), CHANGED, "Update", "None")
 
     def write(batch: DataFrame, number: int) -> None:
