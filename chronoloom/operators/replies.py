@@ -35,33 +35,38 @@ def findings(replies: DataFrame, keys: tuple[str, ...] = ("session_id", "window_
     leading zeros from one known id only); a question's confidence is a number of [0, 1] and its consequence a known one.  A reply that is no object has one finding; paths count from 0.
     """
     keys = list(keys)
+    told = lambda path, text: F.struct(path.alias("path"), F.lit(text).alias("finding"))
     read = replies.select(*keys, "turn_ids", F.try_parse_json("payload").alias("v"))
-    whole = read.filter(~_kind(F.col("v")).startswith("OBJECT")).select(*keys, F.lit("").alias("path"), F.lit("must be an object").alias("finding"))
+    # One pass: a reply is read once and goes on as a row a group, then a row an item; what is no object or no list goes on as a row of its own.
     groups = F.array(*[F.struct(F.lit(g).alias("grp"), _field(F.col("v"), g).alias("list"), F.array(*[F.lit(f) for f in fields]).alias("says")) for g, fields in SAID.items()])
-    g = read.filter(_kind(F.col("v")).startswith("OBJECT")).select(*keys, "turn_ids", F.explode(groups).alias("g")).select(*keys, "turn_ids", "g.*").filter(_kind(F.col("list")) != "VOID")
-    unlisted = g.filter(~_kind(F.col("list")).startswith("ARRAY")).select(*keys, F.col("grp").alias("path"), F.lit("must be a list of objects").alias("finding"))
-    items = g.filter(_kind(F.col("list")).startswith("ARRAY")).select(*keys, "turn_ids", "grp", "says", F.posexplode(F.col("list").try_cast("array<variant>")).alias("i", "x"))
-    items = items.withColumn("at", F.format_string("%s[%d]", "grp", "i"))
-    odd = items.filter(~_kind(F.col("x")).startswith("OBJECT")).select(*keys, F.col("at").alias("path"), F.lit("must be an object").alias("finding"))
-    items = items.filter(_kind(F.col("x")).startswith("OBJECT"))
+    none_ = F.array(F.struct(F.lit(None).cast("string").alias("grp"), F.lit(None).cast("variant").alias("list"), F.lit(None).cast("array<string>").alias("says")))
+    g = read.select(*keys, "turn_ids", F.explode(F.when(_kind(F.col("v")).startswith("OBJECT"), groups).otherwise(none_)).alias("g")).select(*keys, "turn_ids", "g.*")
+    g = g.withColumn("kind", _kind(F.col("list"))).filter(F.col("grp").isNull() | (F.col("kind") != "VOID")).withColumn("listed", F.col("kind").startswith("ARRAY"))
+    items = g.select(*keys, "turn_ids", "grp", "says", "listed", F.posexplode_outer(F.when(F.col("listed"), F.col("list").try_cast("array<variant>"))).alias("i", "x"))
+    items = items.filter(~F.col("listed") | F.col("i").isNotNull()).withColumn("at", F.format_string("%s[%d]", "grp", "i"))
     x, question = F.col("x"), F.col("grp") == "questions"
-    finding = lambda wrong, field, text: F.when(wrong, F.struct(F.concat("at", F.lit(f".{field}")).alias("path"), F.lit(text).alias("finding")))
+    finding = lambda wrong, field, text: F.when(wrong, told(F.concat("at", F.lit(f".{field}")), text))
     rules = []
     for field in dict.fromkeys(f for fields in SAID.values() for f in fields):
         said = _string(_field(x, field))
         rules.append(finding(F.array_contains("says", F.lit(field)) & (F.coalesce(F.trim(said, F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == ""), field, "must be a string with more than space"))
     ids, confidence = _field(x, "turn_ids"), _field(x, "confidence")
-    none = ~_kind(ids).startswith("ARRAY") | (F.coalesce(F.size(ids.try_cast("array<variant>")), F.lit(0)) < 1)
+    cites = F.coalesce(F.when(_kind(ids).startswith("ARRAY"), ids.try_cast("array<variant>")), F.array().cast("array<variant>"))
     number = ~_kind(confidence).isin("STRING", "BOOLEAN", "VOID") & confidence.try_cast("double").between(0, 1)
     rules += [
-        finding(none, "turn_ids", "must cite a turn"), finding(question & ~F.coalesce(number, F.lit(False)), "confidence", "must be a number from 0 to 1"),
+        finding(F.size(cites) < 1, "turn_ids", "must cite a turn"), finding(question & ~F.coalesce(number, F.lit(False)), "confidence", "must be a number from 0 to 1"),
         finding(question & ~F.coalesce(_string(_field(x, "consequence")).isin(*CONSEQUENCES), F.lit(False)), "consequence", "must be low, medium or high"),
     ]
-    own = items.select(*keys, F.explode(F.array_compact(F.array(*rules))).alias("f")).select(*keys, "f.path", "f.finding")
-    cited = items.select(*keys, "turn_ids", "at", F.posexplode(F.coalesce(ids.try_cast("array<variant>"), F.array().cast("array<variant>"))).alias("j", "id"))
-    cited = cited.select(*keys, "turn_ids", F.format_string("%s.turn_ids[%d]", "at", "j").alias("path"), _string(F.col("id")).alias("id"))
-    blank = F.coalesce(F.trim("id", F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == ""
-    loose = F.size(F.filter("turn_ids", lambda k: _unpadded(k) == _unpadded(F.col("id")))) == 1
-    why = F.when(blank, "must be a turn's id").when(~F.array_contains("turn_ids", F.col("id")) & ~loose, "is no turn of the window")
-    stray = cited.select(*keys, "path", why.alias("finding")).filter("finding is not null")
-    return whole.unionByName(unlisted).unionByName(odd).unionByName(own).unionByName(stray)
+
+    def stray(cited: Column, j: Column) -> Column:
+        turn = F.get(cited, F.lit(0))
+        blank = F.coalesce(F.trim(turn, F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == ""
+        loose = F.size(F.filter("turn_ids", lambda k: _unpadded(k) == _unpadded(turn))) == 1
+        path = F.format_string("%s.turn_ids[%d]", "at", j)
+        return F.when(blank, told(path, "must be a turn's id")).when(~F.array_contains("turn_ids", turn) & ~loose, told(path, "is no turn of the window"))
+
+    said = F.transform(F.transform(cites, lambda v: F.array(_string(v))), stray)
+    own = F.concat(F.array_compact(F.array(*rules)), F.filter(said, lambda f: f.isNotNull()))
+    found = F.when(F.col("grp").isNull(), F.array(told(F.lit(""), "must be an object"))).when(~F.col("listed"), F.array(told(F.col("grp"), "must be a list of objects")))
+    found = found.when(~_kind(x).startswith("OBJECT"), F.array(told(F.col("at"), "must be an object"))).otherwise(own)
+    return items.select(*keys, F.explode(found).alias("f")).select(*keys, "f.path", "f.finding")
