@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ASSET_SUFFIXES
 from ..operators.notes import IGNORED_FILES, IGNORED_FOLDERS
+from .sessions import spread, written
+
+#: Files of a batch of a listing, and bytes of a batch of contents.
+BATCH, BYTES = 10_000, 4_000_000
 
 
 def _below(df: DataFrame, root: str) -> DataFrame:
@@ -17,22 +23,76 @@ def _below(df: DataFrame, root: str) -> DataFrame:
     return x.filter(~F.arrays_overlap(parts, F.array(*[F.lit(f) for f in IGNORED_FOLDERS])) & ~F.element_at(parts, -1).isin(*IGNORED_FILES))
 
 
-def _empty(spark: SparkSession, root: str) -> DataFrame:
-    """path, modified of empty notes, which Spark's readers leave out; as their listing, this one is made on the driver."""
-    from pyarrow.fs import FileSelector, FileSystem
-
+def _uri(spark: SparkSession, root: str) -> str:
+    """root as pyarrow's file systems know it."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     uri = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
-    fs, at = FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
-    found = [(f.path, int(f.mtime.timestamp() * 1000)) for f in fs.get_file_info(FileSelector(at, recursive=True)) if f.is_file and not f.size and f.path.endswith(".md")]
-    return spark.createDataFrame(found, "path string, modified bigint")
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """path, size, modified of all files below root, listed by the executors, a level of folders at a time; the driver holds no listing.  A root that is not there raises."""
+    uri = _uri(spark, root)
+
+    def folders(batches):
+        import pyarrow as pa
+        from pyarrow.fs import FileSelector, FileSystem
+
+        fs, _ = FileSystem.from_uri(uri)
+        for b in batches:
+            for at in b.column(0).to_pylist():
+                found = fs.get_file_info(FileSelector(at))
+                for k in range(0, len(found), BATCH):
+                    part = found[k : k + BATCH]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([f.path for f in part], pa.string()), pa.array([not f.is_file for f in part], pa.bool_()), pa.array([f.size for f in part], pa.int64()), pa.array([f.mtime and int(f.mtime.timestamp() * 1000) for f in part], pa.int64())],
+                        names=["path", "folder", "size", "modified"],
+                    )
+
+    from pyarrow.fs import FileSystem
+
+    level, out = spark.createDataFrame([(FileSystem.from_uri(uri)[1],)], "path string"), []
+    cores = spark.sparkContext.defaultParallelism
+    while True:
+        found = written(level.mapInArrow(folders, "path string, folder boolean, size bigint, modified bigint"), "listing")
+        out.append(found.filter("not folder").drop("folder"))
+        below = found.filter(F.col("folder") & ~F.element_at(F.split("path", "/"), -1).isin(*IGNORED_FOLDERS)).select("path")
+        n = below.count()
+        if not n:
+            return reduce(DataFrame.unionByName, out)
+        # Neighbours stay together, at most some thousand folders a task.
+        level = below.repartition(max(cores, n // 2000), "path")
+
+
+def _contents(spark: SparkSession, root: str, files_: DataFrame) -> DataFrame:
+    """files(path, modified) with their content, read where the rows are; a batch goes on when it holds a few megabytes."""
+    uri = _uri(spark, root)
+
+    def read(batches):
+        import pyarrow as pa
+        from pyarrow.fs import FileSystem
+
+        fs, _ = FileSystem.from_uri(uri)
+        for b in batches:
+            held, size = [], 0
+            for path, modified in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with fs.open_input_stream(path) as f:
+                    held.append((path, f.read(), modified))
+                size += len(held[-1][1])
+                if size > BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), (pa.string(), pa.binary(), pa.int64()), strict=True)], names=["path", "content", "modified"])
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), (pa.string(), pa.binary(), pa.int64()), strict=True)], names=["path", "content", "modified"])
+
+    return files_.select("path", "modified").mapInArrow(read, "path string, content binary, modified bigint")
 
 
 def markdown(spark: SparkSession, root: str) -> DataFrame:
-    """Path, content, modified of every note below root, empty ones too.  (Spark does not tell symbolic links from files.)"""
-    x = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
-    x = x.select("path", F.col("content").cast("string").alias("content"), F.unix_millis("modificationTime").alias("modified"))
-    return _below(x.unionByName(_empty(spark, root).select("path", F.lit("").alias("content"), "modified")), root)
+    """Path, content, modified of every note below root, empty ones too, and those that Spark's readers take for hidden.  (Symbolic links are not told from files.)"""
+    found = _below(_listed(spark, root).filter(F.endswith("path", F.lit(".md"))).select(F.col("path").alias("at"), "path", "modified"), root)
+    x = _contents(spark, root, spread(found.select(F.col("at").alias("path"), "modified")))
+    return _below(x.select("path", F.col("content").cast("string").alias("content"), "modified"), root)
 
 
 def assets(spark: SparkSession, root: str) -> DataFrame:

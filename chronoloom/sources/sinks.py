@@ -41,12 +41,17 @@ def write_files(files: DataFrame, root: str) -> None:
         from pyarrow.fs import FileSystem
 
         to, at = FileSystem.from_uri(base)
-        task, n = TaskContext.get().taskAttemptId(), 0
+        task, n, made = TaskContext.get().taskAttemptId(), 0, set()
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 name = f"{at}/{path}"
-                to.create_dir(os.path.dirname(name), recursive=True)
-                part = f"{os.path.dirname(name)}/.part-{task}-{n}"
+                folder = os.path.dirname(name)
+                if folder not in made:
+                    to.create_dir(folder, recursive=True)
+                    if len(made) >= 10_000:
+                        made.clear()
+                    made.add(folder)
+                part = f"{folder}/.part-{task}-{n}"
                 with to.open_output_stream(part) as f:
                     f.write(content if isinstance(content, bytes) else (content or "").encode())
                 to.move(part, name)
